@@ -12,6 +12,8 @@ import numpy as np
 
 #: Words are cut as bytes: only white space of one byte splits, other spaces are left to the tokenizer.
 _CACHE_WORDS = 1_000_000
+#: Marks that the splitting rule cuts off a word's last letter, all together.
+_MARKS = rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 _state: dict = {}
 
 
@@ -29,23 +31,62 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.cache: dict[bytes, bytes] = {}
 
     def encode(self, text: str | None, end: int) -> np.ndarray:
         """The text's ids, then ``end``; null counts as empty."""
-        words = text.encode("utf-8", "replace").split() if text else []
-        cache = self.cache
-        missing = set(words).difference(cache)
+        # the vocabulary is lower-case: words that differ in the case of A-Z have the same ids
+        words = text.encode("utf-8", "replace").lower().split() if text else []
+        missing = set(words).difference(self.cache)
         if missing:
-            if len(cache) > _CACHE_WORDS:
-                cache.clear()
+            if len(self.cache) > _CACHE_WORDS:
+                self.cache.clear()
                 missing = set(words)
-            missing = list(missing)
-            for at in range(0, len(missing), 1024):
-                part = missing[at : at + 1024]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)):
-                    cache[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return np.frombuffer(b"".join(map(cache.__getitem__, words)) + int(end).to_bytes(4, "little"), dtype="<u4")
+            self._learn(missing)
+        return np.frombuffer(b"".join(map(self.cache.__getitem__, words)) + int(end).to_bytes(4, "little"), dtype="<u4")
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Adds words to the cache. A word that ends in marks is a stem and its marks, which many words share."""
+        cache, whole, split = self.cache, set(), []
+        for w in words:
+            stem = w.rstrip(_MARKS)
+            if len(stem) < len(w) and stem and _ends_in_letter(stem) and b"<|" not in w:
+                tail = w[len(stem) :]
+                split.append((w, stem, tail))
+                whole.update(x for x in (stem, tail) if x not in cache)
+            else:
+                whole.add(w)
+        # words of letters alone are encoded together: each ends with the only token that ends a word
+        letters, other = [], []
+        for w in whole:
+            (letters if w.isalpha() or (not w.isascii() and w.decode("utf-8").isalpha()) else other).append(w)
+        for at in range(0, len(letters), 256):
+            part = letters[at : at + 256]
+            ids = np.array(self._ids([b" ".join(part).decode("utf-8")])[0], dtype="<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part):
+                other += part
+                continue
+            data, start = ids.tobytes(), 0
+            for w, end in zip(part, (4 * ends).tolist()):
+                cache[w] = data[start:end]
+                start = end
+        for at in range(0, len(other), 256):
+            part = other[at : at + 256]
+            for w, ids in zip(part, self._ids([w.decode("utf-8") for w in part])):
+                cache[w] = np.array(ids, dtype="<u4").tobytes()
+        for w, stem, tail in split:
+            cache[w] = cache[stem] + cache[tail]
+
+
+def _ends_in_letter(stem: bytes) -> bool:
+    last = stem[-1]
+    return 97 <= last <= 122 if last < 128 else stem[-4:].decode("utf-8", "ignore")[-1:].isalpha()
 
 
 def encoder(vocabulary: str) -> Encoder:
