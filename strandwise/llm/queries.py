@@ -6,16 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
+from .langid import op8_language
+from .lm import op4_language_model
 from .mixing import op9_mixing
 from .packing import op10_packing
+from .pii import op1_personal_data
 from .quality import op2_quality
+from .simhash import op3_simhash
 from .token_store import op5_token_files
+from .topk import TOPK_SQL, op6_topk
+from .url_rules import op7_url_filter
+
+QUERIES = (op1_personal_data, op2_quality, op3_simhash, op4_language_model, op5_token_files, op6_topk, op7_url_filter, op8_language, op9_mixing, op10_packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_quality, op5_token_files, op9_mixing, op10_packing]
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express the query; hashes, tokenizers, compression and iteration have none there."""
+    found = {"op6_topk": TOPK_SQL}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
