@@ -13,7 +13,7 @@ from .operators import lcp, matching, ranges, symbols, validate
 from .operators import suffix_array as sa
 from .plans.ranking import global_rank
 
-RATE, PREFIX, SHARED = 8, 20_000, 20
+RATE, PREFIX, SHARED = 8, 20_000, 40
 #: Substrings that pattern queries look for.
 PATTERNS = ("the", "e", "tion", "er th", "What", "zzzz", "a")
 
@@ -46,22 +46,10 @@ def reference(spark, sf_dir):
     return benchmark(spark, sf_dir).filter("doc = 0")
 
 
-def others(spark, sf_dir):
-    return benchmark(spark, sf_dir).filter("doc > 0")
-
-
-def _ms(spark, sf_dir):
-    return matching.matching_statistics(reference(spark, sf_dir), others(spark, sf_dir))
-
-
 def _codes(spark, sf_dir):
-    """(seq, pos, value): the events' users in order of the events, one sequence a type."""
-    from pyspark.sql.window import Window
-
-    rows = _table(spark, sf_dir, "events").filter("event_id < 4000")
-    place = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1
-    seq = F.crc32(F.col("event_type").cast("binary"))
-    return rows.select(seq.alias("seq"), place.cast("long").alias("pos"), F.col("user_id").cast("long").alias("value"))
+    """(seq, pos, value): the events' users in order of the events, a sequence for each thousand events."""
+    rows = _table(spark, sf_dir, "events")
+    return rows.select(F.floor(F.col("event_id") / 1000).cast("long").alias("seq"), (F.col("event_id") % 1000).alias("pos"), F.col("user_id").cast("long").alias("value"))
 
 
 def _values(spark, sf_dir):
@@ -93,10 +81,6 @@ def gsa_documents(spark, sf_dir):
     return sa.gsa(documents(spark, sf_dir))
 
 
-def gsa_short_documents(spark, sf_dir):
-    return sa.gsa(documents(spark, sf_dir).filter(F.length("text") <= 500))
-
-
 def gsa_doubling(spark, sf_dir):
     """The plan for collections that no task can hold."""
     return sa.gsa(benchmark(spark, sf_dir), plan="doubling")
@@ -227,7 +211,7 @@ def collection_lengths(spark, sf_dir):
 
 
 def reference_augmentation(spark, sf_dir):
-    return symbols.augmentation(reference(spark, sf_dir), others(spark, sf_dir))
+    return symbols.augmentation(reference(spark, sf_dir), benchmark(spark, sf_dir))
 
 
 def position_buckets(spark, sf_dir):
@@ -236,12 +220,12 @@ def position_buckets(spark, sf_dir):
 
 
 def matching_statistics(spark, sf_dir):
-    return matching.matching_statistics(reference(spark, sf_dir), others(spark, sf_dir).filter("doc <= 6"))
+    return matching.matching_statistics(reference(spark, sf_dir), benchmark(spark, sf_dir))
 
 
 def matching_statistics_union(spark, sf_dir):
     """The plan for references that no task can hold."""
-    return matching._by_union(reference(spark, sf_dir), others(spark, sf_dir).filter("doc <= 6"))
+    return matching._by_union(reference(spark, sf_dir), benchmark(spark, sf_dir))
 
 
 def matching_statistics_documents(spark, sf_dir):
@@ -285,14 +269,9 @@ def interval_refine(spark, sf_dir):
     return matching.refine(benchmark(spark, sf_dir), "th")
 
 
-def shared_passages(spark, sf_dir):
-    """Longest exact matches of benchmark items in conversations, from 20 symbols on."""
-    return matching.longest_shared(conversations(spark, sf_dir), benchmark(spark, sf_dir), SHARED)
-
-
 def contamination(spark, sf_dir):
-    """The same over documents; checked by tests."""
-    return matching.longest_shared(documents(spark, sf_dir), benchmark(spark, sf_dir), 40)
+    """Longest exact matches of benchmark items in documents."""
+    return matching.longest_shared(documents(spark, sf_dir), benchmark(spark, sf_dir), SHARED)
 
 
 def exact_duplicate_docs(spark, sf_dir):
@@ -319,7 +298,7 @@ def gsa_order_check(spark, sf_dir):
 
 
 def heads_check(spark, sf_dir):
-    return validate.check_heads(matching_statistics(spark, sf_dir), others(spark, sf_dir), reference(spark, sf_dir))
+    return validate.check_heads(matching_statistics(spark, sf_dir), benchmark(spark, sf_dir), reference(spark, sf_dir))
 
 
 def fasta_roundtrip(spark, sf_dir):
@@ -346,12 +325,12 @@ def gsa_records_roundtrip(spark, sf_dir):
 
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    gsa_benchmark, gsa_part_names, gsa_nation_names, gsa_conversations, gsa_documents, gsa_short_documents, gsa_doubling, gsa_with_terminators, gsa_prefix_limit,
+    gsa_benchmark, gsa_part_names, gsa_nation_names, gsa_conversations, gsa_documents, gsa_doubling, gsa_with_terminators, gsa_prefix_limit,
     isa_benchmark, single_text_sa, int_sa, unique_suffix_count, suffix_text, gather_ranks, symbol_rows, phi_array, lcp_array, lcp_doubling, plcp_array, unique_prefix_len, longest_repeat,
     bwt_rows, bwt_transform, bwt_aux_r8, lf_mapping, unbwt_roundtrip, unbwt_aux_roundtrip,
     symbol_histogram, bigram_histogram, bucket_bounds, max_symbol_runs, suffix_types, lms_suffixes, lms_per_symbol, lms_names, collection_lengths, reference_augmentation, position_buckets,
     matching_statistics, matching_statistics_union, matching_statistics_documents, ms_heads, parse_stats, heads_per_position, head_rank, next_head_asof, match_order_key,
-    pattern_count, pattern_locate, interval_refine, shared_passages, contamination, exact_duplicate_docs, psv_nsv, rmq_blocks, range_minimum,
+    pattern_count, pattern_locate, interval_refine, contamination, exact_duplicate_docs, psv_nsv, rmq_blocks, range_minimum,
     gsa_order_check, heads_check, fasta_roundtrip, gsa_records_roundtrip,
 )
 
@@ -403,28 +382,26 @@ def _transform(docs: str) -> str:
     return f"SELECT doc, any_value(right(text, 1)) || string_agg(symbol, '' ORDER BY rnk) FILTER (symbol IS NOT NULL) AS transform, max(CASE WHEN idx = 0 THEN rnk + 1 END) AS primary FROM ({_bwt_rows(docs)}) GROUP BY doc"
 
 
+_COMMON = "(SELECT coalesce(max(k), 0) FROM range(1, 1 + least(length(suf), length({r}))) t(k) WHERE left(suf, CAST(k AS INT)) = left({r}, CAST(k AS INT)))"
 _MS = f"""
-WITH x AS ({_suf("SELECT item_id AS doc, text FROM benchmark WHERE item_id <= 6")}),
-r AS (SELECT * FROM x WHERE doc = 0), c AS (SELECT * FROM x WHERE doc BETWEEN 1 AND 6),
-l AS (SELECT c.doc, c.idx, c.suf, (SELECT coalesce(max(k), 0) FROM range(1, 1 + least(length(c.suf), 40)) t(k)
-        WHERE EXISTS (SELECT 1 FROM r WHERE starts_with(r.suf, left(c.suf, CAST(k AS INT))))) AS len FROM c),
-w AS (SELECT l.*, (SELECT arg_min({{'suf': r.suf, 'idx': r.idx}}, r.suf) FROM r WHERE r.suf > l.suf) AS nx,
-              (SELECT arg_max({{'suf': r.suf, 'idx': r.idx}}, r.suf) FROM r WHERE r.suf <= l.suf) AS pv FROM l),
-m AS (SELECT doc, idx, (nx IS NOT NULL AND left(nx.suf, CAST(len AS INT)) = left(suf, CAST(len AS INT))) AS smaller, nx, pv, len, suf FROM w)
-SELECT doc, idx, CASE WHEN smaller THEN nx.idx ELSE pv.idx END AS pos, CAST(len AS BIGINT) AS len, smaller, nullif(substr(suf, CAST(len + 1 AS INT), 1), '') AS next FROM m
+WITH u AS (SELECT -1 AS doc, idx, suf FROM ({_suf("SELECT item_id AS doc, text FROM benchmark WHERE item_id = 0")}) UNION ALL SELECT doc, idx, suf FROM ({_suf(_B)})),
+n AS (SELECT *, last_value(CASE WHEN doc = -1 THEN {{'suf': suf, 'idx': idx}} END IGNORE NULLS) OVER (ORDER BY suf, doc ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pv,
+             first_value(CASE WHEN doc = -1 THEN {{'suf': suf, 'idx': idx}} END IGNORE NULLS) OVER (ORDER BY suf, doc ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nx FROM u),
+l AS (SELECT doc, idx, suf, pv, nx, CASE WHEN pv IS NULL THEN -1 ELSE {_COMMON.format(r="pv.suf")} END AS lp, CASE WHEN nx IS NULL THEN -1 ELSE {_COMMON.format(r="nx.suf")} END AS ln FROM n WHERE doc >= 0)
+SELECT doc, idx, CASE WHEN ln >= lp THEN nx.idx ELSE pv.idx END AS pos, CAST(greatest(ln, lp) AS BIGINT) AS len, ln >= lp AS smaller, nullif(substr(suf, CAST(greatest(ln, lp) + 1 AS INT), 1), '') AS next FROM l
 """
 _HEADS = f"SELECT doc, idx, pos, len, smaller, next FROM (SELECT *, lag(pos) OVER (PARTITION BY doc ORDER BY idx) AS before FROM ({_MS})) WHERE before IS NULL OR pos <> before + 1"
 _PATTERN_SQL = ", ".join(f"('{p}')" for p in PATTERNS)
 _LOCATE = "SELECT pattern, doc, i AS idx FROM (VALUES {patterns}) p(pattern), ({docs}), unnest(range(length(text))) u(i) WHERE substr(text, CAST(i + 1 AS INT), length(pattern)) = pattern"
 _LCP_N = f"SELECT rnk AS i, lcp AS value FROM ({_lcp(_N)})"
-_EVENTS = "SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS pos, CAST(user_id AS BIGINT) AS value FROM events WHERE event_id < 4000"
+_EVENTS = "SELECT event_id // 1000 AS seq, list(CAST(user_id AS BIGINT) ORDER BY event_id) AS a FROM events GROUP BY seq"
 
 ORACLES: dict[str, str] = {
     "gsa_benchmark": _gsa(_B), "gsa_part_names": _gsa(_P), "gsa_nation_names": _gsa(_N), "gsa_conversations": _gsa(_C), "gsa_doubling": _gsa(_B), "gsa_with_terminators": _gsa(_B, 1),
-    "gsa_short_documents": _gsa(f"SELECT * FROM ({_D}) WHERE length(text) <= 500"),
     "gsa_prefix_limit": _gsa(f"SELECT doc, left(text, CAST(least(length(text), {PREFIX} - before) AS INT)) AS text FROM (SELECT doc, text, coalesce(sum(length(text)) OVER (ORDER BY doc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ({_C})) WHERE before < {PREFIX}"),
     "isa_benchmark": _gsa(_B),
     "single_text_sa": f"SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY suf) - 1 AS BIGINT) AS rnk, idx AS pos FROM ({_suf(_B)})",
+    "int_sa": f"SELECT seq, CAST(row_number() OVER (PARTITION BY seq ORDER BY s) - 1 AS BIGINT) AS rnk, i AS pos FROM (SELECT seq, i, list_slice(a, i + 1, len(a)) AS s FROM ({_EVENTS}), unnest(range(len(a))) u(i))",
     "unique_suffix_count": f"SELECT count(*) AS n_unique FROM (SELECT suf FROM ({_suf(_P)}) GROUP BY suf HAVING count(*) = 1)",
     "suffix_text": f"SELECT doc, idx, suf AS suffix FROM ({_suf(_B, 1)})",
     "gather_ranks": f"SELECT doc, idx, rnk FROM ({_gsa(_B)}) JOIN (SELECT doc, idx FROM ({_types(_B)}) WHERE is_lms) USING (doc, idx)",
@@ -447,7 +424,7 @@ ORACLES: dict[str, str] = {
         s AS (SELECT doc, idx, CASE WHEN stop IS NULL THEN substr(text, CAST(idx + 1 AS INT)) ELSE substr(text, CAST(idx + 1 AS INT), CAST(stop - idx + 1 AS INT)) END AS sub FROM l JOIN ({_P}) USING (doc))
         SELECT doc, idx, CAST(dense_rank() OVER (ORDER BY sub) - 1 AS BIGINT) AS name, count(*) OVER (PARTITION BY sub) = 1 AS is_unique FROM s""",
     "collection_lengths": f"SELECT count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_symbols, max(length(text)) AS max_length FROM ({_D})",
-    "reference_augmentation": f"SELECT ch AS symbol, repeat(ch, CAST(max(n) AS INT)) AS run FROM ({_runs('SELECT item_id AS doc, text FROM benchmark WHERE item_id > 0')}) WHERE ch NOT IN (SELECT ch FROM ({_chars('SELECT item_id AS doc, text FROM benchmark WHERE item_id = 0')})) GROUP BY ch",
+    "reference_augmentation": f"SELECT ch AS symbol, repeat(ch, CAST(max(n) AS INT)) AS run FROM ({_runs(_B)}) WHERE ch NOT IN (SELECT ch FROM ({_chars('SELECT item_id AS doc, text FROM benchmark WHERE item_id = 0')})) GROUP BY ch",
     "position_buckets": f"SELECT doc, idx >> 6 AS bucket, count(*) AS n FROM ({_chars(_B)}) GROUP BY ALL",
     "matching_statistics": _MS, "matching_statistics_union": _MS, "ms_heads": _HEADS,
     "parse_stats": f"SELECT doc, count(*) AS n_heads, max(len) AS max_len, CAST(sum(len) AS BIGINT) AS sum_len FROM ({_HEADS}) GROUP BY doc",
@@ -458,7 +435,7 @@ ORACLES: dict[str, str] = {
     "pattern_count": f"SELECT p.pattern, count(l.doc) AS n FROM (VALUES {_PATTERN_SQL}) p(pattern) LEFT JOIN ({_LOCATE.format(patterns=_PATTERN_SQL, docs=_C)}) l ON p.pattern = l.pattern GROUP BY p.pattern",
     "pattern_locate": _LOCATE.format(patterns=_PATTERN_SQL, docs=_B),
     "interval_refine": f"SELECT substr(text, CAST(idx + 3 AS INT), 1) AS extension, min(rnk) AS first, max(rnk) AS last FROM ({_gsa(_B)}) JOIN ({_B}) USING (doc) WHERE substr(text, CAST(idx + 1 AS INT), 2) = 'th' GROUP BY extension",
-    "shared_passages": f"""WITH a AS (SELECT doc, i AS p, substr(text, CAST(i + 1 AS INT), {SHARED}) AS g FROM ({_C}), unnest(range(length(text) - {SHARED - 1})) u(i)),
+    "contamination": f"""WITH a AS (SELECT doc, i AS p, substr(text, CAST(i + 1 AS INT), {SHARED}) AS g FROM ({_D}), unnest(range(length(text) - {SHARED - 1})) u(i)),
         b AS (SELECT doc AS item, i AS q, substr(text, CAST(i + 1 AS INT), {SHARED}) AS g FROM ({_B}), unnest(range(length(text) - {SHARED - 1})) u(i)),
         j AS (SELECT doc, item, p - q AS d, p, p - row_number() OVER (PARTITION BY doc, item, p - q ORDER BY p) AS run FROM a JOIN b USING (g))
         SELECT doc, item, max(n) AS len FROM (SELECT doc, item, count(*) + {SHARED - 1} AS n FROM j GROUP BY doc, item, d, run) GROUP BY doc, item""",
@@ -467,7 +444,7 @@ ORACLES: dict[str, str] = {
     "rmq_blocks": f"SELECT i // 16 AS block, min(value) AS least FROM ({_LCP_N}) GROUP BY block",
     "range_minimum": f"WITH v AS ({_LCP_N}) SELECT a.i AS q, min(b.value) AS least FROM v a JOIN v b ON b.i BETWEEN a.i AND a.i + a.i % 50 GROUP BY a.i",
     "gsa_order_check": f"SELECT CAST(sum(length(text)) AS BIGINT) AS n, CAST(0 AS BIGINT) AS violations, CAST(0 AS BIGINT) AS missing FROM ({_C})",
-    "heads_check": "SELECT CAST(sum(length(text)) AS BIGINT) AS n, CAST(0 AS BIGINT) AS violations FROM benchmark WHERE item_id BETWEEN 1 AND 6",
+    "heads_check": "SELECT CAST(sum(length(text)) AS BIGINT) AS n, CAST(0 AS BIGINT) AS violations FROM benchmark",
     "fasta_roundtrip": "SELECT item_id + 1 AS doc, translate(text, chr(13) || chr(10) || '>', '') AS text FROM benchmark",
     "gsa_records_roundtrip": _gsa(_N),
 }

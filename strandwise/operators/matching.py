@@ -16,6 +16,8 @@ from .suffix_array import _BATCH, gsa
 
 #: Symbols of a reference up to which tasks hold its index.
 REFERENCE_SYMBOLS = 8_000_000
+#: Symbols of all patterns together up to which they are searched at once.
+PATTERN_SYMBOLS = 4_000_000
 MS = "doc long, idx long, pos long, len long, smaller boolean, next string"
 
 
@@ -214,18 +216,60 @@ def suffix_order_by_matches(ms: DataFrame, inverse: DataFrame) -> DataFrame:
     return ms.join(ranked, "pos").select("doc", "idx", "isa", F.when(F.col("smaller"), 0).otherwise(1).alias("side"), F.when(F.col("smaller"), F.col("len")).otherwise(-F.col("len")).alias("closeness"))
 
 
+def _automaton(words: list[str]):
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for w in words:
+        found.add_word(w, w)
+    found.make_automaton()
+    return found
+
+
+def _scan(words: list[str]):
+    """(pattern, doc, idx) in one pass over each text by an automaton of all patterns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(words)
+        for batch in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for end, word in automaton.iter(text):
+                    out[0].append(word)
+                    out[1].append(doc)
+                    out[2].append(end + 1 - len(word))
+                if len(out[0]) > _BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["pattern", "doc", "idx"])
+                    out = ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["pattern", "doc", "idx"])
+
+    return run
+
+
 def locate(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern, doc, idx): all occurrences, overlapping ones too, of each pattern.
+    """(pattern, doc, idx): all occurrences, overlapping ones too, of each pattern that is not empty.
 
-    Patterns are grouped by length and looked up among the substrings of that length,
-    so documents are exploded once a distinct length and joined by equality.
+    Up to a checked number of symbols the patterns become one automaton, and texts are
+    scanned where they are read. More patterns are looked up by equality among the
+    substrings of their lengths.
     """
     wanted = patterns.filter(F.length("pattern") > 0).select("pattern").distinct()
+    size = wanted.agg(F.sum(F.length("pattern").cast("long"))).first()[0] or 0
+    if size <= PATTERN_SYMBOLS:
+        words = sorted(r["pattern"] for r in wanted.collect())
+        if words:
+            return docs.select("doc", "text").mapInArrow(_scan(words), "pattern string, doc long, idx long")
     sizes = wanted.select(F.length("pattern").alias("n")).distinct()
     spread = docs.filter(F.length("text") > 0).crossJoin(F.broadcast(sizes)).filter(F.length("text") >= F.col("n"))  # a row a distinct length
-    pieces = spread.select("doc", "text", "n", F.explode(F.sequence(F.lit(1), F.length("text") - F.col("n") + 1)).alias("at"))
-    cut = pieces.select("doc", (F.col("at") - 1).cast("long").alias("idx"), F.substring("text", F.col("at"), F.col("n")).alias("pattern"))
-    return cut.join(wanted, "pattern").select("pattern", "doc", "idx")
+    return spread.select("doc", "text", "n").mapInArrow(_substrings, "pattern string, doc long, idx long").join(wanted, "pattern").select("pattern", "doc", "idx")
+
+
+def _substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for doc, text, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for at in range(0, len(text) - n + 1, 50_000):
+                to = min(at + 50_000, len(text) - n + 1)
+                yield pa.RecordBatch.from_arrays([pa.array([text[i : i + n] for i in range(at, to)], pa.string()), pa.array(np.full(to - at, doc)), pa.array(np.arange(at, to))], names=["pattern", "doc", "idx"])
 
 
 def count_patterns(docs: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -245,13 +289,12 @@ def refine(docs: DataFrame, prefix: str, depth: int = 1) -> DataFrame:
 def longest_shared(docs: DataFrame, items: DataFrame, least: int) -> DataFrame:
     """(doc, item, len): the longest exact match of each item within each document, from ``least`` symbols on.
 
-    Anchors of ``least`` symbols are joined by equality; an item's every place is one,
-    so no match is missed; matches on one diagonal are merged into runs.
+    Every place of an item is an anchor of ``least`` symbols, so no match is missed;
+    anchors found on one diagonal are merged into runs.
     """
-    anchor = lambda t: F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - least + 1, F.lit(1))), lambda i: F.struct(i.cast("long").alias("at"), F.substring(t, i, F.lit(least)).alias("gram"))), lambda x: F.length(x["gram"]) == least)
-    a = docs.select("doc", F.explode(anchor("text")).alias("a")).select("doc", F.col("a.at").alias("p"), F.col("a.gram").alias("gram"))
-    b = items.select(F.col("doc").alias("item"), F.explode(anchor("text")).alias("b")).select("item", F.col("b.at").alias("q"), F.col("b.gram").alias("gram"))
-    both = a.join(b, "gram").select("doc", "item", (F.col("p") - F.col("q")).alias("diagonal"), "p")
+    width = items.select("doc", "text", F.lit(least).alias("n"))
+    grams = width.mapInArrow(_substrings, "pattern string, doc long, idx long").select(F.col("doc").alias("item"), F.col("idx").alias("q"), "pattern")
+    both = locate(docs, grams.select("pattern")).join(grams, "pattern").select("doc", "item", (F.col("idx") - F.col("q")).alias("diagonal"), F.col("idx").alias("p"))
     run = F.col("p") - F.row_number().over(Window.partitionBy("doc", "item", "diagonal").orderBy("p"))
     runs = both.withColumn("run", run).groupBy("doc", "item", "diagonal", "run").agg((F.count(F.lit(1)) + least - 1).alias("len"))
     return runs.groupBy("doc", "item").agg(F.max("len").alias("len"))

@@ -62,19 +62,24 @@ def _outside(local: DataFrame, minima: DataFrame, part: int) -> DataFrame:
     for name in ("psv", "nsv"):
         want = asked.filter(F.col(f"{name}_part") >= 0).select("i", F.col(f"{name}_part").alias("part"), F.col("value").alias("bound"))
 
-        def answer(key, wants: pd.DataFrame, rows: pd.DataFrame, name=name) -> pd.DataFrame:
-            rows = rows.sort_values("i")
-            v, i = rows["value"].to_numpy(), rows["i"].to_numpy()
-            # nearest to the side that the question comes from: running minima are monotone
-            run = np.minimum.accumulate(v[::-1] if name == "psv" else v)
-            found = np.searchsorted(-run, -wants["bound"].to_numpy(), side="right")
-            return pd.DataFrame({"i": wants["i"], "found": (i[::-1] if name == "psv" else i)[found]})
-
-        answers.append(want.groupBy("part").cogroup(local.select("part", "i", "value").groupBy("part")).applyInPandas(answer, "i long, found long").select(F.col("i").alias(f"{name}_i"), F.col("found").alias(f"{name}_found")))
+        answers.append(want.groupBy("part").cogroup(local.select("part", "i", "value").groupBy("part")).applyInPandas(_answer(name == "psv"), "i long, found long").select(F.col("i").alias(f"{name}_i"), F.col("found").alias(f"{name}_found")))
     out = asked.join(answers[0], F.col("i") == F.col("psv_i"), "left").join(answers[1], F.col("i") == F.col("nsv_i"), "left")
     return out.select("i", F.coalesce("psv_found", "psv").alias("psv"), F.coalesce("nsv_found", "nsv").alias("nsv"))
 
 
+def _answer(backward: bool):
+    def run(wants: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(wants):
+            return pd.DataFrame({"i": [], "found": []}, dtype="int64")
+        rows = rows.sort_values("i", ascending=not backward)
+        # nearest to the side that the question comes from: running minima only fall
+        least = np.minimum.accumulate(rows["value"].to_numpy())
+        found = np.searchsorted(-least, -wants["bound"].to_numpy(), side="right")
+        return pd.DataFrame({"i": wants["i"], "found": rows["i"].to_numpy()[found]})
+
+    return run
+
+
 def _scan(least: np.ndarray, at: np.ndarray, bounds: np.ndarray, side: int) -> np.ndarray:
     """Nearest part before (-1) or after (1) with a minimum below each bound, else -1."""
     if side > 0:

@@ -61,7 +61,7 @@ def _by_ranges(docs: DataFrame, c: collection_sort.Collection, terminators: bool
 
 
 def _prefixes(symbols: int, terminators: bool):
-    """(doc, idx, key): the first symbols of every suffix as bytes."""
+    """(doc, idx, key, whole): the first symbols of every suffix as bytes, and whether there are as many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,7 +74,7 @@ def _prefixes(symbols: int, terminators: bool):
                     if terminators and at + 50_000 > len(begins):
                         keys.append(b"")
                     idx = np.arange(at, at + len(keys))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), doc)), pa.array(idx), pa.array(keys, pa.binary())], names=["doc", "idx", "key"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), doc)), pa.array(idx), pa.array(keys, pa.binary()), pa.array(idx + symbols <= len(begins))], names=["doc", "idx", "key", "whole"])
 
     return run
 
@@ -105,9 +105,10 @@ def _order_ties(ranked: DataFrame) -> DataFrame:
 
 
 def _by_doubling(docs: DataFrame, terminators: bool) -> tuple[DataFrame, list[tuple[int, DataFrame]]]:
-    rows = docs.select("doc", "text").mapInArrow(_prefixes(FIRST_SYMBOLS, terminators), "doc long, idx long, key binary")
+    rows = docs.select("doc", "text").mapInArrow(_prefixes(FIRST_SYMBOLS, terminators), "doc long, idx long, key binary, whole boolean")
     first = global_rank(rows, ["key"], rank="rank")
-    many = F.count(F.lit(1)).over(Window.partitionBy("rank")) > 1
+    # suffixes that have ended and share a key are equal
+    many = (F.count(F.lit(1)).over(Window.partitionBy("rank")) > 1) & F.col("whole")
     ranked = materialise(first.select("doc", "idx", "rank", many.alias("tied")), "first-ranks")
     history = _double(ranked, FIRST_SYMBOLS)
     return _order_ties(history[-1][1]), history
@@ -134,17 +135,20 @@ def gsa_lcp(docs: DataFrame, plan: str = "auto") -> DataFrame:
     order, history = _by_doubling(docs, False)
     order = materialise(order, "gsa")
     before = order.select((F.col("rnk") + 1).alias("rnk"), F.col("doc").alias("d2"), F.col("idx").alias("i2"))
+    sizes = docs.select(F.col("doc").alias("_doc"), F.length("text").alias("n"))
     pairs = order.join(before, "rnk", "left").withColumn("lcp", F.lit(0).cast("long"))
+    pairs = pairs.join(sizes, F.col("doc") == F.col("_doc")).drop("_doc").join(sizes.withColumnRenamed("n", "n2"), F.col("d2") == F.col("_doc"), "left").drop("_doc")
     for h, ranks in reversed(history):
-        a = ranks.select(F.col("doc").alias("da"), F.col("idx").alias("ia"), F.col("rank").alias("ra"), F.col("tied").alias("ta"))
+        a = ranks.select(F.col("doc").alias("da"), F.col("idx").alias("ia"), F.col("rank").alias("ra"))
         b = ranks.select(F.col("doc").alias("db"), F.col("idx").alias("ib"), F.col("rank").alias("rb"))
         there = pairs.join(a, (F.col("doc") == F.col("da")) & (F.col("idx") + F.col("lcp") == F.col("ia")), "left").join(b, (F.col("d2") == F.col("db")) & (F.col("i2") + F.col("lcp") == F.col("ib")), "left")
-        # a shared rank means a shared prefix of this width, unless the suffixes are equal and end before
-        pairs = materialise(there.withColumn("lcp", F.col("lcp") + F.when((F.col("ra") == F.col("rb")) & F.col("ta"), F.lit(h)).otherwise(F.lit(0))).select("rnk", "idx", "doc", "d2", "i2", "lcp"), "lcp")
+        # a shared rank means a shared prefix of this width where neither suffix ends inside it
+        fits = (F.col("idx") + F.col("lcp") + h <= F.col("n")) & (F.col("i2") + F.col("lcp") + h <= F.col("n2"))
+        pairs = materialise(there.withColumn("lcp", F.col("lcp") + F.when((F.col("ra") == F.col("rb")) & fits, F.lit(h)).otherwise(F.lit(0))).select("rnk", "idx", "doc", "d2", "i2", "lcp", "n", "n2"), "lcp")
     text = docs.select("doc", "text")
     ends = pairs.join(text.select("doc", F.col("text").alias("t1")), "doc").join(text.select(F.col("doc").alias("d2"), F.col("text").alias("t2")), "d2", "left")
     # what is left of the common prefix is shorter than the first width
-    cut = lambda t, i: F.substring(F.col(t), (F.col(i) + F.col("lcp") + 1).cast("int"), F.lit(FIRST_SYMBOLS))
+    cut = lambda t, i: F.coalesce(F.substring(F.col(t), (F.col(i) + F.col("lcp") + 1).cast("int"), F.lit(FIRST_SYMBOLS)), F.lit(""))
     a, b = cut("t1", "idx"), cut("t2", "i2")
     same = F.aggregate(F.sequence(F.lit(1), F.lit(FIRST_SYMBOLS)), F.lit(0), lambda n, k: F.when((n == k - 1) & (F.length(a) >= k) & (F.length(b) >= k) & (F.substring(a, k, F.lit(1)) == F.substring(b, k, F.lit(1))), k).otherwise(n))
     return ends.select("rnk", "idx", "doc", (F.col("lcp") + F.coalesce(same, F.lit(0))).alias("lcp"))

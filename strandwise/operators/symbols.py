@@ -14,9 +14,9 @@ def symbols(docs: DataFrame) -> DataFrame:
 
 def suffixes(docs: DataFrame, include_terminator: bool = False) -> DataFrame:
     """(doc, idx): all suffixes, with ``include_terminator`` the empty one of each document too."""
-    last = F.length("text") - (0 if include_terminator else 1)
+    last = (F.length("text") - (0 if include_terminator else 1)).cast("long")
     given = docs if include_terminator else docs.filter(F.length("text") > 0)
-    return given.select("doc", F.explode(F.sequence(F.lit(0), last)).cast("long").alias("idx"))
+    return given.select("doc", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("idx"))
 
 
 def suffix_at(docs: DataFrame, places: DataFrame) -> DataFrame:
