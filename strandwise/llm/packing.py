@@ -36,15 +36,13 @@ def _cut(vocabulary: str, end_id: int, window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, rows = tokens.encoder(vocabulary), []
-        for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1)):
-                ids, doc = encoder.encode(text.as_py(), end_id), doc.as_py()
-                for at in range(0, len(ids), window):
-                    piece = ids[at : at + window]
-                    rows.append((doc, at, len(piece), tokens.crc32(piece), len(ids)))
-                if len(rows) >= _BATCH:
-                    yield batch_of(rows)
-                    rows = []
+        for doc, ids in encoder.encode_rows(batches, end_id):
+            for at in range(0, len(ids), window):
+                piece = ids[at : at + window]
+                rows.append((doc, at, len(piece), tokens.crc32(piece), len(ids)))
+            if len(rows) >= _BATCH:
+                yield batch_of(rows)
+                rows = []
         if rows:
             yield batch_of(rows)
 

@@ -42,14 +42,12 @@ def _encode(vocabulary: str, end_id: int):
         from pyspark import TaskContext
 
         part, encoder, held, size, start = TaskContext.get().partitionId(), tokens.encoder(vocabulary), [], 0, 0
-        for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1)):
-                ids = encoder.encode(text.as_py(), end_id)
-                held.append((doc.as_py(), ids))
-                size += len(ids)
-                if size >= _FLUSH_IDS:
-                    yield _rows(part, held, start)
-                    start, held, size = start + size, [], 0
+        for doc, ids in encoder.encode_rows(batches, end_id):
+            held.append((doc, ids))
+            size += len(ids)
+            if size >= _FLUSH_IDS:
+                yield _rows(part, held, start)
+                start, held, size = start + size, [], 0
         if held:
             yield _rows(part, held, start)
 

@@ -7,11 +7,15 @@ text's ids are the ids of its white-space-separated words, one after another.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Words are cut as bytes: only white space of one byte splits, other spaces are left to the tokenizer.
 _CACHE_WORDS = 1_000_000
+#: Characters of text that are encoded together.
+_LOT = 1_000_000
 #: Marks that the splitting rule cuts off a word's last letter, all together.
 _MARKS = rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 _state: dict = {}
@@ -37,15 +41,35 @@ class Encoder:
 
     def encode(self, text: str | None, end: int) -> np.ndarray:
         """The text's ids, then ``end``; null counts as empty."""
+        return self.encode_all([text], end)[0]
+
+    def encode_all(self, texts: list[str | None], end: int) -> list[np.ndarray]:
+        """The same for several texts; what is new in them is learned at once."""
         # the vocabulary is lower-case: words that differ in the case of A-Z have the same ids
-        words = text.encode("utf-8", "replace").lower().split() if text else []
-        missing = set(words).difference(self.cache)
+        split = [text.encode("utf-8", "replace").lower().split() if text else [] for text in texts]
+        words: set[bytes] = set()
+        words.update(*split)
+        missing = words.difference(self.cache)
         if missing:
             if len(self.cache) > _CACHE_WORDS:
                 self.cache.clear()
-                missing = set(words)
+                missing = words
             self._learn(missing)
-        return np.frombuffer(b"".join(map(self.cache.__getitem__, words)) + int(end).to_bytes(4, "little"), dtype="<u4")
+        ids, last = self.cache.__getitem__, int(end).to_bytes(4, "little")
+        return [np.frombuffer(b"".join(map(ids, w)) + last, dtype="<u4") for w in split]
+
+    def encode_rows(self, batches: Iterator[pa.RecordBatch], end: int) -> Iterator[tuple[object, np.ndarray]]:
+        """(first column, ids) of rows of two columns, the second the text; lots of about _LOT characters are encoded together."""
+        keys, texts, size = [], [], 0
+        for batch in batches:
+            for key, text in zip(batch.column(0), batch.column(1)):
+                keys.append(key.as_py())
+                texts.append(text.as_py())
+                size += len(texts[-1] or "")
+                if size >= _LOT:
+                    yield from zip(keys, self.encode_all(texts, end))
+                    keys, texts, size = [], [], 0
+        yield from zip(keys, self.encode_all(texts, end))
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
