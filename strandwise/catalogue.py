@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .model import limit_symbols, sequences
+from .functions import columns
 from .operators import bwt as bw
-from .operators import lcp, matching, ranges, symbols, validate
+from .operators import integers, lcp, matching, ranges, symbols, validate
 from .operators import suffix_array as sa
 from .plans.ranking import global_rank
 
@@ -292,6 +293,38 @@ def range_minimum(spark, sf_dir):
     return ranges.range_minimum(_values(spark, sf_dir), asked.withColumn("last", last), 16)
 
 
+def int_lcp(spark, sf_dir):
+    return integers.lcp(_codes(spark, sf_dir))
+
+
+def int_unbwt_roundtrip(spark, sf_dir):
+    return integers.inverse_bwt(integers.bwt(_codes(spark, sf_dir)))
+
+
+def int_bwt_primary(spark, sf_dir):
+    return integers.bwt(_codes(spark, sf_dir)).select("seq", "primary").distinct()
+
+
+def int_histogram(spark, sf_dir):
+    return integers.histogram(_codes(spark, sf_dir))
+
+
+def printable_texts(spark, sf_dir):
+    return conversations(spark, sf_dir).select("doc", columns.printable(F.col("text")).alias("text"), columns.log2_floor(F.length("text").cast("long")).alias("bits"))
+
+
+def neighbour_prefixes(spark, sf_dir):
+    """Common prefixes of documents with their successors by number, by comparison of columns."""
+    p = part_names(spark, sf_dir)
+    other = p.select((F.col("doc") - 1).alias("doc"), F.col("text").alias("other"))
+    return p.join(other, "doc").select("doc", columns.common_prefix(F.col("text"), F.col("other")).alias("len"))
+
+
+def marker_counts(spark, sf_dir):
+    negative, zero = columns.marked(F.col("value"))
+    return lcp.phi(nation_names(spark, sf_dir)).select((F.col("prev_idx") - F.col("idx")).alias("value")).agg(negative.alias("negative"), zero.alias("zero"))
+
+
 def gsa_order_check(spark, sf_dir):
     c = conversations(spark, sf_dir)
     return validate.check_order(c, sa.gsa(c))
@@ -331,7 +364,7 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     symbol_histogram, bigram_histogram, bucket_bounds, max_symbol_runs, suffix_types, lms_suffixes, lms_per_symbol, lms_names, collection_lengths, reference_augmentation, position_buckets,
     matching_statistics, matching_statistics_union, matching_statistics_documents, ms_heads, parse_stats, heads_per_position, head_rank, next_head_asof, match_order_key,
     pattern_count, pattern_locate, interval_refine, contamination, exact_duplicate_docs, psv_nsv, rmq_blocks, range_minimum,
-    gsa_order_check, heads_check, fasta_roundtrip, gsa_records_roundtrip,
+    int_lcp, int_unbwt_roundtrip, int_bwt_primary, int_histogram, printable_texts, neighbour_prefixes, marker_counts, gsa_order_check, heads_check, fasta_roundtrip, gsa_records_roundtrip,
 )
 
 
@@ -392,9 +425,10 @@ SELECT doc, idx, CASE WHEN ln >= lp THEN nx.idx ELSE pv.idx END AS pos, CAST(gre
 """
 _HEADS = f"SELECT doc, idx, pos, len, smaller, next FROM (SELECT *, lag(pos) OVER (PARTITION BY doc ORDER BY idx) AS before FROM ({_MS})) WHERE before IS NULL OR pos <> before + 1"
 _PATTERN_SQL = ", ".join(f"('{p}')" for p in PATTERNS)
+_EVENTS = "SELECT event_id // 1000 AS seq, list(CAST(user_id AS BIGINT) ORDER BY event_id) AS a FROM events GROUP BY seq"
+_INT_SUF = f"SELECT seq, i AS pos, list_slice(a, i + 1, len(a)) AS s FROM ({_EVENTS}), unnest(range(len(a))) u(i)"
 _LOCATE = "SELECT pattern, doc, i AS idx FROM (VALUES {patterns}) p(pattern), ({docs}), unnest(range(length(text))) u(i) WHERE substr(text, CAST(i + 1 AS INT), length(pattern)) = pattern"
 _LCP_N = f"SELECT rnk AS i, lcp AS value FROM ({_lcp(_N)})"
-_EVENTS = "SELECT event_id // 1000 AS seq, list(CAST(user_id AS BIGINT) ORDER BY event_id) AS a FROM events GROUP BY seq"
 
 ORACLES: dict[str, str] = {
     "gsa_benchmark": _gsa(_B), "gsa_part_names": _gsa(_P), "gsa_nation_names": _gsa(_N), "gsa_conversations": _gsa(_C), "gsa_doubling": _gsa(_B), "gsa_with_terminators": _gsa(_B, 1),
@@ -443,6 +477,14 @@ ORACLES: dict[str, str] = {
     "psv_nsv": f"WITH v AS ({_LCP_N}) SELECT i, coalesce((SELECT max(b.i) FROM v b WHERE b.i <= a.i AND b.value < a.value), -1) AS psv, coalesce((SELECT min(b.i) FROM v b WHERE b.i >= a.i AND b.value < a.value), -1) AS nsv FROM v a",
     "rmq_blocks": f"SELECT i // 16 AS block, min(value) AS least FROM ({_LCP_N}) GROUP BY block",
     "range_minimum": f"WITH v AS ({_LCP_N}) SELECT a.i AS q, min(b.value) AS least FROM v a JOIN v b ON b.i BETWEEN a.i AND a.i + a.i % 50 GROUP BY a.i",
+    "int_lcp": f"""SELECT seq, rnk, pos, CAST(coalesce((SELECT max(k) FROM range(1, 1 + least(len(s), len(b))) r(k) WHERE s[1:k] = b[1:k]), 0) AS BIGINT) AS lcp
+        FROM (SELECT seq, pos, s, CAST(row_number() OVER w - 1 AS BIGINT) AS rnk, coalesce(lag(s) OVER w, []) AS b FROM ({_INT_SUF}) WINDOW w AS (PARTITION BY seq ORDER BY s))""",
+    "int_unbwt_roundtrip": "SELECT event_id // 1000 AS seq, event_id % 1000 AS pos, CAST(user_id AS BIGINT) AS value FROM events",
+    "int_bwt_primary": f"SELECT seq, rnk AS primary FROM (SELECT seq, pos, row_number() OVER (PARTITION BY seq ORDER BY s) AS rnk FROM ({_INT_SUF})) WHERE pos = 0",
+    "int_histogram": "SELECT CAST(user_id AS BIGINT) AS value, count(*) AS n FROM events GROUP BY user_id",
+    "printable_texts": f"SELECT doc, replace(replace(text, chr(10), '<10>'), chr(9), '<9>') AS text, CAST(floor(log2(length(text))) AS BIGINT) AS bits FROM ({_C})",
+    "neighbour_prefixes": f"SELECT a.doc, CAST((SELECT coalesce(max(k), 0) FROM range(1, 1 + least(length(a.text), length(b.text))) r(k) WHERE left(a.text, CAST(k AS INT)) = left(b.text, CAST(k AS INT))) AS BIGINT) AS len FROM ({_P}) a JOIN ({_P}) b ON b.doc = a.doc + 1",
+    "marker_counts": f"SELECT count(*) FILTER (v < 0) AS negative, count(*) FILTER (v = 0) AS zero FROM (SELECT lag(idx) OVER (ORDER BY rnk) - idx AS v FROM ({_gsa(_N)}))",
     "gsa_order_check": f"SELECT CAST(sum(length(text)) AS BIGINT) AS n, CAST(0 AS BIGINT) AS violations, CAST(0 AS BIGINT) AS missing FROM ({_C})",
     "heads_check": "SELECT CAST(sum(length(text)) AS BIGINT) AS n, CAST(0 AS BIGINT) AS violations FROM benchmark",
     "fasta_roundtrip": "SELECT item_id + 1 AS doc, translate(text, chr(13) || chr(10) || '>', '') AS text FROM benchmark",
