@@ -13,7 +13,7 @@ import numpy as np
 
 PAD, CHUNK = 16, 1 << 20
 #: Rounds of eight bytes after which the few suffixes still tied are compared as slices.
-ROUNDS = 48
+ROUNDS = 4
 
 
 class Collection:
@@ -115,31 +115,38 @@ def sort_range(c: Collection, low: int, high: int | None, terminators: bool = Fa
     new = np.concatenate(([True], key[1:] != key[:-1]))
     common[1:] = np.where(new[1:], _common_bytes(key[1:], key[:-1]), 0)
     depth = 8
-    tied = _tied(new)
+    tied, group = _tied(new)
     while len(tied) and depth < 8 * ROUNDS:
-        group = np.cumsum(new)[tied]
         here = pos[tied] + depth
         # past its end a suffix reads zeros
         nxt = np.where(here < end[tied], c.at(here), np.uint64(0))
         order = np.lexsort((nxt, group))
         pos[tied], end[tied], nxt = pos[tied[order]], end[tied[order]], nxt[order]
-        split = np.concatenate(([False], (group[1:] == group[:-1]) & (nxt[1:] != nxt[:-1])))
+        same = group[1:] == group[:-1]
+        split = np.concatenate(([False], same & (nxt[1:] != nxt[:-1])))
         rows = tied[split]
         new[rows] = True
         common[rows] = depth + _common_bytes(nxt[split], nxt[np.flatnonzero(split) - 1])
         depth += 8
-        tied = _tied(new)
+        keep, group = _tied(np.concatenate(([True], ~same)) | split)
+        tied = tied[keep]
         if not c.has_zero and len(tied):
             # groups of suffixes that have all ended are equal; they stand by document already
-            group = np.cumsum(new)[tied]
             going = np.zeros(int(group[-1]) + 1, bool)
             going[group[pos[tied] + depth < end[tied]]] = True
-            tied = tied[going[group]]
+            tied, group = tied[going[group]], group[going[group]]
     if len(tied):
         # zero bytes of a text look like its end so far: then whole suffixes are compared
         depth = 0 if c.has_zero else depth
-        group = np.cumsum(new)[tied]
-        for rows in np.split(tied, np.flatnonzero(group[1:] != group[:-1]) + 1):
+        first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        size = np.diff(np.append(first, len(tied)))
+        two = tied[first[size == 2]]
+        swap, m = _pairs(c, pos[two], pos[two + 1], end[two], end[two + 1], depth)
+        for x in (pos, end):
+            x[two[swap]], x[two[swap] + 1] = x[two[swap] + 1], x[two[swap]]
+        common[two + 1], new[two + 1] = m, True
+        for at, k in zip(first[size > 2].tolist(), size[size > 2].tolist()):
+            rows = tied[at : at + k]
             slices = [c.data[p + depth : e] for p, e in zip(pos[rows].tolist(), end[rows].tolist())]
             order = sorted(range(len(rows)), key=slices.__getitem__)
             pos[rows], end[rows] = pos[rows[order]], end[rows[order]]
@@ -164,6 +171,43 @@ def sort_range(c: Collection, low: int, high: int | None, terminators: bool = Fa
     yield offset + np.arange(n), c.docs[doc], begins[pos] - begins[c.starts[doc]], lcp
 
 
-def _tied(new: np.ndarray) -> np.ndarray:
-    """Rows that share their group with another."""
-    return np.flatnonzero(~new | np.concatenate((~new[1:], [False])))
+def _pairs(c: Collection, p: np.ndarray, q: np.ndarray, p_end: np.ndarray, q_end: np.ndarray, known: int) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of suffixes that share ``known`` bytes: whether the second sorts first, and their common bytes.
+
+    Pairs of one distance that overlap end at the same difference, so one pair of each
+    such run is compared and the others follow from it.
+    """
+    n = len(p)
+    limit = np.minimum(p_end - p, q_end - q)
+    common = np.zeros(n, np.int64)
+    order = np.lexsort((p, q - p))
+    place, rest = p[order], limit[order]
+    distance = np.cumsum(np.concatenate(([0], np.diff((q - p)[order]) != 0)))
+    span = np.int64(len(c.bytes) + 1)
+    key = distance * span + place
+    lead = np.flatnonzero(np.concatenate(([n > 0], distance[1:] != distance[:-1]))) if n else np.array([], np.int64)
+    while len(lead):
+        a, b, top = place[lead], q[order[lead]], rest[lead]
+        length = np.minimum(known, top)
+        going = np.flatnonzero(length < top)
+        while len(going):
+            same = _common_bytes(c.at(a[going] + length[going]), c.at(b[going] + length[going]))
+            length[going] += same
+            going = going[(same == 8) & (length[going] < top[going])]
+        length = np.minimum(length, top)
+        after = np.searchsorted(key, distance[lead] * span + a + length, side="right")
+        counts = after - lead
+        rows = np.repeat(lead - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(int(counts.sum()))
+        common[order[rows]] = np.repeat(a + length, counts) - place[rows]
+        more = after < n
+        lead = after[more][distance[np.minimum(after, n - 1)[more]] == distance[lead[more]]]
+    common = np.minimum(common, limit)
+    ended = common >= limit
+    swap = np.where(ended, p_end - p > q_end - q, c.bytes[p + common] > c.bytes[q + common])
+    return swap, common
+
+
+def _tied(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that share their group with another, and their groups; ``new`` marks where groups begin."""
+    rows = np.flatnonzero(~new | np.concatenate((~new[1:], [False])))
+    return rows, np.cumsum(new[rows])

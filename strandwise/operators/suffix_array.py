@@ -22,7 +22,7 @@ from ..plans.ranking import global_rank
 from ..plans.storage import materialise
 
 #: Bytes of a collection up to which every task gets all of it, and of the longest document.
-COLLECTION_BYTES, DOCUMENT_BYTES = 64 << 20, 4 << 20
+COLLECTION_BYTES, DOCUMENT_BYTES = 64 << 20, 256 << 10
 FIRST_SYMBOLS = 16
 _BATCH = 200_000
 
