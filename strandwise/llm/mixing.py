@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import ascii_lower, read_table, save, sized, words_of  # noqa: F401
+from ._common import read_table, save, sized, words_of
 
 MAX_EPOCHS, SEED, BUCKETS = 3.0, 20_240_917, 4_096
 CYCLE = (1.0, 2.0, 3.0)

@@ -46,17 +46,24 @@ class Encoder:
     def encode_all(self, texts: list[str | None], end: int) -> list[np.ndarray]:
         """The same for several texts; what is new in them is learned at once."""
         # the vocabulary is lower-case: words that differ in the case of A-Z have the same ids
-        split = [text.encode("utf-8", "replace").lower().split() if text else [] for text in texts]
-        words: set[bytes] = set()
-        words.update(*split)
-        missing = words.difference(self.cache)
-        if missing:
-            if len(self.cache) > _CACHE_WORDS:
-                self.cache.clear()
-                missing = words
-            self._learn(missing)
-        ids, last = self.cache.__getitem__, int(end).to_bytes(4, "little")
-        return [np.frombuffer(b"".join(map(ids, w)) + last, dtype="<u4") for w in split]
+        words: list[bytes] = []
+        ends = []
+        for text in texts:
+            if text:
+                words += text.encode("utf-8", "replace").lower().split()
+            ends.append(len(words))
+        if len(self.cache) > _CACHE_WORDS:
+            self.cache.clear()
+        found = list(map(self.cache.get, words))
+        if gaps := _gaps(found):
+            self._learn({words[i] for i in gaps})
+            for i in gaps:
+                found[i] = self.cache[words[i]]
+        out, start, last = [], 0, int(end).to_bytes(4, "little")
+        for stop in ends:
+            out.append(np.frombuffer(b"".join(found[start:stop]) + last, dtype="<u4"))
+            start = stop
+        return out
 
     def encode_rows(self, batches: Iterator[pa.RecordBatch], end: int) -> Iterator[tuple[object, np.ndarray]]:
         """(first column, ids) of rows of two columns, the second the text; lots of about _LOT characters are encoded together."""
@@ -76,21 +83,26 @@ class Encoder:
 
     def _learn(self, words: set[bytes]) -> None:
         """Adds words to the cache. A word that ends in marks is a stem and its marks, which many words share."""
-        cache, whole, split = self.cache, set(), []
+        cache, letters, other, split = self.cache, set(), set(), []
         for w in words:
+            if w.isalpha():
+                letters.add(w)
+                continue
             stem = w.rstrip(_MARKS)
-            if len(stem) < len(w) and stem and _ends_in_letter(stem) and b"<|" not in w:
-                tail = w[len(stem) :]
+            n = len(stem)
+            if 0 < n < len(w) and b"<|" not in w and _ends_in_letter(stem):
+                tail = w[n:]
                 split.append((w, stem, tail))
-                whole.update(x for x in (stem, tail) if x not in cache)
-            else:
-                whole.add(w)
+                if tail not in cache:
+                    other.add(tail)
+                if stem in cache:
+                    continue
+                w = stem
+            (letters if w.isalpha() or (not w.isascii() and w.decode("utf-8").isalpha()) else other).add(w)
         # words of letters alone are encoded together: each ends with the only token that ends a word
-        letters, other = [], []
-        for w in whole:
-            (letters if w.isalpha() or (not w.isascii() and w.decode("utf-8").isalpha()) else other).append(w)
-        for at in range(0, len(letters), 256):
-            part = letters[at : at + 256]
+        other, together = list(other), list(letters)
+        for at in range(0, len(together), 256):
+            part = together[at : at + 256]
             ids = np.array(self._ids([b" ".join(part).decode("utf-8")])[0], dtype="<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(part):
@@ -108,6 +120,16 @@ class Encoder:
             cache[w] = cache[stem] + cache[tail]
 
 
+def _gaps(found: list) -> list[int]:
+    """Places of None."""
+    out, at, find = [], -1, found.index
+    try:
+        while True:
+            out.append(at := find(None, at + 1))
+    except ValueError:  # no more
+        return out
+
+
 def _ends_in_letter(stem: bytes) -> bool:
     last = stem[-1]
     return 97 <= last <= 122 if last < 128 else stem[-4:].decode("utf-8", "ignore")[-1:].isalpha()
