@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, let, read_table, save, words_of
+from ._common import WORD, let, read_table, save, words_of
 
 BUCKETS = 1 << 14
 #: Trusted documents that the target is learned from, first in hash order; the raw corpus is counted whole.
@@ -21,7 +21,7 @@ TRUSTED_DOCUMENTS = 20_000
 THRESHOLD = -0.2
 SMOOTHING = 1.0
 _POSITION_BITS = 20
-_SPACES, _SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
+_SYMBOLS = r"[#*$%&|<>]"
 
 
 def _hashes(words: Column, buckets: int) -> Column:
@@ -33,7 +33,7 @@ def _hashes(words: Column, buckets: int) -> Column:
 
 def gram_buckets(text: str, buckets: int = BUCKETS) -> Column:
     """The hash buckets of a text's lower-cased words and word pairs."""
-    return let(words_of(ascii_lower(F.coalesce(F.col(text), F.lit("")))), lambda w: _hashes(w, buckets))
+    return let(words_of(F.lower(F.coalesce(F.col(text), F.lit("")))), lambda w: _hashes(w, buckets))
 
 
 def bucket_log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, text_col: str = "text", id_col: str = "doc_id") -> list[float]:
@@ -99,10 +99,10 @@ def _repeated_words(words: Column) -> Column:
 def text_counts(text: str) -> dict[str, Column]:
     """Plain counts of a text; null counts as empty."""
     t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, _SPACES, "") != "")
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))
+    symbols = F.when(t.rlike(_SYMBOLS), F.length(t) - F.length(F.regexp_replace(t, _SYMBOLS, ""))).otherwise(F.lit(0))
     return {
-        "word_chars": F.length(F.translate(t, _SPACES, "")).cast("long"),
-        "n_symbols": (F.length(t) - F.length(F.translate(t, _SYMBOLS, ""))).cast("long"),
+        "n_symbols": symbols.cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
     }
 
@@ -120,11 +120,11 @@ def score_quality(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, t
     counts = text_counts(text_col)
 
     def facts(w):
-        lowered = F.transform(w, ascii_lower)
-        total = let(lowered, lambda v: F.aggregate(_hashes(v, buckets), F.lit(0.0), lambda s, b: s + F.get(F.col("_ratios"), b)))
-        return F.struct(F.size(w).cast("long").alias("n_words"), _repeated_words(w).alias("n_repeat_words"), (total / F.greatest(F.lit(1), 2 * F.size(w))).alias("llr"))
+        total = F.aggregate(gram_buckets(text_col, buckets), F.lit(0.0), lambda s, b: s + F.get(F.col("_ratios"), b))
+        chars = F.length(F.array_join(w, "")).cast("long")
+        return F.struct(F.size(w).cast("long").alias("n_words"), chars.alias("word_chars"), _repeated_words(w).alias("n_repeat_words"), (total / F.greatest(F.lit(1), 2 * F.size(w))).alias("llr"))
 
-    out = given.withColumn("_f", let(words_of(text_col), facts)).withColumns(counts | {k: F.col("_f")[k] for k in ("n_words", "n_repeat_words", "llr")})
+    out = given.withColumn("_f", let(words_of(text_col), facts)).withColumns(counts | {k: F.col("_f")[k] for k in ("n_words", "word_chars", "n_repeat_words", "llr")})
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(threshold))).drop("_f", "_ratios")
 
