@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import BROADCAST_ROWS, WORD, ascii_lower, let, read_table, save, sized, words_of
+from ._common import BROADCAST_ROWS, WORD, let, read_table, save, sized, words_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of scoring, least distinct believed instances of a pattern, least worth of a pattern and belief in an instance.
@@ -91,7 +91,7 @@ def _matches(text: Column, pattern: str, possible: Column, keep) -> Column:
                     before, after = F.right(F.get(pieces, i), F.lit(2 * CONTEXT_CHARS)), F.substring(F.get(pieces, i + 1), F.lit(1), F.lit(2 * CONTEXT_CHARS))
                     return F.struct(
                         start.alias("start"), (start + F.length(m)).alias("end"), m.alias("value"),
-                        ascii_lower(F.regexp_extract(before, rf"({word}){gap}[^\x20\x09-\x0D]*$", 1)).alias("left"), ascii_lower(F.regexp_extract(after, rf"^[^\x20\x09-\x0D]*{gap}({word})", 1)).alias("right"),
+                        F.lower(F.regexp_extract(before, rf"({word}){gap}[^\x20\x09-\x0D]*$", 1)).alias("left"), F.lower(F.regexp_extract(after, rf"^[^\x20\x09-\x0D]*{gap}({word})", 1)).alias("right"),
                     )
 
                 return F.filter(F.transform(found, row), lambda s: keep(s["value"]))
@@ -151,7 +151,7 @@ def _occurrences(scanned: DataFrame) -> DataFrame:
 
 def _word_counts(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
     """How often each wanted word occurs in all texts."""
-    words = docs.select(F.explode(words_of(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))))).alias("word"))
+    words = docs.select(F.explode(words_of(F.lower(F.coalesce(F.col(text_col), F.lit(""))))).alias("word"))
     if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         words = words.join(F.broadcast(wanted), "word", "left_semi")
         return words.groupBy("word").agg(F.count(F.lit(1)).alias("total"))
