@@ -18,8 +18,9 @@ BUCKETS = 1 << 14
 #: Trusted documents that the target is learned from, first in hash order; the raw corpus is counted whole.
 TRUSTED_DOCUMENTS = 20_000
 #: Mean log ratio (natural logarithm) from which a document is kept.
-THRESHOLD = -0.2
-SMOOTHING = 1.0
+THRESHOLD = -0.05
+#: Weight of the corpus's own shares in the target's, in mean occurrences a bucket: few trusted texts make mild ratios, not noisy ones.
+SMOOTHING = 20.0
 _POSITION_BITS = 20
 _SYMBOLS = r"[#*$%&|<>]"
 
@@ -42,14 +43,15 @@ def bucket_log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKET
     marked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(ids, F.col("_id") == F.col("_trusted"), "left")
     grams = marked.select(F.col("_trusted").isNotNull().alias("t"), F.explode(gram_buckets("_text", buckets)).alias("b"))
     rows = grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count_if("t").alias("target")).collect()  # one row a bucket
-    raw, target = [SMOOTHING] * buckets, [SMOOTHING] * buckets
-    for r in rows:
-        raw[r["b"]] += r["raw"]
-        target[r["b"]] += r["target"]
     import math
 
-    total_raw, total_target = sum(raw), sum(target)
-    return [math.log(t / total_target) - math.log(r / total_raw) for t, r in zip(target, raw)]
+    total_raw, total_target = sum(r["raw"] for r in rows), sum(r["target"] for r in rows)
+    prior = SMOOTHING * buckets
+    ratios = [0.0] * buckets  # a bucket that the corpus never meets says nothing
+    for r in rows:
+        share = r["raw"] / total_raw
+        ratios[r["b"]] = math.log((r["target"] + prior * share) / (total_target + prior) / share)
+    return ratios
 
 
 def trusted_ids(labels: DataFrame, limit: int = TRUSTED_DOCUMENTS) -> DataFrame:

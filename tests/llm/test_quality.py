@@ -64,12 +64,15 @@ def test_ratio_follows_its_definition(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     ratios = quality.bucket_log_ratios(df, df.filter("doc_id <> 1"), 16)
     grams = {r["doc_id"]: r["g"] for r in df.select("doc_id", quality.gram_buckets("text", 16).alias("g")).collect()}
-    raw, target = [1.0] * 16, [1.0] * 16
+    raw, target = [0] * 16, [0] * 16
     for i, g in grams.items():
         for b in g:
             raw[b] += 1
             target[b] += i != 1
-    assert all(abs(x - (math.log(t / sum(target)) - math.log(r / sum(raw)))) < 1e-9 for x, t, r in zip(ratios, target, raw))
+    prior = 16 * quality.SMOOTHING
+    for x, t, n in zip(ratios, target, raw):
+        share = n / sum(raw)
+        assert abs(x - (math.log((t + prior * share) / (sum(target) + prior)) - math.log(share) if n else 0.0)) < 1e-9
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     assert grams[1][0] == signed(xxhash.xxh64_intdigest(b"bad", 42)) % 16
     out = {r["doc_id"]: r["llr"] for r in quality.score_quality(df, df.filter("doc_id <> 1"), 16).collect()}
@@ -83,7 +86,7 @@ def test_verdicts_separate(spark):
     rows += [(100 + i, " ".join(r.choice("#$%&") * 3 + r.choice("qwxz") for _ in range(80))) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1 if i < 100 else 0, None) for i, _ in rows] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
-    out = quality.score_quality(df, quality.trusted_ids(labels)).collect()
+    out = quality.score_quality(df, quality.trusted_ids(labels), buckets=64).collect()
     assert all(r["kept"] == (r["doc_id"] < 100) for r in out if not r["base_failed"])
 
 
