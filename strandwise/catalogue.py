@@ -231,7 +231,7 @@ def matching_statistics_union(spark, sf_dir):
 
 def matching_statistics_documents(spark, sf_dir):
     """Every place of every document against one reference; only the parse is kept."""
-    return matching.parse_stats(matching.heads(matching.matching_statistics(reference(spark, sf_dir), documents(spark, sf_dir), augment=True)))
+    return matching.parse_stats(matching.matching_statistics(reference(spark, sf_dir), documents(spark, sf_dir), augment=True, heads_only=True))
 
 
 def ms_heads(spark, sf_dir):

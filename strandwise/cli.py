@@ -10,7 +10,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from .model import limit_symbols, require_rows
-from .operators.matching import heads, matching_statistics, parse_stats
+from .operators.matching import matching_statistics, parse_stats
 from .operators.suffix_array import gsa
 from .sources import readers, writers
 
@@ -42,7 +42,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     else:
         writers.write_gsa_records(array, path)
     if args.stats:
-        parse_stats(heads(matching_statistics(reference, docs, augment=True))).orderBy("doc").show(50)
+        parse_stats(matching_statistics(reference, docs, augment=True, heads_only=True)).orderBy("doc").show(50)
     return path
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from ..plans.storage import spread
 from .suffix_array import _BATCH, _each
 
 
@@ -26,7 +27,7 @@ def bwt(docs: DataFrame) -> DataFrame:
             found = [kernels.bwt(kernels.code_points(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_text(x) for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.int64())], names=["doc", "transform", "primary"])
 
-    return docs.select("doc", "text").mapInArrow(run, "doc long, transform string, primary long")
+    return spread(docs.select("doc", "text")).mapInArrow(run, "doc long, transform string, primary long")
 
 
 def bwt_rows(docs: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def bwt_rows(docs: DataFrame) -> DataFrame:
         before[order == 0] = None
         return np.arange(len(order)), before
 
-    return docs.select("doc", "text").mapInArrow(_each(kernel, ["rnk", "symbol"]), "doc long, rnk long, symbol string")
+    return spread(docs.select("doc", "text")).mapInArrow(_each(kernel, ["rnk", "symbol"]), "doc long, rnk long, symbol string")
 
 
 def samples(docs: DataFrame, rate: int) -> DataFrame:
@@ -50,7 +51,7 @@ def samples(docs: DataFrame, rate: int) -> DataFrame:
         ranks = kernels.invert(kernels.suffix_array(symbols))[::rate]
         return np.arange(len(ranks)), ranks + 1
 
-    return docs.select("doc", "text").mapInArrow(_each(kernel, ["t", "isa"]), "doc long, t long, isa long")
+    return spread(docs.select("doc", "text")).mapInArrow(_each(kernel, ["t", "isa"]), "doc long, t long, isa long")
 
 
 def _check(rate: int) -> None:

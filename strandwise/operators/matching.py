@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import kernels
+from ..plans.storage import spread
 from . import symbols as sym
 from .suffix_array import _BATCH, gsa
 
@@ -28,38 +29,42 @@ class ReferenceIndex:
         self.symbols = kernels.code_points(text)
         self.order = kernels.suffix_array(self.symbols)
 
-    def match(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def match(self, text: np.ndarray, stop: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(pos, len, smaller) of the longest match in the reference of every suffix of ``text``.
 
-        All suffixes search the order at once. Each keeps what it is known to share
-        with both ends of its interval, so that no symbol is compared again.
+        ``stop``: where each place's document ends, if ``text`` holds several. All
+        suffixes search the order at once, from the interval of their first symbol on.
+        Each keeps what it is known to share with both ends of its interval, so that no
+        symbol is compared again.
         """
         m, n = len(text), len(self.order)
+        stop = np.full(m, m) if stop is None else stop
         places = np.arange(m)
-        lo, hi = np.full(m, -1, np.int64), np.full(m, n, np.int64)  # order[lo] <= suffix < order[hi]
+        first = self.symbols[self.order]
+        # order[lo] <= suffix < order[hi]
+        lo, hi = np.searchsorted(first, text, side="left") - 1, np.searchsorted(first, text, side="right")
         at_lo, at_hi = np.zeros(m, np.int64), np.zeros(m, np.int64)
         open_ = np.flatnonzero(hi - lo > 1)
         while len(open_):
             mid = (lo[open_] + hi[open_]) >> 1
-            common = self._extend(text, places[open_], self.order[mid], np.minimum(at_lo[open_], at_hi[open_]))
-            a, b = places[open_] + common, self.order[mid] + common
-            ref_ended, own_ended = b >= n, a >= m
+            a, b, end = places[open_], self.order[mid], stop[open_]
+            common = self._extend(text, a, b, end, np.minimum(at_lo[open_], at_hi[open_]))
+            a, b = a + common, b + common
             # a reference suffix that ends first, or together, does not sort after
-            below = ref_ended | (~own_ended & (self.symbols[np.minimum(b, n - 1)] < text[np.minimum(a, m - 1)]))
+            below = (b >= n) | ((a < end) & (self.symbols[np.minimum(b, n - 1)] < text[np.minimum(a, m - 1)]))
             up, down = open_[below], open_[~below]
             lo[up], at_lo[up] = mid[below], common[below]
             hi[down], at_hi[down] = mid[~below], common[~below]
             open_ = open_[hi[open_] - lo[open_] > 1]
-        has_next, has_before = hi < n, lo >= 0
-        after, before = np.where(has_next, at_hi, -1), np.where(has_before, at_lo, -1)
+        after, before = np.where(hi < n, at_hi, -1), np.where(lo >= 0, at_lo, -1)
         smaller = after >= before
         chosen = np.where(smaller, hi, lo)
         return self.order[np.clip(chosen, 0, max(n - 1, 0))], np.maximum(after, before), smaller
 
-    def _extend(self, text: np.ndarray, a: np.ndarray, b: np.ndarray, known: np.ndarray) -> np.ndarray:
+    def _extend(self, text: np.ndarray, a: np.ndarray, b: np.ndarray, stop: np.ndarray, known: np.ndarray) -> np.ndarray:
         """Length of the common prefix of text suffixes at a and reference suffixes at b, of which ``known`` is certain."""
         length = known.copy()
-        limit = np.minimum(len(text) - a, len(self.symbols) - b)
+        limit = np.minimum(stop - a, len(self.symbols) - b)
         going = np.flatnonzero(length < limit)
         while len(going):
             same = text[a[going] + length[going]] == self.symbols[b[going] + length[going]]
@@ -69,39 +74,59 @@ class ReferenceIndex:
         return length
 
 
-def matching_statistics(reference: DataFrame, docs: DataFrame, augment: bool = False) -> DataFrame:
+def _lots(batches: Iterator[pa.RecordBatch], symbols: int = 200_000) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Documents in lots: their numbers and symbols; empty ones are left out."""
+    docs, held, size = [], [], 0
+    for batch in batches:
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if text:
+                docs.append(doc)
+                held.append(kernels.code_points(text))
+                size += len(held[-1])
+                if size >= symbols:
+                    yield np.array(docs), held
+                    docs, held, size = [], [], 0
+    if held:
+        yield np.array(docs), held
+
+
+def matching_statistics(reference: DataFrame, docs: DataFrame, augment: bool = False, heads_only: bool = False) -> DataFrame:
     """(doc, idx, pos, len, smaller, next) of every place of ``docs``.
 
     pos and len: the longest match in the reference; smaller: whether the suffix sorts
     before the one matched; next: the symbol after the match, null at the end. Of two
     equally long matches the one that sorts after is taken. With ``augment`` the
     reference is first given the symbols that it lacks. The reference is one text
-    within a checked bound; documents are searched where they are read.
+    within a checked bound; documents are searched where they are read. With
+    ``heads_only`` the result is that of ``heads``, without its exchange.
     """
     reference = sym.augment(reference, docs) if augment else reference
     size = reference.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     if not size:
         raise ValueError("the reference is empty")
     if size > REFERENCE_SYMBOLS:
-        return _by_union(reference, docs)
+        return heads(_by_union(reference, docs)) if heads_only else _by_union(reference, docs)
     text = "".join(r["text"] for r in reference.orderBy("doc").collect())
     sent = docs.sparkSession.sparkContext.broadcast(ReferenceIndex(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                points = kernels.code_points(own)
-                if not len(points):
-                    continue
-                pos, length, smaller = sent.value.match(points)
-                chars = np.array([*own, None], dtype=object)
-                nxt = chars[np.arange(len(points)) + length]
-                for at in range(0, len(points), _BATCH):
-                    part = slice(at, at + _BATCH)
-                    n = len(points[part])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, doc)), pa.array(np.arange(at, at + n)), pa.array(pos[part]), pa.array(length[part]), pa.array(smaller[part]), pa.array(nxt[part], pa.string())], names=["doc", "idx", "pos", "len", "smaller", "next"])
-
-    return docs.select("doc", "text").mapInArrow(run, MS)
+        for numbers, held in _lots(batches):
+            lengths = np.array([len(x) for x in held])
+            points, ends = np.concatenate(held), np.cumsum(lengths)
+            stop, begin = np.repeat(ends, lengths), np.repeat(ends - lengths, lengths)
+            pos, length, smaller = sent.value.match(points, stop)
+            alphabet, codes = np.unique(points, return_inverse=True)
+            after = np.arange(len(points)) + length
+            none = after >= stop
+            nxt = pa.array([chr(x) for x in alphabet]).take(pa.array(codes[np.where(none, 0, after)], mask=none))
+            found = pa.RecordBatch.from_arrays([pa.array(np.repeat(numbers, lengths)), pa.array(np.arange(len(points)) - begin), pa.array(pos), pa.array(length), pa.array(smaller), nxt], names=["doc", "idx", "pos", "len", "smaller", "next"])
+            if heads_only:
+                goes_on = np.concatenate(([False], pos[1:] == pos[:-1] + 1)) & (np.arange(len(points)) != begin)
+                found = found.filter(pa.array(~goes_on))
+            for at in range(0, found.num_rows, _BATCH):
+                yield found.slice(at, _BATCH)
+
+    return spread(docs.select("doc", "text")).mapInArrow(run, MS)
 
 
 def _by_union(reference: DataFrame, docs: DataFrame) -> DataFrame:
@@ -258,10 +283,10 @@ def locate(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     if size <= PATTERN_SYMBOLS:
         words = sorted(r["pattern"] for r in wanted.collect())
         if words:
-            return docs.select("doc", "text").mapInArrow(_scan(words), "pattern string, doc long, idx long")
+            return spread(docs.select("doc", "text")).mapInArrow(_scan(words), "pattern string, doc long, idx long")
     sizes = wanted.select(F.length("pattern").alias("n")).distinct()
-    spread = docs.filter(F.length("text") > 0).crossJoin(F.broadcast(sizes)).filter(F.length("text") >= F.col("n"))  # a row a distinct length
-    return spread.select("doc", "text", "n").mapInArrow(_substrings, "pattern string, doc long, idx long").join(wanted, "pattern").select("pattern", "doc", "idx")
+    wide = docs.filter(F.length("text") > 0).crossJoin(F.broadcast(sizes)).filter(F.length("text") >= F.col("n"))  # a row a distinct length
+    return wide.select("doc", "text", "n").mapInArrow(_substrings, "pattern string, doc long, idx long").join(wanted, "pattern").select("pattern", "doc", "idx")
 
 
 def _substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from ..functions import collection_sort, kernels
 from ..plans.ranking import global_rank
-from ..plans.storage import materialise
+from ..plans.storage import materialise, spread
 
 #: Bytes of a collection up to which every task gets all of it, and of the longest document.
 COLLECTION_BYTES, DOCUMENT_BYTES = 64 << 20, 256 << 10
@@ -105,7 +105,7 @@ def _order_ties(ranked: DataFrame) -> DataFrame:
 
 
 def _by_doubling(docs: DataFrame, terminators: bool) -> tuple[DataFrame, list[tuple[int, DataFrame]]]:
-    rows = docs.select("doc", "text").mapInArrow(_prefixes(FIRST_SYMBOLS, terminators), "doc long, idx long, key binary, whole boolean")
+    rows = spread(docs.select("doc", "text")).mapInArrow(_prefixes(FIRST_SYMBOLS, terminators), "doc long, idx long, key binary, whole boolean")
     first = global_rank(rows, ["key"], rank="rank")
     # suffixes that have ended and share a key are equal
     many = (F.count(F.lit(1)).over(Window.partitionBy("rank")) > 1) & F.col("whole")
@@ -185,7 +185,7 @@ def per_document(docs: DataFrame) -> DataFrame:
         order = kernels.suffix_array(symbols)
         return np.arange(len(order)), order
 
-    return docs.select("doc", "text").mapInArrow(_each(kernel, ["rnk", "pos"]), "doc long, rnk long, pos long")
+    return spread(docs.select("doc", "text")).mapInArrow(_each(kernel, ["rnk", "pos"]), "doc long, rnk long, pos long")
 
 
 def integer_suffix_array(values: DataFrame) -> DataFrame:

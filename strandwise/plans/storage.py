@@ -34,6 +34,13 @@ def _at_exit(spark: SparkSession, path: str) -> None:
         return
 
 
+def spread(df: DataFrame, bytes_a_task: int = 16 << 20) -> DataFrame:
+    """``df``, dealt evenly to all cores if it is small and comes in few partitions; large tables are left as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores) if size <= cores * bytes_a_task and df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once and reads it back, so that what follows neither recomputes it nor sees other partition bounds."""
     spark = df.sparkSession

@@ -124,6 +124,9 @@ def test_matching_statistics(docs_of, monkeypatch, bound):
             expected.append((d, i, pos, n, smaller, t[i + n] if i + n < len(t) else None))
     found = matching.matching_statistics(docs_of([ref]), docs_of(texts))
     assert sorted(tuple(r) for r in found.collect()) == sorted(expected)
+    direct = matching.matching_statistics(docs_of([ref]), docs_of(texts), heads_only=True)
+    key = lambda r: (r["doc"], r["idx"])
+    assert sorted(direct.collect(), key=key) == sorted(matching.heads(found).collect(), key=key)
 
 
 def test_a_text_matches_itself_whole(docs_of):
