@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Words are cut as bytes: only white space of one byte splits, other spaces are left to the tokenizer.
-_CACHE_WORDS = 1_000_000
+_CACHE_WORDS = 600_000
 #: Characters of text that are encoded together.
 _LOT = 1_000_000
 #: Marks that the splitting rule cuts off a word's last letter, all together.
