@@ -1,30 +1,26 @@
 """URL filter by association rules: FP-growth over the tokens of labelled URLs.
 
-A labelled page is a basket of tokens of its URL, with one more item if its label is
-bad. FP-growth finds the token combinations that go with that item; those of enough
-support and confidence become rules. A URL is matched through an inverted index from
-a token to the rules that name it: a rule fires when all its tokens have voted for it.
+A labelled page is a basket of tokens of its URL. FP-growth finds the token
+combinations of bad pages; those that are found often enough, and seldom in other
+pages, become rules, unless fewer of their tokens are a rule. A URL is matched through
+an inverted index, a table from a rule's rarest token to the rule: it fires when the
+URL has all its tokens.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import ascii_lower, read_table
+from ._common import ascii_lower, read_table, save, sized
 
-#: Share of the labelled pages that a combination must be found in, least pages, and least confidence of a rule.
-MIN_SUPPORT, MIN_PAGES, MIN_CONFIDENCE = 0.005, 8, 0.8
-#: Rules that are sent to executors, the surest first: the bound of the model.
-MAX_RULES = 20_000
-BAD = "label=bad"
+#: Bad pages that a rule's tokens must be found in together, however many pages are labelled, and least confidence of a rule.
+MIN_PAGES, MIN_CONFIDENCE = 8, 0.8
 #: (rule, verdict) that hold before any mined rule; the longest that fits wins.
 BASE_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 
@@ -78,11 +74,12 @@ class Rules:
         return out
 
 
-def mine(pages: DataFrame, labels: DataFrame, bad: Column | None = None, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, url_col: str = "url", id_col: str = "page_id", label_id: str = "doc_id") -> Rules:
-    """Rules from the labelled pages. ``bad``: condition over ``labels`` (default: low quality or toxic).
+def mined_rules(pages: DataFrame, labels: DataFrame, bad: Column | None = None, min_pages: int = MIN_PAGES, min_confidence: float = MIN_CONFIDENCE, url_col: str = "url", id_col: str = "page_id", label_id: str = "doc_id") -> DataFrame:
+    """(rule, confidence): every rule of the labelled pages that no rule of fewer of its tokens covers. ``bad``: condition over ``labels`` (default: low quality or toxic).
 
-    Pages without a label teach nothing; no labelled page, or none that is bad: no
-    rule. Rules that a shorter rule covers are pruned.
+    A rule's tokens are found together in at least ``min_pages`` bad pages, and at
+    least ``min_confidence`` of the pages that have them are bad. Pages without a label
+    teach nothing; no labelled page, or none that is bad: no rule.
     """
     from pyspark.ml.fpm import FPGrowth
 
@@ -90,57 +87,70 @@ def mine(pages: DataFrame, labels: DataFrame, bad: Column | None = None, min_sup
     marked = labels.filter(F.col(label_id).isNotNull()).groupBy(F.col(label_id).alias("_id")).agg(F.max(F.coalesce(bad, F.lit(False))).alias("_bad"))
     host, path = host_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("_page"), host.alias("host"), path.alias("path")).join(marked, F.col("_page") == F.col("_id"))
-    baskets = rows.select("_bad", _tokens("host", "path").alias("t")).select(F.when(F.col("_bad"), F.concat("t", F.array(F.lit(BAD)))).otherwise(F.col("t")).alias("items")).filter(F.size("items") > 0)
-    # equal baskets are many where URLs are; they are spread all the same
-    baskets = baskets.repartition(baskets.sparkSession.sparkContext.defaultParallelism).cache()
-    try:
-        n = baskets.count()
-        if not n:
-            return Rules((), ())
-        found = FPGrowth(itemsCol="items", minSupport=max(min_support, MIN_PAGES / n), minConfidence=min_confidence).fit(baskets)
-        rules = found.associationRules.filter((F.size("consequent") == 1) & (F.element_at("consequent", 1) == BAD)).select(F.array_sort("antecedent").alias("a"), "confidence")
-        # the surest first, then the shortest
-        rows = rules.orderBy(F.desc("confidence"), F.size("a"), "a").limit(MAX_RULES).collect()
-    finally:
-        baskets.unpersist()
-    kept: dict[tuple[str, ...], float] = {}
-    for r in sorted(rows, key=lambda r: (len(r["a"]), r["a"])):
-        a = frozenset(r["a"])
-        if not any(a - {t} and tuple(sorted(a - {t})) in kept for t in a):
-            kept[tuple(r["a"])] = r["confidence"]
-    return Rules(tuple(kept), tuple(kept.values()))
-
-
-def _judge(rules: Rules):
-    index, need = rules.index(), [len(c) for c in rules.combinations]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.schema.names
-            hosts, paths = batch.column(names.index("host")), batch.column(names.index("path"))
-            mined = []
-            for host, path in zip(hosts.to_pylist(), paths.to_pylist()):
-                votes = Counter(i for t in tokens(host, path) for i in index.get(t, ()))
-                fired = [i for i, n in votes.items() if n == need[i]]
-                best = max(fired, key=lambda i: (rules.confidence[i], -need[i], rules.combinations[i]), default=None)
-                mined.append(None if best is None else "&".join(rules.combinations[best]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mined, pa.string())], names=[*names, "mined_rule"])
-
-    return run
-
-
-def filter_urls(pages: DataFrame, rules: Rules, url_col: str = "url", id_col: str = "page_id", base=BASE_RULES) -> DataFrame:
-    """(page_id, host, path, rule, verdict, mined_rule) of every page.
+    baskets = save(rows.select(_tokens("host", "path").alias("t"), F.col("_bad").cast("long").alias("b")).groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b")).withColumn("basket", F.monotonically_increasing_id()), "baskets")
+    each = baskets.select(F.explode("t").alias("token"), "n", "b")
+    often = save(each.groupBy("token").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).filter(F.col("b") >= min_pages).withColumn("confidence", F.col("b") / F.col("n")), "tokens")
+    single = often.filter(F.col("confidence") >= min_confidence).select(F.array("token").alias("rule"), "confidence")
+    # a combination with a token that is a rule is covered, and one with a rare token is rare
+    open_tokens = often.filter(F.col("confidence") < min_confidence).select("token", F.col("n").alias("pages"))
+    shorter = baskets.select("basket", "n", "b", F.explode("t").alias("token")).join(sized(open_tokens), "token").groupBy("basket", "n", "b").agg(F.array_sort(F.collect_list("token")).alias("t"))
+    shorter = save(shorter.filter(F.size("t") > 1), "open-baskets")
+    # only what bad pages hold together can be a rule; the other pages are counted afterwards
+    items = shorter.select(F.explode(F.array_repeat("t", F.col("b").cast("int"))).alias("items"))
+    items = save(items.repartition(items.sparkSession.sparkContext.defaultParallelism), "bad-baskets")
+    n = items.count()
+    if n < min_pages:
+        return save(single, "rules")
+    found = FPGrowth(itemsCol="items", minSupport=(min_pages - 0.5) / n).fit(items).freqItemsets
+    found = save(found.filter(F.size("items") > 1).select(F.array_sort("items").alias("rule"), F.col("freq").alias("b")), "combinations")
+    total = _fired(shorter, save(_led(found.select("rule"), open_tokens), "led-combinations")).groupBy("rule").agg(F.sum("n").alias("n"))
+    rules = save(found.join(total, "rule").withColumn("confidence", F.col("b") / F.col("n")).filter(F.col("confidence") >= min_confidence).select("rule", "confidence"), "uncovered-rules")
+    parts = rules.select("rule", F.explode(_parts("rule")).alias("part"))
+    covered = parts.join(rules.select(F.col("rule").alias("part")), "part", "left_semi").select("rule")
+    return save(single.unionByName(rules.join(covered, "rule", "left_anti")), "rules")
+
+
+@F.udf(T.ArrayType(T.ArrayType(T.StringType())), useArrow=True)
+def _parts(rule):
+    return [list(x) for k in range(2, len(rule)) for x in itertools.combinations(rule, k)]
+
+
+def _led(rules: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """``rules`` with the token that they are indexed by: the one found least by ``counts`` (token, pages), else in the rules."""
+    each = rules.select("rule", F.explode("rule").alias("token"))
+    counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("pages")) if counts is None else counts
+    return rules.join(each.join(counts, "token").groupBy("rule").agg(F.min_by("token", F.struct("pages", "token")).alias("lead")), "rule")
+
+
+def _fired(rows: DataFrame, led: DataFrame) -> DataFrame:
+    """``rows`` (with tokens t), once for each rule of ``led`` (saved) whose tokens they all have: an inverted index from one token to its rules, as a join."""
+    return rows.withColumn("lead", F.explode("t")).join(sized(led), "lead").filter(F.size(F.array_except("rule", "t")) == 0)
+
+
+def mine(pages: DataFrame, labels: DataFrame, bad: Column | None = None, min_pages: int = MIN_PAGES, min_confidence: float = MIN_CONFIDENCE, url_col: str = "url", id_col: str = "page_id", label_id: str = "doc_id") -> Rules:
+    """The rules of ``mined_rules``, brought to the driver."""
+    rows = sorted((tuple(r["rule"]), r["confidence"]) for r in mined_rules(pages, labels, bad, min_pages, min_confidence, url_col, id_col, label_id).collect())
+    return Rules(tuple(r for r, _ in rows), tuple(c for _, c in rows))
+
+
+def filter_urls(pages: DataFrame, rules: Rules | DataFrame, url_col: str = "url", id_col: str = "page_id", base=BASE_RULES) -> DataFrame:
+    """(page_id, host, path, rule, verdict, mined_rule) of every page, by rules as ``mined_rules`` or ``mine`` gives, however many.
 
     A base rule decides where one fits; else a page is blocked if a mined rule fires
-    and allowed if none does. Null URLs have an empty host and path and are allowed;
-    empty tables give no rows; rows with one id are judged each.
+    and allowed if none does; mined_rule is the surest that fires. Null URLs have an
+    empty host and path and are allowed; empty tables give no rows; rows with one id
+    are judged each.
     """
-    if len(rules.combinations) > MAX_RULES:
-        raise ValueError("more rules than the documented bound")
+    if isinstance(rules, Rules):
+        rules = pages.sparkSession.createDataFrame([(list(r), c) for r, c in zip(rules.combinations, rules.confidence)], "rule array<string>, confidence double")
     host, path = host_path(F.col(url_col))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    judged = rows.mapInArrow(_judge(rules), "page_id long, host string, path string, mined_rule string")
+    urls = save(rows.select("host", "path").distinct().withColumn("t", _tokens("host", "path")), "urls")
+    counts = urls.select(F.explode("t").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("pages"))
+    led = save(_led(rules, counts), "led-rules")  # a rule with a token that no page has cannot fire
+    surest = F.max_by(F.array_join("rule", "&"), F.struct("confidence", -F.size("rule"), "rule"))
+    best = save(_fired(urls, led).groupBy("host", "path").agg(surest.alias("mined_rule")), "fired")
+    judged = rows.join(sized(best), ["host", "path"], "left")
     verdicts = F.create_map(*[F.lit(x) for pair in base for x in pair])
     return judged.withColumn("rule", base_rule(F.col("host"), F.col("path"), base)).withColumn("verdict", F.coalesce(F.element_at(verdicts, F.col("rule")), F.when(F.col("mined_rule").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))).select("page_id", "host", "path", "rule", "verdict", "mined_rule")
 
@@ -148,4 +158,4 @@ def filter_urls(pages: DataFrame, rules: Rules, url_col: str = "url", id_col: st
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's verdict, with rules mined from all labelled pages."""
     pages = read_table(spark, sf_dir, "pages")
-    return filter_urls(pages, mine(pages, read_table(spark, sf_dir, "labels")))
+    return filter_urls(pages, mined_rules(pages, read_table(spark, sf_dir, "labels")))

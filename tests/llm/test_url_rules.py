@@ -1,3 +1,4 @@
+import itertools
 import random
 
 from hypothesis import given, settings
@@ -84,3 +85,42 @@ def test_nothing_labelled(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert u.mine(p, labels) == u.Rules((), ())
     assert u.filter_urls(p.limit(0), u.Rules((), ())).count() == 0
+
+
+def labelled(spark, rows):
+    """pages and labels from (url, bad)."""
+    pages = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(rows)], "page_id long, url string")
+    return pages, spark.createDataFrame([(i, 0 if b else 1, 0) for i, (_, b) in enumerate(rows)], "doc_id long, quality int, toxic int")
+
+
+def test_rules_of_every_shape_survive(spark):
+    """90 sure shapes of 8 tokens, and shapes of confidence 0.9 that the sure ones' supersets must not push out."""
+    rows = [(f"http://s{i}.t{i}.u{i}.v{i}/w{i}/x{i}/y{i}", True) for i in range(90) for _ in range(8)]
+    rows += [(f"http://less{i}.org/{k}", k > 0) for i in range(5) for k in range(10)]
+    rows += [(f"http://good{k}.org/a", False) for k in range(50)]
+    rules = u.mine(*labelled(spark, rows))
+    assert {f"host=less{i}.org" for i in range(5)} | {f"host=s{i}.t{i}.u{i}.v{i}" for i in range(90)} <= {c[0] for c in rules.combinations}
+    have = set(rules.combinations)
+    assert not any(set(a) < set(b) for a in have for b in have)
+
+
+def test_support_does_not_grow_with_the_labelled_pages(spark):
+    rows = [("http://bad.net/p", True)] * 10 + [(f"http://good.org/{'abc'[k % 3]}", False) for k in range(6000)]
+    p, labels = labelled(spark, rows)
+    assert ("host=bad.net",) in u.mine(p, labels).combinations
+
+
+def test_combinations_against_all_subsets(spark):
+    r = random.Random(5)
+    rows = [("http://h{}.com/{}/{}".format(r.randrange(2), r.choice("ab"), r.choice("cd")), None) for _ in range(400)]
+    rows = [(x, "h0" in x and "/a" in x if r.random() < 0.93 else r.random() < 0.5) for x, _ in rows]
+    sets = [(set(u.tokens(*plain_parts(x))), b) for x, b in rows]
+    names = sorted(set().union(*(t for t, _ in sets)))
+    wanted = {}
+    for k in range(1, len(names) + 1):
+        for c in itertools.combinations(names, k):
+            hits = [b for t, b in sets if set(c) <= t]
+            if sum(hits) >= u.MIN_PAGES and sum(hits) / len(hits) >= u.MIN_CONFIDENCE and not any(set(w) < set(c) for w in wanted):
+                wanted[c] = sum(hits) / len(hits)
+    rules = u.mine(*labelled(spark, rows))
+    assert any(len(c) > 1 for c in wanted) and dict(zip(rules.combinations, rules.confidence)) == wanted
