@@ -20,9 +20,9 @@ from ._common import read_table, save
 
 #: Whole labelled texts a language, first in hash order, and the bytes of dictionary made of them: the bounds of the training sample.
 SAMPLE_TEXTS, DICTIONARY_BYTES = 300, 128 << 10
-#: Languages that get a dictionary: the most frequent ones.
-LANGUAGES = 64
 LEVEL = 3
+#: Bytes of letters that are encoded together: what a dictionary saves does not grow beyond, so longer texts are encoded block by block.
+BLOCK_BYTES = 32 << 10
 #: Score (relative margin) under which a document is rejected.
 MIN_SCORE = 0.002
 #: Bytes of letters under which a narrow margin says nothing: such texts are not rejected for it.
@@ -37,19 +37,18 @@ def letters(text: str) -> bytes:
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", texts: int = SAMPLE_TEXTS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """Dictionaries by language, from whole texts in hash order until ``size`` bytes are full.
+    """Dictionaries of all languages, each from whole texts in hash order until ``size`` bytes are full.
 
     Rows with a null text or language are left out. Which rows come first depends on
     their text alone, so reruns agree. No labelled row: no language.
     """
     rows = labelled.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()  # one row a language
-    if not counts:
-        return {}
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     # a first cut by hash leaves a few times the texts needed, so that no language is sorted whole
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 8.0 * texts / r["n"]))])
+    share = F.least(F.lit(1.0), F.lit(8.0 * texts) / F.col("n"))
     order = F.xxhash64(F.lit(5), "text")
-    drawn = rows.withColumn("order", order).filter(F.pmod("order", F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * F.lit(1 << 30))
+    # one row a language
+    drawn = rows.join(F.broadcast(counts), "lang").withColumn("order", order).filter(F.pmod("order", F.lit(1 << 30)) < share * F.lit(1 << 30)).drop("n")
     first = drawn.dropDuplicates(["lang", "order"]).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("order"))).filter(F.col("k") <= texts)
     held: dict[str, list[bytes]] = {}
     for r in first.orderBy("lang", "k").toLocalIterator():
@@ -72,11 +71,12 @@ def _compressors(model: tuple[tuple[str, bytes], ...]):
 
 
 def _sizes(data: bytes, model: tuple[tuple[str, bytes], ...]) -> list[tuple[int, str]]:
-    return sorted((len(c.compress(data)), lang) for lang, c in _compressors(model))
+    blocks = [data[at : at + BLOCK_BYTES] for at in range(0, len(data), BLOCK_BYTES)]
+    return sorted((sum(len(c.compress(x)) for x in blocks), lang) for lang, c in _compressors(model))
 
 
 def classify(text: str | None, model: tuple[tuple[str, bytes], ...], min_score: float = MIN_SCORE) -> tuple[str, float, bool]:
-    """(language, score, accepted): score is the share of bytes that the best dictionary saves against the second.
+    """(language, score, accepted): score is the share of bytes that the best dictionary saves against the second, over all blocks of the text.
 
     Where a text repeats itself so much that the sizes hardly differ, its distinct words are encoded instead.
     """
@@ -86,7 +86,7 @@ def classify(text: str | None, model: tuple[tuple[str, bytes], ...], min_score:
     sizes = _sizes(data, model)
     if len(sizes) == 1:
         return sizes[0][1], 1.0, True
-    if sizes[1][0] - sizes[0][0] < 3:
+    if sizes[1][0] - sizes[0][0] < 3 * -(-len(data) // BLOCK_BYTES):
         words = b" ".join(dict.fromkeys(data.split()))
         sizes = _sizes(words, model) if len(words) < len(data) else sizes
     score = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
@@ -101,8 +101,8 @@ def identify(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", m
     with score 0. Columns that are already there by these names are replaced.
     """
     fixed = tuple(sorted(model.items()))
-    if sum(len(d) for _, d in fixed) > LANGUAGES * (DICTIONARY_BYTES + SAMPLE_TEXTS):
-        raise ValueError("the dictionaries are larger than the documented bound")
+    if any(len(d) > DICTIONARY_BYTES + SAMPLE_TEXTS for _, d in fixed):
+        raise ValueError("a dictionary is larger than the documented bound")
     sent = docs.sparkSession.sparkContext.broadcast(fixed)
 
     @F.udf("struct<lang_pred:string, score:double, accepted:boolean>", useArrow=True)

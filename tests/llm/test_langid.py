@@ -57,3 +57,21 @@ def test_training_is_bounded_and_repeatable(spark, corpus, empty):
     assert all(len(x) <= 500 + 5 for x in a.values())
     assert langid.train(empty) == {}
     assert langid.classify("some text", ()) == ("und", 0.0, False)
+
+
+def test_length_does_not_erase_the_margin(model):
+    fixed = tuple(sorted(model.items()))
+    text = prose(random.Random(4), "en", 1_000_000)
+    lang, score, accepted = langid.classify(text, fixed)
+    assert (lang, accepted) == ("en", True)
+    # about the score of a block
+    assert score > 0.5 * langid.classify(text[: langid.BLOCK_BYTES], fixed)[1]
+
+
+def test_every_language_has_a_dictionary(spark):
+    r = random.Random(6)
+    words = {f"l{i:02}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)] for i in range(70)}
+    rows = [(i, " ".join(r.choice(w) for _ in range(40)), lang) for i, (lang, w) in enumerate(list(words.items()) * 2)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model) == set(words)
+    assert all(langid.classify(" ".join(w), tuple(sorted(model.items())))[0] == lang for lang, w in words.items())
