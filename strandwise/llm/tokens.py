@@ -1,11 +1,14 @@
 """Token ids of whole texts by a public tokenizer file, word by word through a cache.
 
-The vocabulary's splitting rule never joins characters across white space, so a
-text's ids are the ids of its white-space-separated words, one after another.
+Where a vocabulary's rules never join characters across white space, a text's ids are
+the ids of its white-space-separated words, one after another. That is so for rules
+that are known here; a file with any other rules is asked for whole texts instead.
 """
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -18,6 +21,13 @@ _CACHE_WORDS = 600_000
 _LOT = 1_000_000
 #: Marks that the splitting rule cuts off a word's last letter, all together.
 _MARKS = rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
+#: Letters up to this one are old enough to be letters in every Unicode version; the one letter whose lower case ends in a mark.
+_OLD_LETTERS, _DOTTED = "\u0530", "\u0130"
+#: What begins a special token in these files.
+_SPECIAL = b"<|"
+#: The rules, as tokenizer files write them, under which words can be encoded one by one (fixed values).
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
 _state: dict = {}
 
 
@@ -27,14 +37,33 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def splits_at_spaces(rules: dict) -> bool:
+    """Whether a tokenizer file's rules are those under which each word has its own ids: known normalizer and splitting rule, and special tokens that hold no white space and begin alike."""
+    steps = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    model, added = rules.get("model") or {}, rules.get("added_tokens") or []
+    bytes_only = [x for x in steps[1:] if x.get("type") == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex")]
+    return (
+        rules.get("normalizer") == _NORMALIZER
+        and steps[0] == _SPLIT
+        and len(bytes_only) == len(steps) - 1 == 1
+        and model.get("type") == "BPE"
+        and model.get("end_of_word_suffix") == "</w>"
+        and not model.get("dropout")
+        and not rules.get("truncation")
+        and not rules.get("padding")
+        and all(x["content"].encode().startswith(_SPECIAL) and not any(c.isspace() for c in x["content"]) and not x.get("normalized") and not x.get("single_word") for x in added)
+    )
+
+
 class Encoder:
-    """Encodes texts; ids of words seen before come from a bounded cache."""
+    """Encodes texts as the tokenizers library does; ids of words seen before come from a bounded cache."""
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        with open(vocabulary, encoding="utf-8") as f:
+            self.by_word = splits_at_spaces(json.load(f))
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.cache: dict[bytes, bytes] = {}
@@ -45,12 +74,15 @@ class Encoder:
 
     def encode_all(self, texts: list[str | None], end: int) -> list[np.ndarray]:
         """The same for several texts; what is new in them is learned at once."""
-        # the vocabulary is lower-case: words that differ in the case of A-Z have the same ids
+        if not self.by_word:
+            return [np.array([*ids, end], dtype="<u4") for ids in self._ids([t or "" for t in texts])]
         words: list[bytes] = []
         ends = []
         for text in texts:
             if text:
-                words += text.encode("utf-8", "replace").lower().split()
+                data = text.encode("utf-8", "replace")
+                # the vocabulary is lower-case, but a special token and what composes with a mark keep their case
+                words += (data.lower() if data.isascii() and _SPECIAL not in data else data).split()
             ends.append(len(words))
         if len(self.cache) > _CACHE_WORDS:
             self.cache.clear()
@@ -83,14 +115,20 @@ class Encoder:
 
     def _learn(self, words: set[bytes]) -> None:
         """Adds words to the cache. A word that ends in marks is a stem and its marks, which many words share."""
-        cache, letters, other, split = self.cache, set(), set(), []
-        for w in words:
+        cache, letters, other, split, same = self.cache, set(), set(), [], []
+        for word in words:
+            w = word
+            if w.isascii() and _SPECIAL not in w and (low := w.lower()) != w:
+                same.append((word, low))
+                if low in cache or low in words:
+                    continue
+                w = low
             if w.isalpha():
                 letters.add(w)
                 continue
             stem = w.rstrip(_MARKS)
             n = len(stem)
-            if 0 < n < len(w) and b"<|" not in w and _ends_in_letter(stem):
+            if 0 < n < len(w) and _SPECIAL not in w and _ends_in_letter(stem):
                 tail = w[n:]
                 split.append((w, stem, tail))
                 if tail not in cache:
@@ -118,6 +156,8 @@ class Encoder:
                 cache[w] = np.array(ids, dtype="<u4").tobytes()
         for w, stem, tail in split:
             cache[w] = cache[stem] + cache[tail]
+        for w, low in same:
+            cache[w] = cache[low]
 
 
 def _gaps(found: list) -> list[int]:
@@ -131,8 +171,12 @@ def _gaps(found: list) -> list[int]:
 
 
 def _ends_in_letter(stem: bytes) -> bool:
+    """Whether a stem's normalised form is certain to end in a letter, so that marks behind it are a piece of their own."""
     last = stem[-1]
-    return 97 <= last <= 122 if last < 128 else stem[-4:].decode("utf-8", "ignore")[-1:].isalpha()
+    if last < 128:
+        return 97 <= last <= 122
+    letter = unicodedata.normalize("NFC", stem.decode("utf-8"))[-1]
+    return letter < _OLD_LETTERS and letter != _DOTTED and letter.isalpha()
 
 
 def encoder(vocabulary: str) -> Encoder:

@@ -15,7 +15,6 @@ def plain():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.default_vocabulary())
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 2]
 
 
@@ -29,12 +28,32 @@ def test_word_by_word_equals_whole_texts(corpus, plain):
         assert e.encode(row[1], 2).tolist() == plain(row[1])
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("aZ'st.,!<|> \t\n\x0b\x1c\u0301\u00a0é9")), max_size=40))
-def test_any_text(plain, text):
+PIECES = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "İ", "i̇", "H\u0331", "ẞ", "'s", "'S", "ǅ", "Σ", "\u0345", "\u2028", "ᄀ\u1161", "\U0001f600"]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("aZHIé'st.,!<|> \t\n\x0b\x0c\x1c\x85\u0301\u0307\u0338\u00a09"), st.sampled_from(PIECES)), max_size=30))
+def test_any_text(plain, parts):
+    text = "".join(parts)
     assert tokens.encoder(tokens.default_vocabulary()).encode(text, 2).tolist() == plain(text)
 
 
+@pytest.mark.parametrize("text", ["x<|endoftext|>y", "<|ENDOFTEXT|>", "İ.", "xİ-", "H\u0331.", "É,", "a\x0bb", "½.", "'S 's"])
+def test_texts_that_rules_of_words_get_wrong(plain, text):
+    assert tokens.Encoder(tokens.default_vocabulary()).encode(text, 2).tolist() == plain(text)
+
+
+def test_a_vocabulary_with_other_rules_gets_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    e, t = tokens.Encoder(path), Tokenizer.from_file(path)
+    assert tokens.Encoder(tokens.default_vocabulary()).by_word and not e.by_word
+    for text in ("Hello  World, it's 12", " <|endoftext|> x", None, ""):
+        assert e.encode(text, 7).tolist() == [*t.encode(text or "", add_special_tokens=False).ids, 7]
+
+
 def test_a_full_cache_is_emptied(monkeypatch, plain):
     monkeypatch.setattr(tokens, "_CACHE_WORDS", 3)
     e = tokens.Encoder(tokens.default_vocabulary())
