@@ -16,16 +16,20 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rows up to which a side of a join is sent to every executor.
 BROADCAST_ROWS = 50_000
+#: Rows of one key that may meet in one task; a key of more is joined where its rows lie.
+HOT_ROWS = 200
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share; a temporary one only where none is set and the session is local (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             folder = current.get()
         else:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             folder = "file://" + tempfile.mkdtemp(prefix="strandwise-shared-")
             spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -70,6 +74,19 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def join_counted(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` (``total`` of them) joined with ``table``: one row a key, ``n`` how many rows have it; n is left out.
+
+    Keys of more rows than a bound are at most total / bound, and the bound grows with
+    total, so their part of ``table`` never has more than BROADCAST_ROWS rows: it is
+    broadcast, and their rows stay where they are. All others are dealt by key.
+    """
+    bound = max(HOT_ROWS, -(-total // BROADCAST_ROWS))
+    hot = F.broadcast(table.filter(F.col("n") > bound))
+    cold = rows.join(hot.select(key), key, "left_anti").join(table.filter(F.col("n") <= bound), key)
+    return cold.unionByName(rows.join(hot, key)).drop("n")
+
+
 def words_of(text: Column | str) -> Column:
     """The words of a text as an array; null text: none."""
     text = F.col(text) if isinstance(text, str) else text

@@ -5,26 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import remove, save
+from ._common import join_counted, remove, save
 
 
-def _minima(links: DataFrame) -> DataFrame:
-    return links.groupBy("u").agg(F.min("v").alias("m"))
+def _with_minima(links: DataFrame, total: int) -> DataFrame:
+    """``links`` (u, v) with m, the least v of their u; a hub's links stay where they are."""
+    least = links.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    return join_counted(links, least, "u", total)
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, total: int) -> DataFrame:
     """Every node's larger neighbours are hung on the smallest of its neighbours and itself."""
     both = links.select("u", "v").union(links.select(F.col("v"), F.col("u")))
-    least = _minima(both).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_minima(both, 2 * total).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, total: int) -> DataFrame:
     """Every node and its smaller neighbours are hung on the smallest of them."""
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _minima(down)
-    hung = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return hung.union(least.select("u", F.col("m").alias("v")))
+    near = _with_minima(down, total)
+    return near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v")))
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -34,15 +34,15 @@ def connected_components(links: DataFrame) -> DataFrame:
     path. Null ends and links of a node to itself are ignored; an empty table gives none.
     """
     links = save(links.filter("u <> v").distinct(), "links")
-    before = None
+    before, total = None, links.count()
     while True:
-        # each round's table is written whole before the next reads it
-        new = save(_small_star(_large_star(links)).filter("u <> v").distinct(), "links")
+        # each round's table is written whole before the next reads it; a round has no more links than the one before it and their nodes
+        new = save(_small_star(_large_star(links, total), total).filter("u <> v").distinct(), "links")
         state = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         old = links.inputFiles()[:1]
         if old:
             remove(links.sparkSession, old[0].rsplit("/", 1)[0])
-        links = new
+        links, total = new, state[0]
         if state == before or not state[0]:
             break
         before = state

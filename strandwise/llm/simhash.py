@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import read_table, save, sized
+from ._common import join_counted, read_table, save, sized
 from .graph import connected_components
 
 THRESHOLD, SHINGLE, SEED = 3, 3, 42
@@ -55,15 +55,20 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 def _fingerprints(shingle: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(x.as_py(), shingle, seed) for x in batch.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
+            found = np.array([fingerprint(x.as_py(), shingle, seed) for x in batch.column(2)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], names=["doc_id", "text_hash", "fp"])
 
     return run
 
 
+def text_hash(text_col: str = "text"):
+    """With the id it names a row: rows that agree in both hold the same text."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): one row a document, the fingerprint as a signed long. Nothing is shuffled."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints(shingle, seed), "doc_id long, fp long")
+    """(doc_id, text_hash, fp): one row a document, the fingerprint as a signed long. Nothing is shuffled."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text_col).alias("text_hash"), F.col(text_col).alias("text")).mapInArrow(_fingerprints(shingle, seed), "doc_id long, text_hash long, fp long")
 
 
 # ---- anchors
@@ -194,30 +199,55 @@ def near_links(distinct: DataFrame, threshold: int = THRESHOLD, hot: int = HOT_A
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE, seed: int = SEED, hot: int = HOT_ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) of every document; component_id is the smallest id reachable over links.
+    """(doc_id, text_hash, fp, component_id, is_first) of every document; component_id is the smallest id reachable over links.
 
-    Null and empty texts have fingerprint 0 and link like any other. Copies share a
+    is_first marks the one document of its component that ``keep_first`` keeps. Null
+    and empty texts have fingerprint 0 and link like any other. Copies share a
     fingerprint and meet as one row. Rows with one id are one row each; null ids never
     are a component's id unless it has no other. An empty table gives no rows. Other
     columns are not read.
     """
     fps = save(fingerprints(docs, shingle, seed, id_col, text_col), "fingerprints")
-    distinct = save(fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct-fingerprints")
+    distinct = save(first_of(fps, "fp"), "distinct-fingerprints")
     roots = save(connected_components(near_links(distinct, threshold, hot)), "roots")
-    grouped = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
-    named = save(grouped, "grouped")
-    # only groups of several fingerprints need their smallest document sought
-    least = named.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    by_fp = named.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return fps.join(by_fp, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
-
-
-def keep_first(docs: DataFrame, duplicates: DataFrame) -> DataFrame:
-    """One document of each group: the one with the smallest id. Rows that share that id are one row after this."""
-    first = duplicates.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_doc"))
-    kept = docs.join(first.distinct(), F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
-    repeated = first.count() != first.distinct().count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    return with_components(fps, distinct, roots, "fp")
+
+
+def first_of(rows: DataFrame, key: str, *more) -> DataFrame:
+    """(key, first, n, ...): the smallest of the rows' (id, text_hash), null ids last, and how many rows have the key."""
+    return rows.groupBy(key).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"), F.count(F.lit(1)).alias("n"), *more)
+
+
+def with_components(rows: DataFrame, distinct: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """``rows`` (doc_id, text_hash, key) with component_id and is_first, from the smallest ``first`` of the keys that hang on the same root.
+
+    ``distinct``: as ``first_of`` gives; ``roots``: (node, root) of the keys that are
+    linked. All copies of a text share a key, and a large component a root: neither
+    meets in one task.
+    """
+    named = distinct.join(roots, F.col(key) == F.col("node"), "left").select(key, "first", F.col("n").alias("rows"), F.coalesce("root", key).alias("root"))
+    named = save(named, "grouped")
+    least = named.groupBy("root").agg(F.min("first").alias("head"), F.count(F.lit(1)).alias("n"))
+    by_key = save(join_counted(named, least, "root", named.count()).select(key, "head", F.col("rows").alias("n")), "components")
+    own = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_hash") == F.col("head.text_hash"))
+    return join_counted(rows, by_key, key, rows.count()).select("doc_id", "text_hash", key, F.col("head.doc_id").alias("component_id"), own.alias("is_first"))
+
+
+def keep_first(docs: DataFrame, duplicates: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component: the one with the smallest id; null ids come last, and of one id's texts the smallest hash first.
+
+    Rows that agree in id and text are one document: of them the row that comes first
+    by a digest of all its columns stays, so reruns agree. ``duplicates``: as
+    ``near_duplicates`` gives, with is_first.
+    """
+    first = save(duplicates.filter("is_first").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count(F.lit(1)).alias("_rows")), "kept")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_own"), F.col(id_col).cast("long").alias("_doc"), text_hash(text_col).alias("_text"))
+    kept = rows.join(sized(first), F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")))
+    if not first.filter("_rows > 1").limit(1).count():
+        return kept.select("_own.*")
+    digest = F.sha2(F.to_json("_own", {"ignoreNullFields": "false"}), 256)
+    chosen = kept.filter("_rows > 1").groupBy("_id", "_hash").agg(F.min_by("_own", digest).alias("_own"))
+    return kept.filter("_rows = 1").select("_own.*").unionByName(chosen.select("_own.*"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

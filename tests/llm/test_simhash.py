@@ -96,6 +96,28 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 4]
 
 
+def test_which_row_stays_is_defined(spark):
+    """Null ids of different groups stay each, one id's different texts stay each, equal rows are one."""
+    a, b, c = "one two three four five six", "seven eight nine ten eleven twelve", "thirteen fourteen fifteen sixteen"
+    rows = [(None, a, "x"), (None, b, "y"), (None, b, "x"), (5, c, "p"), (5, "other words of the same id", "q"), (6, c, "r"), (None, c, "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, is_first string")
+    runs = [sorted(map(tuple, simhash.keep_first(x, simhash.near_duplicates(x)).collect()), key=str) for x in (df, df.repartition(4))]
+    assert runs[0] == runs[1]
+    assert sorted((r[0] or -1, r[1]) for r in runs[0]) == sorted([(-1, a), (-1, b), (5, c), (5, "other words of the same id")])
+
+
+def test_hot_keys_meet_in_no_task(spark, monkeypatch):
+    """With a bound of one row all keys take the way of the hot ones; the result is the same."""
+    from strandwise.llm import _common
+
+    r = random.Random(4)
+    links = spark.createDataFrame([(r.randint(0, 60), r.randint(0, 60)) for _ in range(50)] + [(100, i) for i in range(101, 140)], "u long, v long")
+    texts = spark.createDataFrame([(i, ["same words here now", "", "other words there then"][i % 3]) for i in range(30)], "doc_id long, text string")
+    wanted = sorted(map(tuple, graph.connected_components(links).collect())), sorted(map(tuple, simhash.near_duplicates(texts).collect()))
+    monkeypatch.setattr(_common, "HOT_ROWS", 1)
+    assert (sorted(map(tuple, graph.connected_components(links).collect())), sorted(map(tuple, simhash.near_duplicates(texts).collect()))) == wanted
+
+
 def test_threshold_bound(spark):
     with pytest.raises(ValueError):
         simhash.near_links(spark.createDataFrame([(1,)], "fp long"), threshold=4)
