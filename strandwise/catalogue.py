@@ -44,13 +44,15 @@ def documents(spark, sf_dir):
 
 
 def reference(spark, sf_dir):
-    return benchmark(spark, sf_dir).filter("doc = 0")
+    """All benchmark texts as one."""
+    rows = benchmark(spark, sf_dir).agg(F.array_sort(F.collect_list(F.struct("doc", "text"))).alias("all"))
+    return rows.select(F.lit(0).cast("long").alias("doc"), F.array_join(F.transform("all", lambda x: x["text"]), "").alias("text"))
 
 
 def _codes(spark, sf_dir):
-    """(seq, pos, value): the events' users in order of the events, a sequence for each thousand events."""
+    """(seq, pos, value): the users of all events in the order of the events, one sequence."""
     rows = _table(spark, sf_dir, "events")
-    return rows.select(F.floor(F.col("event_id") / 1000).cast("long").alias("seq"), (F.col("event_id") % 1000).alias("pos"), F.col("user_id").cast("long").alias("value"))
+    return rows.select(F.lit(0).cast("long").alias("seq"), F.col("event_id").alias("pos"), F.col("user_id").cast("long").alias("value"))
 
 
 def _values(spark, sf_dir):
@@ -108,8 +110,7 @@ def int_sa(spark, sf_dir):
 
 
 def unique_suffix_count(spark, sf_dir):
-    rows = symbols.suffix_at(part_names(spark, sf_dir), symbols.suffixes(part_names(spark, sf_dir)))
-    return sa.unique_suffixes(global_rank(rows, ["suffix"], rank="rank"))
+    return sa.unique_suffixes(part_names(spark, sf_dir))
 
 
 def suffix_text(spark, sf_dir):
@@ -212,7 +213,7 @@ def collection_lengths(spark, sf_dir):
 
 
 def reference_augmentation(spark, sf_dir):
-    return symbols.augmentation(reference(spark, sf_dir), benchmark(spark, sf_dir))
+    return symbols.augmentation(reference(spark, sf_dir), conversations(spark, sf_dir))
 
 
 def position_buckets(spark, sf_dir):
@@ -221,19 +222,23 @@ def position_buckets(spark, sf_dir):
 
 
 def matching_statistics(spark, sf_dir):
-    return matching.matching_statistics(reference(spark, sf_dir), benchmark(spark, sf_dir))
+    return matching.matching_statistics(reference(spark, sf_dir), part_names(spark, sf_dir))
 
 
 def matching_statistics_union(spark, sf_dir):
     """The plan for references that no task can hold."""
-    return matching._by_union(reference(spark, sf_dir), benchmark(spark, sf_dir))
+    return matching._by_union(reference(spark, sf_dir), part_names(spark, sf_dir))
 
 
 def matching_statistics_documents(spark, sf_dir):
-    """Every place of every document against one reference; only the parse is kept."""
+    """Every place of every document against all benchmark texts; only the parse is kept."""
     return matching.parse_stats(matching.matching_statistics(reference(spark, sf_dir), documents(spark, sf_dir), augment=True, heads_only=True))
 
 
+def _inverse(spark, sf_dir):
+    return sa.isa(sa.gsa(reference(spark, sf_dir)))
+
+
 def ms_heads(spark, sf_dir):
     return matching.heads(matching_statistics(spark, sf_dir))
 
@@ -247,7 +252,15 @@ def heads_per_position(spark, sf_dir):
 
 
 def head_rank(spark, sf_dir):
-    return matching.rank_heads(ms_heads(spark, sf_dir))
+    return matching.rank_heads(ms_heads(spark, sf_dir), _inverse(spark, sf_dir))
+
+
+def head_sort(spark, sf_dir):
+    return matching.sort_heads(ms_heads(spark, sf_dir), _inverse(spark, sf_dir))
+
+
+def head_suffix_array(spark, sf_dir):
+    return matching.head_suffix_array(ms_heads(spark, sf_dir), _inverse(spark, sf_dir)).select("rnk", "doc", "k")
 
 
 def next_head_asof(spark, sf_dir):
@@ -255,7 +268,33 @@ def next_head_asof(spark, sf_dir):
 
 
 def match_order_key(spark, sf_dir):
-    return matching.suffix_order_by_matches(matching_statistics(spark, sf_dir), sa.isa(sa.gsa(reference(spark, sf_dir))))
+    return matching.full_order_keys(matching_statistics(spark, sf_dir), _inverse(spark, sf_dir))
+
+
+def match_order(spark, sf_dir):
+    return matching.order_by_matches(matching_statistics(spark, sf_dir), _inverse(spark, sf_dir))
+
+
+def heads_order_check(spark, sf_dir):
+    order = matching.head_suffix_array(ms_heads(spark, sf_dir), _inverse(spark, sf_dir))
+    return validate.check_heads_order(part_names(spark, sf_dir), order.select("rnk", "doc", "idx"))
+
+
+def _intervals(spark, sf_dir):
+    """(q, first, last, depth): every rank of the nations' suffixes with the next two, and what these three share, less a symbol."""
+    array = sa.gsa_lcp(nation_names(spark, sf_dir)).select("rnk", "lcp")
+    last = array.agg(F.max("rnk").alias("n")).first()["n"]
+    ends = array.select((F.col("rnk") - 1).alias("a"), F.col("lcp").alias("l1")).join(array.select((F.col("rnk") - 2).alias("a"), F.col("lcp").alias("l2")), "a").filter((F.col("a") >= 0) & (F.col("a") + 2 <= last))
+    return ends.select(F.col("a").alias("q"), F.col("a").alias("first"), (F.col("a") + 2).alias("last"), F.least("l1", "l2").alias("depth"))
+
+
+def interval_widen(spark, sf_dir):
+    return ranges.widen(_intervals(spark, sf_dir), lcp.lcp_array(nation_names(spark, sf_dir)), part=64)
+
+
+def interval_contract(spark, sf_dir):
+    shorter = _intervals(spark, sf_dir).withColumn("depth", F.greatest(F.col("depth") - 1, F.lit(0)))
+    return ranges.contract_left(shorter, sa.gsa(nation_names(spark, sf_dir)), lcp.lcp_array(nation_names(spark, sf_dir)), part=64)
 
 
 def pattern_count(spark, sf_dir):
@@ -331,28 +370,87 @@ def gsa_order_check(spark, sf_dir):
 
 
 def heads_check(spark, sf_dir):
-    return validate.check_heads(matching_statistics(spark, sf_dir), benchmark(spark, sf_dir), reference(spark, sf_dir))
+    return validate.check_heads(matching_statistics(spark, sf_dir), part_names(spark, sf_dir), reference(spark, sf_dir))
+
+
+def _new_folder(spark, name):
+    import uuid
+
+    from .plans.storage import shared_folder
+
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _without_marks(docs):
+    """Documents numbered from 1 without what FASTA reads as its own."""
+    return docs.select((F.col("doc") + 1).alias("doc"), F.translate("text", "\r\n>", "").alias("text"))
 
 
 def fasta_roundtrip(spark, sf_dir):
     """Benchmark texts without line ends, written as FASTA and read back."""
-    from .plans.storage import shared_folder
     from .sources import readers, writers
-    import uuid
 
-    docs = benchmark(spark, sf_dir).select((F.col("doc") + 1).alias("doc"), F.translate("text", "\r\n>", "").alias("text"))
-    path = f"{shared_folder(spark)}/fasta-{uuid.uuid4().hex}"
-    writers.write_fasta(docs, path)
+    path = _new_folder(spark, "fasta")
+    writers.write_fasta(_without_marks(benchmark(spark, sf_dir)), path)
     return readers.fasta(spark, path).select("doc", "text")
 
 
+def _uneven_files(docs, path):
+    """FASTA files of very different sizes, whose names are in document order: the first few documents, then ever more a file."""
+    from .sources import writers
+
+    number = F.floor(F.log2(F.col("doc"))).cast("int")
+    last = docs.agg(F.max("doc")).first()[0]
+    for k in range(last.bit_length()):
+        writers.write_fasta(docs.filter(number == k).coalesce(1), f"{path}/{k:03d}")
+    return f"{path}/*"
+
+
+def fasta_folder_roundtrip(spark, sf_dir):
+    """Benchmark texts in several FASTA files of unequal sizes, read in the order of the files."""
+    from .sources import readers
+
+    docs = _without_marks(benchmark(spark, sf_dir))
+    return readers.fasta(spark, _uneven_files(docs, _new_folder(spark, "fasta-files"))).select("doc", F.col("header").cast("long").alias("header"), "text")
+
+
+def fasta_reference_roundtrip(spark, sf_dir):
+    """All records of several FASTA files as one reference text."""
+    from .sources import readers
+
+    docs = _without_marks(benchmark(spark, sf_dir))
+    return readers.fasta_reference(spark, _uneven_files(docs, _new_folder(spark, "fasta-reference")))
+
+
+def _one_text(docs, separator, end, path):
+    """All texts in document order with a separator between them, and an end, as one text file."""
+    rows = docs.agg(F.array_sort(F.collect_list(F.struct("doc", "text"))).alias("all"))
+    rows.select(F.concat(F.array_join(F.transform("all", lambda x: x["text"]), separator), F.lit(end)).alias("value")).coalesce(1).write.option("lineSep", "\n").text(path)
+
+
+def raw_reference_roundtrip(spark, sf_dir):
+    """Benchmark texts as one raw file with a mark and line ends behind it, which are trimmed."""
+    from .sources import readers
+
+    path = _new_folder(spark, "raw")
+    _one_text(_without_marks(benchmark(spark, sf_dir)), "", "$\r\n", path)
+    return readers.raw_reference(spark, path)
+
+
+def raw_collection_roundtrip(spark, sf_dir):
+    """Conversations as one raw file parted by the separator byte, read back as documents in order."""
+    from .sources import readers
+
+    path = _new_folder(spark, "raw-collection")
+    _one_text(conversations(spark, sf_dir), readers.SEPARATOR, readers.SEPARATOR, path)
+    return readers.raw_collection(spark, path).filter("text <> '\n'")
+
+
 def gsa_records_roundtrip(spark, sf_dir):
     """The array of nation names through a file of 8-byte records."""
-    from .plans.storage import shared_folder
     from .sources import writers
-    import uuid
 
-    path = f"{shared_folder(spark)}/gsa-{uuid.uuid4().hex}.gsa"
+    path = _new_folder(spark, "gsa") + ".gsa"
     writers.write_gsa_records(gsa_nation_names(spark, sf_dir), path)
     return writers.read_gsa_records(spark, path)
 
@@ -362,9 +460,9 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     isa_benchmark, single_text_sa, int_sa, unique_suffix_count, suffix_text, gather_ranks, symbol_rows, phi_array, lcp_array, lcp_doubling, plcp_array, unique_prefix_len, longest_repeat,
     bwt_rows, bwt_transform, bwt_aux_r8, lf_mapping, unbwt_roundtrip, unbwt_aux_roundtrip,
     symbol_histogram, bigram_histogram, bucket_bounds, max_symbol_runs, suffix_types, lms_suffixes, lms_per_symbol, lms_names, collection_lengths, reference_augmentation, position_buckets,
-    matching_statistics, matching_statistics_union, matching_statistics_documents, ms_heads, parse_stats, heads_per_position, head_rank, next_head_asof, match_order_key,
+    matching_statistics, matching_statistics_union, matching_statistics_documents, ms_heads, parse_stats, heads_per_position, head_rank, head_sort, head_suffix_array, next_head_asof, match_order_key, match_order, heads_order_check, interval_widen, interval_contract,
     pattern_count, pattern_locate, interval_refine, contamination, exact_duplicate_docs, psv_nsv, rmq_blocks, range_minimum,
-    int_lcp, int_unbwt_roundtrip, int_bwt_primary, int_histogram, printable_texts, neighbour_prefixes, marker_counts, gsa_order_check, heads_check, fasta_roundtrip, gsa_records_roundtrip,
+    int_lcp, int_unbwt_roundtrip, int_bwt_primary, int_histogram, printable_texts, neighbour_prefixes, marker_counts, gsa_order_check, heads_check, fasta_roundtrip, fasta_folder_roundtrip, fasta_reference_roundtrip, raw_reference_roundtrip, raw_collection_roundtrip, gsa_records_roundtrip,
 )
 
 
@@ -416,16 +514,26 @@ def _transform(docs: str) -> str:
 
 
 _COMMON = "(SELECT coalesce(max(k), 0) FROM range(1, 1 + least(length(suf), length({r}))) t(k) WHERE left(suf, CAST(k AS INT)) = left({r}, CAST(k AS INT)))"
+_REF = "SELECT 0 AS doc, string_agg(text, '' ORDER BY item_id) AS text FROM benchmark"
+_ISA = f"SELECT idx AS pos, rnk AS isa FROM ({_gsa(_REF)})"
 _MS = f"""
-WITH u AS (SELECT -1 AS doc, idx, suf FROM ({_suf("SELECT item_id AS doc, text FROM benchmark WHERE item_id = 0")}) UNION ALL SELECT doc, idx, suf FROM ({_suf(_B)})),
+WITH u AS (SELECT -1 AS doc, idx, suf FROM ({_suf(_REF)}) UNION ALL SELECT doc, idx, suf FROM ({_suf(_P)})),
 n AS (SELECT *, last_value(CASE WHEN doc = -1 THEN {{'suf': suf, 'idx': idx}} END IGNORE NULLS) OVER (ORDER BY suf, doc ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pv,
              first_value(CASE WHEN doc = -1 THEN {{'suf': suf, 'idx': idx}} END IGNORE NULLS) OVER (ORDER BY suf, doc ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nx FROM u),
 l AS (SELECT doc, idx, suf, pv, nx, CASE WHEN pv IS NULL THEN -1 ELSE {_COMMON.format(r="pv.suf")} END AS lp, CASE WHEN nx IS NULL THEN -1 ELSE {_COMMON.format(r="nx.suf")} END AS ln FROM n WHERE doc >= 0)
 SELECT doc, idx, CASE WHEN ln >= lp THEN nx.idx ELSE pv.idx END AS pos, CAST(greatest(ln, lp) AS BIGINT) AS len, ln >= lp AS smaller, nullif(substr(suf, CAST(greatest(ln, lp) + 1 AS INT), 1), '') AS next FROM l
 """
 _HEADS = f"SELECT doc, idx, pos, len, smaller, next FROM (SELECT *, lag(pos) OVER (PARTITION BY doc ORDER BY idx) AS before FROM ({_MS})) WHERE before IS NULL OR pos <> before + 1"
+_KEYS = f"SELECT doc, idx, len, isa, CASE WHEN smaller THEN 0 ELSE 1 END AS side, CASE WHEN smaller THEN len ELSE -len END AS closeness, next FROM ({{rows}}) JOIN ({_ISA}) USING (pos)"
+_HEAD_RANK = f"SELECT doc, idx, CAST(dense_rank() OVER (ORDER BY isa, side, closeness, next NULLS FIRST) - 1 AS BIGINT) AS rank FROM ({_KEYS.format(rows=_HEADS)})"
+_HEAD_LISTS = f"SELECT doc, list(rank ORDER BY idx) AS a, list(idx ORDER BY idx) AS places FROM ({_HEAD_RANK}) GROUP BY doc"
+_HEAD_SA = f"SELECT CAST(row_number() OVER (ORDER BY list_slice(a, k + 1, len(a)), doc) - 1 AS BIGINT) AS rnk, doc, k, places[k + 1] AS idx FROM ({_HEAD_LISTS}), unnest(range(len(a))) u(k)"
+_FASTA = "SELECT item_id + 1 AS doc, translate(text, chr(13) || chr(10) || '>', '') AS text FROM benchmark"
+_GSA_LCP_N = f"SELECT rnk, doc, idx, lcp FROM ({_lcp(_N)})"
+_INTERVALS = f"SELECT a.rnk AS q, a.rnk AS first, a.rnk + 2 AS last, least(b.lcp, c.lcp) AS depth FROM g a JOIN g b ON b.rnk = a.rnk + 1 JOIN g c ON c.rnk = a.rnk + 2"
+_WIDENED = "SELECT q, coalesce((SELECT max(g.rnk) FROM g WHERE g.rnk <= i.first AND g.lcp < i.depth), 0) AS first, coalesce((SELECT min(g.rnk) FROM g WHERE g.rnk > i.last AND g.lcp < i.depth), (SELECT count(*) FROM g)) - 1 AS last FROM i"
 _PATTERN_SQL = ", ".join(f"('{p}')" for p in PATTERNS)
-_EVENTS = "SELECT event_id // 1000 AS seq, list(CAST(user_id AS BIGINT) ORDER BY event_id) AS a FROM events GROUP BY seq"
+_EVENTS = "SELECT CAST(0 AS BIGINT) AS seq, list(CAST(user_id AS BIGINT) ORDER BY event_id) AS a FROM events"
 _INT_SUF = f"SELECT seq, i AS pos, list_slice(a, i + 1, len(a)) AS s FROM ({_EVENTS}), unnest(range(len(a))) u(i)"
 _LOCATE = "SELECT pattern, doc, i AS idx FROM (VALUES {patterns}) p(pattern), ({docs}), unnest(range(length(text))) u(i) WHERE substr(text, CAST(i + 1 AS INT), length(pattern)) = pattern"
 _LCP_N = f"SELECT rnk AS i, lcp AS value FROM ({_lcp(_N)})"
@@ -458,14 +566,29 @@ ORACLES: dict[str, str] = {
         s AS (SELECT doc, idx, CASE WHEN stop IS NULL THEN substr(text, CAST(idx + 1 AS INT)) ELSE substr(text, CAST(idx + 1 AS INT), CAST(stop - idx + 1 AS INT)) END AS sub FROM l JOIN ({_P}) USING (doc))
         SELECT doc, idx, CAST(dense_rank() OVER (ORDER BY sub) - 1 AS BIGINT) AS name, count(*) OVER (PARTITION BY sub) = 1 AS is_unique FROM s""",
     "collection_lengths": f"SELECT count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_symbols, max(length(text)) AS max_length FROM ({_D})",
-    "reference_augmentation": f"SELECT ch AS symbol, repeat(ch, CAST(max(n) AS INT)) AS run FROM ({_runs(_B)}) WHERE ch NOT IN (SELECT ch FROM ({_chars('SELECT item_id AS doc, text FROM benchmark WHERE item_id = 0')})) GROUP BY ch",
+    "reference_augmentation": f"SELECT ch AS symbol, repeat(ch, CAST(max(n) AS INT)) AS run FROM ({_runs(_C)}) WHERE ch NOT IN (SELECT ch FROM ({_chars(_B)})) GROUP BY ch",
     "position_buckets": f"SELECT doc, idx >> 6 AS bucket, count(*) AS n FROM ({_chars(_B)}) GROUP BY ALL",
     "matching_statistics": _MS, "matching_statistics_union": _MS, "ms_heads": _HEADS,
     "parse_stats": f"SELECT doc, count(*) AS n_heads, max(len) AS max_len, CAST(sum(len) AS BIGINT) AS sum_len FROM ({_HEADS}) GROUP BY doc",
     "heads_per_position": f"SELECT pos, count(*) AS n FROM ({_HEADS}) GROUP BY pos",
-    "head_rank": f"SELECT doc, idx, CAST(dense_rank() OVER (ORDER BY pos, len, smaller, next NULLS FIRST) - 1 AS BIGINT) AS rank FROM ({_HEADS})",
+    "head_rank": _HEAD_RANK,
+    "head_sort": f"SELECT CAST(row_number() OVER (ORDER BY isa, side, closeness, next NULLS FIRST, doc, idx) - 1 AS BIGINT) AS rnk, doc, idx FROM ({_KEYS.format(rows=_HEADS)})",
+    "head_suffix_array": f"SELECT rnk, doc, k FROM ({_HEAD_SA})",
     "next_head_asof": f"WITH h AS ({_HEADS}) SELECT a.doc, a.idx, b.idx AS next_idx FROM (SELECT doc, idx, idx + len AS q FROM h) a ASOF LEFT JOIN (SELECT doc, idx FROM h) b ON a.doc = b.doc AND a.q >= b.idx",
-    "match_order_key": f"SELECT m.doc, m.idx, s.rnk AS isa, CASE WHEN smaller THEN 0 ELSE 1 END AS side, CASE WHEN smaller THEN len ELSE -len END AS closeness FROM ({_MS}) m JOIN ({_gsa('SELECT item_id AS doc, text FROM benchmark WHERE item_id = 0')}) s ON m.pos = s.idx",
+    "match_order_key": f"""WITH k AS MATERIALIZED ({_KEYS.format(rows=_MS)}), h AS MATERIALIZED ({_HEAD_SA}),
+        e AS (SELECT k.doc, k.idx, n.isa AS next_isa, k.idx + k.len AS q FROM k JOIN k n ON n.doc = k.doc AND n.idx = k.idx + k.len),
+        c AS (SELECT e.doc, e.idx, e.next_isa, h.rnk AS next_head_rank FROM e ASOF JOIN h ON e.doc = h.doc AND e.q >= h.idx)
+        SELECT k.doc, k.idx, k.isa, k.side, k.closeness, c.next_isa, c.next_head_rank FROM k LEFT JOIN c USING (doc, idx)""",
+    "match_order": f"SELECT doc, idx, CAST(rank() OVER (ORDER BY suf) - 1 AS BIGINT) AS rank FROM ({_suf(_P)})",
+    "heads_order_check": f"""WITH o AS (SELECT rnk, substr(text, CAST(idx + 1 AS INT)) AS suf FROM ({_HEAD_SA}) JOIN ({_P}) USING (doc)),
+        p AS (SELECT suf, lag(suf) OVER (ORDER BY rnk) AS before FROM o)
+        SELECT count(*) AS n, count(*) FILTER (left(before, CAST(least(length(before), length(suf)) AS INT)) > left(suf, CAST(least(length(before), length(suf)) AS INT))) AS violations FROM p""",
+    "interval_widen": f"WITH g AS MATERIALIZED ({_GSA_LCP_N}), i AS ({_INTERVALS}) {_WIDENED}",
+    "interval_contract": f"""WITH g AS MATERIALIZED ({_GSA_LCP_N}), j AS (SELECT q, first, last, greatest(depth - 1, 0) AS depth FROM ({_INTERVALS})),
+        l AS (SELECT j.q, j.depth, a2.rnk AS first, b2.rnk AS last FROM j JOIN g a ON a.rnk = j.first JOIN g b ON b.rnk = j.last
+              LEFT JOIN g a2 ON a2.doc = a.doc AND a2.idx = a.idx + 1 LEFT JOIN g b2 ON b2.doc = b.doc AND b2.idx = b.idx + 1),
+        i AS (SELECT * FROM l WHERE first IS NOT NULL AND last IS NOT NULL)
+        SELECT * FROM ({_WIDENED}) UNION ALL SELECT q, 0, (SELECT count(*) FROM g) - 1 FROM l WHERE first IS NULL OR last IS NULL""",
     "pattern_count": f"SELECT p.pattern, count(l.doc) AS n FROM (VALUES {_PATTERN_SQL}) p(pattern) LEFT JOIN ({_LOCATE.format(patterns=_PATTERN_SQL, docs=_C)}) l ON p.pattern = l.pattern GROUP BY p.pattern",
     "pattern_locate": _LOCATE.format(patterns=_PATTERN_SQL, docs=_B),
     "interval_refine": f"SELECT substr(text, CAST(idx + 3 AS INT), 1) AS extension, min(rnk) AS first, max(rnk) AS last FROM ({_gsa(_B)}) JOIN ({_B}) USING (doc) WHERE substr(text, CAST(idx + 1 AS INT), 2) = 'th' GROUP BY extension",
@@ -477,17 +600,21 @@ ORACLES: dict[str, str] = {
     "psv_nsv": f"WITH v AS ({_LCP_N}) SELECT i, coalesce((SELECT max(b.i) FROM v b WHERE b.i <= a.i AND b.value < a.value), -1) AS psv, coalesce((SELECT min(b.i) FROM v b WHERE b.i >= a.i AND b.value < a.value), -1) AS nsv FROM v a",
     "rmq_blocks": f"SELECT i // 16 AS block, min(value) AS least FROM ({_LCP_N}) GROUP BY block",
     "range_minimum": f"WITH v AS ({_LCP_N}) SELECT a.i AS q, min(b.value) AS least FROM v a JOIN v b ON b.i BETWEEN a.i AND a.i + a.i % 50 GROUP BY a.i",
-    "int_lcp": f"""SELECT seq, rnk, pos, CAST(coalesce((SELECT max(k) FROM range(1, 1 + least(len(s), len(b))) r(k) WHERE s[1:k] = b[1:k]), 0) AS BIGINT) AS lcp
+    "int_lcp": f"""SELECT seq, rnk, pos, CAST(coalesce((SELECT min(k) - 1 FROM range(1, 1 + least(len(s), len(b))) r(k) WHERE s[k] <> b[k]), least(len(s), len(b))) AS BIGINT) AS lcp
         FROM (SELECT seq, pos, s, CAST(row_number() OVER w - 1 AS BIGINT) AS rnk, coalesce(lag(s) OVER w, []) AS b FROM ({_INT_SUF}) WINDOW w AS (PARTITION BY seq ORDER BY s))""",
-    "int_unbwt_roundtrip": "SELECT event_id // 1000 AS seq, event_id % 1000 AS pos, CAST(user_id AS BIGINT) AS value FROM events",
+    "int_unbwt_roundtrip": "SELECT CAST(0 AS BIGINT) AS seq, event_id AS pos, CAST(user_id AS BIGINT) AS value FROM events",
     "int_bwt_primary": f"SELECT seq, rnk AS primary FROM (SELECT seq, pos, row_number() OVER (PARTITION BY seq ORDER BY s) AS rnk FROM ({_INT_SUF})) WHERE pos = 0",
     "int_histogram": "SELECT CAST(user_id AS BIGINT) AS value, count(*) AS n FROM events GROUP BY user_id",
     "printable_texts": f"SELECT doc, replace(replace(text, chr(10), '<10>'), chr(9), '<9>') AS text, CAST(floor(log2(length(text))) AS BIGINT) AS bits FROM ({_C})",
     "neighbour_prefixes": f"SELECT a.doc, CAST((SELECT coalesce(max(k), 0) FROM range(1, 1 + least(length(a.text), length(b.text))) r(k) WHERE left(a.text, CAST(k AS INT)) = left(b.text, CAST(k AS INT))) AS BIGINT) AS len FROM ({_P}) a JOIN ({_P}) b ON b.doc = a.doc + 1",
     "marker_counts": f"SELECT count(*) FILTER (v < 0) AS negative, count(*) FILTER (v = 0) AS zero FROM (SELECT lag(idx) OVER (ORDER BY rnk) - idx AS v FROM ({_gsa(_N)}))",
     "gsa_order_check": f"SELECT CAST(sum(length(text)) AS BIGINT) AS n, CAST(0 AS BIGINT) AS violations, CAST(0 AS BIGINT) AS missing FROM ({_C})",
-    "heads_check": "SELECT CAST(sum(length(text)) AS BIGINT) AS n, CAST(0 AS BIGINT) AS violations FROM benchmark",
-    "fasta_roundtrip": "SELECT item_id + 1 AS doc, translate(text, chr(13) || chr(10) || '>', '') AS text FROM benchmark",
+    "heads_check": f"SELECT CAST(sum(length(text)) AS BIGINT) AS n, CAST(0 AS BIGINT) AS violations FROM ({_P})",
+    "fasta_roundtrip": _FASTA,
+    "fasta_folder_roundtrip": f"SELECT doc, doc AS header, text FROM ({_FASTA})",
+    "fasta_reference_roundtrip": f"SELECT CAST(0 AS BIGINT) AS doc, string_agg(text, '' ORDER BY doc) AS text FROM ({_FASTA})",
+    "raw_reference_roundtrip": f"SELECT CAST(0 AS BIGINT) AS doc, string_agg(text, '' ORDER BY doc) AS text FROM ({_FASTA})",
+    "raw_collection_roundtrip": f"SELECT row_number() OVER (ORDER BY doc) AS doc, text FROM ({_C})",
     "gsa_records_roundtrip": _gsa(_N),
 }
 

@@ -101,15 +101,15 @@ def inverse_bwt(transform: np.ndarray, primary: int) -> np.ndarray:
     return symbol[walk[:n]]
 
 
-def previous_smaller(values: np.ndarray, bounds: np.ndarray | None = None) -> np.ndarray:
-    """Largest j <= i with values[j] < bounds[i], else -1; bounds default to the values. Search by block minima of all powers of two."""
+def previous_smaller(values: np.ndarray, bounds: np.ndarray | None = None, places: np.ndarray | None = None) -> np.ndarray:
+    """Largest j <= i with values[j] < bound, else -1; places i default to all, bounds to the values there. Search by block minima of all powers of two."""
     n = len(values)
-    bounds = values if bounds is None else bounds
+    at = np.arange(n) if places is None else places.copy()  # all of at+1 .. i is known not to be smaller
+    bounds = values[at] if bounds is None else bounds
     tables = [values]
     while 1 << len(tables) <= n:
         last, h = tables[-1], 1 << (len(tables) - 1)
         tables.append(np.minimum(last[h:], last[:-h]))
-    at = np.arange(n)  # all of at+1 .. i is known not to be smaller
     for level in range(len(tables) - 1, -1, -1):
         first = at - (1 << level) + 1
         fits = first >= 0
@@ -118,10 +118,13 @@ def previous_smaller(values: np.ndarray, bounds: np.ndarray | None = None) -> np
     return at
 
 
-def next_smaller(values: np.ndarray, bounds: np.ndarray | None = None) -> np.ndarray:
-    """Smallest j >= i with values[j] < bounds[i], else -1."""
-    found = previous_smaller(values[::-1], None if bounds is None else bounds[::-1])[::-1]
-    return np.where(found < 0, -1, len(values) - 1 - found)
+def next_smaller(values: np.ndarray, bounds: np.ndarray | None = None, places: np.ndarray | None = None) -> np.ndarray:
+    """Smallest j >= i with values[j] < bound, else -1."""
+    n = len(values)
+    places = np.arange(n) if places is None else places
+    bounds = values[places] if bounds is None else bounds
+    found = previous_smaller(values[::-1], bounds, n - 1 - places)
+    return np.where(found < 0, -1, n - 1 - found)
 
 
 def range_minimum(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:

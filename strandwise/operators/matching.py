@@ -15,9 +15,9 @@ from ..plans.storage import spread
 from . import symbols as sym
 from .suffix_array import _BATCH, gsa
 
-#: Symbols of a reference up to which tasks hold its index.
-REFERENCE_SYMBOLS = 8_000_000
-#: Symbols of all patterns together up to which they are searched at once.
+#: Symbols of a reference up to which tasks hold its index, which is small enough to be made at once on the driver.
+REFERENCE_SYMBOLS = 1_000_000
+#: Symbols of all patterns together up to which one automaton holds them; more patterns are searched in lots of as many.
 PATTERN_SYMBOLS = 4_000_000
 MS = "doc long, idx long, pos long, len long, smaller boolean, next string"
 
@@ -130,61 +130,20 @@ def matching_statistics(reference: DataFrame, docs: DataFrame, augment: bool = F
 
 
 def _by_union(reference: DataFrame, docs: DataFrame) -> DataFrame:
-    """The same for a reference of any size: both are sorted as one collection, and each place looks to its nearest reference suffixes.
-
-    Ranks are cut into ranges; a range's last and first reference suffix, and the least
-    common prefix up to them, are all that other ranges need of it.
-    """
-    from .suffix_array import gsa_lcp
+    """The same for a reference of any size: both are sorted as one collection, and each place looks to its nearest reference suffixes on both sides."""
+    from ..plans.ranking import nearest_marked
     from ..plans.storage import materialise
+    from .suffix_array import gsa_lcp
 
     side = F.lit(-1).cast("long")
     one = reference.select(side.alias("doc"), "text")
-    array = materialise(gsa_lcp(one.unionByName(docs.select("doc", "text"))), "union")
-    width = 1 << 16
-    rows = array.withColumn("part", F.floor(F.col("rnk") / width).cast("long")).withColumn("ref", F.col("doc") == -1)
-    # segments of suffixes between reference suffixes; lcp is with the row before
-    forward = Window.partitionBy("part").orderBy("rnk")
-    seg = F.sum(F.col("ref").cast("long")).over(forward.rowsBetween(Window.unboundedPreceding, 0))
-    rows = materialise(rows.withColumn("seg", seg), "segments")
-    down = Window.partitionBy("part", "seg").orderBy("rnk").rowsBetween(Window.unboundedPreceding, 0)
-    least_before = F.min(F.when(~F.col("ref"), F.col("lcp"))).over(down)
-    up = Window.partitionBy("part", "seg").orderBy("rnk").rowsBetween(1, Window.unboundedFollowing)
-    least_after = F.min("lcp").over(up)
-    first_ref = F.max(F.when(F.col("ref"), F.col("idx"))).over(Window.partitionBy("part", "seg"))
-    rows = materialise(rows.withColumns({"before": least_before, "after": least_after, "before_idx": first_ref}), "near")
-    heads = rows.filter("ref").select("part", F.col("seg").alias("_seg"), F.col("idx").alias("after_idx"), F.col("lcp").alias("head_lcp"))
-    rows = rows.join(heads.withColumn("seg", F.col("_seg") - 1), ["part", "seg"], "left")
-    # what the parts before and after offer: the nearest reference suffix and the least common prefix on the way
-    per = rows.groupBy("part").agg(F.max("seg").alias("last_seg"), F.min("lcp").alias("least"))
-    tails = rows.join(per, "part").filter(F.col("seg") == F.col("last_seg")).groupBy("part").agg(F.max("before_idx").alias("tail_idx"), F.min(F.when(~F.col("ref"), F.col("lcp"))).alias("tail_least"))
-    fronts = rows.filter("seg = 0 OR (seg = 1 AND ref)").groupBy("part").agg(F.max(F.when(F.col("ref"), F.col("idx"))).alias("front_idx"), F.min("lcp").alias("front_least"))
-    table = per.join(tails, "part", "left").join(fronts, "part", "left").orderBy("part").toPandas()  # one row for 65536 suffixes
-    big = np.iinfo(np.int64).max
-    back, on, held, least = {}, {}, None, big
-    for r in table.itertuples():
-        back[r.part] = (held, least)
-        if r.tail_idx == r.tail_idx and r.tail_idx is not None:
-            held, least = int(r.tail_idx), big if r.tail_least != r.tail_least or r.tail_least is None else int(r.tail_least)
-        elif held is not None:
-            least = min(least, int(r.least))
-    held, least = None, big
-    for r in table[::-1].itertuples():
-        on[r.part] = (held, least)
-        if r.front_idx == r.front_idx and r.front_idx is not None:
-            held, least = int(r.front_idx), int(r.front_least)
-        elif held is not None:
-            least = min(least, int(r.least))
-    spark = docs.sparkSession
-    sides = spark.createDataFrame([(int(p), back[p][0], back[p][1], on[p][0], on[p][1]) for p in back], "part long, b_idx long, b_least long, o_idx long, o_least long")
-    x = rows.filter("NOT ref").join(F.broadcast(sides), "part")
-    pred = F.when(F.col("seg") > 0, F.struct(F.col("before").alias("n"), F.col("before_idx").alias("i"))).when(F.col("b_idx").isNotNull(), F.struct(F.least("b_least", "before").alias("n"), F.col("b_idx").alias("i")))
-    succ = F.when(F.col("after_idx").isNotNull(), F.struct(F.least(F.coalesce("after", F.lit(big)), "head_lcp").alias("n"), F.col("after_idx").alias("i"))).when(F.col("o_idx").isNotNull(), F.struct(F.least(F.coalesce("after", F.lit(big)), "o_least").alias("n"), F.col("o_idx").alias("i")))
-    x = x.select("doc", "idx", pred.alias("p"), succ.alias("s"))
-    n, p = F.coalesce(F.col("s.n"), F.lit(-1)), F.coalesce(F.col("p.n"), F.lit(-1))
-    out = x.select("doc", "idx", F.when(n >= p, F.col("s.i")).otherwise(F.col("p.i")).alias("pos"), F.greatest(n, p).alias("len"), (n >= p).alias("smaller"))
-    nxt = F.substring("text", (F.col("idx") + F.col("len") + 1).cast("int"), F.lit(1))
-    return out.join(docs, "doc").select("doc", "idx", "pos", "len", "smaller", F.when(nxt != "", nxt).alias("next"))
+    array = gsa_lcp(one.unionByName(docs.select("doc", "text"))).withColumn("ref", F.col("doc") == -1)
+    back = nearest_marked(materialise(array, "union"), "rnk", "ref", "idx", "lcp", True).withColumnsRenamed({"near": "p_idx", "least": "p_len"})
+    both = nearest_marked(back, "rnk", "ref", "idx", "lcp", False).filter("NOT ref")
+    n, p = F.coalesce("least", F.lit(-1)), F.coalesce("p_len", F.lit(-1))
+    out = both.select("doc", "idx", F.when(n >= p, F.col("near")).otherwise(F.col("p_idx")).alias("pos"), F.greatest(n, p).alias("len"), (n >= p).alias("smaller"))
+    out = sym.snippets(out, docs, "doc", F.col("idx") + F.col("len"), 1, "next")
+    return out.select("doc", "idx", "pos", "len", "smaller", F.when(F.col("next") != "", F.col("next")).alias("next"))
 
 
 def heads(ms: DataFrame) -> DataFrame:
@@ -203,14 +162,103 @@ def heads_per_position(found: DataFrame) -> DataFrame:
     return found.groupBy("pos").agg(F.count(F.lit(1)).alias("n"))
 
 
-def rank_heads(found: DataFrame) -> DataFrame:
-    """(doc, idx, rank): 0-based place among the distinct (pos, len, smaller, next). Distinct heads are ordered by range partitions."""
+HEAD_ORDER = ["isa", "side", "closeness", "next"]
+
+
+def suffix_order_by_matches(ms: DataFrame, inverse: DataFrame) -> DataFrame:
+    """(doc, idx, isa, side, closeness, next): the key by which matched suffixes compare up to the symbol after the match.
+
+    isa: rank of the matched reference suffix, by ``inverse`` (doc, idx, rnk) of the
+    reference; side: 0 before it; closeness: match length, rising before and falling after.
+    """
+    ranked = inverse.select(F.col("idx").alias("pos"), F.col("rnk").alias("isa"))
+    side, closeness = F.when(F.col("smaller"), 0).otherwise(1), F.when(F.col("smaller"), F.col("len")).otherwise(-F.col("len"))
+    return ms.join(ranked, "pos").select("doc", "idx", "isa", side.alias("side"), closeness.alias("closeness"), "next")
+
+
+def rank_heads(found: DataFrame, inverse: DataFrame) -> DataFrame:
+    """(doc, idx, rank): 0-based place among the distinct heads in lexicographic order, which is that of the matched rank, side, closeness and next symbol.
+
+    Distinct heads are ordered by range partitions.
+    """
+    from ..plans.ranking import global_rank
+    from ..plans.storage import materialise
+
+    keyed = materialise(suffix_order_by_matches(found, inverse), "head-keys")
+    ranked = global_rank(keyed.select(*HEAD_ORDER).distinct(), HEAD_ORDER, row="rank").withColumnsRenamed({k: f"_{k}" for k in HEAD_ORDER})
+    same = (F.col("isa") == F.col("_isa")) & (F.col("side") == F.col("_side")) & (F.col("closeness") == F.col("_closeness")) & F.col("next").eqNullSafe(F.col("_next"))
+    return keyed.join(ranked, same).select("doc", "idx", "rank")
+
+
+def sort_heads(found: DataFrame, inverse: DataFrame) -> DataFrame:
+    """(rnk, doc, idx): all heads in the order of ``rank_heads``, equal ones by document and place."""
+    from ..plans.ranking import global_rank
+
+    return global_rank(suffix_order_by_matches(found, inverse), [*HEAD_ORDER, "doc", "idx"], row="rnk").select("rnk", "doc", "idx")
+
+
+def head_names(found: DataFrame, inverse: DataFrame) -> DataFrame:
+    """(seq, pos, value, idx): each document as the sequence of its heads' ranks. Heads are numbered within a document by range partitions."""
+    from ..plans.ranking import global_rank, running_total
+
+    placed = global_rank(rank_heads(found, inverse), ["doc", "idx"], row="place")
+    before = running_total(found.groupBy("doc").agg(F.count(F.lit(1)).alias("n")), ["doc"], "n", "before").select("doc", "before")
+    return placed.join(before, "doc").select(F.col("doc").alias("seq"), (F.col("place") - F.col("before")).alias("pos"), F.col("rank").alias("value"), "idx")
+
+
+def head_suffix_array(found: DataFrame, inverse: DataFrame) -> DataFrame:
+    """(rnk, doc, k, idx): the suffixes of all documents' head sequences in order, equal ones by document; k counts a document's heads, idx is the head's place."""
+    from ..plans.storage import materialise
+    from .suffix_array import integer_gsa
+
+    names = materialise(head_names(found, inverse), "head-names")
+    array = integer_gsa(names.select("seq", "pos", "value"))
+    return array.join(names.select("seq", "pos", "idx"), ["seq", "pos"]).select("rnk", F.col("seq").alias("doc"), F.col("pos").alias("k"), "idx")
+
+
+def full_order_keys(ms: DataFrame, inverse: DataFrame) -> DataFrame:
+    """(doc, idx, isa, side, closeness, next_isa, next_head_rank): the key of ``suffix_order_by_matches`` and what stands for the remainder.
+
+    next_isa: rank of the reference suffix matched at the place behind the match;
+    next_head_rank: place of the head that covers it, in the order of ``head_suffix_array``.
+    Both are null where the match reaches the end of its document.
+    """
+    from ..plans.storage import materialise
+
+    ms = materialise(ms, "matches")
+    found = materialise(heads(ms), "heads")
+    keys = materialise(suffix_order_by_matches(ms, inverse), "match-keys")
+    ends = ms.select("doc", "idx", (F.col("idx") + F.col("len")).alias("q"))
+    there = keys.select("doc", F.col("idx").alias("q"), F.col("isa").alias("next_isa"))
+    ranked = head_suffix_array(found, inverse).select("doc", "idx", F.col("rnk").alias("next_head_rank"))
+    covering = as_of(ms.select("doc", F.col("idx").alias("q")), ranked, ["next_head_rank"])
+    out = ends.join(there.join(covering, ["doc", "q"]), ["doc", "q"], "left").select("doc", "idx", "next_isa", "next_head_rank")
+    return keys.join(out, ["doc", "idx"]).select("doc", "idx", "isa", "side", "closeness", "next_isa", "next_head_rank")
+
+
+def order_by_matches(ms: DataFrame, inverse: DataFrame) -> DataFrame:
+    """(doc, idx, rank): the lexicographic place of every suffix, equal ones sharing it, from matches alone.
+
+    A suffix is its match and then the remainder behind it, which is a suffix that is
+    matched itself. Ranks by the first match are refined by those of the remainders,
+    whose width doubles each round; no text is read.
+    """
     from ..plans.ranking import global_rank
+    from ..plans.storage import materialise
 
-    keys = ["pos", "len", "smaller", "next"]
-    ranked = global_rank(found.select(*keys).distinct(), keys, row="rank").withColumnsRenamed({k: f"_{k}" for k in keys})
-    same = (F.col("pos") == F.col("_pos")) & (F.col("len") == F.col("_len")) & (F.col("smaller") == F.col("_smaller")) & F.col("next").eqNullSafe(F.col("_next"))
-    return found.join(ranked, same).select("doc", "idx", "rank")
+    keys = global_rank(suffix_order_by_matches(ms, inverse), HEAD_ORDER, rank="rank").select("doc", "idx", "rank")
+    ranked = keys.join(ms.select("doc", "idx", (F.col("idx") + F.col("len")).alias("q")), ["doc", "idx"])
+    ranked, before = materialise(ranked, "match-ranks"), -1
+    while True:
+        state = ranked.select("rank").distinct().count()
+        if state == before:
+            return ranked.select("doc", "idx", "rank")
+        before = state
+        after = ranked.select(F.col("doc").alias("_doc"), F.col("idx").alias("_idx"), (F.col("rank") + 1).alias("second"), F.col("q").alias("far"))
+        # behind a document's end there is nothing, which is smaller than anything
+        pairs = ranked.join(after, (F.col("doc") == F.col("_doc")) & (F.col("q") == F.col("_idx")), "left")
+        pairs = pairs.select("doc", "idx", F.col("rank").alias("one"), F.coalesce("second", F.lit(0).cast("long")).alias("second"), F.coalesce("far", F.col("q")).alias("q"))
+        ranked = materialise(global_rank(pairs, ["one", "second"], rank="rank").select("doc", "idx", "rank", "q"), "match-ranks")
 
 
 def as_of(asked: DataFrame, known: DataFrame, carry: list[str]) -> DataFrame:
@@ -232,18 +280,12 @@ def next_heads(found: DataFrame) -> DataFrame:
     return ends.join(covered, ["doc", "q"]).select("doc", "idx", "next_idx")
 
 
-def suffix_order_by_matches(ms: DataFrame, inverse: DataFrame) -> DataFrame:
-    """(doc, idx, isa, side, closeness): the key by which matched suffixes compare before anything after the match.
-
-    isa: rank of the matched reference suffix; side: 0 below it; closeness: match length, rising below and falling above.
-    """
-    ranked = inverse.select(F.col("idx").alias("pos"), F.col("rnk").alias("isa"))
-    return ms.join(ranked, "pos").select("doc", "idx", "isa", F.when(F.col("smaller"), 0).otherwise(1).alias("side"), F.when(F.col("smaller"), F.col("len")).otherwise(-F.col("len")).alias("closeness"))
-
-
 def _automaton(words: list[str]):
     import ahocorasick
 
+    if not words:
+        return None
+
     found = ahocorasick.Automaton()
     for w in words:
         found.add_word(w, w)
@@ -259,7 +301,7 @@ def _scan(words: list[str]):
         for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for end, word in automaton.iter(text):
+                for end, word in automaton.iter(text) if automaton else ():
                     out[0].append(word)
                     out[1].append(doc)
                     out[2].append(end + 1 - len(word))
@@ -274,19 +316,19 @@ def _scan(words: list[str]):
 def locate(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """(pattern, doc, idx): all occurrences, overlapping ones too, of each pattern that is not empty.
 
-    Up to a checked number of symbols the patterns become one automaton, and texts are
-    scanned where they are read. More patterns are looked up by equality among the
-    substrings of their lengths.
+    Texts are scanned where they are read, by an automaton of the patterns. Patterns
+    are dealt to lots by their hash, each within a checked number of symbols.
     """
     wanted = patterns.filter(F.length("pattern") > 0).select("pattern").distinct()
     size = wanted.agg(F.sum(F.length("pattern").cast("long"))).first()[0] or 0
-    if size <= PATTERN_SYMBOLS:
-        words = sorted(r["pattern"] for r in wanted.collect())
-        if words:
-            return spread(docs.select("doc", "text")).mapInArrow(_scan(words), "pattern string, doc long, idx long")
-    sizes = wanted.select(F.length("pattern").alias("n")).distinct()
-    wide = docs.filter(F.length("text") > 0).crossJoin(F.broadcast(sizes)).filter(F.length("text") >= F.col("n"))  # a row a distinct length
-    return wide.select("doc", "text", "n").mapInArrow(_substrings, "pattern string, doc long, idx long").join(wanted, "pattern").select("pattern", "doc", "idx")
+    lots = max(1, -(-2 * size // PATTERN_SYMBOLS)) if size > PATTERN_SYMBOLS else 1
+    rows, out = spread(docs.select("doc", "text")), None
+    for lot in range(lots):
+        words = sorted(r["pattern"] for r in wanted.filter(F.pmod(F.xxhash64("pattern"), F.lit(lots)) == lot).collect())
+        if words or out is None and lot == lots - 1:
+            found = rows.mapInArrow(_scan(words), "pattern string, doc long, idx long")
+            out = found if out is None else out.unionByName(found)
+    return out
 
 
 def _substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,11 +346,11 @@ def count_patterns(docs: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def refine(docs: DataFrame, prefix: str, depth: int = 1) -> DataFrame:
-    """(extension, first, last): rank intervals of the suffixes that begin with ``prefix``, by their next ``depth`` symbols."""
-    array = gsa(docs).join(docs, "doc")
-    head = F.substring("text", (F.col("idx") + 1).cast("int"), F.lit(len(prefix)))
-    nxt = F.substring("text", (F.col("idx") + 1 + len(prefix)).cast("int"), F.lit(depth))
-    return array.filter(head == prefix).groupBy(nxt.alias("extension")).agg(F.min("rnk").alias("first"), F.max("rnk").alias("last"))
+    """(extension, first, last): rank intervals of the suffixes that begin with ``prefix``, by their next ``depth`` symbols. Only occurrences of the prefix are looked at."""
+    there = locate(docs, docs.sparkSession.createDataFrame([(prefix,)], "pattern string")) if prefix else sym.suffixes(docs)
+    ranks = gsa(docs).join(there.select("doc", "idx"), ["doc", "idx"])
+    nxt = sym.snippets(ranks, docs, "doc", F.col("idx") + len(prefix), depth, "extension")
+    return nxt.groupBy("extension").agg(F.min("rnk").alias("first"), F.max("rnk").alias("last"))
 
 
 def longest_shared(docs: DataFrame, items: DataFrame, least: int) -> DataFrame:

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import collection_sort, kernels
-from ..plans.ranking import global_rank
+from ..plans.ranking import global_rank, running_total
 from ..plans.storage import materialise, spread
+from . import symbols as sym
 
 #: Bytes of a collection up to which every task gets all of it, and of the longest document.
 COLLECTION_BYTES, DOCUMENT_BYTES = 64 << 20, 256 << 10
@@ -80,24 +81,37 @@ def _prefixes(symbols: int, terminators: bool):
 
 
 def _double(ranked: DataFrame, h: int) -> list[tuple[int, DataFrame]]:
-    """Refines (doc, idx, rank, tied) by doubling until only equal suffixes share a rank. Returns the tables of all widths."""
-    history = [(h, ranked)]
-    while ranked.filter("tied").limit(1).count():
-        open_ = ranked.filter("tied")
-        after = ranked.select(F.col("doc").alias("_doc"), (F.col("idx") - h).alias("_idx"), (F.col("rank") + 1).alias("second"))
+    """Refines (doc, idx, rank, tied) by doubling until only equal suffixes share a rank. Returns the tables of all widths.
+
+    Tied suffixes are ordered by ranges of (rank, rank of what follows), so those that
+    share a long prefix are spread over tasks; what is settled is not written again.
+    """
+    settled = [ranked.filter("NOT tied")]
+    open_, history = ranked.filter("tied"), [(h, ranked)]
+    while open_.limit(1).count():
+        after = history[-1][1].select(F.col("doc").alias("_doc"), (F.col("idx") - h).alias("_idx"), (F.col("rank") + 1).alias("second"))
         # a suffix that ends inside its width has no second half and is smaller
         pairs = open_.join(after, (F.col("doc") == F.col("_doc")) & (F.col("idx") == F.col("_idx")), "left").select("doc", "idx", "rank", F.coalesce("second", F.lit(0).cast("long")).alias("second"))
-        group = Window.partitionBy("rank").orderBy("second")
-        moved = pairs.withColumn("new", F.col("rank") + F.rank().over(group) - 1)
-        same = F.count(F.lit(1)).over(Window.partitionBy("rank", "second"))
+        placed = materialise(global_rank(pairs, ["rank", "second"], rank="place"), "doubling")
+        groups = placed.groupBy("rank", "second").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("same"))
+        base = groups.groupBy("rank").agg(F.min("place").alias("base"))
+        moved = placed.select("doc", "idx", "rank", "second").join(groups.join(base, "rank"), ["rank", "second"])
         # suffixes that are tied and have both ended are equal, and stay so
-        moved = moved.withColumn("tied", (same > 1) & (F.col("second") > 0)).select("doc", "idx", F.col("new").alias("rank"), "tied")
-        ranked = materialise(ranked.filter("NOT tied").unionByName(moved), "doubling")
+        moved = materialise(moved.select("doc", "idx", (F.col("rank") + F.col("place") - F.col("base")).alias("rank"), ((F.col("same") > 1) & (F.col("second") > 0)).alias("tied")), "doubled")
+        open_ = moved.filter("tied")
         h *= 2
-        history.append((h, ranked))
+        history.append((h, _together([*settled, moved])))
+        settled.append(moved.filter("NOT tied"))
     return history
 
 
+def _together(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def _order_ties(ranked: DataFrame) -> DataFrame:
     """(rnk, idx, doc): equal suffixes by document."""
     place = F.row_number().over(Window.partitionBy("rank").orderBy("doc", "idx")) - 1
@@ -145,13 +159,12 @@ def gsa_lcp(docs: DataFrame, plan: str = "auto") -> DataFrame:
         # a shared rank means a shared prefix of this width where neither suffix ends inside it
         fits = (F.col("idx") + F.col("lcp") + h <= F.col("n")) & (F.col("i2") + F.col("lcp") + h <= F.col("n2"))
         pairs = materialise(there.withColumn("lcp", F.col("lcp") + F.when((F.col("ra") == F.col("rb")) & fits, F.lit(h)).otherwise(F.lit(0))).select("rnk", "idx", "doc", "d2", "i2", "lcp", "n", "n2"), "lcp")
-    text = docs.select("doc", "text")
-    ends = pairs.join(text.select("doc", F.col("text").alias("t1")), "doc").join(text.select(F.col("doc").alias("d2"), F.col("text").alias("t2")), "d2", "left")
     # what is left of the common prefix is shorter than the first width
-    cut = lambda t, i: F.coalesce(F.substring(F.col(t), (F.col(i) + F.col("lcp") + 1).cast("int"), F.lit(FIRST_SYMBOLS)), F.lit(""))
-    a, b = cut("t1", "idx"), cut("t2", "i2")
+    ends = sym.snippets(pairs, docs, "doc", F.col("idx") + F.col("lcp"), FIRST_SYMBOLS, "a")
+    ends = sym.snippets(ends, docs, "d2", F.col("i2") + F.col("lcp"), FIRST_SYMBOLS, "b")
+    a, b = F.col("a"), F.col("b")
     same = F.aggregate(F.sequence(F.lit(1), F.lit(FIRST_SYMBOLS)), F.lit(0), lambda n, k: F.when((n == k - 1) & (F.length(a) >= k) & (F.length(b) >= k) & (F.substring(a, k, F.lit(1)) == F.substring(b, k, F.lit(1))), k).otherwise(n))
-    return ends.select("rnk", "idx", "doc", (F.col("lcp") + F.coalesce(same, F.lit(0))).alias("lcp"))
+    return ends.select("rnk", "idx", "doc", (F.col("lcp") + same).alias("lcp"))
 
 
 def isa(array: DataFrame) -> DataFrame:
@@ -188,29 +201,39 @@ def per_document(docs: DataFrame) -> DataFrame:
     return spread(docs.select("doc", "text")).mapInArrow(_each(kernel, ["rnk", "pos"]), "doc long, rnk long, pos long")
 
 
+def _integer_history(values: DataFrame) -> list[tuple[int, DataFrame]]:
+    """Ranks (doc, idx, rank, tied) of all suffixes of (seq, pos, value) by their first 1, 2, 4, ... symbols; a suffix that ends is smaller."""
+    counts = values.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    starts = running_total(counts, ["value"], "n", "rank")
+    first = values.select(F.col("seq").alias("doc"), F.col("pos").alias("idx"), "value").join(starts, "value")
+    return _double(materialise(first.select("doc", "idx", "rank", (F.col("n") > 1).alias("tied")), "int-ranks"), 1)
+
+
+def integer_gsa(values: DataFrame) -> DataFrame:
+    """(rnk, seq, pos) from (seq, pos, value): all suffixes of all integer sequences in order, equal ones by sequence. Symbols of any width are the same case."""
+    return _order_ties(_integer_history(values)[-1][1]).select("rnk", F.col("doc").alias("seq"), F.col("idx").alias("pos"))
+
+
 def integer_suffix_array(values: DataFrame) -> DataFrame:
     """(seq, rnk, pos) from (seq, pos, value): suffix arrays of integer sequences of any length, by doubling on tables.
 
-    Symbols of any width are ranked first, so 16-bit symbols and long alphabets are the same case.
+    Each sequence's suffixes are numbered by their place in the order of all; no
+    sequence is sorted in one task.
     """
-    symbol = values.select("value").distinct()
-    ranked = global_rank(symbol, ["value"], row="rank")
-    first = values.join(ranked, "value").select(F.col("seq").alias("doc"), F.col("pos").alias("idx"), "rank")
-    # suffixes of one sequence never tie in the end, but different sequences may: each is ranked within itself
-    many = F.count(F.lit(1)).over(Window.partitionBy("doc", "rank")) > 1
-    place = F.rank().over(Window.partitionBy("doc").orderBy("rank")) - 1
-    table = materialise(first.withColumn("tied", many).withColumn("rank", place.cast("long")).select("doc", "idx", "rank", "tied"), "int-ranks")
-    h = 1
-    while table.filter("tied").limit(1).count():
-        after = table.select(F.col("doc").alias("_doc"), (F.col("idx") - h).alias("_idx"), (F.col("rank") + 1).alias("second"))
-        pairs = table.filter("tied").join(after, (F.col("doc") == F.col("_doc")) & (F.col("idx") == F.col("_idx")), "left").select("doc", "idx", "rank", F.coalesce("second", F.lit(0).cast("long")).alias("second"))
-        moved = pairs.withColumn("new", F.col("rank") + F.rank().over(Window.partitionBy("doc", "rank").orderBy("second")) - 1)
-        moved = moved.withColumn("tied", F.count(F.lit(1)).over(Window.partitionBy("doc", "rank", "second")) > 1).select("doc", "idx", F.col("new").cast("long").alias("rank"), "tied")
-        table = materialise(table.filter("NOT tied").unionByName(moved), "int-doubling")
-        h *= 2
-    return table.select(F.col("doc").alias("seq"), F.col("rank").alias("rnk"), F.col("idx").alias("pos"))
+    order = global_rank(materialise(integer_gsa(values), "int-gsa"), ["seq", "rnk"], row="place")
+    before = running_total(values.groupBy("seq").agg(F.count(F.lit(1)).alias("n")), ["seq"], "n", "before").select("seq", "before")
+    return order.join(before, "seq").select("seq", (F.col("place") - F.col("before")).alias("rnk"), "pos")
 
 
-def unique_suffixes(ranked: DataFrame) -> DataFrame:
-    """(n_unique): suffixes whose rank no other shares, from (rank)."""
-    return ranked.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") == 1).alias("n_unique"))
+def unique_suffixes(docs: DataFrame) -> DataFrame:
+    """(n_unique): suffixes of the collection that no other equals: those that are longer than what they share with both neighbours in order."""
+    array = gsa_lcp(docs)
+    after = array.select((F.col("rnk") - 1).alias("rnk"), F.col("lcp").alias("after"))
+    sizes = docs.select(F.col("doc").alias("_doc"), F.length("text").alias("n"))
+    rest = array.join(after, "rnk", "left").join(sizes, F.col("doc") == F.col("_doc")).select("lcp", F.coalesce("after", F.lit(0).cast("long")).alias("after"), (F.col("n") - F.col("idx")).alias("rest"), "rnk")
+    # the first has none before it; a suffix that is a prefix of the next one differs from it if that is longer
+    equal_before = (F.col("rnk") > 0) & (F.col("lcp") == F.col("rest"))
+    longer = array.join(sizes, F.col("doc") == F.col("_doc")).select((F.col("rnk") - 1).alias("_r"), (F.col("n") - F.col("idx")).alias("rest_after"))
+    rows = rest.join(longer, F.col("rnk") == F.col("_r"), "left")
+    equal_after = (F.col("after") == F.col("rest")) & F.coalesce(F.col("rest_after") == F.col("rest"), F.lit(False))
+    return rows.agg(F.count_if(~equal_after & ~equal_before).alias("n_unique"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,6 +27,31 @@ def suffix_at(docs: DataFrame, places: DataFrame) -> DataFrame:
     return places.join(docs, "doc").select("doc", "idx", F.substring("text", F.col("idx").cast("int") + 1, F.length("text")).alias("suffix"))
 
 
+def _pieces(step: int, width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for at in range(0, len(text), 4096 * step):
+                    cut = [text[i : i + step + width] for i in range(at, min(len(text), at + 4096 * step), step)]
+                    yield pa.RecordBatch.from_arrays([pa.array([doc] * len(cut), pa.int64()), pa.array(range(at // step, at // step + len(cut)), pa.int64()), pa.array(cut, pa.string())], names=["_doc", "_block", "_piece"])
+
+    return run
+
+
+def snippets(places: DataFrame, docs: DataFrame, doc: str, at: Column, width: int, into: str) -> DataFrame:
+    """``places`` with ``into``: up to ``width`` symbols from place ``at`` of the document in column ``doc``; empty behind its end and for nulls.
+
+    Texts are cut into pieces that overlap by ``width`` and joined by their number, so
+    that no row ever carries a whole text.
+    """
+    step = max(width, 64)
+    pieces = docs.select("doc", "text").mapInArrow(_pieces(step, width), "_doc long, _block long, _piece string")
+    block = F.floor(at / F.lit(step)).cast("long")
+    found = places.withColumn("_at", at).withColumn("_of", block).join(pieces, (F.col(doc) == F.col("_doc")) & (F.col("_of") == F.col("_block")), "left")
+    cut = F.substring("_piece", (F.col("_at") - F.col("_of") * step + 1).cast("int"), F.lit(width))
+    return found.withColumn(into, F.coalesce(cut, F.lit(""))).drop("_at", "_of", "_doc", "_block", "_piece")
+
+
 def histogram(docs: DataFrame) -> DataFrame:
     """(symbol, n); counted before it is shuffled."""
     return docs.select(F.explode(F.split("text", "")).alias("symbol")).filter("symbol <> ''").groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
@@ -36,12 +64,28 @@ def bigrams(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(pairs).alias("p")).filter("p.next is not null").groupBy("p.symbol", "p.next").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _runs(docs: DataFrame) -> DataFrame:
+    """(doc, symbol, start, length, before, after): maximal runs of one symbol and the symbols beside them; all inside the document's row."""
+    found = F.expr(r"regexp_extract_all(text, '(?s)(.)\\1*+', 0)")
+    return docs.select("doc", found.alias("r")).mapInArrow(_placed_runs, "doc long, symbol string, start long, length long, before string, after string")
+
+
+def _placed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import numpy as np
+
+    for batch in batches:
+        for doc, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            length, symbol = np.array([len(x) for x in found], np.int64), [x[0] for x in found]
+            ends = np.cumsum(length)
+            sides = [pa.array([None, *symbol[:-1]], pa.string()), pa.array([*symbol[1:], None], pa.string())] if found else [pa.array([], pa.string())] * 2
+            out = pa.RecordBatch.from_arrays([pa.array([doc] * len(found), pa.int64()), pa.array(symbol, pa.string()), pa.array(ends - length), pa.array(length), *sides], names=["doc", "symbol", "start", "length", "before", "after"])
+            for at in range(0, len(found), 100_000):
+                yield out.slice(at, 100_000)
+
+
 def runs(docs: DataFrame) -> DataFrame:
     """(doc, symbol, start, length): maximal runs of one symbol, found inside the document's row."""
-    found = F.expr(r"regexp_extract_all(text, '(?s)(.)\\1*+', 0)")
-    listed = docs.select("doc", F.posexplode(found).alias("k", "run"))
-    start = F.sum(F.length("run")).over(Window.partitionBy("doc").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
-    return listed.select("doc", F.left("run", F.lit(1)).alias("symbol"), F.coalesce(start, F.lit(0)).cast("long").alias("start"), F.length("run").cast("long").alias("length"))
+    return _runs(docs).select("doc", "symbol", "start", "length")
 
 
 def max_runs(docs: DataFrame) -> DataFrame:
@@ -63,10 +107,8 @@ def suffix_types(docs: DataFrame) -> DataFrame:
     A suffix's type is decided by the first different symbol after its own, which is
     the one at the end of its run: runs are found in the row and only they are windowed.
     """
-    found = runs(docs)
-    over = Window.partitionBy("doc").orderBy("start")
-    after, before = F.lead("symbol").over(over), F.lag("symbol").over(over)
-    typed = found.select("doc", "start", "length", F.when(after > F.col("symbol"), "S").otherwise("L").alias("type"), (before > F.col("symbol")).alias("falls"))
+    after, before = F.col("after"), F.col("before")
+    typed = _runs(docs).select("doc", "start", "length", F.when(after > F.col("symbol"), "S").otherwise("L").alias("type"), (before > F.col("symbol")).alias("falls"))
     listed = typed.select("doc", "type", "falls", "start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1)).alias("k"))
     lms = (F.col("type") == "S") & (F.col("k") == 0) & F.coalesce("falls", F.lit(False))
     return listed.select("doc", (F.col("start") + F.col("k")).alias("idx"), "type", lms.alias("is_lms"))
@@ -79,9 +121,7 @@ def lms_suffixes(docs: DataFrame) -> DataFrame:
 
 def lms_per_symbol(docs: DataFrame) -> DataFrame:
     """(symbol, n): leftmost S suffixes by first symbol, and their total with a null symbol."""
-    found = runs(docs)
-    over = Window.partitionBy("doc").orderBy("start")
-    s = found.withColumn("after", F.lead("symbol").over(over)).withColumn("before", F.lag("symbol").over(over)).filter("after > symbol AND before > symbol")
+    s = _runs(docs).filter("after > symbol AND before > symbol")
     return s.rollup("symbol").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -9,9 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..plans.ranking import running_total
+from ..plans.ranking import global_rank, running_total
 from ..plans.storage import materialise
 
 #: The byte that parts documents of a raw collection, and what is trimmed behind a raw reference.
@@ -34,9 +33,13 @@ def is_fasta(spark: SparkSession, path: str) -> bool:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(part, k, line): lines in file order; a last line without newline is a line."""
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("k"), F.rtrim("value", F.lit("\r")).alias("line"))
-    return materialise(rows, "lines")
+    """(k, line): lines in the order of files by path, and in file order within each; a last line without newline is a line.
+
+    Spark packs splits into partitions by size, so a line's place is that of its file,
+    then of its split in the file, then of its row among the rows of its partition.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.rtrim("value", F.lit("\r")).alias("line"))
+    return global_rank(materialise(rows, "rows"), ["file", "block", "row"], row="k").select("k", "line")
 
 
 def fasta(spark: SparkSession, path: str, blank_ends_record: bool = False) -> DataFrame:
@@ -46,7 +49,7 @@ def fasta(spark: SparkSession, path: str, blank_ends_record: bool = False) -> Da
     if there are any. With ``blank_ends_record`` a blank line also ends a record: what
     follows has no header.
     """
-    lines = _lines(spark, path)
+    lines = materialise(_lines(spark, path), "lines")
     head, blank = F.col("line").startswith(">"), F.col("line") == ""
     starts = (head | (blank & F.lit(blank_ends_record))).cast("long")
     numbered = running_total(lines.withColumn("starts", starts), ["k"], "starts", "before").withColumn("rec", F.col("before") + F.col("starts"))
@@ -56,8 +59,6 @@ def fasta(spark: SparkSession, path: str, blank_ends_record: bool = False) -> Da
     if not blank_ends_record:
         return headers.join(texts, "rec", "full").select(F.col("rec").alias("doc"), "header", F.coalesce("text", F.lit("")).alias("text"))
     # blank lines leave gaps in the numbers: documents are numbered by those that have a header or text
-    from ..plans.ranking import global_rank
-
     kept = headers.join(texts, "rec", "full").select("rec", "header", F.coalesce("text", F.lit("")).alias("text"))
     return global_rank(kept, ["rec"], row="n").select((F.col("n") + 1).alias("doc"), "header", "text")
 
@@ -80,9 +81,12 @@ def raw_reference(spark: SparkSession, path: str) -> DataFrame:
 
 
 def raw_collection(spark: SparkSession, path: str) -> DataFrame:
-    """(doc, text) of a file whose documents are parted by the separator byte, numbered from 1; a last empty piece is none."""
-    pieces = _whole(spark, path).select(F.posexplode(F.split("text", SEPARATOR)).alias("k", "text"), F.size(F.split("text", SEPARATOR)).alias("n"))
-    return pieces.filter((F.col("k") < F.col("n") - 1) | (F.col("text") != "")).select((F.col("k") + 1).cast("long").alias("doc"), "text")
+    """(doc, text) of files whose documents are parted by the separator byte, numbered from 1 in the order of files; a last empty piece is none.
+
+    The separator is the line end of a splittable read, so a file is no single row.
+    """
+    rows = spark.read.option("lineSep", SEPARATOR).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("text"))
+    return global_rank(materialise(rows, "pieces"), ["file", "block", "row"], row="k").select((F.col("k") + 1).alias("doc"), "text")
 
 
 def read_reference(spark: SparkSession, path: str) -> DataFrame:

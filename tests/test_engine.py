@@ -135,7 +135,7 @@ def test_a_text_matches_itself_whole(docs_of):
     assert matching.heads(matching.matching_statistics(docs_of(["mississippi"]), docs_of(["mississippi"]))).count() >= 1
 
 
-@pytest.mark.parametrize("bound", [None, 0])
+@pytest.mark.parametrize("bound", [None, 2])
 def test_patterns(spark, docs_of, monkeypatch, bound):
     if bound is not None:
         monkeypatch.setattr(matching, "PATTERN_SYMBOLS", bound)
@@ -174,3 +174,61 @@ def test_unique_prefix_and_repeat(docs_of):
     assert rows(lcp.longest_repeat(docs), "len", "substring") == [(3, "ana")]
     assert lcp.longest_repeat(docs_of(["abc"])).count() == 0
     assert rows(lcp.exact_duplicates(docs_of(["a", "b", "a", "", ""])), "doc", "dup_of") == [(2, 0)]
+
+
+def _brute_below(values, at, bound, backward):
+    places = [i for i, v in enumerate(values) if v < bound and (i <= at if backward else i >= at)]
+    return (max if backward else min)(places, default=-1)
+
+
+def test_nearest_below_over_parts_of_parts(spark):
+    r = random.Random(2)
+    values = [r.choice([1, 3, 5, 9]) for _ in range(90)] + list(range(40, 0, -1)) + [r.randint(0, 50) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(values)), "i long, value long")
+    asked = sorted({(r.randrange(len(values)), r.randint(0, 12)) for _ in range(150)})
+    q = spark.createDataFrame(asked, "at long, bound long")
+    for backward in (True, False):
+        found = {(x["at"], x["bound"]): x["found"] for x in ranges.nearest_below(df, q, backward, part=4).collect()}
+        assert found == {(a, b): _brute_below(values, a, b, backward) for a, b in asked}
+
+
+def test_order_by_matches_is_the_order_of_texts(spark, docs_of):
+    r = random.Random(6)
+    texts = ["".join(r.choice("ab") for _ in range(r.randint(0, 40))) for _ in range(8)] + ["abab" * 8, "abab" * 8, "zab"]
+    docs, reference = docs_of(texts), docs_of(["abbaabababbaab"])
+    ms = matching.matching_statistics(reference, docs)
+    found = {(x["doc"], x["idx"]): x["rank"] for x in matching.order_by_matches(ms, sa.isa(sa.gsa(reference))).collect()}
+    suffixes = {(d, i): t[i:] for d, t in enumerate(texts) for i in range(len(t))}
+    order = sorted(suffixes.values())
+    assert found == {k: order.index(s) for k, s in suffixes.items()}
+
+
+def test_checks_find_what_is_out_of_order(spark, docs_of):
+    long = "x" * 300
+    docs = docs_of([long + "a", long + "b"])
+    array = sa.gsa(docs)
+    assert tuple(validate.check_order(docs, array).first()) == (602, 0, 0)
+    swapped = array.withColumn("doc", F.when(F.col("idx") == 0, 1 - F.col("doc")).otherwise(F.col("doc")))
+    assert validate.check_order(docs, swapped).first()["violations"] == 1
+    heads = spark.createDataFrame([(0, 1, 0), (1, 0, 0), (2, 0, 300)], "rnk long, doc long, idx long")
+    assert validate.check_heads_order(docs, heads).first()["violations"] == 2
+    ms = spark.createDataFrame([(0, 0, 0, 300, False, "a"), (0, 1, 0, 299, True, "a"), (1, 300, 1, 1, True, None)], "doc long, idx long, pos long, len long, smaller boolean, next string")
+    assert tuple(validate.check_heads(ms, docs, docs_of([long + "a"])).first()) == (3, 2)
+
+
+def test_doubling_of_a_long_repeat_and_of_integers(spark, docs_of):
+    docs = docs_of(["ab" * 60, "b" * 50, "ab" * 60])
+    assert rows(sa.gsa(docs, plan="doubling"), "rnk", "idx", "doc") == rows(sa.gsa(docs), "rnk", "idx", "doc")
+    assert rows(sa.gsa_lcp(docs, plan="doubling"), "rnk", "lcp") == rows(sa.gsa_lcp(docs), "rnk", "lcp")
+    seqs = {0: [5, 5, 5, 7], 1: [5, 5], 2: [], 3: [2, 7, 2, 7]}
+    df = spark.createDataFrame([(s, p, v) for s, x in seqs.items() for p, v in enumerate(x)], "seq long, pos long, value long")
+    suffixes = sorted((x[p:], s, p) for s, x in seqs.items() for p in range(len(x)))
+    assert rows(sa.integer_gsa(df), "rnk", "seq", "pos") == [(k, s, p) for k, (_, s, p) in enumerate(suffixes)]
+    each = [(s, k, p) for s, x in seqs.items() for k, p in enumerate(sorted(range(len(x)), key=lambda p: x[p:]))]
+    assert rows(sa.integer_suffix_array(df), "seq", "rnk", "pos") == sorted(each)
+
+
+def test_unique_suffixes(spark, docs_of):
+    texts = ["banana", "ana", "bandana", "", "ana"]
+    every = [t[i:] for t in texts for i in range(len(t))]
+    assert sa.unique_suffixes(docs_of(texts)).first()["n_unique"] == sum(every.count(s) == 1 for s in every)

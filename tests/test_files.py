@@ -80,3 +80,24 @@ def test_streams(spark, docs_of, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert len(seen) == 4
+
+
+def test_records_are_in_the_order_of_files(spark, tmp_path):
+    """Small files first by name, a large one later: Spark reads the large one first."""
+    texts = ["a", "bc", "x" * 50, "y" * 5000, "z" * 200_000, "q"]
+    for k, t in enumerate(texts):
+        (tmp_path / f"{k}.fa").write_text(f">h{k}\n" + "\n".join(t[i : i + 70] for i in range(0, len(t), 70)) + "\n")
+    found = sorted((r["doc"], r["header"], r["text"]) for r in readers.fasta(spark, f"file://{tmp_path}").collect())
+    assert found == [(k + 1, f"h{k}", t) for k, t in enumerate(texts)]
+    assert readers.fasta_reference(spark, f"file://{tmp_path}").first()["text"] == "".join(texts)
+
+
+def test_raw_documents_of_a_split_file(spark, tmp_path):
+    texts = [f"{i}" * (i % 50) for i in range(3000)]
+    (tmp_path / "c.raw").write_text("\x02".join(texts) + "\x02")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        found = sorted(map(tuple, readers.raw_collection(spark, f"file://{tmp_path}/c.raw").collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == [(i + 1, t) for i, t in enumerate(texts)]
