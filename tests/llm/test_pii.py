@@ -86,3 +86,73 @@ def test_query_on_awkward_rows(spark, corpus, empty):
     assert pii.find_personal_data(empty).count() == 0
     written = hashlib.sha256(b"").hexdigest()
     assert out.select(F.sha2(pii._written(pii._base()), 256).alias("x")).filter(F.col("x") == written).count() > 100
+
+
+def scored(texts, rounds=pii.ROUNDS):
+    """The graph scoring in plain loops, for texts of words of which at most one is an identifier: {text number: kind} of what is discovered."""
+    from math import sqrt
+
+    seen, totals = [], {}
+    for at, text in enumerate(texts):
+        words = text.lower().split(" ")
+        for g in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))]:
+            totals[g] = totals.get(g, 0) + 1
+        for k, w in enumerate(text.split(" ")):
+            kind = "ip" if re.fullmatch(r"\d+\.\d+\.\d+\.\d+", w) else "secret" if re.fullmatch("[0-9a-f]{32}", w) else "candidate" if re.fullmatch(r"(?=.*\d.*\d.*\d)\w{5,}", w) else None
+            if kind:
+                beside = {"left": words[k - 1 : k], "right": words[k + 1 : k + 2], "left2": words[k - 2 : k] if k > 1 else [], "right2": words[k + 1 : k + 3] if k + 2 < len(words) else []}
+                seen.append((at, kind, w.lower(), [(s, " ".join(x)) for s, x in beside.items() if x]))
+    belief = {(v, k): 1.0 for _, k, v, _ in seen if k != "candidate"}
+    lead = {}
+    for _ in range(rounds):
+        worth = {}
+        for p in {p for *_, ps in seen for p in ps}:
+            near = [(v, k) for _, k, v, ps in seen if p in ps]
+            mass, n = sum(belief.get(x, 0.0) for x in near), totals[p[1]]
+            if len({x for x in near if belief.get(x, 0) >= pii.MIN_CONFIDENCE}) < pii.MIN_SUPPORT or len({x for x in near if x[1] != "candidate"}) < pii.MIN_SUPPORT:
+                continue
+            share, z = min(mass / n, 1.0), pii.CHANCE
+            low = (share + z * z / (2 * n) - z * sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+            if low >= pii.MIN_CONFIDENCE:
+                by_kind = {k: sum(belief[x] for x in near if x[1] == k) for k in pii.SEEDS}
+                worth[p] = (low, max(pii.SEEDS, key=lambda k: (by_kind[k], -pii.SEEDS.index(k))))
+        if not worth:
+            return {}
+        belief = {x: b for x, b in belief.items() if x[1] != "candidate"}
+        lead = {}
+        for v in {v for _, k, v, _ in seen if k == "candidate"}:
+            beside = {p for _, k, x, ps in seen if (x, k) == (v, "candidate") for p in ps if p in worth}
+            doubt = 1.0
+            for p in beside:
+                doubt *= max(1 - worth[p][0], 1e-9)
+            if 1 - doubt >= pii.MIN_CONFIDENCE:
+                belief[(v, "candidate")] = 1 - doubt
+                lead[v] = max((worth[p][0], -pii.SEEDS.index(worth[p][1]), worth[p][1]) for p in beside)[2]
+    return {at: lead[v] for at, k, v, _ in seen if k == "candidate" and v in lead}
+
+
+def test_graph_scoring_against_plain_loops(spark):
+    r = random.Random(12)
+    cues = {"ip": ["host", "server at"], "secret": ["token =", "key"]}
+    made = {"ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)), "secret": lambda: "0a" + "".join(r.choice("0123456789abcdef") for _ in range(30))}
+    common = "the of and was is for with".split()
+    texts = []
+    for _ in range(400):
+        kind = r.choice(["ip", "secret"])
+        what = made[kind]() if r.random() < 0.6 else f"id{r.randint(10**5, 10**5 + 60)}x"
+        before = r.choice(cues[kind]) if r.random() < 0.8 else r.choice(common)
+        texts.append(" ".join([r.choice(common), before, what, r.choice(common), r.choice(common)]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for rounds in (0, 1, 3):
+        scanned = pii.scan(df)
+        found = {x["doc_id"]: x["kind"] for x in pii.discover(df, scanned, rounds=rounds).collect()}
+        assert found == (scored(texts, rounds) if rounds else {})
+        assert bool(found) == bool(rounds)
+
+
+def test_a_secret_in_another_form_is_found_by_its_pattern(spark):
+    r = random.Random(1)
+    rows = [(i, f'some prose here token = "{"".join(r.choice("0123456789abcdef") for _ in range(40))}" and more') for i in range(9)]
+    rows += [(50, 'TOKEN = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"!! END'), (51, "version 9233A8ECF7 of it")]
+    out = {x["doc_id"]: x["spans"] for x in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [tuple(s) for s in out[50]] == [("secret", 9, 49)] and out[51] == []
