@@ -103,10 +103,11 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: float = M
     return outer.unionByName(inner).select("doc_id", "source", "size", "source_size", "target", repeats.alias("repeats"), (F.col("size") * repeats).alias("taken"), *carry)
 
 
-def repeat_documents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """``docs`` with each row as often as ``mixed`` says; ids must be unique in both."""
-    plan = mixed.filter(F.col("repeats") > 0).select(F.col("doc_id").alias("_doc"), "repeats")
-    return docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_doc"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select(*docs.columns)
+def repeat_documents(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with each row as often as ``mix`` takes it: repeats are repeated rows. Ids may repeat or be null, as every row carries its own plan; rows taken no time are left out."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    mixed = mix(docs.withColumn("_mixed_row", row), carry=("_mixed_row",), **options).filter(F.col("repeats") > 0)
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select("_mixed_row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

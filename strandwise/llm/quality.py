@@ -21,6 +21,8 @@ TRUSTED_DOCUMENTS = 20_000
 THRESHOLD = -0.05
 #: Weight of the corpus's own shares in the target's, in mean occurrences a bucket: few trusted texts make mild ratios, not noisy ones.
 SMOOTHING = 20.0
+#: Names of columns that are there only while a table is scored.
+_OWN = ("_quality_facts", "_quality_ratios")
 _POSITION_BITS = 20
 _SYMBOLS = r"[#*$%&|<>]"
 
@@ -114,21 +116,22 @@ def score_quality(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, t
 
     Null text has no words and fails the plain rules. Ties with the threshold are
     kept. Ids may repeat or be null: nothing is joined by them but the trusted
-    set. Input columns named like a result are replaced. An empty table gives no rows.
+    set. Input columns named like a result, or like _OWN, are replaced. An empty table gives no rows.
     """
     ratios = bucket_log_ratios(docs, trusted, buckets, text_col, id_col)
-    weights = docs.sparkSession.createDataFrame([(ratios,)], "_ratios array<double>")  # one row of `buckets` numbers
-    given = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept", "_f").crossJoin(F.broadcast(weights))
+    given = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept", *_OWN)
+    weights = docs.sparkSession.createDataFrame([(ratios,)], f"{_OWN[1]} array<double>")  # one row of `buckets` numbers
+    given = given.crossJoin(F.broadcast(weights))
     counts = text_counts(text_col)
 
     def facts(w):
-        total = F.aggregate(gram_buckets(text_col, buckets), F.lit(0.0), lambda s, b: s + F.get(F.col("_ratios"), b))
+        total = F.aggregate(gram_buckets(text_col, buckets), F.lit(0.0), lambda s, b: s + F.get(F.col(_OWN[1]), b))
         chars = F.length(F.array_join(w, "")).cast("long")
         return F.struct(F.size(w).cast("long").alias("n_words"), chars.alias("word_chars"), _repeated_words(w).alias("n_repeat_words"), (total / F.greatest(F.lit(1), 2 * F.size(w))).alias("llr"))
 
-    out = given.withColumn("_f", let(words_of(text_col), facts)).withColumns(counts | {k: F.col("_f")[k] for k in ("n_words", "word_chars", "n_repeat_words", "llr")})
+    out = given.withColumn(_OWN[0], let(words_of(text_col), facts)).withColumns(counts | {k: F.col(_OWN[0])[k] for k in ("n_words", "word_chars", "n_repeat_words", "llr")})
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(threshold))).drop("_f", "_ratios")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(threshold))).drop(*_OWN)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

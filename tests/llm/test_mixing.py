@@ -72,6 +72,12 @@ def test_given_weights_and_no_words(spark):
 
 
 def test_repeats_are_rows(spark):
-    df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "doc_id long, text string")
-    plan = spark.createDataFrame([(1, 3), (2, 0), (None, 1)], "doc_id long, repeats long")
-    assert sorted(r["text"] for r in mixing.repeat_documents(df, plan).collect()) == ["a", "a", "a", "c"]
+    """Rows that share an id are repeated each as its own plan says, and a source's words stay near its target."""
+    rows = [(1, "a b", "x", 7), (1, "a b", "x", 8), (1, "c", "x", 9), (None, "d e f", "x", 1), (None, None, None, 2), (3, " ".join("w" * 40), "y", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, repeats long")
+    out = mixing.repeat_documents(df)
+    assert out.columns == df.columns
+    found = sorted(map(str, out.collect()))
+    assert found == sorted(map(str, mixing.repeat_documents(df.repartition(3)).collect()))
+    words = sum(len((r["text"] or "").split()) for r in out.collect() if r["source"] == "x")
+    assert words == sum(r["size"] for r in mixing.mix(df).filter("source = 'x'").select((F.col("taken")).alias("size")).collect())

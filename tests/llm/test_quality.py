@@ -92,3 +92,9 @@ def test_verdicts_separate(spark):
 
 def test_empty(spark, empty):
     assert quality.score_quality(empty, empty.select("doc_id")).count() == 0
+
+
+def test_columns_by_the_names_of_its_own(spark):
+    df = spark.createDataFrame([(1, "some words here", 5, "x")], "doc_id long, text string, _ratios long, kept string")
+    out = quality.score_quality(df, df.select("doc_id"))
+    assert out.first()["_ratios"] == 5 and out.first()["kept"] is False
