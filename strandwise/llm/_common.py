@@ -102,6 +102,19 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def release() -> None:
+    """Gives memory that a task no longer uses back to the system: Python workers live on and share their executor's bound."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no such call on this system
+        return
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, bytes_a_core: int = 16 << 20) -> DataFrame:
     """A table; one that comes in fewer partitions than there are cores, and is small, is dealt to all cores."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -15,8 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from ._common import release
+
 #: Words are cut as bytes: only white space of one byte splits, other spaces are left to the tokenizer.
-_CACHE_WORDS = 600_000
+_CACHE_WORDS = 300_000
 #: Characters of text that are encoded together.
 _LOT = 1_000_000
 #: Marks that the splitting rule cuts off a word's last letter, all together.
@@ -109,6 +111,7 @@ class Encoder:
                     yield from zip(keys, self.encode_all(texts, end))
                     keys, texts, size = [], [], 0
         yield from zip(keys, self.encode_all(texts, end))
+        release()
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
