@@ -1,47 +1,52 @@
 """Language-model scores from an n-gram trie with Elias-Fano levels.
 
-The model is an interpolated bigram model over whole words. Its trie has two levels.
-Level one holds the words as 64-bit hashes in order, level two holds for each word
-the words seen after it. Both are Elias-Fano coded: the high parts of the rising
-keys as a unary bit vector, the low parts as fixed-width integers. On level two the
-key is (index of the context, hash of the word), so that its unary part is at once
-the list of pointers into the level, and a query searches only among the successors
-of its context. Discounted probabilities and back-off weights are quantised to one
-byte. Shards of the trie are files that scoring tasks map into memory.
-
-Training counts are gathered in two steps: each task merges its own counts, keys are
-dealt by context and a salt of the word, so that a frequent context meets in no
-single task, and what is left after pruning is dealt by context alone. Hashes stand
-for words throughout; only equal texts are taken for equal but for collisions of 64
-bits (words) and about 40 bits (contexts of the second level).
+The model is an interpolated trigram model over whole words, without pruning. It is cut
+into bins by context, and a bin is a trie by itself: the words of its n-grams as hashes,
+for each word the words seen after it, for each word the words seen before it (the
+contexts of trigrams), and for each such pair the words seen after it. All four levels
+are Elias-Fano coded: the first by the high bits of its hashes, the others by their
+parents, whose unary part is at once the list of monotone pointers into the level, with
+word ids of as few bits as the bin needs as low parts. A query searches only among the
+successors of its context. Discounted probabilities and back-off weights are quantised
+to one byte, and tasks map a bin's levels into memory.
+
+No task and no executor holds more of the model than the bin it works on: tokens go to
+the bin of their context, with the number of their document, and what comes back is one
+sum for each document and bin. Training and scoring take the same way, and where the
+scored table holds the training documents they take it once. A context too frequent for
+one task is dealt to several bins by the word before it; what they need to know of its
+successors is counted beforehand.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
-import os
+import mmap
+import tempfile
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import read_table, save
+from ._common import read_table, release, save
 from .langid import fold
 
-#: Bigrams seen less often are left to the back-off; discount of the rest; bytes of text a shard of the trie; salts of each shard's counts.
-MIN_COUNT, DISCOUNT, SHARD_TEXT, SALTS = 2, 0.75, 128 << 20, 8
+#: Discount of every count; bytes of text a bin; tokens that a task sends together; tokens of one context beyond which it is dealt to several bins.
+DISCOUNT, BIN_TEXT, LOT_TOKENS, HOT_TOKENS = 0.75, 24 << 20, 4_000_000, 4_000_000
+#: Bytes of the coded vocabulary up to which all tasks hold it; beyond, words meet their counts in a join.
+VOCABULARY_BYTES = 64 << 20
 #: White space cannot be a word, so these two stand apart from all words.
 END, BEGIN = b" ", b"\n"
-_TOKENS, _ENTRIES = 1_000_000, 4_000_000
-_U32 = np.uint64(32)
-_LOW32 = np.uint64(0xFFFFFFFF)
-
-
-# ---- tokens of a block of documents
+TOKENS, TRIE, SUCCESSORS, DOCS = range(4)
+SENT = "bin int, kind int, lot long, data binary"
+_CHUNK = 1 << 16
+#: Steps of a log10 in which a bin's sums for a document are sent.
+_STEPS = 10_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -54,230 +59,168 @@ def _hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word)
 
 
-class Block:
-    """Tokens of several documents: distinct hashes, and the documents as indexes into them, each with its end."""
-
-    def __init__(self, texts: list[str | None]):
-        tokens: list[bytes] = []
-        lengths = []
-        for text in texts:
-            words = words_of(text)
-            tokens += words
-            tokens.append(END)
-            lengths.append(len(words) + 1)
-        place = {w: i for i, w in enumerate(dict.fromkeys(tokens))}
-        self.begin = place.setdefault(BEGIN, len(place))
-        self.hashes = np.array([_hash(w) for w in place], dtype=np.uint64)
-        self.tokens = np.fromiter(map(place.__getitem__, tokens), np.int64, len(tokens))
-        self.lengths = np.array(lengths, dtype=np.int64)
-        self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1])).astype(np.int64)
-        self.before = np.empty_like(self.tokens)
-        self.before[1:] = self.tokens[:-1]
-        self.before[self.starts] = self.begin
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[list, list]]:
-    """Documents in lots of about _TOKENS words: (other columns, texts); the text is the last column."""
-    rows, texts, size = [], [], 0
-    for batch in batches:
-        for row in zip(*(batch.column(i) for i in range(columns))):
-            text = row[-1].as_py()
-            rows.append([x.as_py() for x in row[:-1]])
-            texts.append(text)
-            size += len(text or "") // 6 + 1
-            if size >= _TOKENS:
-                yield rows, texts
-                rows, texts, size = [], [], 0
-    if texts:
-        yield rows, texts
+def _hashes(words) -> np.ndarray:
+    return np.fromiter(map(_hash, words), np.uint64, len(words))
 
 
-# ---- counts
+# ---- numbers as bytes
 
 
-def _merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return keys, counts
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], np.add.reduceat(counts, first)
+def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
+    """Numbers of ``width`` bits each, one after another, and eight bytes that reads may run into."""
+    parts = []
+    for at in range(0, len(values) if width else 0, _CHUNK):
+        part = values[at : at + _CHUNK].astype("<u8")
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :width]
+        parts.append(np.packbits(bits.ravel(), bitorder="little"))
+    return np.concatenate([*parts, np.zeros(8, np.uint8)])
 
 
-def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Keys, one byte of each count, and the counts that need more."""
-    large = np.flatnonzero(counts >= 255)
-    return b"".join((np.array([len(keys), len(large)], "<u8").tobytes(), keys.astype("<u8").tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes(), large.astype("<u8").tobytes(), counts[large].astype("<u8").tobytes()))
+def read_bits(data: np.ndarray, width: int, index: np.ndarray) -> np.ndarray:
+    """The numbers at ``index``; ``width`` is at most 56."""
+    if not width:
+        return np.zeros(len(index), np.uint64)
+    at = index.astype(np.int64) * width
+    window = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)[at >> 3]).view("<u8").ravel()
+    return window >> (at & 7).astype(np.uint64) & np.uint64((1 << width) - 1)
 
 
-def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, m = np.frombuffer(data, "<u8", 2).tolist()
-    keys = np.frombuffer(data, "<u8", n, 16)
-    counts = np.frombuffer(data, np.uint8, n, 16 + 8 * n).astype(np.int64)
-    at = np.frombuffer(data, "<u8", m, 16 + 9 * n).astype(np.int64)
-    counts[at] = np.frombuffer(data, "<u8", m, 16 + 9 * n + 8 * m).astype(np.int64)
-    return keys, counts
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of non-negative numbers, or of doubles: as many bytes a number as the largest needs, byte by byte, compressed."""
+    import zstandard
 
+    head, parts = [], []
+    for x in arrays:
+        if x.dtype == np.float64:
+            width = -8
+        else:
+            width = max(1, -(-int(x.max() if len(x) else 0).bit_length() // 8))
+        planes = np.ascontiguousarray(x.astype("<f8" if width < 0 else "<u8")).view(np.uint8).reshape(-1, 8)
+        head.append((len(x), width))
+        parts.append(np.ascontiguousarray(planes[:, : abs(width)].T).tobytes())
+    header = np.array(head, "<i8").tobytes()
+    return len(head).to_bytes(2, "little") + zstandard.ZstdCompressor(level=1).compress(header + b"".join(parts))
 
-def _all(rows: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    parts = [_unpacked(x) for x in rows]
-    if not parts:
-        return np.array([], np.uint64), np.array([], np.int64)
-    return _merge(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
 
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    import zstandard
 
-def _shard(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+    n, raw = int.from_bytes(data[:2], "little"), zstandard.ZstdDecompressor().decompress(data[2:])
+    out, at = [], 16 * n
+    for length, width in np.frombuffer(raw, "<i8", 2 * n).reshape(-1, 2).tolist():
+        planes = np.zeros((length, 8), np.uint8)
+        planes[:, : abs(width)] = np.frombuffer(raw, np.uint8, length * abs(width), at).reshape(abs(width), length).T
+        out.append(planes.view("<f8" if width < 0 else "<u8").ravel())
+        at += length * abs(width)
+    return out
 
 
-def _count(bits: int):
-    """Rows (bin, kind, data): counts of one task. kind 0: words; kind 1: pairs, as 32 bits of context and 32 of word."""
-    salt = np.uint64(SALTS)
+# ---- Elias-Fano
 
-    def rows(words: dict, pairs: dict) -> Iterator[pa.RecordBatch]:
-        for kind, held in ((0, words), (1, pairs)):
-            for shard in sorted(held):
-                keys, counts = _merge(*(np.concatenate(x) for x in zip(*held[shard])))
-                by_salt = keys % salt
-                for s in range(SALTS):
-                    mine = by_salt == np.uint64(s)
-                    if mine.any():
-                        yield pa.RecordBatch.from_arrays([pa.array([shard * SALTS + s], pa.int32()), pa.array([kind], pa.int32()), pa.array([_packed(keys[mine], counts[mine])], pa.binary())], names=["bin", "kind", "data"])
 
-    def add(held: dict, shards: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> int:
-        for shard in np.unique(shards).tolist():
-            mine = shards == shard
-            held.setdefault(shard, []).append((keys[mine], counts[mine]))
-        return len(keys)
+class EliasFano:
+    """Rising keys (bucket, low part): the buckets in unary, the low parts in ``width`` bits each."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs, size = {}, {}, 0
-        for _, texts in _blocks(batches, 1):
-            block = Block(texts)
-            n = len(block.hashes)
-            counts = np.bincount(block.tokens, minlength=n)
-            counts[block.begin] += len(texts)
-            size += add(words, _shard(block.hashes, bits), block.hashes, counts)
-            pair, times = np.unique(block.before * n + block.tokens, return_counts=True)
-            u, w = block.hashes[pair // n], block.hashes[pair % n]
-            context = (u << np.uint64(bits)) & ~_LOW32
-            size += add(pairs, _shard(u, bits), context | w >> _U32, times)
-            if size > _ENTRIES:
-                words, pairs = ({s: [_merge(*(np.concatenate(x) for x in zip(*v)))] for s, v in held.items()} for held in (words, pairs))
-                size = sum(len(v[0][0]) for held in (words, pairs) for v in held.values())
-                if size > _ENTRIES // 2:
-                    yield from rows(words, pairs)
-                    words, pairs, size = {}, {}, 0
-        yield from rows(words, pairs)
+    @staticmethod
+    def build(bucket: np.ndarray, low: np.ndarray, buckets: int, width: int) -> dict[str, np.ndarray]:
+        flags = np.zeros(-(-(len(bucket) + buckets) // 64) * 64, np.uint8)
+        flags[bucket.astype(np.int64) + np.arange(len(bucket))] = 1
+        zeros = 64 - flags.reshape(-1, 64).sum(axis=1, dtype=np.int64)
+        return {"bits": np.packbits(flags, bitorder="little"), "zeros": np.concatenate(([0], np.cumsum(zeros)[:-1])).astype(np.uint32) if len(zeros) else np.zeros(0, np.uint32), "low": pack_bits(low, width)}
 
-    return run
+    def __init__(self, bits: np.ndarray, zeros: np.ndarray, low: np.ndarray, width: int):
+        self.bits, self.zeros, self.low, self.width = bits.reshape(-1, 8), zeros, low, width
 
+    def _zero(self, k: np.ndarray) -> np.ndarray:
+        """Place of the k-th zero, from 0."""
+        word = np.searchsorted(self.zeros, k, side="right") - 1
+        inside = 1 - np.unpackbits(self.bits[word], axis=1, bitorder="little")
+        ranks = np.cumsum(inside, axis=1, dtype=np.uint8)
+        return word * 64 + np.argmax(ranks == (k - self.zeros[word] + 1).astype(np.uint8)[:, None], axis=1)
 
-def _prune(min_count: int):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for kind in (0, 1):
-            keys, counts = _all(rows.loc[rows["kind"] == kind, "data"])
-            if kind:
-                kept = counts >= min_count
-                keys, counts = keys[kept], counts[kept]
-            out.append({"shard": key[0] // SALTS, "kind": kind, "data": _packed(keys, counts)})
-        return pd.DataFrame(out)
+    def find(self, bucket: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Index of each key; -1: not there. A bucket's keys end at its zero."""
+        found = np.full(len(bucket), -1, np.int64)
+        for at in range(0, len(bucket), _CHUNK):
+            found[at : at + _CHUNK] = self._find(bucket[at : at + _CHUNK].astype(np.int64), low[at : at + _CHUNK].astype(np.uint64))
+        return found
 
-    return run
+    def _find(self, bucket: np.ndarray, low: np.ndarray) -> np.ndarray:
+        hi = self._zero(bucket) - bucket
+        lo = np.zeros_like(hi)
+        later = bucket > 0
+        lo[later] = self._zero(bucket[later] - 1) - (bucket[later] - 1)
+        end, open_ = hi.copy(), np.flatnonzero(lo < hi)
+        while len(open_):
+            mid = (lo[open_] + hi[open_]) >> 1
+            less = read_bits(self.low, self.width, mid) < low[open_]
+            lo[open_] = np.where(less, mid + 1, lo[open_])
+            hi[open_] = np.where(less, hi[open_], mid)
+            open_ = open_[lo[open_] < hi[open_]]
+        there = np.flatnonzero(lo < end)
+        there = there[read_bits(self.low, self.width, lo[there]) == low[there]]
+        found = np.full(len(bucket), -1, np.int64)
+        found[there] = lo[there]
+        return found
 
 
-# ---- Elias-Fano
+def _high_bits(n: int) -> int:
+    """High bits of n hashes: a bucket holds about one, and low parts have 56 bits at most."""
+    return max(8, int(n).bit_length() - 1)
 
 
-class EliasFano:
-    """A rising sequence: the high parts in unary, the low parts of ``width`` bits (0, 8, 16, 32 or 64) as they are.
+def hash_level(hashes: np.ndarray) -> dict[str, np.ndarray]:
+    """A level of rising 64-bit hashes."""
+    high = _high_bits(len(hashes))
+    return EliasFano.build(hashes >> np.uint64(64 - high), hashes & np.uint64((1 << 64 - high) - 1), 1 << high, 64 - high)
 
-    Bucket h holds the keys with high part h; its keys end at the h-th zero of the bit vector.
-    """
 
-    @staticmethod
-    def build(high: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """(bits, zeros before each 64-bit word)."""
-        at = high.astype(np.int64) + np.arange(len(high))
-        flags = np.zeros(-(-(len(high) + buckets) // 64) * 64, np.uint8)
-        flags[at] = 1
-        zeros = 64 - flags.reshape(-1, 64).sum(axis=1, dtype=np.int64)
-        return np.packbits(flags, bitorder="little"), np.concatenate(([0], np.cumsum(zeros)[:-1])).astype(np.uint32)
+class HashLevel(EliasFano):
+    def __init__(self, n: int, bits: np.ndarray, zeros: np.ndarray, low: np.ndarray):
+        self.high = _high_bits(n)
+        super().__init__(bits, zeros, low, 64 - self.high)
 
-    def __init__(self, bits: np.ndarray, zeros: np.ndarray):
-        self.bits, self.zeros = bits.reshape(-1, 8), zeros
+    def index(self, hashes: np.ndarray) -> np.ndarray:
+        return self.find(hashes >> np.uint64(64 - self.high), hashes & np.uint64((1 << 64 - self.high) - 1))
 
-    def _zero(self, k: np.ndarray) -> np.ndarray:
-        """Place of the k-th zero, from 0."""
-        word = np.searchsorted(self.zeros, k, side="right") - 1
-        inside = 1 - np.unpackbits(self.bits[word], axis=1, bitorder="little")
-        ranks = np.cumsum(inside, axis=1, dtype=np.uint8)
-        wanted = (k - self.zeros[word] + 1).astype(np.uint8)
-        return word * 64 + np.argmax(ranks == wanted[:, None], axis=1)
-
-    def bucket(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and last-plus-one index of the keys with high part h."""
-        end = self._zero(h) - h
-        start = np.zeros_like(end)
-        later = h > 0
-        start[later] = self._zero(h[later] - 1) - (h[later] - 1)
-        return start, end
-
-
-def search(low: np.ndarray, start: np.ndarray, end: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Index of each wanted low part among the sorted ones from start to end; -1: not there."""
-    lo, hi = start.copy(), end.copy()
-    open_ = np.flatnonzero(lo < hi)
-    while len(open_):
-        mid = (lo[open_] + hi[open_]) >> 1
-        less = low[mid] < wanted[open_]
-        lo[open_] = np.where(less, mid + 1, lo[open_])
-        hi[open_] = np.where(less, hi[open_], mid)
-        open_ = open_[lo[open_] < hi[open_]]
-    found = np.full(len(start), -1, np.int64)
-    there = np.flatnonzero(lo < end)
-    there = there[low[lo[there]] == wanted[there]]
-    found[there] = lo[there]
-    return found
-
-
-# ---- shards of the trie
+
+# ---- a bin's trie
 
 
 def _quantise(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One byte a value and the 256 values that the bytes stand for: means of equal shares of the sorted values."""
+    """One byte a value and the 256 values that the bytes stand for: the values themselves if they are so few, else the means of equal ranges."""
     if not len(values):
         return np.array([], np.uint8), np.zeros(256)
-    edges = np.quantile(values, np.linspace(0, 1, 257)[1:-1])
-    codes = np.searchsorted(edges, values, side="right")
+    distinct, codes = np.unique(values, return_inverse=True)
+    if len(distinct) > 256:
+        edges = np.linspace(distinct[0], distinct[-1], 257)[1:-1]
+        codes = np.searchsorted(edges, values, side="right")
     sums, n = np.bincount(codes, values, 256), np.bincount(codes, minlength=256)
     return codes.astype(np.uint8), np.where(n > 0, sums / np.maximum(n, 1), 0.0)
 
 
-def build_shard(words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, times: np.ndarray, bits: int, discount: float = DISCOUNT) -> bytes:
-    """One shard: words (hashes) with counts, pairs (context, word) with counts; both rising."""
-    n = len(words)
-    width = max(0, int(n).bit_length() - 1)
-    rest = words << np.uint64(bits) if bits else words
-    sections: dict[str, np.ndarray] = {}
-    high = (rest >> np.uint64(64 - width)).astype(np.int64) if width else np.zeros(n, np.int64)
-    sections["bits1"], sections["zeros1"] = EliasFano.build(high, 1 << width)
-    sections["low1"] = words.astype("<u8") if width + bits < 24 else (rest << np.uint64(width)) >> np.uint64(width)
-    large = np.flatnonzero(counts >= 255)
-    sections["count"], sections["large"], sections["large_count"] = np.minimum(counts, 255).astype(np.uint8), large.astype(np.int64), counts[large].astype(np.int64)
-    # the second level: contexts by their index on the first
-    heads = (rest >> _U32).astype(np.uint64)
-    context = np.searchsorted(heads, pairs >> _U32)
-    known = (context < n) & (heads[np.minimum(context, max(n - 1, 0))] == pairs >> _U32) if n else np.zeros(len(pairs), bool)
-    context, pairs, times = context[known], pairs[known], times[known]
-    share = np.maximum(times - discount, 0.0) / np.maximum(counts[context], 1) if len(pairs) else np.array([])
-    left = np.clip(1.0 - np.bincount(context, share, n), 1e-6, 1.0) if n else np.array([])
-    sections["bits2"], sections["zeros2"] = EliasFano.build(context, n)
-    sections["low2"] = (pairs & _LOW32).astype("<u4")
-    sections["prob"], sections["prob_book"] = _quantise(np.log10(share))
-    sections["left"], sections["left_book"] = _quantise(np.log10(left))
-    head, at = {"n": n, "width": width, "bits": bits, "full": bool(width + bits < 24), "parts": {}}, 0
+def _level(parent: np.ndarray, word: np.ndarray, counts: np.ndarray, parents: int, width: int, discount: float, name: str) -> dict[str, np.ndarray]:
+    """A level of successors with their quantised shares and their parents' weights; keys (parent, word) rise."""
+    total, kinds = np.bincount(parent, counts, parents), np.bincount(parent, minlength=parents)
+    share = np.log10(np.maximum(counts - discount, 1e-9) / total[parent]) if len(parent) else np.array([])
+    left = np.log10(np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0))
+    out = EliasFano.build(parent, word, parents, width)
+    out["share"], out["share_book"] = _quantise(share)
+    out["left"], out["left_book"] = _quantise(left)
+    return {f"{name}_{k}": v for k, v in out.items()}
+
+
+def build_trie(words: np.ndarray, bigrams: tuple, contexts: np.ndarray, trigrams: tuple, discount: float = DISCOUNT) -> bytes:
+    """A trie as bytes. ``words``: rising hashes. ``bigrams``: rising v << 32 | t of word indexes, and counts. ``contexts``: rising
+    v << 32 | u. ``trigrams``: rising context << 32 | t, contexts by index, and counts."""
+    n, low = len(words), np.uint64(0xFFFFFFFF)
+    width = max(1, int(max(n - 1, 1)).bit_length())
+    sections = {f"words_{k}": v for k, v in hash_level(words).items()}
+    split = lambda keys: ((keys >> np.uint64(32)).astype(np.int64), keys & low)
+    sections |= _level(*split(bigrams[0]), bigrams[1], n, width, discount, "after")
+    sections |= {f"before_{k}": v for k, v in EliasFano.build(*split(contexts), n, width).items()}
+    sections |= _level(*split(trigrams[0]), trigrams[1], len(contexts), width, discount, "third")
+    head, at = {"n": n, "width": width, "parts": {}}, 0
     for name, x in sections.items():
         head["parts"][name] = [at, len(x), x.dtype.str]
         at += -(-x.nbytes // 64) * 64
@@ -292,170 +235,492 @@ def build_shard(words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, times:
     return bytes(out)
 
 
-class Shard:
-    """A shard over any buffer, a memory map in tasks."""
+class Trie:
+    """A bin's trie over any buffer, a memory map in tasks."""
 
     def __init__(self, data):
         start = int.from_bytes(bytes(data[:8]), "little")
-        self.head = json.loads(bytes(data[8:start]).rstrip(b"\0"))
-        part = {name: np.frombuffer(data, dtype, n, start + at) for name, (at, n, dtype) in self.head["parts"].items()}
-        self.n, self.width, self.bits = self.head["n"], self.head["width"], self.head["bits"]
-        self.first, self.second = EliasFano(part["bits1"], part["zeros1"]), EliasFano(part["bits2"], part["zeros2"])
-        self.part = part
-
-    def word(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index on the first level (-1: unknown) and count of each hash of this shard."""
-        if not self.n:
-            return np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        rest = hashes << np.uint64(self.bits) if self.bits else hashes
-        high = (rest >> np.uint64(64 - self.width)).astype(np.int64) if self.width else np.zeros(len(hashes), np.int64)
-        wanted = hashes if self.head["full"] else (rest << np.uint64(self.width)) >> np.uint64(self.width)
-        index = search(self.part["low1"], *self.first.bucket(high), wanted)
-        count = np.where(index >= 0, self.part["count"][index].astype(np.int64), 0)
-        many = np.flatnonzero((index >= 0) & (count == 255))
-        if len(many):
-            count[many] = self.part["large_count"][np.searchsorted(self.part["large"], index[many])]
-        return index, count
-
-    def successors(self, context: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For known contexts: probability of each word among the context's successors (0: not seen), and the context's back-off weight."""
-        start, end = self.second.bucket(context)
-        index = search(self.part["low2"], start, end, (hashes >> _U32).astype(np.uint32))
-        share = np.where(index >= 0, 10.0 ** self.part["prob_book"][self.part["prob"][index]] if len(self.part["prob"]) else 0.0, 0.0)
-        return share, 10.0 ** self.part["left_book"][self.part["left"][context]]
-
-
-def _build(bits: int, discount: float):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        words, counts = _all(rows.loc[rows["kind"] == 0, "data"])
-        pairs, times = _all(rows.loc[rows["kind"] == 1, "data"])
-        begin = words == np.uint64(_hash(BEGIN))
-        return pd.DataFrame({"shard": [key[0]], "n_words": [int((~begin).sum())], "n_tokens": [int(counts[~begin].sum())], "trie": [build_shard(words, counts, pairs, times, bits, discount)]})
+        head = json.loads(bytes(data[8:start]).rstrip(b"\0"))
+        part = {name: np.frombuffer(data, dtype, n, start + at) for name, (at, n, dtype) in head["parts"].items()}
+        level = lambda name: (part[f"{name}_bits"], part[f"{name}_zeros"], part[f"{name}_low"])
+        self.part, self.n = part, head["n"]
+        self.words = HashLevel(self.n, *level("words"))
+        self.after, self.before, self.third = (EliasFano(*level(x), head["width"]) for x in ("after", "before", "third"))
+
+    @classmethod
+    def mapped(cls, data: bytes) -> Trie:
+        with tempfile.TemporaryFile() as f:
+            f.write(data)
+            f.flush()
+            return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+
+    def _values(self, name: str, index: np.ndarray, otherwise: float) -> np.ndarray:
+        codes, book = self.part[name], 10.0 ** self.part[f"{name}_book"]
+        return np.where(index >= 0, book[codes[np.maximum(index, 0)]] if len(codes) else otherwise, otherwise)
+
+    def probability(self, v: np.ndarray, u: np.ndarray, t: np.ndarray, single: np.ndarray) -> np.ndarray:
+        """Of words t after u and v, all as indexes of this trie's words (-1: unknown); ``single``: the words' own probabilities."""
+        both = np.flatnonzero((v >= 0) & (t >= 0))
+        share = np.zeros(len(v))
+        share[both] = self._values("after_share", self.after.find(v[both], t[both]), 0.0)
+        prob = share + self._values("after_left", v, 1.0) * single
+        context = np.full(len(v), -1, np.int64)
+        pair = np.flatnonzero((v >= 0) & (u >= 0))
+        context[pair] = self.before.find(v[pair], u[pair])
+        both, share = np.flatnonzero((context >= 0) & (t >= 0)), np.zeros(len(v))
+        share[both] = self._values("third_share", self.third.find(context[both], t[both]), 0.0)
+        return share + self._values("third_left", context, 1.0) * prob
+
+
+# ---- words
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hash, n) of a task's words, summed a million distinct words at a time; a document has one beginning and one end."""
+    counts: Counter = Counter()
+
+    def rows():
+        return pa.RecordBatch.from_arrays([pa.array(_hashes(counts).view(np.int64)), pa.array(np.fromiter(counts.values(), np.int64, len(counts)))], names=["hash", "n"])
+
+    for batch in batches:
+        for text in batch.column(0):
+            counts.update(words_of(text.as_py()))
+            counts[END] += 1
+            counts[BEGIN] += 1
+            if len(counts) > 1_000_000:
+                yield rows()
+                counts = Counter()
+    if counts:
+        yield rows()
+    release()
+
+
+def _code_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (first, n, data): rising hashes with counts as coded levels of a million words."""
+    held: list = []
+
+    def row(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        level = hash_level(h)
+        return pa.RecordBatch.from_arrays([pa.array([int(h[0])], pa.uint64()).view(pa.int64()), pa.array([len(h)], pa.int64()), pa.array([_packed(level["bits"], level["zeros"], level["low"], n)], pa.binary())], names=["first", "n", "data"])
+
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held.append((batch.column(0).to_numpy().view(np.uint64) ^ np.uint64(1 << 63), batch.column(1).to_numpy()))
+        if held and (batch is None or sum(len(h) for h, _ in held) >= 1_000_000):
+            h, n = (np.concatenate(x) for x in zip(*held))
+            if len(h):
+                yield row(h, n)
+            held = []
+
+
+class Words:
+    """The vocabulary's coded levels, in the order of their hashes."""
+
+    def __init__(self, rows: list[tuple[int, int, bytes]]):
+        rows = sorted((first & (1 << 64) - 1, n, data) for first, n, data in rows)
+        self.first = np.array([r[0] for r in rows], np.uint64)
+        self.levels = []
+        for _, n, data in rows:
+            bits, zeros, low, counts = _unpacked(data)
+            self.levels.append((HashLevel(n, bits.astype(np.uint8), zeros.astype(np.uint32), low.astype(np.uint8)), counts.astype(np.int64)))
+
+    def counts(self, hashes: np.ndarray) -> np.ndarray:
+        """Of each hash; 0: unknown."""
+        out, level = np.zeros(len(hashes), np.int64), np.searchsorted(self.first, hashes, side="right") - 1
+        for k, (words, counts) in enumerate(self.levels):
+            mine = np.flatnonzero(level == k)
+            if len(mine):
+                index = words.index(hashes[mine])
+                out[mine] = np.where(index >= 0, counts[np.maximum(index, 0)], 0)
+        return out
+
+
+@dataclass
+class Vocabulary:
+    """Word counts of a corpus: (hash, n) and the coded levels as tables, the totals, and how contexts are dealt to bins."""
+
+    counts: DataFrame
+    levels: DataFrame
+    n_words: int
+    n_tokens: int
+    bins: int
+    hot: tuple[np.ndarray, np.ndarray, np.ndarray]  # hashes, first bins and numbers of bins of frequent contexts
+    coded_bytes: int
+
+    @property
+    def all_bins(self) -> int:
+        return self.bins + int(self.hot[2].sum())
+
+
+def vocabulary(docs: DataFrame, text_col: str = "text", bin_text: int = BIN_TEXT, hot_tokens: int = HOT_TOKENS) -> Vocabulary:
+    """Counts the words of all rows. Frequent contexts are at most as many as the tokens by ``hot_tokens``."""
+    texts = docs.select(F.col(text_col).alias("text"))
+    counts = save(texts.mapInArrow(_count_words, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")), "words")
+    own = np.array([_hash(BEGIN)], np.uint64).view(np.int64)[0].item()
+    # the order of unsigned numbers
+    flipped = counts.filter(F.col("hash") != own).select(F.col("hash").bitwiseXOR(F.lit(-(1 << 63))).alias("h"), "n")
+    levels = save(flipped.repartitionByRange("h").sortWithinPartitions("h").mapInArrow(_code_words, "first long, n long, data binary"), "vocabulary")
+    total = counts.filter(F.col("hash") != own).agg(F.count(F.lit(1)), F.sum("n")).first()
+    size = levels.agg(F.sum(F.length("data").cast("long"))).first()[0] or 0
+    text = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    rows = sorted((r["hash"] & (1 << 64) - 1, -(-r["n"] // hot_tokens)) for r in counts.filter(F.col("n") > hot_tokens).collect())
+    hashes, parts = np.array([h for h, _ in rows], np.uint64), np.array([k for _, k in rows], np.int64)
+    bins = max(1, -(-text // bin_text))
+    return Vocabulary(counts, levels, total[0] or 0, total[1] or 0, bins, (hashes, bins + np.cumsum(parts) - parts, parts), size)
+
+
+# ---- tokens on their way
+
+
+class Lot:
+    """Documents of one task whose tokens go together; words are numbers of the lot."""
+
+    def __init__(self):
+        self.place = defaultdict(itertools.count().__next__)
+        self.begin = self.place[BEGIN]
+        self.tokens: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, text: str | None) -> None:
+        words = words_of(text)
+        words.append(END)
+        self.tokens.append(np.fromiter(map(self.place.__getitem__, words), np.int32, len(words)))
+        self.size += len(words)
+
+    def close(self) -> None:
+        self.hashes = _hashes(self.place)
+        self.lengths = np.array([len(x) for x in self.tokens], np.int64)
+        self.t = np.concatenate(self.tokens)
+        self.tokens = []
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.doc = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
+        self.v = np.concatenate(([self.begin], self.t[:-1])).astype(np.int32)
+        self.v[self.starts] = self.begin
+        # the first word has no word but the beginning before it: its context is a pair of beginnings
+        self.u = np.concatenate(([self.begin], self.v[:-1])).astype(np.int32)
+        self.u[self.starts] = self.begin
+
+    def bins(self, vocabulary_bins: int, hot: tuple) -> np.ndarray:
+        """Of each token, by its context; a frequent one's tokens by the word before it, a beginning's by the token."""
+        h = self.hashes
+        of = (h % np.uint64(vocabulary_bins)).astype(np.int64)
+        out = of[self.v]
+        hashes, first, parts = hot
+        if len(hashes):
+            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            many = (hashes[at] == h)[self.v]
+            rows = np.flatnonzero(many)
+            by = np.where(self.v[rows] == self.begin, self.t[rows], self.u[rows])
+            k = at[self.v[rows]]
+            out[rows] = first[k] + (h[by] // np.uint64(vocabulary_bins) % parts[k].astype(np.uint64)).astype(np.int64)
+        return out
+
+
+def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Lot, list, list]]:
+    """(lot, its rows' batches of other columns, their word counts if any); the text is the last column but the counts."""
+    lot, rows, known = Lot(), [], []
+    for batch in batches:
+        at = 0
+        for k, text in enumerate(batch.column(batch.schema.get_field_index("text"))):
+            lot.add(text.as_py())
+            if lot.size >= LOT_TOKENS:
+                rows.append(batch.slice(at, k + 1 - at))
+                yield lot, rows, known
+                lot, rows, at = Lot(), [], k + 1
+        rows.append(batch.slice(at))
+    if lot.size:
+        yield lot, rows, known
+
+
+def _message(lot: Lot, at: np.ndarray, counts: np.ndarray, trains: np.ndarray) -> bytes:
+    """Tokens ``at`` (sorted by context, then document) of one bin: the words they use as hashes and counts, contexts in runs, words before, words, documents, times, and which documents train."""
+    v, u, t, doc = lot.v[at], lot.u[at], lot.t[at], lot.doc[at]
+    new = np.concatenate(([True], (v[1:] != v[:-1]) | (u[1:] != u[:-1]) | (t[1:] != t[:-1]) | (doc[1:] != doc[:-1])))
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(at)))
+    v, u, t, doc = v[first], u[first], t[first], doc[first]
+    if len(first) * 24 < len(lot.hashes):
+        used, where = np.unique(np.concatenate((v, u, t)), return_inverse=True)
+        v, u, t = np.split(where, 3)
+    else:
+        mark = np.zeros(len(lot.hashes), bool)
+        mark[v] = mark[u] = mark[t] = True
+        used = np.flatnonzero(mark)
+        place = np.cumsum(mark) - 1
+        v, u, t = place[v], place[u], place[t]
+    runs = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+    docs, own = np.unique(doc, return_inverse=True)
+    step = np.diff(own, prepend=0)
+    step[runs] = own[runs]  # documents rise within a context
+    return _packed(lot.hashes[used], counts[used], v[runs], np.diff(np.append(runs, len(v))), u, t, step, times, docs, trains[docs])
+
+
+def _tokens_of(data: bytes) -> tuple[np.ndarray, ...]:
+    hashes, counts, runs, sizes, u, t, step, times, docs, trains = _unpacked(data)
+    v = np.repeat(runs, sizes.astype(np.int64))
+    starts = np.cumsum(sizes.astype(np.int64)) - sizes.astype(np.int64)
+    own = np.cumsum(step.astype(np.int64))
+    base = own[starts] - step[starts].astype(np.int64)
+    own -= np.repeat(base, sizes.astype(np.int64))
+    return hashes, counts, v, u, t, own, times, docs, trains
+
+
+def _send(vocab: Vocabulary, words: list | None, carried: list[str]):
+    """Messages of a task's documents: their tokens by bin, and what is known of the documents by themselves."""
+    bins, hot, all_bins, n_words, n_tokens = vocab.bins, vocab.hot, vocab.all_bins, vocab.n_words, vocab.n_tokens
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held = Words(words.value) if words is not None else None
+
+        def row(b: int, kind: int, lot: int, data: bytes) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([kind], pa.int32()), pa.array([lot], pa.int64()), pa.array([data], pa.binary())], names=["bin", "kind", "lot", "data"])
+
+        for k, (lot, rows, _) in enumerate(_lots(batches)):
+            lot.close()
+            number = (TaskContext.get().partitionId() << 24) + k
+            table = pa.Table.from_batches(rows)
+            counts = held.counts(lot.hashes) if held is not None else _given_counts(table, lot.hashes)
+            single = np.log10((counts + 1.0) / (n_tokens + n_words + 1.0))
+            known = np.add.reduceat((counts > 0)[lot.t].astype(np.int64), lot.starts)
+            base = np.add.reduceat(single[lot.t], lot.starts)
+            about = table.select(carried).combine_chunks().append_column("n_tokens", pa.array(lot.lengths)).append_column("n_known", pa.array(known)).append_column("base_score", pa.array(base))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, about.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_table(about)
+            yield row(number % all_bins, DOCS, number, sink.getvalue().to_pybytes())
+            trains = table.column("_trains").to_numpy().astype(np.uint8)
+            of = lot.bins(bins, hot)
+            order = np.argsort(of << 32 | lot.v, kind="stable")
+            ends = np.flatnonzero(np.diff(of[order], append=-1)) + 1
+            start = 0
+            for end in ends.tolist():
+                at = order[start:end]
+                yield row(int(of[at[0]]), TOKENS, number, _message(lot, at, counts, trains))
+                start = end
+        release()
 
     return run
 
 
-class Model:
-    """Shards of the trie in the shared folder, and the corpus totals."""
+def _given_counts(table: pa.Table, hashes: np.ndarray) -> np.ndarray:
+    """Counts that came with the rows (``_known``: lists of hashes and counts)."""
+    lists = table.column("_known").combine_chunks()
+    values = lists.flatten()
+    h, n = values.field("hash").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), values.field("n").to_numpy(zero_copy_only=False)
+    h, first = np.unique(h, return_index=True)
+    if not len(h):
+        return np.zeros(len(hashes), np.int64)
+    at = np.minimum(np.searchsorted(h, hashes), len(h) - 1)
+    return np.where(h[at] == hashes, n[first][at], 0).astype(np.int64)
+
 
-    def __init__(self, shards: DataFrame, bits: int):
-        row = shards.agg(F.sum("n_words"), F.sum("n_tokens")).first()
-        self.bits, self.n_words, self.n_tokens = bits, row[0] or 0, row[1] or 0
-        self.files: list[str] = []
-        context = shards.sparkSession.sparkContext
-        for path in shards.inputFiles():
-            context.addFile(path)
-            self.files.append(path.rsplit("/", 1)[1])
+def _own_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            own = _hashes(dict.fromkeys([*words_of(text.as_py()), END]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), row)), pa.array(own.view(np.int64))], names=["_row", "hash"])
 
 
-def train(docs: DataFrame, text_col: str = "text", min_count: int = MIN_COUNT, discount: float = DISCOUNT, shard_text: int = SHARD_TEXT) -> Model:
-    """The model of all rows of ``docs``. Null texts count as empty: they teach an end after a beginning. Other columns are not read."""
-    texts = docs.select(F.col(text_col).alias("text"))
-    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    bits = max(0, (-(-size // shard_text) - 1).bit_length()) if size else 0
-    counted = texts.mapInArrow(_count(bits), "bin int, kind int, data binary")
-    pruned = counted.groupBy("bin").applyInPandas(_prune(min_count), "shard int, kind int, data binary")
-    tries = pruned.groupBy("shard").applyInPandas(_build(bits, discount), "shard int, n_words long, n_tokens long, trie binary")
-    return Model(save(tries, "trie", compression="none"), bits)
-
-
-# ---- scoring
-
-
-@lru_cache(1)
-def _mapped(files: tuple[str, ...]) -> dict[int, Shard]:
-    """Shards by number, mapped from this executor's copies of the trie's files."""
-    import mmap
-
-    import pyarrow.parquet as pq
-    from pyspark import SparkFiles
-
-    out = {}
-    for name in files:
-        source = SparkFiles.get(name)
-        done = source + ".shards"
-        if not os.path.exists(done):
-            try:
-                numbers = []
-                for batch in pq.ParquetFile(source).iter_batches(1, columns=["shard", "trie"]):
-                    numbers.append(batch.column(0)[0].as_py())
-                    own = f"{source}.{numbers[-1]}.{os.getpid()}"
-                    with open(own, "wb") as f:
-                        f.write(memoryview(batch.column(1)[0].as_buffer()))
-                    os.replace(own, f"{source}.{numbers[-1]}")
-                with open(f"{done}.{os.getpid()}", "w") as f:
-                    json.dump(numbers, f)
-                os.replace(f"{done}.{os.getpid()}", done)
-                os.remove(source)  # its copy in the shared folder stays
-            except FileNotFoundError:
-                if not os.path.exists(done):
-                    raise
-        with open(done) as f:
-            numbers = json.load(f)
-        for shard in numbers:
-            with open(f"{source}.{shard}", "rb") as f:
-                out[shard] = Shard(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
-    return out
+def _messages(rows: DataFrame, vocab: Vocabulary, carried: list[str]) -> DataFrame:
+    """``rows``: carried columns, _trains, text. A vocabulary within VOCABULARY_BYTES goes to all tasks; a larger one is joined."""
+    if vocab.coded_bytes <= VOCABULARY_BYTES:
+        words = rows.sparkSession.sparkContext.broadcast([tuple(r) for r in vocab.levels.select("first", "n", "data").collect()])
+        return rows.mapInArrow(_send(vocab, words, carried), SENT)
+    rows = save(rows.withColumn("_row", F.monotonically_increasing_id()), "lm-rows")
+    asked = rows.select("_row", "text").mapInArrow(_own_words, "_row long, hash long")
+    known = asked.join(vocab.counts, "hash").groupBy("_row").agg(F.collect_list(F.struct("hash", "n")).alias("_known"))  # a document's own words
+    return rows.join(known, "_row", "left").drop("_row").mapInArrow(_send(vocab, None, carried), SENT)
 
 
-def score_block(block: Block, shards: dict[int, Shard], bits: int, n_words: int, n_tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Known tokens, base score and score of each document of a block."""
-    hashes, n = block.hashes, len(block.hashes)
-    index, count, shard_of = np.full(n, -1, np.int64), np.zeros(n, np.int64), _shard(block.hashes, bits)
-    for number, shard in shards.items():
-        mine = np.flatnonzero(shard_of == number)
-        if len(mine):
-            index[mine], count[mine] = shard.word(hashes[mine])
-    single = (count + 1.0) / (n_tokens + n_words + 1.0)
-    pair, back = np.unique(block.before * n + block.tokens, return_inverse=True)
-    u, w = pair // n, pair % n
-    prob = single[w].copy()
-    known = np.flatnonzero(index[u] >= 0)
-    by_shard = shard_of[u[known]]
-    for number, shard in shards.items():
-        mine = known[by_shard == number]
-        for at in range(0, len(mine), 200_000):
-            part = mine[at : at + 200_000]
-            share, left = shard.successors(index[u[part]], hashes[w[part]])
-            prob[part] = share + left * prob[part]
-    total = lambda x: np.add.reduceat(x, block.starts)
-    return total((count[block.tokens] > 0).astype(np.int64)), total(np.log10(single)[block.tokens]), total(np.log10(prob)[back])
-
-
-def _score(files: tuple[str, ...], bits: int, n_words: int, n_tokens: int, carried: int, names: list[str]):
+def _hot_pairs(hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = None
-        shards = _mapped(files)
+        for lot, _, _ in _lots(batches):
+            lot.close()
+            rows = np.flatnonzero(np.isin(lot.hashes, hot)[lot.v])
+            pairs, n = np.unique(lot.v[rows].astype(np.int64) << 32 | lot.t[rows], return_counts=True)
+            v, t = lot.hashes[pairs >> 32], lot.hashes[pairs & 0xFFFFFFFF]
+            yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(t.view(np.int64)), pa.array(n)], names=["v", "t", "n"])
+
+    return run
+
+
+def _pack_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        v, t, n = (batch.column(i).to_numpy() for i in range(3))
+        for one in np.unique(v):
+            mine = v == one
+            yield pa.RecordBatch.from_arrays([pa.array([one]), pa.array([_packed(np.full(1, one).view(np.uint64), t[mine].view(np.uint64), n[mine])], pa.binary())], names=["v", "data"])
+
+
+def _successors(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """Messages to all bins of each frequent context: the words seen after it, with counts."""
+    hashes, first, parts = vocab.hot
+    pairs = docs.select("text").mapInArrow(_hot_pairs(hashes), "v long, t long, n long").groupBy("v", "t").agg(F.sum("n").alias("n"))
+    packed = save(pairs.repartition("v", F.pmod("t", F.lit(64))).sortWithinPartitions("v").mapInArrow(_pack_pairs, "v long, data binary"), "hot-successors")
+    table = docs.sparkSession.createDataFrame([(int(h), int(a), int(k)) for h, a, k in zip(hashes.view(np.int64), first, parts)], "v long, a int, k int")
+    bins = packed.join(F.broadcast(table), "v").select(F.explode(F.sequence("a", F.expr("a + k - 1"))).alias("bin"), "data")  # a row a frequent context
+    return bins.select("bin", F.lit(SUCCESSORS).alias("kind"), F.lit(0).cast("long").alias("lot"), "data")
+
+
+# ---- a bin
+
+
+def _sums(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rising distinct keys of those that weigh anything, and their summed weights."""
+    kept = weights > 0
+    found, at = np.unique(keys[kept], return_inverse=True)
+    return found, np.bincount(at, weights[kept], len(found))
+
+
+def _learn(v: np.ndarray, u: np.ndarray, t: np.ndarray, times: np.ndarray, words: np.ndarray, successors: list, discount: float) -> bytes:
+    """The trie of a bin's training tokens; all words as indexes of ``words``, rising hashes. A frequent context's successors are given."""
+    if successors:
+        given = [_unpacked(x) for x in successors]
+        extra = np.unique(np.concatenate([words, *(x for g in given for x in g[:2])]))
+        move = np.searchsorted(extra, words)
+        v, u, t, words = move[v], move[u], move[t], extra
+        keys = np.concatenate([_pair(np.searchsorted(extra, np.repeat(h, len(x))), np.searchsorted(extra, x)) for h, x, _ in given])
+        bigrams = _sums(keys, np.concatenate([n.astype(np.float64) for *_, n in given]))
+    else:
+        bigrams = _sums(_pair(v, t), times)
+    # two beginnings tell no more than one
+    trained = times * (words[v] != np.uint64(_hash(BEGIN)))
+    contexts, _ = _sums(_pair(v, u), trained)
+    context = np.searchsorted(contexts, _pair(v, u))
+    return build_trie(words, bigrams, contexts, _sums(_pair(context, t), trained), discount)
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
+
+
+def _halves(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def _answer(discount: float, total: int, tries: bool, sums: bool):
+    """A bin's messages to its trie and to the sums of its documents. ``total``: what a word's count plus one is a share of."""
+
+    def run(group: pa.Table) -> pa.Table:
+        kinds, lots, data = (group.column(c).to_pylist() for c in ("kind", "lot", "data"))
+        number, out = group.column("bin")[0].as_py(), []
+        of_kind = lambda kind: sorted((lots[i], i) for i in range(len(kinds)) if kinds[i] == kind)
+        out += [(number, DOCS, lot, data[i]) for lot, i in of_kind(DOCS)] if sums else []
+        sent, given = of_kind(TOKENS), [data[i] for _, i in of_kind(TRIE)]
+        if sent:
+            held = [_tokens_of(data[i]) for _, i in sent]
+            words, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            counts, at = np.zeros(len(words), np.int64), at.astype(np.uint32)
+            counts[at] = np.concatenate([h[1] for h in held])
+            ends = np.cumsum([len(h[0]) for h in held])
+            place = [at[e - len(h[0]) : e] for h, e in zip(held, ends)]
+            v, u, t = (np.concatenate([s[h[k].astype(np.int64)] for h, s in zip(held, place)]) for k in (2, 3, 4))
+            times = [h[6].astype(np.float64) for h in held]
+            docs = [(h[5], h[7], h[8].astype(bool)) for h in held]
+            del held
+            if not given:
+                trains = np.concatenate([flag[own] for own, _, flag in docs])
+                given = [_learn(v, u, t, np.concatenate(times) * trains, words, [data[i] for _, i in of_kind(SUCCESSORS)], discount)]
+        if tries and given:
+            out.append((number, TRIE, 0, given[0]))
+        if sums and sent:
+            trie = Trie.mapped(given[0])
+            ids, single = trie.words.index(words), (counts + 1.0) / total
+            pairs, of = np.unique(_pair(v, u), return_inverse=True)
+            keys, of = np.unique(_pair(of.ravel(), t), return_inverse=True)
+            del v, u, t
+            prob = np.zeros(len(keys))
+            for a in range(0, len(keys), 500_000):
+                pair, word = _halves(keys[a : a + 500_000])
+                context, before = _halves(pairs[pair])
+                prob[a : a + 500_000] = np.log10(trie.probability(ids[context], ids[before], ids[word], single[word]))
+            prob, start = prob[of.ravel()], 0
+            for (lot, _), (own, names, _), n in zip(sent, docs, times):
+                score = np.bincount(own, prob[start : start + len(own)] * n, len(names))
+                start += len(own)
+                out.append((number, TOKENS, lot, _packed(names, np.rint(-score * _STEPS).astype(np.int64))))
+        columns = list(zip(*out)) if out else [(), (), (), ()]
+        release()
+        return pa.Table.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["bin", "kind", "lot", "data"])
+
+    return run
+
 
-        def watched():
-            nonlocal types
-            for batch in batches:
-                types = types or batch.schema.types[:carried]
-                yield batch
+def _assemble(n_tokens: int):
+    """A lot's documents with the sums that the bins sent, in the order of the bins."""
 
-        for rows, texts in _blocks(watched(), carried + 1):
-            block = Block(texts)
-            known, base, score = score_block(block, shards, bits, n_words, n_tokens)
-            columns = [pa.array(list(x), t) for x, t in zip(zip(*rows), types)] if carried else []
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(block.lengths), pa.array(known), pa.array(np.full(len(texts), n_tokens)), pa.array(base), pa.array(score)], names=names)
+    def run(group: pa.Table) -> pa.Table:
+        rows = sorted(zip(group.column("kind").to_pylist(), group.column("bin").to_pylist(), group.column("data").to_pylist()), key=lambda r: r[:2])
+        docs = pa.ipc.open_stream(rows[-1][2]).read_all()
+        steps = np.zeros(docs.num_rows, np.int64)
+        for kind, _, data in rows[:-1]:
+            names, sums = _unpacked(data)
+            steps[names.astype(np.int64)] += sums.astype(np.int64)
+        out = docs.append_column("score", pa.array(-steps / _STEPS))
+        at = out.schema.get_field_index("base_score")
+        return out.add_column(at, "train_tokens", pa.array(np.full(docs.num_rows, n_tokens)))
 
     return run
 
 
+# ---- models
+
+
+@dataclass
+class Model:
+    """The tries of all bins, a table in the shared folder, and the vocabulary."""
+
+    words: Vocabulary
+    tries: DataFrame
+
+
+def _carried(docs: DataFrame, keep: tuple, trains: Column, text_col: str) -> tuple[DataFrame, list[str]]:
+    names = [f"_c{i}" for i in range(len(keep))]
+    return docs.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keep, names)], F.coalesce(trains, F.lit(False)).alias("_trains"), F.col(text_col).alias("text")), names
+
+
+def _scored(messages: DataFrame, vocab: Vocabulary, discount: float, docs: DataFrame, names: list[str], keep: tuple) -> DataFrame:
+    answers = save(messages.groupBy("bin").applyInArrow(_answer(discount, vocab.n_tokens + vocab.n_words + 1, False, True), SENT), "lm-sums")
+    fields = ", ".join(f"{n} {docs.schema[n].dataType.simpleString()}" for n in names)
+    schema = f"{fields}{', ' if fields else ''}n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    out = answers.groupBy("lot").applyInArrow(_assemble(vocab.n_tokens), schema)
+    return out.select(*[F.col(n).alias(k) for n, k in zip(names, keep)], "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def train(docs: DataFrame, text_col: str = "text", discount: float = DISCOUNT, bin_text: int = BIN_TEXT, hot_tokens: int = HOT_TOKENS) -> Model:
+    """The model of all rows of ``docs``. Null texts count as empty: they teach an end after a beginning. Other columns are not read."""
+    vocab = vocabulary(docs, text_col, bin_text, hot_tokens)
+    rows, names = _carried(docs, (), F.lit(True), text_col)
+    sent = _messages(rows, vocab, names)
+    sent = sent.unionByName(_successors(rows, vocab)) if len(vocab.hot[0]) else sent
+    return Model(vocab, save(sent.groupBy("bin").applyInArrow(_answer(discount, 1, True, False), SENT), "tries"))
+
+
 def score(docs: DataFrame, model: Model, keep: tuple = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The columns in ``keep`` with n_tokens, n_known, train_tokens, base_score and score (both log10) of every row.
 
-    Null texts count as empty and have their end alone. Nothing is joined: ids may
-    repeat or be null. Without training text every token is unknown.
+    Null texts count as empty and have their end alone. Nothing is joined by id: ids
+    may repeat or be null, and kept columns may have any names but those of the
+    results. Without training text every token is unknown. An empty table gives no rows.
     """
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    names = [*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    run = _score(tuple(model.files), model.bits, model.n_words, model.n_tokens, len(keep), names)
-    return docs.select(*keep, F.col(text_col).alias("text")).mapInArrow(run, f"{fields}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    rows, names = _carried(docs, keep, F.lit(False), text_col)
+    return _scored(_messages(rows, model.words, names).unionByName(model.tries), model.words, DISCOUNT, rows, names, keep)
+
+
+def train_and_score(docs: DataFrame, trains: Column, keep: tuple = ("doc_id",), text_col: str = "text", discount: float = DISCOUNT, bin_text: int = BIN_TEXT, hot_tokens: int = HOT_TOKENS) -> DataFrame:
+    """All rows as ``score`` gives them, by the model that ``train`` makes of the rows where ``trains`` is true; every token goes to its bin once, to teach and to be scored."""
+    taught = docs.filter(trains)
+    vocab = vocabulary(taught, text_col, bin_text, hot_tokens)
+    rows, names = _carried(docs, keep, trains, text_col)
+    sent = _messages(rows, vocab, names)
+    sent = sent.unionByName(_successors(rows.filter("_trains"), vocab)) if len(vocab.hot[0]) else sent
+    return _scored(sent, vocab, discount, rows, names, keep)
 
 
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored by a model of those that are not held out."""
     docs = read_table(spark, sf_dir, "documents")
     held_out = fold(7) == 2
-    return score(docs.select("doc_id", held_out.alias("held_out"), "text"), train(docs.filter(~held_out)), ("doc_id", "held_out"))
+    return train_and_score(docs.select("doc_id", held_out.alias("held_out"), "text"), ~F.col("held_out"), ("doc_id", "held_out"))
