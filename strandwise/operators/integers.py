@@ -1,7 +1,8 @@
 """Transforms and prefixes of integer sequences; symbols of any width are the same case.
 
-A sequence is sorted inside one task; one too long for that goes through
-``suffix_array.integer_suffix_array``, whose result the relations here also follow from.
+Sequences within a bound, which is checked first, are sorted inside a task each. If one
+is longer, all go through tables: suffix arrays by doubling, prefixes by the ranks of
+all widths, and the inverse transform by doubling the steps of its walk.
 """
 
 from __future__ import annotations
@@ -12,6 +13,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from ..plans.ranking import global_rank, running_total
+from ..plans.storage import materialise
+from .suffix_array import _integer_history, integer_suffix_array
+
+#: Symbols of a sequence up to which one task sorts it.
+SEQUENCE_SYMBOLS = 2_000_000
+
+
+def _fits(values: DataFrame) -> bool:
+    return (values.groupBy("seq").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) <= SEQUENCE_SYMBOLS
 
 
 def _dense(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -23,6 +34,9 @@ def _dense(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def lcp(values: DataFrame) -> DataFrame:
     """(seq, rnk, pos, lcp) of (seq, pos, value)."""
 
+    if not _fits(values):
+        return _lcp_by_tables(values)
+
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         order, found = kernels.lcp_array(_dense(rows)[1])
         return pd.DataFrame({"seq": key[0], "rnk": np.arange(len(order)), "pos": order, "lcp": found})
@@ -33,6 +47,9 @@ def lcp(values: DataFrame) -> DataFrame:
 def bwt(values: DataFrame) -> DataFrame:
     """(seq, row, value, primary): the transform of each sequence, its primary index in every row."""
 
+    if not _fits(values):
+        return _bwt_by_tables(values)
+
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         alphabet, codes = _dense(rows)
         transform, primary = kernels.bwt(codes)
@@ -44,6 +61,9 @@ def bwt(values: DataFrame) -> DataFrame:
 def inverse_bwt(transforms: DataFrame) -> DataFrame:
     """(seq, pos, value) of (seq, row, value, primary)."""
 
+    if not _fits(transforms):
+        return _inverse_by_tables(transforms)
+
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         alphabet, codes = np.unique(rows.sort_values("row")["value"].to_numpy(), return_inverse=True)
         text = kernels.inverse_bwt(codes.astype(np.int64), int(rows["primary"].iloc[0]))
@@ -52,6 +72,51 @@ def inverse_bwt(transforms: DataFrame) -> DataFrame:
     return transforms.groupBy("seq").applyInPandas(run, "seq long, pos long, value long")
 
 
+def _sizes(values: DataFrame) -> DataFrame:
+    return values.groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _lcp_by_tables(values: DataFrame) -> DataFrame:
+    history = _integer_history(values)
+    order = materialise(integer_suffix_array(values), "int-array")
+    before = order.select("seq", (F.col("rnk") + 1).alias("rnk"), F.col("pos").alias("pos2"))
+    pairs = order.join(before, ["seq", "rnk"], "left").join(_sizes(values), "seq").withColumn("lcp", F.lit(0).cast("long"))
+    for h, ranks in reversed(history):
+        one = ranks.select(F.col("doc").alias("_d"), F.col("idx").alias("_i"), F.col("rank").alias("_r"))
+        there = pairs
+        for at, name in (("pos", "r1"), ("pos2", "r2")):
+            there = there.join(one, (F.col("seq") == F.col("_d")) & (F.col(at) + F.col("lcp") == F.col("_i")), "left").drop("_d", "_i").withColumnRenamed("_r", name)
+        # a shared rank means as many shared symbols where neither suffix ends before
+        whole = (F.greatest("pos", "pos2") + F.col("lcp") + h <= F.col("n")) & (F.col("r1") == F.col("r2"))
+        pairs = materialise(there.withColumn("lcp", F.col("lcp") + F.when(whole, F.lit(h)).otherwise(F.lit(0))).select(*pairs.columns), "int-prefixes")
+    return pairs.select("seq", "rnk", "pos", "lcp")
+
+
+def _bwt_by_tables(values: DataFrame) -> DataFrame:
+    order = materialise(integer_suffix_array(values), "int-array")
+    whole = order.filter("pos = 0").select("seq", (F.col("rnk") + 1).alias("primary"))
+    # the symbol before a suffix; the transform begins with the last symbol, and the whole sequence has no row
+    before = values.select("seq", (F.col("pos") + 1).alias("pos"), "value")
+    rows = order.join(before, ["seq", "pos"]).join(whole, "seq").select("seq", F.when(F.col("rnk") + 1 < F.col("primary"), F.col("rnk") + 1).otherwise(F.col("rnk")).alias("row"), "value", "primary")
+    last = values.join(_sizes(values), "seq").filter(F.col("pos") == F.col("n") - 1).join(whole, "seq").select("seq", F.lit(0).cast("long").alias("row"), "value", "primary")
+    return rows.unionByName(last)
+
+
+def _inverse_by_tables(transforms: DataFrame) -> DataFrame:
+    """A node is a suffix by its place in order, from 1; its step leads to the suffix one symbol later, and the last one's to node 0."""
+    placed = materialise(global_rank(transforms, ["seq", "value", "row"], row="place"), "int-steps")
+    sizes = running_total(_sizes(transforms), ["seq"], "n", "before")
+    row = F.when(F.col("row") < F.col("primary"), F.col("row")).otherwise(F.col("row") + 1)
+    steps = placed.join(sizes, "seq").select("seq", (F.col("place") - F.col("before") + 1).alias("node"), "value", "n", row.alias("next"), F.lit(1).cast("long").alias("far"))
+    steps, width = materialise(steps, "int-walk"), 1
+    longest = sizes.agg(F.max("n")).first()[0] or 0
+    while width < longest:
+        ahead = steps.select("seq", F.col("node").alias("next"), F.col("next").alias("then"), F.col("far").alias("more"))
+        steps = steps.join(ahead, ["seq", "next"], "left").select("seq", "node", "value", "n", F.coalesce("then", "next").alias("next"), (F.col("far") + F.coalesce("more", F.lit(0).cast("long"))).alias("far"))
+        steps, width = materialise(steps, "int-walk"), 2 * width
+    return steps.select("seq", (F.col("n") - F.col("far")).alias("pos"), "value")
+
+
 def histogram(values: DataFrame) -> DataFrame:
     """(value, n) over all sequences."""
     return values.groupBy("value").agg(F.count(F.lit(1)).alias("n"))

@@ -232,3 +232,15 @@ def test_unique_suffixes(spark, docs_of):
     texts = ["banana", "ana", "bandana", "", "ana"]
     every = [t[i:] for t in texts for i in range(len(t))]
     assert sa.unique_suffixes(docs_of(texts)).first()["n_unique"] == sum(every.count(s) == 1 for s in every)
+
+
+def test_long_integer_sequences_go_through_tables(spark, monkeypatch):
+    from strandwise.operators import integers
+
+    r = random.Random(8)
+    seqs = {3: [r.randint(0, 3) for _ in range(40)], 4: [7, 7, 7, 7], 9: [5]}
+    df = spark.createDataFrame([(s, p, v) for s, x in seqs.items() for p, v in enumerate(x)], "seq long, pos long, value long")
+    wanted = [rows(integers.lcp(df), "seq", "rnk", "pos", "lcp"), rows(integers.bwt(df), "seq", "row", "value", "primary")]
+    monkeypatch.setattr(integers, "SEQUENCE_SYMBOLS", 2)
+    assert [rows(integers.lcp(df), "seq", "rnk", "pos", "lcp"), rows(integers.bwt(df), "seq", "row", "value", "primary")] == wanted
+    assert rows(integers.inverse_bwt(integers.bwt(df)), "seq", "pos", "value") == sorted((s, p, v) for s, x in seqs.items() for p, v in enumerate(x))
