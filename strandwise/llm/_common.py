@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,8 +56,12 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
         return
 
 
+_paths: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _paths.append(path)
     atexit.register(_remove_at_exit, spark, path)
     return path
 
@@ -69,6 +74,16 @@ def save(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def save_only(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """Saves what ``make`` returns and deletes the tables that were saved on the way to it."""
+    start = len(_paths)
+    out = save(make(), name)
+    for path in _paths[start:-1]:
+        remove(spark, path)
+    del _paths[start:-1]
+    return out
+
+
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` (already saved), marked for broadcast if it has at most ``rows`` rows; else the join shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import tokens
-from ._common import read_table, save
+from ._common import read_table, save, sized
 
 WINDOW = 4096
 #: Pieces that one task packs; a group leaves about one window partly filled.
@@ -114,9 +114,10 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None, e
     groups = max(1, -(-pieces.count() // GROUP_PIECES))
     group = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("int")
     packed = save(pieces.withColumn("bin", group).groupBy("bin").applyInPandas(_pack(window), f"{PIECES}, bin int, local long, offset long"), "packed")
-    sizes = packed.groupBy("bin").agg((F.max("local") + 1).alias("n"))  # one row a group
+    sizes = packed.groupBy("bin").agg((F.max("local") + 1).alias("n"))  # a row a group of GROUP_PIECES
     before = F.coalesce(F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return packed.join(F.broadcast(sizes.select("bin", before.alias("first"))), "bin").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("local")).alias("sequence_id"), "offset")
+    first = save(sizes.select("bin", before.alias("first")), "first-windows")
+    return packed.join(sized(first), "bin").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("local")).alias("sequence_id"), "offset")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

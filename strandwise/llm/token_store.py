@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import tokens
-from ._common import new_path, read_table
+from ._common import new_path, read_table, save, sized
 
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 64 << 10, 2_000
 _FLUSH_IDS = 400_000
@@ -94,11 +94,12 @@ def read_tokens(spark: SparkSession, path: str, columns: list[str] | None = None
 def with_starts(df: DataFrame, metadata: DataFrame) -> DataFrame:
     """Adds ``start``: the ids of all documents before. ``metadata``: part and n_tokens of all rows (its columns alone are read).
 
-    The table of parts has one row a file and is broadcast for that reason.
+    The table of parts has one row a file; it is broadcast if it is small, and else joined.
     """
     parts = metadata.groupBy("part").agg(F.sum(F.col("n_tokens").cast("long")).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(F.broadcast(parts.select("part", before.alias("part_start"))), "part").withColumn("start", F.col("part_start") + F.col("start_in_part"))
+    first = save(parts.select("part", before.alias("part_start")), "part-starts")
+    return df.join(sized(first), "part").withColumn("start", F.col("part_start") + F.col("start_in_part"))
 
 
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
