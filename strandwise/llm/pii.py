@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import BROADCAST_ROWS, WORD, let, read_table, save, sized, words_of
+from ._common import BROADCAST_ROWS, let, read_table, save, sized, words_of
 
 #: Kinds whose spans are the base ones, in the order of results, and all kinds that seeds can have.
 KINDS = ("email", "ip", "card", "phone")
@@ -82,10 +82,8 @@ def _running(lengths: Column) -> Column:
 
 
 _SPAN = "struct<start:bigint,end:bigint,value:string,left:string,right:string,left2:string,right2:string>"
-_GAP = r"[\x20\x09-\x0D]+"
-#: Up to two words before an identifier and after it; what touches it is no word of its context.
-_BEFORE = rf"(?:({WORD}){_GAP})?({WORD}){_GAP}[^\x20\x09-\x0D]*$"
-_AFTER = rf"^[^\x20\x09-\x0D]*{_GAP}({WORD})(?:{_GAP}({WORD}))?"
+#: Up to two words behind an identifier, or before it in the reversed text; what touches it is no word of its context.
+_BESIDE = r"^[^\x20\x09-\x0D]*+[\x20\x09-\x0D]++([^\x20\x09-\x0D]++)(?:[\x20\x09-\x0D]++([^\x20\x09-\x0D]++))?"
 
 
 def _matches(text: Column, pattern: str, possible: Column, keep) -> Column:
@@ -103,9 +101,9 @@ def _matches(text: Column, pattern: str, possible: Column, keep) -> Column:
             def one(starts):
                 def row(m, i):
                     start = F.get(starts, i) + F.length(F.get(pieces, i))
-                    before, after = F.get(pieces, i), F.get(pieces, i + 1)
-                    word = lambda x, form, k: F.lower(F.regexp_extract(x, form, k))
-                    far, near, next_, then = word(before, _BEFORE, 1), word(before, _BEFORE, 2), word(after, _AFTER, 1), word(after, _AFTER, 2)
+                    word = lambda x, k: F.regexp_extract(x, _BESIDE, k)
+                    before, after = F.reverse(F.get(pieces, i)), F.get(pieces, i + 1)
+                    far, near, next_, then = (F.lower(x) for x in (F.reverse(word(before, 2)), F.reverse(word(before, 1)), word(after, 1), word(after, 2)))
                     two = lambda a, b: F.when((a != "") & (b != ""), F.concat(a, F.lit(" "), b)).otherwise(F.lit(""))
                     return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("value"), near.alias("left"), next_.alias("right"), two(far, near).alias("left2"), two(next_, then).alias("right2"))
 
