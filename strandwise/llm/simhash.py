@@ -240,14 +240,18 @@ def keep_first(docs: DataFrame, duplicates: DataFrame, id_col: str = "doc_id", t
     by a digest of all its columns stays, so reruns agree. ``duplicates``: as
     ``near_duplicates`` gives, with is_first.
     """
-    first = save(duplicates.filter("is_first").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count(F.lit(1)).alias("_rows")), "kept")
+    named = duplicates.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "is_first")
+    gone = save(named.filter("NOT is_first").select("_id", "_hash").distinct(), "gone")
+    equal = save(named.filter("is_first").groupBy("_id", "_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_id", "_hash"), "equal-rows")
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_own"), F.col(id_col).cast("long").alias("_doc"), text_hash(text_col).alias("_text"))
-    kept = rows.join(sized(first), F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")))
-    if not first.filter("_rows > 1").limit(1).count():
+    # what goes is less than what stays: texts move only if it is more than fits a broadcast
+    kept = rows.join(sized(gone), same, "left_anti")
+    if not equal.limit(1).count():
         return kept.select("_own.*")
     digest = F.sha2(F.to_json("_own", {"ignoreNullFields": "false"}), 256)
-    chosen = kept.filter("_rows > 1").groupBy("_id", "_hash").agg(F.min_by("_own", digest).alias("_own"))
-    return kept.filter("_rows = 1").select("_own.*").unionByName(chosen.select("_own.*"))
+    chosen = kept.join(sized(equal), same).groupBy("_id", "_hash").agg(F.min_by("_own", digest).alias("_own"))
+    return kept.join(sized(equal), same, "left_anti").select("_own.*").unionByName(chosen.select("_own.*"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
