@@ -1,13 +1,14 @@
 """Language-model scores from an n-gram trie with Elias-Fano levels.
 
 The model is an interpolated trigram model over whole words, without pruning. It is cut
-into bins by context, and a bin is a trie by itself: the words of its n-grams as hashes,
-for each word the words seen after it, for each word the words seen before it (the
-contexts of trigrams), and for each such pair the words seen after it. All four levels
-are Elias-Fano coded: the first by the high bits of its hashes, the others by their
+into bins by context, and a bin is a trie by itself: the words of its n-grams, for each
+word the words seen after it, for each word the words seen before it (the contexts of
+trigrams), and for each such pair the words seen after it. All four levels are
+Elias-Fano coded: the first by the high bits of its word ids, the others by their
 parents, whose unary part is at once the list of monotone pointers into the level, with
-word ids of as few bits as the bin needs as low parts. A query searches only among the
-successors of its context. Discounted probabilities and back-off weights are quantised
+numbers of the bin's words, of as few bits as it needs, as low parts. A query searches
+only among the successors of its context. A word's id is its place in the vocabulary,
+which is an Elias-Fano level of 64-bit hashes. Discounted probabilities and back-off weights are quantised
 to one byte, and tasks map a bin's levels into memory.
 
 No task and no executor holds more of the model than the bin it works on: tokens go to
@@ -33,11 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.ranking import global_rank
 from ._common import read_table, release, save
 from .langid import fold
 
 #: Discount of every count; bytes of text a bin; tokens that a task sends together; tokens of one context beyond which it is dealt to several bins.
-DISCOUNT, BIN_TEXT, LOT_TOKENS, HOT_TOKENS = 0.75, 24 << 20, 4_000_000, 4_000_000
+DISCOUNT, BIN_TEXT, LOT_TOKENS, HOT_TOKENS = 0.75, 12 << 20, 4_000_000, 4_000_000
 #: Bytes of the coded vocabulary up to which all tasks hold it; beyond, words meet their counts in a join.
 VOCABULARY_BYTES = 64 << 20
 #: White space cannot be a word, so these two stand apart from all words.
@@ -211,16 +213,15 @@ def _level(parent: np.ndarray, word: np.ndarray, counts: np.ndarray, parents: in
 
 
 def build_trie(words: np.ndarray, bigrams: tuple, contexts: np.ndarray, trigrams: tuple, discount: float = DISCOUNT) -> bytes:
-    """A trie as bytes. ``words``: rising hashes. ``bigrams``: rising v << 32 | t of word indexes, and counts. ``contexts``: rising
+    """A trie as bytes. ``words``: rising ids. ``bigrams``: rising v << 32 | t of word indexes, and counts. ``contexts``: rising
     v << 32 | u. ``trigrams``: rising context << 32 | t, contexts by index, and counts."""
-    n, low = len(words), np.uint64(0xFFFFFFFF)
-    width = max(1, int(max(n - 1, 1)).bit_length())
-    sections = {f"words_{k}": v for k, v in hash_level(words).items()}
-    split = lambda keys: ((keys >> np.uint64(32)).astype(np.int64), keys & low)
-    sections |= _level(*split(bigrams[0]), bigrams[1], n, width, discount, "after")
-    sections |= {f"before_{k}": v for k, v in EliasFano.build(*split(contexts), n, width).items()}
-    sections |= _level(*split(trigrams[0]), trigrams[1], len(contexts), width, discount, "third")
-    head, at = {"n": n, "width": width, "parts": {}}, 0
+    n, width = len(words), max(1, int(max(len(words) - 1, 1)).bit_length())
+    rest = max(0, int(words[-1] if n else 0).bit_length() - width)
+    sections = {f"words_{k}": v for k, v in EliasFano.build((words >> np.uint64(rest)).astype(np.int64), words & np.uint64((1 << rest) - 1), (int(words[-1]) >> rest) + 1 if n else 1, rest).items()}
+    sections |= _level(*_halves(bigrams[0]), bigrams[1], n, width, discount, "after")
+    sections |= {f"before_{k}": v for k, v in EliasFano.build(*_halves(contexts), n, width).items()}
+    sections |= _level(*_halves(trigrams[0]), trigrams[1], len(contexts), width, discount, "third")
+    head, at = {"n": n, "width": width, "rest": rest, "last": int(words[-1]) if n else -1, "parts": {}}, 0
     for name, x in sections.items():
         head["parts"][name] = [at, len(x), x.dtype.str]
         at += -(-x.nbytes // 64) * 64
@@ -243,8 +244,8 @@ class Trie:
         head = json.loads(bytes(data[8:start]).rstrip(b"\0"))
         part = {name: np.frombuffer(data, dtype, n, start + at) for name, (at, n, dtype) in head["parts"].items()}
         level = lambda name: (part[f"{name}_bits"], part[f"{name}_zeros"], part[f"{name}_low"])
-        self.part, self.n = part, head["n"]
-        self.words = HashLevel(self.n, *level("words"))
+        self.part, self.last, self.rest = part, head["last"], head["rest"]
+        self.words = EliasFano(*level("words"), self.rest)
         self.after, self.before, self.third = (EliasFano(*level(x), head["width"]) for x in ("after", "before", "third"))
 
     @classmethod
@@ -254,6 +255,13 @@ class Trie:
             f.flush()
             return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
+    def index(self, ids: np.ndarray) -> np.ndarray:
+        """Number of each word id among this trie's words; -1: not there."""
+        found, within = np.full(len(ids), -1, np.int64), np.flatnonzero(ids <= self.last) if self.last >= 0 else np.zeros(0, np.int64)
+        one = ids[within].astype(np.uint64)
+        found[within] = self.words.find((one >> np.uint64(self.rest)).astype(np.int64), one & np.uint64((1 << self.rest) - 1))
+        return found
+
     def _values(self, name: str, index: np.ndarray, otherwise: float) -> np.ndarray:
         codes, book = self.part[name], 10.0 ** self.part[f"{name}_book"]
         return np.where(index >= 0, book[codes[np.maximum(index, 0)]] if len(codes) else otherwise, otherwise)
@@ -296,55 +304,59 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _code_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (first, n, data): rising hashes with counts as coded levels of a million words."""
+    """Rows (first, start, n, data): rising hashes with counts as coded levels of a million words; start is the first word's id."""
     held: list = []
 
-    def row(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    def row(h: np.ndarray, ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         level = hash_level(h)
-        return pa.RecordBatch.from_arrays([pa.array([int(h[0])], pa.uint64()).view(pa.int64()), pa.array([len(h)], pa.int64()), pa.array([_packed(level["bits"], level["zeros"], level["low"], n)], pa.binary())], names=["first", "n", "data"])
+        data = _packed(level["bits"], level["zeros"], level["low"], n)
+        return pa.RecordBatch.from_arrays([pa.array(h[:1].view(np.int64)), pa.array(ids[:1]), pa.array([len(h)], pa.int64()), pa.array([data], pa.binary())], names=["first", "start", "n", "data"])
 
     for batch in itertools.chain(batches, [None]):
-        if batch is not None:
-            held.append((batch.column(0).to_numpy().view(np.uint64) ^ np.uint64(1 << 63), batch.column(1).to_numpy()))
-        if held and (batch is None or sum(len(h) for h, _ in held) >= 1_000_000):
-            h, n = (np.concatenate(x) for x in zip(*held))
-            if len(h):
-                yield row(h, n)
+        if batch is not None and batch.num_rows:
+            held.append((batch.column(0).to_numpy().view(np.uint64) ^ np.uint64(1 << 63), batch.column(1).to_numpy(), batch.column(2).to_numpy()))
+        if held and (batch is None or sum(len(h) for h, *_ in held) >= 1_000_000):
+            yield row(*(np.concatenate(x) for x in zip(*held)))
             held = []
+    release()
 
 
 class Words:
     """The vocabulary's coded levels, in the order of their hashes."""
 
-    def __init__(self, rows: list[tuple[int, int, bytes]]):
-        rows = sorted((first & (1 << 64) - 1, n, data) for first, n, data in rows)
+    def __init__(self, rows: list[tuple[int, int, int, bytes]]):
+        rows = sorted((first & (1 << 64) - 1, start, n, data) for first, start, n, data in rows)
         self.first = np.array([r[0] for r in rows], np.uint64)
         self.levels = []
-        for _, n, data in rows:
+        for _, start, n, data in rows:
             bits, zeros, low, counts = _unpacked(data)
-            self.levels.append((HashLevel(n, bits.astype(np.uint8), zeros.astype(np.uint32), low.astype(np.uint8)), counts.astype(np.int64)))
+            self.levels.append((start, HashLevel(n, bits.astype(np.uint8), zeros.astype(np.uint32), low.astype(np.uint8)), counts.astype(np.int64)))
 
-    def counts(self, hashes: np.ndarray) -> np.ndarray:
-        """Of each hash; 0: unknown."""
-        out, level = np.zeros(len(hashes), np.int64), np.searchsorted(self.first, hashes, side="right") - 1
-        for k, (words, counts) in enumerate(self.levels):
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Id (-1: unknown) and count of each hash."""
+        ids, out, level = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64), np.searchsorted(self.first, hashes, side="right") - 1
+        for k, (start, words, counts) in enumerate(self.levels):
             mine = np.flatnonzero(level == k)
             if len(mine):
                 index = words.index(hashes[mine])
-                out[mine] = np.where(index >= 0, counts[np.maximum(index, 0)], 0)
-        return out
+                there = index >= 0
+                ids[mine[there]], out[mine[there]] = start + index[there], counts[index[there]]
+        return ids, out
 
 
 @dataclass
 class Vocabulary:
-    """Word counts of a corpus: (hash, n) and the coded levels as tables, the totals, and how contexts are dealt to bins."""
+    """Words of a corpus: (h, id, n) in the order of their hashes and the coded levels as tables, the totals, and how contexts are dealt to bins.
+
+    ids run up to n_words; n_words itself is a document's beginning, and one more an unknown word.
+    """
 
-    counts: DataFrame
+    ranked: DataFrame
     levels: DataFrame
     n_words: int
     n_tokens: int
     bins: int
-    hot: tuple[np.ndarray, np.ndarray, np.ndarray]  # hashes, first bins and numbers of bins of frequent contexts
+    hot: tuple[np.ndarray, np.ndarray, np.ndarray]  # rising ids, first bins and numbers of bins of frequent contexts
     coded_bytes: int
 
     @property
@@ -356,17 +368,18 @@ def vocabulary(docs: DataFrame, text_col: str = "text", bin_text: int = BIN_TEXT
     """Counts the words of all rows. Frequent contexts are at most as many as the tokens by ``hot_tokens``."""
     texts = docs.select(F.col(text_col).alias("text"))
     counts = save(texts.mapInArrow(_count_words, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")), "words")
-    own = np.array([_hash(BEGIN)], np.uint64).view(np.int64)[0].item()
+    own = F.col("hash") == F.lit(np.array([_hash(BEGIN)], np.uint64).view(np.int64)[0].item())
     # the order of unsigned numbers
-    flipped = counts.filter(F.col("hash") != own).select(F.col("hash").bitwiseXOR(F.lit(-(1 << 63))).alias("h"), "n")
-    levels = save(flipped.repartitionByRange("h").sortWithinPartitions("h").mapInArrow(_code_words, "first long, n long, data binary"), "vocabulary")
-    total = counts.filter(F.col("hash") != own).agg(F.count(F.lit(1)), F.sum("n")).first()
-    size = levels.agg(F.sum(F.length("data").cast("long"))).first()[0] or 0
+    flipped = counts.filter(~own).select(F.col("hash").bitwiseXOR(F.lit(-(1 << 63))).alias("h"), "n")
+    ranked = save(global_rank(flipped, ["h"], row="id").select("h", "id", "n"), "ranked-words")
+    levels = save(ranked.repartitionByRange("h").sortWithinPartitions("h").mapInArrow(_code_words, "first long, start long, n long, data binary"), "vocabulary")
+    total = ranked.agg(F.count(F.lit(1)), F.sum("n")).first()
+    n_words, size = total[0] or 0, levels.agg(F.sum(F.length("data").cast("long"))).first()[0] or 0
     text = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    rows = sorted((r["hash"] & (1 << 64) - 1, -(-r["n"] // hot_tokens)) for r in counts.filter(F.col("n") > hot_tokens).collect())
-    hashes, parts = np.array([h for h, _ in rows], np.uint64), np.array([k for _, k in rows], np.int64)
-    bins = max(1, -(-text // bin_text))
-    return Vocabulary(counts, levels, total[0] or 0, total[1] or 0, bins, (hashes, bins + np.cumsum(parts) - parts, parts), size)
+    frequent = ranked.filter(F.col("n") > hot_tokens).select("id", "n").union(counts.filter(own & (F.col("n") > hot_tokens)).select(F.lit(n_words).cast("long"), "n"))
+    rows = sorted((r["id"], -(-r["n"] // hot_tokens)) for r in frequent.collect())
+    parts, bins = np.array([k for _, k in rows], np.int64), max(1, -(-text // bin_text))
+    return Vocabulary(ranked, levels, n_words, total[1] or 0, bins, (np.array([i for i, _ in rows], np.int64), bins + np.cumsum(parts) - parts, parts), size)
 
 
 # ---- tokens on their way
@@ -400,20 +413,27 @@ class Lot:
         self.u = np.concatenate(([self.begin], self.v[:-1])).astype(np.int32)
         self.u[self.starts] = self.begin
 
-    def bins(self, vocabulary_bins: int, hot: tuple) -> np.ndarray:
-        """Of each token, by its context; a frequent one's tokens by the word before it, a beginning's by the token."""
-        h = self.hashes
-        of = (h % np.uint64(vocabulary_bins)).astype(np.int64)
-        out = of[self.v]
-        hashes, first, parts = hot
-        if len(hashes):
-            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            many = (hashes[at] == h)[self.v]
-            rows = np.flatnonzero(many)
-            by = np.where(self.v[rows] == self.begin, self.t[rows], self.u[rows])
-            k = at[self.v[rows]]
-            out[rows] = first[k] + (h[by] // np.uint64(vocabulary_bins) % parts[k].astype(np.uint64)).astype(np.int64)
-        return out
+    def name(self, ids: np.ndarray, n_words: int) -> None:
+        """Turns the lot's numbers of words into ids of the vocabulary."""
+        ids = np.where(ids < 0, n_words + 1, ids)
+        ids[self.begin] = n_words
+        self.t, self.v, self.u = (ids[x] for x in (self.t, self.v, self.u))
+
+
+def _mixed(ids: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.asarray(n).astype(np.uint64)).astype(np.int64)
+
+
+def _bins(lot: Lot, vocab_bins: int, hot: tuple, n_words: int) -> np.ndarray:
+    """Of each token, by its context; a frequent one's tokens by the word before it, a beginning's by the token."""
+    out = _mixed(lot.v, vocab_bins)
+    ids, first, parts = hot
+    if len(ids):
+        at = np.minimum(np.searchsorted(ids, lot.v), len(ids) - 1)
+        rows = np.flatnonzero(ids[at] == lot.v)
+        k = at[rows]
+        out[rows] = first[k] + _mixed(np.where(lot.v[rows] == n_words, lot.t[rows], lot.u[rows]), parts[k])
+    return out
 
 
 def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Lot, list, list]]:
@@ -433,36 +453,28 @@ def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Lot, list, list]]
 
 
 def _message(lot: Lot, at: np.ndarray, counts: np.ndarray, trains: np.ndarray) -> bytes:
-    """Tokens ``at`` (sorted by context, then document) of one bin: the words they use as hashes and counts, contexts in runs, words before, words, documents, times, and which documents train."""
+    """Tokens ``at`` (sorted by context, then document) of one bin: contexts in runs, words before, words, counts of the distinct words, documents, times, and which documents train."""
     v, u, t, doc = lot.v[at], lot.u[at], lot.t[at], lot.doc[at]
-    new = np.concatenate(([True], (v[1:] != v[:-1]) | (u[1:] != u[:-1]) | (t[1:] != t[:-1]) | (doc[1:] != doc[:-1])))
-    first = np.flatnonzero(new)
+    first = np.flatnonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (u[1:] != u[:-1]) | (t[1:] != t[:-1]) | (doc[1:] != doc[:-1]))))
     times = np.diff(np.append(first, len(at)))
     v, u, t, doc = v[first], u[first], t[first], doc[first]
-    if len(first) * 24 < len(lot.hashes):
-        used, where = np.unique(np.concatenate((v, u, t)), return_inverse=True)
-        v, u, t = np.split(where, 3)
-    else:
-        mark = np.zeros(len(lot.hashes), bool)
-        mark[v] = mark[u] = mark[t] = True
-        used = np.flatnonzero(mark)
-        place = np.cumsum(mark) - 1
-        v, u, t = place[v], place[u], place[t]
     runs = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
     docs, own = np.unique(doc, return_inverse=True)
     step = np.diff(own, prepend=0)
     step[runs] = own[runs]  # documents rise within a context
-    return _packed(lot.hashes[used], counts[used], v[runs], np.diff(np.append(runs, len(v))), u, t, step, times, docs, trains[docs])
+    once = np.unique(t, return_index=True)[1]
+    return _packed(np.diff(v[runs], prepend=0), np.diff(np.append(runs, len(v))), u, t, counts[at[first[once]]], step, times, docs, trains[docs])
 
 
 def _tokens_of(data: bytes) -> tuple[np.ndarray, ...]:
-    hashes, counts, runs, sizes, u, t, step, times, docs, trains = _unpacked(data)
-    v = np.repeat(runs, sizes.astype(np.int64))
-    starts = np.cumsum(sizes.astype(np.int64)) - sizes.astype(np.int64)
-    own = np.cumsum(step.astype(np.int64))
-    base = own[starts] - step[starts].astype(np.int64)
-    own -= np.repeat(base, sizes.astype(np.int64))
-    return hashes, counts, v, u, t, own, times, docs, trains
+    """(v, u, t, distinct words, their counts, document numbers, times, documents, trains)"""
+    runs, sizes, u, t, counts, step, times, docs, trains = _unpacked(data)
+    sizes, step = sizes.astype(np.int64), step.astype(np.int64)
+    starts, own = np.cumsum(sizes) - sizes, np.cumsum(step)
+    own -= np.repeat(own[starts] - step[starts], sizes)
+    v = np.repeat(np.cumsum(runs), sizes).astype(np.uint32)
+    u, t = u.astype(np.uint32), t.astype(np.uint32)
+    return v, u, t, np.unique(t), counts.astype(np.int64), own.astype(np.int32), times.astype(np.float32), docs, trains.astype(bool)
 
 
 def _send(vocab: Vocabulary, words: list | None, carried: list[str]):
@@ -481,39 +493,44 @@ def _send(vocab: Vocabulary, words: list | None, carried: list[str]):
             lot.close()
             number = (TaskContext.get().partitionId() << 24) + k
             table = pa.Table.from_batches(rows)
-            counts = held.counts(lot.hashes) if held is not None else _given_counts(table, lot.hashes)
-            single = np.log10((counts + 1.0) / (n_tokens + n_words + 1.0))
-            known = np.add.reduceat((counts > 0)[lot.t].astype(np.int64), lot.starts)
-            base = np.add.reduceat(single[lot.t], lot.starts)
-            about = table.select(carried).combine_chunks().append_column("n_tokens", pa.array(lot.lengths)).append_column("n_known", pa.array(known)).append_column("base_score", pa.array(base))
+            ids, counts = held.find(lot.hashes) if held is not None else _given_words(table, lot.hashes)
+            per_token = counts[lot.t]
+            lot.name(ids, n_words)
+            single = np.log10((per_token + 1.0) / (n_tokens + n_words + 1.0))
+            # what follows an unknown word is not seen after it
+            alone = lot.v == n_words + 1
+            sums = [np.add.reduceat(x, lot.starts) for x in ((per_token > 0).astype(np.int64), single, np.where(alone, single, 0.0))]
+            about = table.select(carried).combine_chunks()
+            for name, x in zip(("n_tokens", "n_known", "base_score", "alone"), (lot.lengths, *sums)):
+                about = about.append_column(name, pa.array(x))
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, about.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                 writer.write_table(about)
             yield row(number % all_bins, DOCS, number, sink.getvalue().to_pybytes())
             trains = table.column("_trains").to_numpy().astype(np.uint8)
-            of = lot.bins(bins, hot)
-            order = np.argsort(of << 32 | lot.v, kind="stable")
-            ends = np.flatnonzero(np.diff(of[order], append=-1)) + 1
-            start = 0
+            of, sent = _bins(lot, bins, hot, n_words), np.flatnonzero(~alone)
+            order = sent[np.argsort(of[sent] << 40 | lot.v[sent], kind="stable")]
+            ends, start = np.flatnonzero(np.diff(of[order], append=-1)) + 1, 0
             for end in ends.tolist():
                 at = order[start:end]
-                yield row(int(of[at[0]]), TOKENS, number, _message(lot, at, counts, trains))
+                yield row(int(of[at[0]]), TOKENS, number, _message(lot, at, per_token, trains))
                 start = end
+            del lot, rows, table, of, sent, order, per_token, single, ids, counts
+            release()
         release()
 
     return run
 
 
-def _given_counts(table: pa.Table, hashes: np.ndarray) -> np.ndarray:
-    """Counts that came with the rows (``_known``: lists of hashes and counts)."""
-    lists = table.column("_known").combine_chunks()
-    values = lists.flatten()
-    h, n = values.field("hash").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), values.field("n").to_numpy(zero_copy_only=False)
-    h, first = np.unique(h, return_index=True)
+def _given_words(table: pa.Table, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and counts that came with the rows (``_known``: lists of hash, id and n)."""
+    values = table.column("_known").combine_chunks().flatten()
+    h, ids, n = (values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("hash", "id", "n"))
+    h, first = np.unique(h.view(np.uint64), return_index=True)
     if not len(h):
-        return np.zeros(len(hashes), np.int64)
+        return np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
     at = np.minimum(np.searchsorted(h, hashes), len(h) - 1)
-    return np.where(h[at] == hashes, n[first][at], 0).astype(np.int64)
+    return np.where(h[at] == hashes, ids[first][at], -1), np.where(h[at] == hashes, n[first][at], 0)
 
 
 def _own_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -523,25 +540,36 @@ def _own_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), row)), pa.array(own.view(np.int64))], names=["_row", "hash"])
 
 
-def _messages(rows: DataFrame, vocab: Vocabulary, carried: list[str]) -> DataFrame:
-    """``rows``: carried columns, _trains, text. A vocabulary within VOCABULARY_BYTES goes to all tasks; a larger one is joined."""
+def _named(rows: DataFrame, vocab: Vocabulary):
+    """(rows, words): a vocabulary within VOCABULARY_BYTES goes to all tasks; of a larger one the rows get their own words by a join."""
     if vocab.coded_bytes <= VOCABULARY_BYTES:
-        words = rows.sparkSession.sparkContext.broadcast([tuple(r) for r in vocab.levels.select("first", "n", "data").collect()])
-        return rows.mapInArrow(_send(vocab, words, carried), SENT)
+        return rows, rows.sparkSession.sparkContext.broadcast([tuple(r) for r in vocab.levels.select("first", "start", "n", "data").collect()])
     rows = save(rows.withColumn("_row", F.monotonically_increasing_id()), "lm-rows")
     asked = rows.select("_row", "text").mapInArrow(_own_words, "_row long, hash long")
-    known = asked.join(vocab.counts, "hash").groupBy("_row").agg(F.collect_list(F.struct("hash", "n")).alias("_known"))  # a document's own words
-    return rows.join(known, "_row", "left").drop("_row").mapInArrow(_send(vocab, None, carried), SENT)
+    words = vocab.ranked.select(F.col("h").bitwiseXOR(F.lit(-(1 << 63))).alias("hash"), "id", "n")
+    known = asked.join(words, "hash").groupBy("_row").agg(F.collect_list(F.struct("hash", "id", "n")).alias("_known"))  # a document's own words
+    return rows.join(known, "_row", "left").drop("_row"), None
 
 
-def _hot_pairs(hot: np.ndarray):
+def _messages(rows: DataFrame, vocab: Vocabulary, carried: list[str]) -> DataFrame:
+    """Messages of ``rows`` (carried columns, _trains, text), and what those that train tell of frequent contexts."""
+    given, words = _named(rows, vocab)
+    sent = given.mapInArrow(_send(vocab, words, carried), SENT)
+    return sent.unionByName(_successors(given.filter("_trains"), vocab, words)) if len(vocab.hot[0]) else sent
+
+
+def _hot_pairs(vocab: Vocabulary, words):
+    hot, n_words = vocab.hot[0], vocab.n_words
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lot, _, _ in _lots(batches):
+        held = Words(words.value) if words is not None else None
+        for lot, rows, _ in _lots(batches):
             lot.close()
-            rows = np.flatnonzero(np.isin(lot.hashes, hot)[lot.v])
-            pairs, n = np.unique(lot.v[rows].astype(np.int64) << 32 | lot.t[rows], return_counts=True)
-            v, t = lot.hashes[pairs >> 32], lot.hashes[pairs & 0xFFFFFFFF]
-            yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(t.view(np.int64)), pa.array(n)], names=["v", "t", "n"])
+            lot.name((held.find(lot.hashes) if held is not None else _given_words(pa.Table.from_batches(rows), lot.hashes))[0], n_words)
+            rows = np.flatnonzero(np.isin(lot.v, hot))
+            pairs, n = np.unique(_pair(lot.v[rows], lot.t[rows]), return_counts=True)
+            v, t = _halves(pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(t), pa.array(n)], names=["v", "t", "n"])
 
     return run
 
@@ -551,15 +579,15 @@ def _pack_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, t, n = (batch.column(i).to_numpy() for i in range(3))
         for one in np.unique(v):
             mine = v == one
-            yield pa.RecordBatch.from_arrays([pa.array([one]), pa.array([_packed(np.full(1, one).view(np.uint64), t[mine].view(np.uint64), n[mine])], pa.binary())], names=["v", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([one]), pa.array([_packed(np.array([one]), t[mine], n[mine])], pa.binary())], names=["v", "data"])
 
 
-def _successors(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """Messages to all bins of each frequent context: the words seen after it, with counts."""
-    hashes, first, parts = vocab.hot
-    pairs = docs.select("text").mapInArrow(_hot_pairs(hashes), "v long, t long, n long").groupBy("v", "t").agg(F.sum("n").alias("n"))
+def _successors(given: DataFrame, vocab: Vocabulary, words) -> DataFrame:
+    """Messages to all bins of each frequent context: the words seen after it, with counts. ``given``: training rows, as ``_named`` gives them."""
+    ids, first, parts = vocab.hot
+    pairs = given.mapInArrow(_hot_pairs(vocab, words), "v long, t long, n long").groupBy("v", "t").agg(F.sum("n").alias("n"))
     packed = save(pairs.repartition("v", F.pmod("t", F.lit(64))).sortWithinPartitions("v").mapInArrow(_pack_pairs, "v long, data binary"), "hot-successors")
-    table = docs.sparkSession.createDataFrame([(int(h), int(a), int(k)) for h, a, k in zip(hashes.view(np.int64), first, parts)], "v long, a int, k int")
+    table = given.sparkSession.createDataFrame([(int(i), int(a), int(k)) for i, a, k in zip(ids, first, parts)], "v long, a int, k int")
     bins = packed.join(F.broadcast(table), "v").select(F.explode(F.sequence("a", F.expr("a + k - 1"))).alias("bin"), "data")  # a row a frequent context
     return bins.select("bin", F.lit(SUCCESSORS).alias("kind"), F.lit(0).cast("long").alias("lot"), "data")
 
@@ -574,22 +602,22 @@ def _sums(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return found, np.bincount(at, weights[kept], len(found))
 
 
-def _learn(v: np.ndarray, u: np.ndarray, t: np.ndarray, times: np.ndarray, words: np.ndarray, successors: list, discount: float) -> bytes:
-    """The trie of a bin's training tokens; all words as indexes of ``words``, rising hashes. A frequent context's successors are given."""
+def _learn(v: np.ndarray, u: np.ndarray, t: np.ndarray, times: np.ndarray, successors: list, begin: int, discount: float) -> bytes:
+    """The trie of a bin's training tokens; words as ids. A frequent context's successors are given."""
     if successors:
         given = [_unpacked(x) for x in successors]
-        extra = np.unique(np.concatenate([words, *(x for g in given for x in g[:2])]))
-        move = np.searchsorted(extra, words)
-        v, u, t, words = move[v], move[u], move[t], extra
-        keys = np.concatenate([_pair(np.searchsorted(extra, np.repeat(h, len(x))), np.searchsorted(extra, x)) for h, x, _ in given])
-        bigrams = _sums(keys, np.concatenate([n.astype(np.float64) for *_, n in given]))
+        bigrams = _sums(np.concatenate([_pair(np.repeat(h, len(x)), x) for h, x, _ in given]), np.concatenate([n.astype(np.float64) for *_, n in given]))
     else:
         bigrams = _sums(_pair(v, t), times)
     # two beginnings tell no more than one
-    trained = times * (words[v] != np.uint64(_hash(BEGIN)))
+    trained = times * (v != begin)
     contexts, _ = _sums(_pair(v, u), trained)
-    context = np.searchsorted(contexts, _pair(v, u))
-    return build_trie(words, bigrams, contexts, _sums(_pair(context, t), trained), discount)
+    trigrams = _sums(_pair(np.searchsorted(contexts, _pair(v, u)), t), trained)
+    words = np.unique(np.concatenate([*_halves(bigrams[0]), *_halves(contexts), _halves(trigrams[0])[1]]))
+    local = lambda x: np.searchsorted(words, x)
+    own = lambda keys: _pair(*map(local, _halves(keys)))
+    context, third = _halves(trigrams[0])
+    return build_trie(words.astype(np.uint64), (own(bigrams[0]), bigrams[1]), own(contexts), (_pair(context, local(third)), trigrams[1]), discount)
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -600,45 +628,43 @@ def _halves(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def _answer(discount: float, total: int, tries: bool, sums: bool):
-    """A bin's messages to its trie and to the sums of its documents. ``total``: what a word's count plus one is a share of."""
+def _answer(vocab: Vocabulary, discount: float, tries: bool, sums: bool):
+    """A bin's messages to its trie and to the sums of its documents."""
+    total, begin = vocab.n_tokens + vocab.n_words + 1, vocab.n_words
 
     def run(group: pa.Table) -> pa.Table:
-        kinds, lots, data = (group.column(c).to_pylist() for c in ("kind", "lot", "data"))
+        kinds, lots, data = group.column("kind").to_pylist(), group.column("lot").to_pylist(), group.column("data")
         number, out = group.column("bin")[0].as_py(), []
         of_kind = lambda kind: sorted((lots[i], i) for i in range(len(kinds)) if kinds[i] == kind)
-        out += [(number, DOCS, lot, data[i]) for lot, i in of_kind(DOCS)] if sums else []
-        sent, given = of_kind(TOKENS), [data[i] for _, i in of_kind(TRIE)]
+        out += [(number, DOCS, lot, data[i].as_py()) for lot, i in of_kind(DOCS)] if sums else []
+        sent, given = of_kind(TOKENS), [data[i].as_py() for _, i in of_kind(TRIE)]
         if sent:
-            held = [_tokens_of(data[i]) for _, i in sent]
-            words, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-            counts, at = np.zeros(len(words), np.int64), at.astype(np.uint32)
-            counts[at] = np.concatenate([h[1] for h in held])
-            ends = np.cumsum([len(h[0]) for h in held])
-            place = [at[e - len(h[0]) : e] for h, e in zip(held, ends)]
-            v, u, t = (np.concatenate([s[h[k].astype(np.int64)] for h, s in zip(held, place)]) for k in (2, 3, 4))
-            times = [h[6].astype(np.float64) for h in held]
-            docs = [(h[5], h[7], h[8].astype(bool)) for h in held]
+            held = [_tokens_of(data[i].as_py()) for _, i in sent]
+            v, u, t = (np.concatenate([h[k] for h in held]) for k in range(3))
+            words, first = np.unique(np.concatenate([h[3] for h in held]), return_index=True)
+            single = (np.concatenate([h[4] for h in held])[first] + 1.0) / total
+            docs = [h[5:] for h in held]
             del held
             if not given:
-                trains = np.concatenate([flag[own] for own, _, flag in docs])
-                given = [_learn(v, u, t, np.concatenate(times) * trains, words, [data[i] for _, i in of_kind(SUCCESSORS)], discount)]
+                weights = np.concatenate([times * trains[own] for own, times, _, trains in docs])
+                given = [_learn(v, u, t, weights, [data[i].as_py() for _, i in of_kind(SUCCESSORS)], begin, discount)]
         if tries and given:
             out.append((number, TRIE, 0, given[0]))
         if sums and sent:
             trie = Trie.mapped(given[0])
-            ids, single = trie.words.index(words), (counts + 1.0) / total
             pairs, of = np.unique(_pair(v, u), return_inverse=True)
+            del v, u
             keys, of = np.unique(_pair(of.ravel(), t), return_inverse=True)
-            del v, u, t
-            prob = np.zeros(len(keys))
+            del t
+            prob = np.zeros(len(keys), np.float32)
             for a in range(0, len(keys), 500_000):
                 pair, word = _halves(keys[a : a + 500_000])
                 context, before = _halves(pairs[pair])
-                prob[a : a + 500_000] = np.log10(trie.probability(ids[context], ids[before], ids[word], single[word]))
-            prob, start = prob[of.ravel()], 0
-            for (lot, _), (own, names, _), n in zip(sent, docs, times):
-                score = np.bincount(own, prob[start : start + len(own)] * n, len(names))
+                own = [trie.index(x) for x in (context, before, word)]
+                prob[a : a + 500_000] = np.log10(trie.probability(*own, single[np.searchsorted(words, word)]))
+            of, start = of.ravel(), 0
+            for (lot, _), (own, times, names, _) in zip(sent, docs):
+                score = np.bincount(own, prob[of[start : start + len(own)]] * times, len(names))
                 start += len(own)
                 out.append((number, TOKENS, lot, _packed(names, np.rint(-score * _STEPS).astype(np.int64))))
         columns = list(zip(*out)) if out else [(), (), (), ()]
@@ -658,7 +684,7 @@ def _assemble(n_tokens: int):
         for kind, _, data in rows[:-1]:
             names, sums = _unpacked(data)
             steps[names.astype(np.int64)] += sums.astype(np.int64)
-        out = docs.append_column("score", pa.array(-steps / _STEPS))
+        out = docs.drop_columns(["alone"]).append_column("score", pa.array(docs.column("alone").to_numpy() - steps / _STEPS))
         at = out.schema.get_field_index("base_score")
         return out.add_column(at, "train_tokens", pa.array(np.full(docs.num_rows, n_tokens)))
 
@@ -682,7 +708,7 @@ def _carried(docs: DataFrame, keep: tuple, trains: Column, text_col: str) -> tup
 
 
 def _scored(messages: DataFrame, vocab: Vocabulary, discount: float, docs: DataFrame, names: list[str], keep: tuple) -> DataFrame:
-    answers = save(messages.groupBy("bin").applyInArrow(_answer(discount, vocab.n_tokens + vocab.n_words + 1, False, True), SENT), "lm-sums")
+    answers = save(messages.groupBy("bin").applyInArrow(_answer(vocab, discount, False, True), SENT), "lm-sums")
     fields = ", ".join(f"{n} {docs.schema[n].dataType.simpleString()}" for n in names)
     schema = f"{fields}{', ' if fields else ''}n_tokens long, n_known long, train_tokens long, base_score double, score double"
     out = answers.groupBy("lot").applyInArrow(_assemble(vocab.n_tokens), schema)
@@ -694,8 +720,7 @@ def train(docs: DataFrame, text_col: str = "text", discount: float = DISCOUNT, b
     vocab = vocabulary(docs, text_col, bin_text, hot_tokens)
     rows, names = _carried(docs, (), F.lit(True), text_col)
     sent = _messages(rows, vocab, names)
-    sent = sent.unionByName(_successors(rows, vocab)) if len(vocab.hot[0]) else sent
-    return Model(vocab, save(sent.groupBy("bin").applyInArrow(_answer(discount, 1, True, False), SENT), "tries"))
+    return Model(vocab, save(sent.groupBy("bin").applyInArrow(_answer(vocab, discount, True, False), SENT), "tries"))
 
 
 def score(docs: DataFrame, model: Model, keep: tuple = ("doc_id",), text_col: str = "text") -> DataFrame:
@@ -714,9 +739,7 @@ def train_and_score(docs: DataFrame, trains: Column, keep: tuple = ("doc_id",),
     taught = docs.filter(trains)
     vocab = vocabulary(taught, text_col, bin_text, hot_tokens)
     rows, names = _carried(docs, keep, trains, text_col)
-    sent = _messages(rows, vocab, names)
-    sent = sent.unionByName(_successors(rows.filter("_trains"), vocab)) if len(vocab.hot[0]) else sent
-    return _scored(sent, vocab, discount, rows, names, keep)
+    return _scored(_messages(rows, vocab, names), vocab, discount, rows, names, keep)
 
 
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

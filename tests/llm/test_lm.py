@@ -122,7 +122,7 @@ def test_successors_are_searched_within_their_context():
     bigrams = (np.array([key(0, 1), key(0, 2), key(2, 0)], np.uint64), np.array([3.0, 1.0, 2.0]))
     contexts, trigrams = np.array([key(0, 2), key(2, 2)], np.uint64), (np.array([key(0, 1), key(1, 0)], np.uint64), np.array([2.0, 2.0]))
     trie = lm.Trie.mapped(lm.build_trie(words, bigrams, contexts, trigrams))
-    assert trie.words.index(words).tolist() == [0, 1, 2]
+    assert trie.index(np.concatenate((words, np.array([5, (1 << 60) + 1], np.uint64)))).tolist() == [0, 1, 2, -1, -1]
     v, u, t = np.array([0, 0, 2, 1, -1]), np.array([2, 1, 0, 0, 0]), np.array([1, 1, 0, 0, 1])
     single, d = np.full(5, 0.1), lm.DISCOUNT
     two = [(3 - d) / 4 + d * 2 / 4 * 0.1] * 2 + [(2 - d) / 2 + d / 2 * 0.1, 0.1, 0.1]
