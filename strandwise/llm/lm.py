@@ -39,7 +39,7 @@ from ._common import read_table, release, save
 from .langid import fold
 
 #: Discount of every count; bytes of text a bin; tokens that a task sends together; tokens of one context beyond which it is dealt to several bins.
-DISCOUNT, BIN_TEXT, LOT_TOKENS, HOT_TOKENS = 0.75, 12 << 20, 4_000_000, 4_000_000
+DISCOUNT, BIN_TEXT, LOT_TOKENS, HOT_TOKENS = 0.75, 6 << 20, 4_000_000, 1_000_000
 #: Bytes of the coded vocabulary up to which all tasks hold it; beyond, words meet their counts in a join.
 VOCABULARY_BYTES = 64 << 20
 #: White space cannot be a word, so these two stand apart from all words.
