@@ -108,6 +108,12 @@ def words_of(text: Column | str) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")
 
 
+def term_table(digits: bool) -> bytes:
+    """For bytes.translate: A-Z become a-z, and what belongs to no term becomes a space. Terms are runs of letters, all that is not ASCII, and digits if wanted."""
+    kept = {*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100), *(range(0x30, 0x3A) if digits else ())}
+    return bytes(0x20 if b not in kept else b + 0x20 if b < 0x5B and b >= 0x41 else b for b in range(256))
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
+from .divergence import DIVERGENCE_SQL, op12_source_divergence
 from .langid import op8_language
+from .lexical import SEARCH_SQL, op13_lexical_search
 from .lm import op4_language_model
 from .mixing import op9_mixing
+from .nearest import op11_nearest
 from .packing import op10_packing
 from .pii import op1_personal_data
 from .quality import op2_quality
@@ -19,7 +22,7 @@ from .token_store import op5_token_files
 from .topk import TOPK_SQL, op6_topk
 from .url_rules import op7_url_filter
 
-QUERIES = (op1_personal_data, op2_quality, op3_simhash, op4_language_model, op5_token_files, op6_topk, op7_url_filter, op8_language, op9_mixing, op10_packing)
+QUERIES = (op1_personal_data, op2_quality, op3_simhash, op4_language_model, op5_token_files, op6_topk, op7_url_filter, op8_language, op9_mixing, op10_packing, op11_nearest, op12_source_divergence, op13_lexical_search)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -28,5 +31,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express the query; hashes, tokenizers, compression and iteration have none there."""
-    found = {"op6_topk": TOPK_SQL}
+    found = {"op6_topk": TOPK_SQL, "op12_source_divergence": DIVERGENCE_SQL, "op13_lexical_search": SEARCH_SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
