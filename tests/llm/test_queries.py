@@ -221,6 +221,39 @@ def test_mixing(run, documents):
         assert abs(sum(rows[d]["taken"] for d in mine) - target[s]) <= max(sizes[d] for d in mine)
 
 
+def test_nearest(run, tables):
+    import numpy as np
+
+    columns, rows = run("op11_nearest")
+    assert columns == ["query_id", "rank", "vec_id", "score"]
+    ids, vectors = zip(*((r[0], r[1]) for r in sorted(tables("embeddings")) if r[1] and any(r[1])))
+    u = np.array(vectors, np.float64)
+    u /= np.sqrt((u * u).sum(axis=1))[:, None]
+    place = {v: k for k, v in enumerate(ids)}
+    asked = [v for v in ids if v % 50 == 0]
+    assert [(r["query_id"], r["rank"]) for r in sorted(rows, key=lambda r: (r["query_id"], r["rank"]))] == [(q, k) for q in asked for k in range(1, 6)]
+    hits = 0
+    for q in asked:
+        mine = sorted((r for r in rows if r["query_id"] == q), key=lambda r: r["rank"])
+        s = u @ u[place[q]]
+        assert all(abs(r["score"] - s[place[r["vec_id"]]]) < 1e-12 for r in mine)
+        s[place[q]] = -2
+        hits += len({ids[k] for k in np.argsort(-s)[:5]} & {r["vec_id"] for r in mine})
+    assert hits >= 0.97 * 5 * len(asked)
+
+
+@pytest.mark.parametrize("name", ["op12_source_divergence", "op13_lexical_search"])
+def test_against_sql(run, name):
+    columns, rows = run(name)
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
+    found = con.execute(queries.oracle_sql()[name])
+    names = [c[0] for c in found.description]
+    assert sorted(names) == sorted(columns)
+    assert sorted(tuple(r[c] for c in names) for r in rows) == sorted(found.fetchall())
+
+
 def test_pipeline(run, documents):
     columns, rows = run("pipeline")
     assert columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
