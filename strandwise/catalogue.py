@@ -80,12 +80,27 @@ def gsa_conversations(spark, sf_dir):
 
 
 def gsa_documents(spark, sf_dir):
-    """All suffixes of all documents; SQL would have to hold every suffix, so this one is checked by tests."""
-    return sa.gsa(documents(spark, sf_dir))
+    """All suffixes of all documents, on tables; SQL would have to hold every suffix, so the next query checks this one."""
+    return sa.gsa(documents(spark, sf_dir), plan="cover")
+
+
+def gsa_documents_check(spark, sf_dir):
+    """That array, checked in linear time."""
+    return validate.check_linear(documents(spark, sf_dir), gsa_documents(spark, sf_dir))
+
+
+def gsa_cover(spark, sf_dir):
+    """The plan for collections of any size."""
+    return sa.gsa(conversations(spark, sf_dir), plan="cover")
+
+
+def gsa_cover_copies(spark, sf_dir):
+    """The same over texts of which many are equal."""
+    return sa.gsa(part_names(spark, sf_dir), plan="cover")
 
 
 def gsa_doubling(spark, sf_dir):
-    """The plan for collections that no task can hold."""
+    """The plan that ranks by ever wider prefixes."""
     return sa.gsa(benchmark(spark, sf_dir), plan="doubling")
 
 
@@ -456,7 +471,7 @@ def gsa_records_roundtrip(spark, sf_dir):
 
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    gsa_benchmark, gsa_part_names, gsa_nation_names, gsa_conversations, gsa_documents, gsa_doubling, gsa_with_terminators, gsa_prefix_limit,
+    gsa_benchmark, gsa_part_names, gsa_nation_names, gsa_conversations, gsa_documents, gsa_documents_check, gsa_cover, gsa_cover_copies, gsa_doubling, gsa_with_terminators, gsa_prefix_limit,
     isa_benchmark, single_text_sa, int_sa, unique_suffix_count, suffix_text, gather_ranks, symbol_rows, phi_array, lcp_array, lcp_doubling, plcp_array, unique_prefix_len, longest_repeat,
     bwt_rows, bwt_transform, bwt_aux_r8, lf_mapping, unbwt_roundtrip, unbwt_aux_roundtrip,
     symbol_histogram, bigram_histogram, bucket_bounds, max_symbol_runs, suffix_types, lms_suffixes, lms_per_symbol, lms_names, collection_lengths, reference_augmentation, position_buckets,
@@ -539,7 +554,8 @@ _LOCATE = "SELECT pattern, doc, i AS idx FROM (VALUES {patterns}) p(pattern), ({
 _LCP_N = f"SELECT rnk AS i, lcp AS value FROM ({_lcp(_N)})"
 
 ORACLES: dict[str, str] = {
-    "gsa_benchmark": _gsa(_B), "gsa_part_names": _gsa(_P), "gsa_nation_names": _gsa(_N), "gsa_conversations": _gsa(_C), "gsa_doubling": _gsa(_B), "gsa_with_terminators": _gsa(_B, 1),
+    "gsa_benchmark": _gsa(_B), "gsa_part_names": _gsa(_P), "gsa_nation_names": _gsa(_N), "gsa_conversations": _gsa(_C), "gsa_doubling": _gsa(_B), "gsa_cover": _gsa(_C), "gsa_cover_copies": _gsa(_P),
+    "gsa_documents_check": f"SELECT CAST(sum(length(text)) AS BIGINT) AS n, CAST(0 AS BIGINT) AS violations, CAST(0 AS BIGINT) AS missing FROM ({_D})", "gsa_with_terminators": _gsa(_B, 1),
     "gsa_prefix_limit": _gsa(f"SELECT doc, left(text, CAST(least(length(text), {PREFIX} - before) AS INT)) AS text FROM (SELECT doc, text, coalesce(sum(length(text)) OVER (ORDER BY doc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ({_C})) WHERE before < {PREFIX}"),
     "isa_benchmark": _gsa(_B),
     "single_text_sa": f"SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY suf) - 1 AS BIGINT) AS rnk, idx AS pos FROM ({_suf(_B)})",

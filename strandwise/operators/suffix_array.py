@@ -1,10 +1,11 @@
 """Suffix arrays: of a collection, of each document, of integer sequences.
 
-Three physical plans. A collection whose bytes fit the checked bound is sent to every
-task once, and each task sorts one range of keys without any exchange. A larger one is
-ranked by prefix doubling on tables: ranks by the first symbols come from range
-partitions, and only suffixes that are still tied look up the rank of what follows.
-Single documents are sorted inside the task that reads them.
+Three physical plans. A small collection, whose bytes fit a checked bound, is sent to
+every task once, and each task sorts one range of keys without any exchange. Any other
+is sorted by difference covers on tables, in a few linear exchanges. Prefix doubling on
+tables is there too: ranks by the first symbols come from range partitions, and only
+suffixes that are still tied look up the rank of what follows. Single documents are
+sorted inside the task that reads them.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ from ..functions import collection_sort, kernels
 from ..plans.ranking import global_rank, running_total
 from ..plans.storage import materialise, spread
 from . import symbols as sym
+from .cover import suffix_ranks
 
 #: Bytes of a collection up to which every task gets all of it, and of the longest document.
-COLLECTION_BYTES, DOCUMENT_BYTES = 64 << 20, 256 << 10
+COLLECTION_BYTES, DOCUMENT_BYTES = 4 << 20, 256 << 10
 FIRST_SYMBOLS = 16
 _BATCH = 200_000
 
@@ -131,14 +133,17 @@ def _by_doubling(docs: DataFrame, terminators: bool) -> tuple[DataFrame, list[tu
 def gsa(docs: DataFrame, include_terminator: bool = False, plan: str = "auto") -> DataFrame:
     """(rnk, idx, doc): all suffixes of all documents in lexicographic order, equal ones by document.
 
-    ``plan``: "ranges" (collection in every task), "doubling" (tables), or "auto" by size.
+    ``plan``: "ranges" (collection in every task), "cover" or "doubling" (tables), or
+    "auto": ranges for what fits the bound, and cover beyond.
     """
-    c = _collected(docs) if plan != "doubling" else None
+    c = _collected(docs) if plan in ("auto", "ranges") else None
     if c is None and plan == "ranges":
         raise ValueError("the collection is larger than tasks may hold")
     if c is not None:
         return _by_ranges(docs, c, include_terminator).select("rnk", "idx", "doc")
-    return _by_doubling(docs, include_terminator)[0]
+    if plan == "doubling":
+        return _by_doubling(docs, include_terminator)[0]
+    return suffix_ranks(docs, include_terminator).select(F.col("rank").alias("rnk"), "idx", "doc")
 
 
 def gsa_lcp(docs: DataFrame, plan: str = "auto") -> DataFrame:

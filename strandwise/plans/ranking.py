@@ -81,6 +81,83 @@ def global_rank(df: DataFrame, keys: list[str], row: str | None = None, rank: st
     return out.withColumns(added).select(*df.columns, *added)
 
 
+def _split_number(keys: list[str], carry: list[str]):
+    """(*carry, _part, _position, _first, _near, *keys): place in the partition, that of the first row with equal keys, and whether a neighbour there has them; keys of a partition's first and last row only."""
+
+    def columns(batch: pa.RecordBatch, names: list[str]) -> list[pa.Array]:
+        return [batch.column(batch.schema.get_field_index(c)) for c in names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, at, last, first, held = TaskContext.get().partitionId(), 0, None, 0, None
+
+        def out(batch: pa.RecordBatch, places: np.ndarray, starts: np.ndarray, new: np.ndarray, joined: bool, ends: bool) -> pa.RecordBatch:
+            n = batch.num_rows
+            near = ~new
+            near[:-1] |= ~new[1:]
+            near[-1] |= joined
+            shown = places == 0
+            shown[-1] |= ends
+            take = pa.array(np.where(shown, np.arange(n), 0), mask=~shown)
+            return pa.RecordBatch.from_arrays([*columns(batch, carry), pa.array(np.full(n, part, np.int32)), pa.array(places), pa.array(starts), pa.array(near), *[c.take(take) for c in columns(batch, keys)]], names=[*carry, PART, POSITION, "_first", "_near", *keys])
+
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            new = np.zeros(n, bool)
+            for c in columns(batch, keys):
+                new[1:] |= ~pa.compute.equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False) if n > 1 else False
+            head = tuple(c[0].as_py() for c in columns(batch, keys))
+            new[0] = head != last
+            if held is not None:
+                yield out(*held, not new[0], False)
+            places = at + np.arange(n)
+            starts = np.where(new, places, -1)
+            starts[0] = places[0] if new[0] else first
+            starts = np.maximum.accumulate(starts)
+            held = (batch, places, starts, new)
+            last, first, at = tuple(c[n - 1].as_py() for c in columns(batch, keys)), int(starts[-1]), at + n
+        if held is not None:
+            yield out(*held, False, True)
+
+    return run
+
+
+def rank_split(df: DataFrame, keys: list[str], within: list[str]) -> DataFrame:
+    """(*within, rank, tied): the place of the first row with equal ``keys`` in their order, and whether another row has them.
+
+    Rows are sorted by ranges of keys and ``within``, so rows of one key may lie in any
+    number of tasks; what a range's first and last rows are, two rows a range, is put
+    together on the driver. Keys are never null.
+    """
+    import pyarrow.compute  # noqa: F401 - loaded before the function is sent
+
+    spark, kinds = df.sparkSession, {f.name: f for f in df.schema}
+    schema = T.StructType([kinds[c] for c in within] + [T.StructField(PART, T.IntegerType()), T.StructField(POSITION, T.LongType()), T.StructField("_first", T.LongType()), T.StructField("_near", T.BooleanType())] + [kinds[c] for c in keys])
+    placed = materialise(_sorted(df, [*keys, *within], None).mapInArrow(_split_number(keys, within), schema), "split-ranked")
+    ends = placed.filter(F.col(keys[0]).isNotNull()).select(PART, POSITION, "_first", *keys).orderBy(PART, POSITION).collect()
+    parts: dict[int, list] = {}
+    for r in ends:
+        parts.setdefault(r[0], []).append(r)
+    table, offset, last, start = [], 0, None, 0
+    for part, rows in sorted(parts.items()):
+        head, tail = rows[0], rows[-1]
+        joins = last == tuple(head[3:])
+        if table and joins:
+            table[-1][4] = True
+        first = start if joins else offset
+        table.append([part, offset, first if joins else None, tail[2], False])
+        start = first if tail[2] == 0 else offset + tail[2]
+        last, offset = tuple(tail[3:]), offset + tail[1] + 1
+    known = F.broadcast(spark.createDataFrame([tuple(x) for x in table], f"{PART} int, _offset long, _carried long, _tail long, _goes_on boolean"))
+    carried = (F.col("_first") == 0) & F.col("_carried").isNotNull()
+    rank = F.when(carried, F.col("_carried")).otherwise(F.col("_offset") + F.col("_first"))
+    tied = F.col("_near") | carried | (F.col("_goes_on") & (F.col("_first") == F.col("_tail")))
+    return placed.join(known, PART).select(*within, rank.alias("rank"), tied.alias("tied"))
+
+
 def running_total(df: DataFrame, keys: list[str], value: str, into: str) -> DataFrame:
     """Adds the sum of ``value`` over all earlier rows in the order of ``keys``."""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,10 +44,24 @@ def spread(df: DataFrame, bytes_a_task: int = 16 << 20) -> DataFrame:
     return df.repartition(2 * cores) if size <= cores * bytes_a_task and df.rdd.getNumPartitions() < 2 * cores else df
 
 
+_paths: list[str] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once and reads it back, so that what follows neither recomputes it nor sees other partition bounds."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _paths.append(path)
     atexit.register(_at_exit, spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """Materialises what ``make`` returns and deletes the tables that were written on the way to it."""
+    start = len(_paths)
+    out = materialise(make(), name)
+    for path in _paths[start:-1]:
+        delete(spark, path)
+    del _paths[start:-1]
+    return out
