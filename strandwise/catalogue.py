@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .model import limit_symbols, sequences
 from .functions import columns
+from .operators import backward
 from .operators import bwt as bw
 from .operators import integers, lcp, matching, ranges, symbols, validate
 from .operators import suffix_array as sa
@@ -320,6 +321,21 @@ def pattern_locate(spark, sf_dir):
     return matching.locate(benchmark(spark, sf_dir), _patterns(spark))
 
 
+def _benchmark_words(spark, sf_dir):
+    """The distinct words of all benchmark texts."""
+    words = _table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("pattern"))
+    return words.filter("pattern <> ''").distinct()
+
+
+def backward_count(spark, sf_dir):
+    """Occurrences of every word of the benchmark within the conversations, all words stepping through their index together."""
+    return backward.count(backward.build(conversations(spark, sf_dir)), _benchmark_words(spark, sf_dir))
+
+
+def backward_locate(spark, sf_dir):
+    return backward.locate(backward.build(benchmark(spark, sf_dir)), _benchmark_words(spark, sf_dir))
+
+
 def interval_refine(spark, sf_dir):
     return matching.refine(benchmark(spark, sf_dir), "th")
 
@@ -476,7 +492,7 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     bwt_rows, bwt_transform, bwt_aux_r8, lf_mapping, unbwt_roundtrip, unbwt_aux_roundtrip,
     symbol_histogram, bigram_histogram, bucket_bounds, max_symbol_runs, suffix_types, lms_suffixes, lms_per_symbol, lms_names, collection_lengths, reference_augmentation, position_buckets,
     matching_statistics, matching_statistics_union, matching_statistics_documents, ms_heads, parse_stats, heads_per_position, head_rank, head_sort, head_suffix_array, next_head_asof, match_order_key, match_order, heads_order_check, interval_widen, interval_contract,
-    pattern_count, pattern_locate, interval_refine, contamination, exact_duplicate_docs, psv_nsv, rmq_blocks, range_minimum,
+    pattern_count, pattern_locate, backward_count, backward_locate, interval_refine, contamination, exact_duplicate_docs, psv_nsv, rmq_blocks, range_minimum,
     int_lcp, int_unbwt_roundtrip, int_bwt_primary, int_histogram, printable_texts, neighbour_prefixes, marker_counts, gsa_order_check, heads_check, fasta_roundtrip, fasta_folder_roundtrip, fasta_reference_roundtrip, raw_reference_roundtrip, raw_collection_roundtrip, gsa_records_roundtrip,
 )
 
@@ -551,6 +567,8 @@ _PATTERN_SQL = ", ".join(f"('{p}')" for p in PATTERNS)
 _EVENTS = "SELECT CAST(0 AS BIGINT) AS seq, list(CAST(user_id AS BIGINT) ORDER BY event_id) AS a FROM events"
 _INT_SUF = f"SELECT seq, i AS pos, list_slice(a, i + 1, len(a)) AS s FROM ({_EVENTS}), unnest(range(len(a))) u(i)"
 _LOCATE = "SELECT pattern, doc, i AS idx FROM (VALUES {patterns}) p(pattern), ({docs}), unnest(range(length(text))) u(i) WHERE substr(text, CAST(i + 1 AS INT), length(pattern)) = pattern"
+_WORDS = "(SELECT DISTINCT unnest(string_split(text, ' ')) AS pattern FROM benchmark)"
+_FOUND = "SELECT p.pattern, doc, i AS idx FROM (SELECT doc, i, substr(text, CAST(i + 1 AS INT), n) AS cut FROM (SELECT DISTINCT CAST(length(pattern) AS INT) AS n FROM {words}) l, ({docs}) d, unnest(range(length(text) - n + 1)) u(i)) JOIN (SELECT * FROM {words} WHERE pattern <> '') p ON p.pattern = cut"
 _LCP_N = f"SELECT rnk AS i, lcp AS value FROM ({_lcp(_N)})"
 
 ORACLES: dict[str, str] = {
@@ -607,6 +625,8 @@ ORACLES: dict[str, str] = {
         SELECT * FROM ({_WIDENED}) UNION ALL SELECT q, 0, (SELECT count(*) FROM g) - 1 FROM l WHERE first IS NULL OR last IS NULL""",
     "pattern_count": f"SELECT p.pattern, count(l.doc) AS n FROM (VALUES {_PATTERN_SQL}) p(pattern) LEFT JOIN ({_LOCATE.format(patterns=_PATTERN_SQL, docs=_C)}) l ON p.pattern = l.pattern GROUP BY p.pattern",
     "pattern_locate": _LOCATE.format(patterns=_PATTERN_SQL, docs=_B),
+    "backward_count": f"SELECT p.pattern, count(l.doc) AS n FROM (SELECT * FROM {_WORDS} WHERE pattern <> '') p LEFT JOIN ({_FOUND.format(words=_WORDS, docs=_C)}) l ON p.pattern = l.pattern GROUP BY p.pattern",
+    "backward_locate": _FOUND.format(words=_WORDS, docs=_B),
     "interval_refine": f"SELECT substr(text, CAST(idx + 3 AS INT), 1) AS extension, min(rnk) AS first, max(rnk) AS last FROM ({_gsa(_B)}) JOIN ({_B}) USING (doc) WHERE substr(text, CAST(idx + 1 AS INT), 2) = 'th' GROUP BY extension",
     "contamination": f"""WITH a AS (SELECT doc, i AS p, substr(text, CAST(i + 1 AS INT), {SHARED}) AS g FROM ({_D}), unnest(range(length(text) - {SHARED - 1})) u(i)),
         b AS (SELECT doc AS item, i AS q, substr(text, CAST(i + 1 AS INT), {SHARED}) AS g FROM ({_B}), unnest(range(length(text) - {SHARED - 1})) u(i)),

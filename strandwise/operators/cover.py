@@ -23,13 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..plans.ranking import rank_split
+from ..plans.ranking import PART, POSITION, join_ranges, rank_split
 from ..plans.storage import materialise, scratch, spread
 
 #: Elements that one task ranks by itself, and rows of one tied prefix that meet in a task; more are parted by splitters.
 BASE_ELEMENTS, TIED_ROWS = 1 << 20, 1 << 20
 #: Places of a sequence that are read together, and rows that a task works on at once.
 BLOCK, LOT = 1 << 13, 1 << 17
+#: Suffixes of a range of keys, and keys sampled for each.
+RANGE_ROWS, SAMPLED = 1 << 20, 64
 _LAST = np.iinfo(np.int64).max
 
 
@@ -68,53 +70,169 @@ def _binary(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(gathered))])
 
 
-def _text_keys(width: int, terminators: bool):
-    """(doc, idx, key, tie) of every suffix: its first symbols as bytes, and the document's number if it ends within them; such a suffix is smaller than one that goes on."""
-
-    def of(docs: list[int], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        stops = np.cumsum([len(t) for t in texts])
-        begins = np.flatnonzero((data & 0xC0) != 0x80)
-        counts = np.diff(np.searchsorted(begins, np.concatenate(([0], stops))))
-        firsts = np.cumsum(counts) - counts
-        for at in range(0, len(begins), LOT):
-            k = np.arange(at, min(at + LOT, len(begins)))
-            own = np.searchsorted(firsts + counts, k, side="right")
-            idx = k - firsts[own]
-            goes_on = idx + width < counts[own]
-            inside = np.minimum(k + width, len(begins) - 1)
-            ends = np.where(goes_on, begins[inside], stops[own])
-            numbers = np.array(docs, np.int64)[own]
-            yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(idx), _binary(data, begins[k], ends), pa.array(np.where(goes_on, _LAST, numbers))], names=["doc", "idx", "key", "tie"])
-        if terminators:
-            numbers = pa.array(docs, pa.int64())
-            yield pa.RecordBatch.from_arrays([numbers, pa.array(counts.astype(np.int64)), pa.array([b""] * len(docs), pa.binary()), numbers], names=["doc", "idx", "key", "tie"])
+class Alphabet:
+    """Symbols numbered in order from 1, in as few bytes as their number takes; 0 stands behind a text's end."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, texts, size = [], [], 0
+    def __init__(self, points: np.ndarray):
+        self.points = np.sort(points)
+        self.kind = np.dtype("u1" if len(points) < 1 << 8 else ">u2" if len(points) < 1 << 16 else ">u4")
+
+    @staticmethod
+    def of(docs: DataFrame) -> Alphabet:
+        """That of a collection: a row a symbol comes to the driver."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = np.empty(0, np.int64)
+            for batch in batches:
+                for text in batch.column(0):
+                    seen = np.union1d(seen, kernels.code_points(text.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array(seen)], names=["point"])
+
+        return Alphabet(docs.select("text").mapInArrow(run, "point long").distinct().toArrow()["point"].to_numpy())
+
+    def numbers(self, text: np.ndarray) -> np.ndarray:
+        return (np.searchsorted(self.points, text) + 1).astype(self.kind)
+
+
+def _text_keys(alphabet: Alphabet, width: int, terminators: bool, chosen=None):
+    """Of every suffix: document, place and key, a lot at a time. ``chosen`` picks places.
+
+    A key is the numbers of the first symbols, and then the document's number if the
+    suffix ends with them, else the largest number: a suffix that ends is smaller.
+    """
+    size = width * alphabet.kind.itemsize
+
+    def of(docs: np.ndarray, numbers: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        lengths = np.array([len(x) for x in numbers])
+        gap = np.zeros(width, alphabet.kind)
+        padded = np.concatenate([y for x in numbers for y in (x, gap)]).astype(alphabet.kind)  # in the byte order of the keys
+        firsts = np.concatenate(([0], np.cumsum(lengths + width)))[:-1]
+        counts = lengths + terminators
+        ends = np.cumsum(counts)
+        windows = np.lib.stride_tricks.sliding_window_view(padded, width)
+        for at in range(0, int(ends[-1]), LOT):
+            k = np.arange(at, min(at + LOT, ends[-1]))
+            own = np.searchsorted(ends, k, side="right")
+            idx = k - (ends - counts)[own]
+            if chosen is not None:
+                kept = chosen(docs[own], idx)
+                own, idx = own[kept], idx[kept]
+            key = np.empty((len(own), size + 8), np.uint8)
+            key[:, :size] = np.ascontiguousarray(windows[firsts[own] + idx]).view(np.uint8).reshape(len(own), size)
+            tie = np.where(idx + width < lengths[own], _LAST, docs[own])
+            key[:, size:] = (tie.astype(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
+            yield docs[own], idx, key
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        docs, numbers, size = [], [], 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 docs.append(doc)
-                texts.append(text.as_py().encode("utf-8", "surrogatepass"))
-                size += len(texts[-1])
+                numbers.append(alphabet.numbers(kernels.code_points(text.as_py())))
+                size += len(numbers[-1]) + 1
                 if size >= LOT:
-                    yield from of(docs, texts)
-                    docs, texts, size = [], [], 0
+                    yield from of(np.array(docs, np.int64), numbers)
+                    docs, numbers, size = [], [], 0
         if docs:
-            yield from of(docs, texts)
+            yield from of(np.array(docs, np.int64), numbers)
 
     return run
 
 
+def _comparable(key: np.ndarray) -> np.ndarray:
+    """Rows of bytes as fixed strings, which compare as bytes do."""
+    return np.ascontiguousarray(key).view(f"S{key.shape[1]}").reshape(-1)
+
+
+def _sampled(keys, every: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, key in keys(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([k.tobytes() for k in key], pa.binary())], names=["key"])
+
+    return run
+
+
+def _dealt(keys, splitters: np.ndarray):
+    """(part, docs, places, keys): suffixes by the range of their key, packed; keys that several ranges share go to any of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs, idx, key in keys(batches):
+            own = _comparable(key)
+            low, high = np.searchsorted(splitters, own, side="left"), np.searchsorted(splitters, own, side="right")
+            # the first of the ranges may also hold smaller keys, so every range between is free
+            part = low + (docs * 31 + idx) % (high - low + 1)
+            order = np.argsort(part, kind="stable")
+            parts, begins = np.unique(part[order], return_index=True)
+            cuts = list(zip(begins, [*begins[1:], len(order)]))
+            lists = lambda x: pa.array([x[order[a:b]] for a, b in cuts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), lists(docs), lists(idx), pa.array([key[order[a:b]].tobytes() for a, b in cuts], pa.binary())], names=["part", "docs", "places", "keys"])
+
+    return run
+
+
+def _sort_range(size: int):
+    """(doc, idx, _part, _position, _first, _near, key) of a range's suffixes: sorted by key, those of equal keys numbered by the first."""
+
+    def run(packed: pa.Table) -> pa.Table:
+        docs, idx = (np.concatenate([x.flatten().to_numpy() for x in packed[c].chunks]) for c in ("docs", "places"))
+        key = np.frombuffer(b"".join(packed["keys"].to_pylist()), np.uint8).reshape(len(docs), size)
+        wide = np.zeros((len(docs), -(-size // 8) * 8), np.uint8)
+        wide[:, :size] = key
+        columns = wide.view(">u8").astype(np.uint64)
+        # by the first eight bytes, and those that tie there by all
+        order = np.argsort(columns[:, 0], kind="stable")
+        head = columns[order, 0]
+        open_ = np.zeros(len(order), bool)
+        open_[1:] = head[1:] == head[:-1]
+        open_[:-1] |= open_[1:]
+        at = np.flatnonzero(open_)
+        order[at] = order[at][np.lexsort([columns[order[at], c] for c in range(columns.shape[1] - 1, -1, -1)])]
+        new = np.ones(len(order), bool)
+        near = np.flatnonzero(open_[1:]) + 1
+        new[near] = (columns[order[near]] != columns[order[near - 1]]).any(axis=1)
+        places = np.arange(len(order))
+        starts = np.maximum.accumulate(np.where(new, places, 0))
+        same = ~new
+        same[:-1] |= ~new[1:]
+        shown = pa.array(np.where((places == 0) | (places == len(order) - 1), places, 0), mask=(places > 0) & (places < len(order) - 1))
+        ends = pa.array([key[order[k]].tobytes() if k in (0, len(order) - 1) else None for k in (0, len(order) - 1)], pa.binary())
+        ends = ends.take(pa.array(np.where(places == 0, 0, 1), mask=shown.is_null().to_numpy(zero_copy_only=False)))
+        part = pa.array(np.full(len(order), packed["part"][0].as_py(), np.int32))
+        return pa.table([pa.array(docs[order]), pa.array(idx[order]), part, pa.array(places), pa.array(starts), pa.array(same), ends], names=["doc", "idx", PART, POSITION, "_first", "_near", "key"])
+
+    return run
+
+
+def _first_ranks(docs: DataFrame, width: int, terminators: bool) -> DataFrame:
+    """(doc, idx, rank, tied): all suffixes ranked by their first symbols. Bounds of the ranges come from a sample of keys, some for each range."""
+    rows = spread(docs.select("doc", "text"))
+    alphabet = Alphabet.of(rows)
+    n = rows.agg(F.sum(F.length("text").cast("long") + F.lit(int(terminators)))).first()[0] or 0
+    parts = max(1, -(-n // RANGE_ROWS), min(n // 20_000, docs.sparkSession.sparkContext.defaultParallelism))
+    every = max(1, n // (parts * SAMPLED))
+    chosen = lambda d, i: (d * 7_368_787 + i * 2_654_435_761 >> 7) % every == 0
+    found = rows.mapInArrow(_sampled(_text_keys(alphabet, width, terminators, chosen), every), "key binary").toArrow()["key"].to_pylist() if parts > 1 else []
+    size = width * alphabet.kind.itemsize + 8
+    keys = np.sort(np.array(found, f"S{size}"))
+    splitters = keys[np.linspace(0, len(keys), parts + 1).astype(np.int64)[1:-1]] if len(keys) >= parts else keys
+    dealt = rows.mapInArrow(_dealt(_text_keys(alphabet, width, terminators), splitters), "part int, docs array<long>, places array<long>, keys binary")
+    placed = dealt.groupBy("part").applyInArrow(_sort_range(size), f"doc long, idx long, {PART} int, {POSITION} long, _first long, _near boolean, key binary")
+    return join_ranges(materialise(placed, "first-ranks"), ["key"], ["doc", "idx"])
+
+
+def _place_of(stride: int):
+    return F.expr(f"idx div {stride}")
+
+
 def _by_sequence(rows: DataFrame, stride: int, ahead: int, kind: str | None = None) -> DataFrame:
     """Rows dealt by sequence and block of places and sorted; those that the block before looks ahead to (``kind`` of them) are there too, marked ``extra``."""
-    place = F.floor(F.col("idx") / stride)
-    begins = (F.pmod(place, F.lit(BLOCK)) < ahead) & (place >= BLOCK)
-    shared = begins & F.col(kind) if kind else begins
-    extra = F.explode(F.when(shared, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("extra")
-    dealt = rows.select("*", (F.col("idx") % stride).alias("seq"), place.alias("place"), extra).withColumn("block", F.floor(F.col("place") / BLOCK) - F.col("extra").cast("long"))
+    placed = rows.select("*", (F.col("idx") % stride).alias("seq"), _place_of(stride).alias("place"))
+    begins = (F.col("place") % BLOCK < ahead) & (F.col("place") >= BLOCK)
+    block = F.expr(f"place div {BLOCK}")
+    own = placed.select("*", F.lit(False).alias("extra"), block.alias("block"))
+    shared = placed.filter(begins & F.col(kind) if kind else begins).select("*", F.lit(True).alias("extra"), (block - 1).alias("block"))
     key = ["doc", "seq", "block"]
-    return dealt.repartition(*key).sortWithinPartitions(*key, "place")
+    return own.unionByName(shared).repartition(*key).sortWithinPartitions(*key, "place", *([kind] if kind else []))
 
 
 def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
@@ -162,34 +280,51 @@ def _name_keys(width: int):
     return run
 
 
-def _base(stride: int):
-    """(doc, idx, sample) of elements that one task holds, in the order of their sequences."""
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, idx, rank, tied) of elements that tie, and of those behind them: no other name can decide between two that tie."""
+    for c, of in _lots(batches):
+        behind = np.zeros(len(of), bool)
+        behind[1:] = (of[1:] == of[:-1]) & c["tied"][:-1]
+        at = np.flatnonzero((c["tied"] & ~c["extra"]) | (~c["tied"] & behind))
+        yield pa.RecordBatch.from_arrays([pa.array(c[n][at]) for n in ("doc", "idx", "rank", "tied")], names=["doc", "idx", "rank", "tied"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if table.num_rows:
-            # a sequence ends with a name of its own, so no comparison goes beyond it
-            ranks = kernels.doubling_ranks(table["rank"].to_numpy())[-1]
-            for part in pa.table({"doc": table["doc"], "idx": table["idx"], "sample": ranks}).to_batches(LOT):
-                yield part
 
-    return run
+def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, idx, sample) of tied elements that one task holds, in the order of their sequences: their name and their place among all of it."""
+    table = pa.Table.from_batches(list(batches))
+    if table.num_rows:
+        names, tied = table["rank"].to_numpy(), table["tied"].to_numpy()
+        # what follows an element that ties ends with a name of its own, so no comparison goes beyond it
+        order = kernels.invert(kernels.doubling_ranks(names)[-1])
+        held = names[order]
+        sample = np.empty(len(order), np.int64)
+        sample[order] = held + np.arange(len(order)) - np.searchsorted(held, held)
+        at = np.flatnonzero(tied)
+        for part in pa.table({"doc": table["doc"].take(pa.array(at)), "idx": table["idx"].take(pa.array(at)), "sample": sample[at]}).to_batches(LOT):
+            yield part
 
 
 def _ranks(elements: DataFrame, stride: int, base: int) -> DataFrame:
-    """(doc, idx, sample): the order of the sequences' suffixes, from (doc, idx, rank, tied) of all elements."""
+    """(doc, idx, sample): the order of the sequences' suffixes, from (doc, idx, rank, tied) of all elements.
+
+    Only elements that tie are ranked anew, by places among those of their name.
+    """
+    alone = elements.filter("NOT tied").select("doc", "idx", F.col("rank").alias("sample"))
     if not elements.filter("tied").limit(1).count():
-        return elements.select("doc", "idx", F.col("rank").alias("sample"))
-    if elements.count() <= base:
-        one = elements.select("doc", "idx", "rank").repartition(1).sortWithinPartitions("doc", F.col("idx") % stride, "idx")
-        return materialise(one.mapInArrow(_base(stride), "doc long, idx long, sample long"), "cover-base")
-    keys = _by_sequence(elements, stride, NAME_COVER.period).mapInArrow(_name_keys(NAME_COVER.period), "doc long, idx long, key binary, tie long")
-    ranked = rank_split(keys, ["key", "tie"], ["doc", "idx"])
-    return materialise(_resolve(ranked, NAME_COVER, stride, base).select("doc", "idx", F.col("rank").alias("sample")), "cover-ranks")
+        return alone
+    kept = materialise(_by_sequence(elements, stride, 1).mapInArrow(_kept, "doc long, idx long, rank long, tied boolean"), "cover-kept")
+    if kept.count() <= base:
+        one = kept.repartition(1).sortWithinPartitions("doc", F.col("idx") % stride, "idx")
+        return alone.unionByName(materialise(one.mapInArrow(_base, "doc long, idx long, sample long"), "cover-base"))
+    keys = _by_sequence(kept, stride, NAME_COVER.period).mapInArrow(_name_keys(NAME_COVER.period), "doc long, idx long, key binary, tie long")
+    ranked = _resolve(rank_split(keys, ["key", "tie"], ["doc", "idx"]), NAME_COVER, stride, base)
+    named = materialise(kept.filter("tied").select("doc", "idx", F.col("rank").alias("name")).join(ranked, ["doc", "idx"]), "cover-named")
+    first = named.groupBy("name").agg(F.min("rank").alias("first"))
+    return alone.unionByName(materialise(named.join(first, "name").select("doc", "idx", (F.col("name") + F.col("rank") - F.col("first")).alias("sample")), "cover-ranks"))
 
 
 def _windows(cover: Cover, stride: int):
-    """(doc, idx, rank, residue, s): tied elements with the ranks of the covered places from theirs on."""
+    """(doc, idx, rank, residue, s): tied elements with the ranks of the covered places from theirs on, packed."""
     width = len(cover.residues)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,13 +333,20 @@ def _windows(cover: Cover, stride: int):
             before = np.cumsum(covered) - covered
             own = np.flatnonzero((c["rank"] >= 0) & ~c["extra"])
             held = c["sample"][covered][before[own][:, None] + np.arange(width)]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * width, pa.int32()), pa.array(held.reshape(-1)))
+            begins = np.arange(len(own)) * width * 8
+            packed = _binary(held.astype("<i8").reshape(-1).view(np.uint8), begins, begins + width * 8)
             residue = (c["place"][own] % cover.period).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(c["doc"][own]), pa.array(c["idx"][own]), pa.array(c["rank"][own]), pa.array(residue), lists], names=["doc", "idx", "rank", "residue", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(c["doc"][own]), pa.array(c["idx"][own]), pa.array(c["rank"][own]), pa.array(residue), packed], names=["doc", "idx", "rank", "residue", "s"])
 
     return run
 
 
+def _unpacked(packed: pa.Array, width: int) -> np.ndarray:
+    """Ranks that ``_windows`` has packed, a row each."""
+    offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
+    return np.frombuffer(packed.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view("<i8").reshape(len(packed), width)
+
+
 def places(cover: Cover, group: np.ndarray, residue: np.ndarray, s: np.ndarray) -> np.ndarray:
     """The place of each row in the order of (group, suffix): how many rows of each residue are before it.
 
@@ -234,7 +376,7 @@ def _splitters(tied: DataFrame, cover: Cover, bound: int) -> dict[int, tuple[np.
         few = tied.filter(F.col("rank") == rank).filter(F.pmod(F.xxhash64("doc", "idx"), F.lit(1 << 20)) <= (1 << 20) * min(1.0, 24 * shares / n))
         got = few.select("residue", "s").toArrow()
         residue = got["residue"].to_numpy()
-        s = np.array(got["s"].to_pylist(), np.int64).reshape(len(residue), -1)
+        s = np.frombuffer(b"".join(got["s"].to_pylist()), "<i8").reshape(len(residue), len(cover.residues))
         order = np.argsort(places(cover, np.zeros(len(s), np.int64), residue, s))
         chosen = order[np.unique(np.linspace(0, len(order) - 1, shares + 1).astype(np.int64)[1:-1])] if len(order) else order
         out[rank] = (residue[chosen], s[chosen])
@@ -251,7 +393,7 @@ def _share(cover: Cover, splitters: dict[int, tuple[np.ndarray, np.ndarray]]):
                 own = np.flatnonzero(ranks == rank)
                 if len(own):
                     r = batch.column(3).to_numpy()[own]
-                    s = batch.column(4).flatten().to_numpy().reshape(batch.num_rows, -1)[own]
+                    s = _unpacked(batch.column(4), len(cover.residues))[own]
                     low, high = np.zeros(len(own), np.int64), np.full(len(own), len(residues))
                     while (low < high).any():
                         mid = np.minimum((low + high) >> 1, len(residues) - 1)
@@ -269,7 +411,7 @@ def _place(cover: Cover):
 
     def of(table: pa.Table) -> Iterator[pa.RecordBatch]:
         rank, sub, residue = (table[c].to_numpy() for c in ("rank", "sub", "residue"))
-        s = np.concatenate([x.flatten().to_numpy() for x in table["s"].chunks]).reshape(len(rank), -1)
+        s = np.concatenate([_unpacked(x, len(cover.residues)) for x in table["s"].chunks])
         group = np.concatenate(([0], np.cumsum((rank[1:] != rank[:-1]) | (sub[1:] != sub[:-1]))))
         begins = np.searchsorted(group, group)
         at = places(cover, group, residue, s) - begins
@@ -299,16 +441,18 @@ def _resolve(ranked: DataFrame, cover: Cover, stride: int, base: int, bound: int
     bound = bound or TIED_ROWS
     if not ranked.filter("tied").limit(1).count():
         return ranked.select("doc", "idx", "rank")
-    place = F.floor(F.col("idx") / stride)
-    sampled = _ranks(ranked.filter((place % cover.period).isin(list(cover.residues))), stride * cover.period, base)
+    sampled = _ranks(ranked.filter((_place_of(stride) % cover.period).isin(list(cover.residues))), stride * cover.period, base)
     none = F.lit(-1).cast("long")
     asked = ranked.filter("tied").select("doc", "idx", "rank", none.alias("sample"), F.lit(False).alias("covered"))
     # a covered place is listed behind the element that asks from there, which is its own first covered place
     known = sampled.select("doc", "idx", none.alias("rank"), "sample", F.lit(True).alias("covered"))
-    rows = _by_sequence(asked.unionByName(known), stride, cover.period, "covered").sortWithinPartitions("doc", "seq", "block", "place", "covered")
-    tied = materialise(rows.mapInArrow(_windows(cover, stride), "doc long, idx long, rank long, residue long, s array<long>"), "cover-windows")
-    shared = tied.mapInArrow(_share(cover, _splitters(tied, cover, bound)), "doc long, idx long, rank long, residue long, s array<long>, sub long")
-    dealt = shared.repartitionByRange("rank", "sub").sortWithinPartitions("rank", "sub")
+    rows = _by_sequence(asked.unionByName(known), stride, cover.period, "covered")
+    tied = materialise(rows.mapInArrow(_windows(cover, stride), "doc long, idx long, rank long, residue long, s binary"), "cover-windows")
+    splitters = _splitters(tied, cover, bound)
+    shared = tied.mapInArrow(_share(cover, splitters), "doc long, idx long, rank long, residue long, s binary, sub long") if splitters else tied.withColumn("sub", F.lit(0).cast("long"))
+    # ranks are places, so equal steps of ranks are ranges of about equal loads
+    step = max(1, ranked.count() * RANGE_ROWS // (4 * max(1, tied.count())))
+    dealt = shared.repartition(F.floor(F.col("rank") / step), F.col("sub")).sortWithinPartitions("rank", "sub")
     placed = materialise(dealt.mapInArrow(_place(cover), "doc long, idx long, rank long, sub long, at long"), "cover-places")
     shares = placed.filter("sub > 0").select("rank").distinct()
     counts = placed.join(F.broadcast(shares), "rank", "left_semi").groupBy("rank", "sub").agg(F.count(F.lit(1)).alias("n"))
@@ -325,7 +469,6 @@ def suffix_ranks(docs: DataFrame, terminators: bool = False, base: int | None =
     """
 
     def make() -> DataFrame:
-        rows = spread(docs.select("doc", "text")).mapInArrow(_text_keys(TEXT_COVER.period, terminators), "doc long, idx long, key binary, tie long")
-        return _resolve(rank_split(rows, ["key", "tie"], ["doc", "idx"]), TEXT_COVER, 1, base or BASE_ELEMENTS, bound)
+        return _resolve(_first_ranks(docs, TEXT_COVER.period, terminators), TEXT_COVER, 1, base or BASE_ELEMENTS, bound)
 
     return scratch(docs.sparkSession, "suffix-ranks", make)

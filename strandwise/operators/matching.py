@@ -12,13 +12,13 @@ from pyspark.sql.window import Window
 
 from ..functions import kernels
 from ..plans.storage import spread
+from . import anchors, backward
 from . import symbols as sym
-from .suffix_array import _BATCH, gsa
+from .anchors import locate
+from .suffix_array import _BATCH
 
 #: Symbols of a reference up to which tasks hold its index, which is small enough to be made at once on the driver.
 REFERENCE_SYMBOLS = 1_000_000
-#: Symbols of all patterns together up to which one automaton holds them; more patterns are searched in lots of as many.
-PATTERN_SYMBOLS = 4_000_000
 MS = "doc long, idx long, pos long, len long, smaller boolean, next string"
 
 
@@ -280,57 +280,6 @@ def next_heads(found: DataFrame) -> DataFrame:
     return ends.join(covered, ["doc", "q"]).select("doc", "idx", "next_idx")
 
 
-def _automaton(words: list[str]):
-    import ahocorasick
-
-    if not words:
-        return None
-
-    found = ahocorasick.Automaton()
-    for w in words:
-        found.add_word(w, w)
-    found.make_automaton()
-    return found
-
-
-def _scan(words: list[str]):
-    """(pattern, doc, idx) in one pass over each text by an automaton of all patterns."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(words)
-        for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for end, word in automaton.iter(text) if automaton else ():
-                    out[0].append(word)
-                    out[1].append(doc)
-                    out[2].append(end + 1 - len(word))
-                if len(out[0]) > _BATCH:
-                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["pattern", "doc", "idx"])
-                    out = ([], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["pattern", "doc", "idx"])
-
-    return run
-
-
-def locate(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern, doc, idx): all occurrences, overlapping ones too, of each pattern that is not empty.
-
-    Texts are scanned where they are read, by an automaton of the patterns. Patterns
-    are dealt to lots by their hash, each within a checked number of symbols.
-    """
-    wanted = patterns.filter(F.length("pattern") > 0).select("pattern").distinct()
-    size = wanted.agg(F.sum(F.length("pattern").cast("long"))).first()[0] or 0
-    lots = max(1, -(-2 * size // PATTERN_SYMBOLS)) if size > PATTERN_SYMBOLS else 1
-    rows, out = spread(docs.select("doc", "text")), None
-    for lot in range(lots):
-        words = sorted(r["pattern"] for r in wanted.filter(F.pmod(F.xxhash64("pattern"), F.lit(lots)) == lot).collect())
-        if words or out is None and lot == lots - 1:
-            found = rows.mapInArrow(_scan(words), "pattern string, doc long, idx long")
-            out = found if out is None else out.unionByName(found)
-    return out
-
-
 def _substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for doc, text, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -341,16 +290,13 @@ def _substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def count_patterns(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """(pattern, n): number of occurrences; 0 where there is none."""
-    found = locate(docs, patterns).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    found = anchors.locate(docs, patterns).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
     return patterns.select("pattern").distinct().join(found, "pattern", "left").select("pattern", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 def refine(docs: DataFrame, prefix: str, depth: int = 1) -> DataFrame:
-    """(extension, first, last): rank intervals of the suffixes that begin with ``prefix``, by their next ``depth`` symbols. Only occurrences of the prefix are looked at."""
-    there = locate(docs, docs.sparkSession.createDataFrame([(prefix,)], "pattern string")) if prefix else sym.suffixes(docs)
-    ranks = gsa(docs).join(there.select("doc", "idx"), ["doc", "idx"])
-    nxt = sym.snippets(ranks, docs, "doc", F.col("idx") + len(prefix), depth, "extension")
-    return nxt.groupBy("extension").agg(F.min("rnk").alias("first"), F.max("rnk").alias("last"))
+    """(extension, first, last): rank intervals of the suffixes that begin with ``prefix``, by their next ``depth`` symbols; by backward search."""
+    return backward.refine(backward.build(docs), prefix, depth)
 
 
 def longest_shared(docs: DataFrame, items: DataFrame, least: int) -> DataFrame:
@@ -361,7 +307,7 @@ def longest_shared(docs: DataFrame, items: DataFrame, least: int) -> DataFrame:
     """
     width = items.select("doc", "text", F.lit(least).alias("n"))
     grams = width.mapInArrow(_substrings, "pattern string, doc long, idx long").select(F.col("doc").alias("item"), F.col("idx").alias("q"), "pattern")
-    both = locate(docs, grams.select("pattern")).join(grams, "pattern").select("doc", "item", (F.col("idx") - F.col("q")).alias("diagonal"), F.col("idx").alias("p"))
+    both = anchors.locate(docs, grams.select("pattern")).join(grams, "pattern").select("doc", "item", (F.col("idx") - F.col("q")).alias("diagonal"), F.col("idx").alias("p"))
     run = F.col("p") - F.row_number().over(Window.partitionBy("doc", "item", "diagonal").orderBy("p"))
     runs = both.withColumn("run", run).groupBy("doc", "item", "diagonal", "run").agg((F.count(F.lit(1)) + least - 1).alias("len"))
     return runs.groupBy("doc", "item").agg(F.max("len").alias("len"))

@@ -129,14 +129,24 @@ def rank_split(df: DataFrame, keys: list[str], within: list[str]) -> DataFrame:
     """(*within, rank, tied): the place of the first row with equal ``keys`` in their order, and whether another row has them.
 
     Rows are sorted by ranges of keys and ``within``, so rows of one key may lie in any
-    number of tasks; what a range's first and last rows are, two rows a range, is put
-    together on the driver. Keys are never null.
+    number of tasks. Keys are never null.
     """
     import pyarrow.compute  # noqa: F401 - loaded before the function is sent
 
-    spark, kinds = df.sparkSession, {f.name: f for f in df.schema}
-    schema = T.StructType([kinds[c] for c in within] + [T.StructField(PART, T.IntegerType()), T.StructField(POSITION, T.LongType()), T.StructField("_first", T.LongType()), T.StructField("_near", T.BooleanType())] + [kinds[c] for c in keys])
-    placed = materialise(_sorted(df, [*keys, *within], None).mapInArrow(_split_number(keys, within), schema), "split-ranked")
+    kinds = {f.name: f for f in df.schema}
+    schema = T.StructType([kinds[c] for c in within] + _SPLIT + [kinds[c] for c in keys])
+    return join_ranges(materialise(_sorted(df, [*keys, *within], None).mapInArrow(_split_number(keys, within), schema), "split-ranked"), keys, within)
+
+
+_SPLIT = [T.StructField(PART, T.IntegerType()), T.StructField(POSITION, T.LongType()), T.StructField("_first", T.LongType()), T.StructField("_near", T.BooleanType())]
+
+
+def join_ranges(placed: DataFrame, keys: list[str], within: list[str]) -> DataFrame:
+    """(*within, rank, tied) from rows numbered in their range: (*within, _part, _position, _first, _near, *keys), keys in a range's first and last row.
+
+    These, two rows a range, are put together on the driver: where a range begins in the
+    order of all, and where a key goes on from one range to the next.
+    """
     ends = placed.filter(F.col(keys[0]).isNotNull()).select(PART, POSITION, "_first", *keys).orderBy(PART, POSITION).collect()
     parts: dict[int, list] = {}
     for r in ends:
@@ -151,7 +161,7 @@ def rank_split(df: DataFrame, keys: list[str], within: list[str]) -> DataFrame:
         table.append([part, offset, first if joins else None, tail[2], False])
         start = first if tail[2] == 0 else offset + tail[2]
         last, offset = tuple(tail[3:]), offset + tail[1] + 1
-    known = F.broadcast(spark.createDataFrame([tuple(x) for x in table], f"{PART} int, _offset long, _carried long, _tail long, _goes_on boolean"))
+    known = F.broadcast(placed.sparkSession.createDataFrame([tuple(x) for x in table], f"{PART} int, _offset long, _carried long, _tail long, _goes_on boolean"))
     carried = (F.col("_first") == 0) & F.col("_carried").isNotNull()
     rank = F.when(carried, F.col("_carried")).otherwise(F.col("_offset") + F.col("_first"))
     tied = F.col("_near") | carried | (F.col("_goes_on") & (F.col("_first") == F.col("_tail")))

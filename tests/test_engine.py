@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandwise.model import limit_symbols, require_rows, sequences
-from strandwise.operators import bwt, lcp, matching, ranges, symbols, validate
+from strandwise.operators import anchors, bwt, lcp, matching, ranges, symbols, validate
 from strandwise.operators import suffix_array as sa
 from strandwise.plans.ranking import global_rank, running_total
 
@@ -27,7 +27,7 @@ def common(a, b):
     return n
 
 
-@pytest.mark.parametrize("plan", ["ranges", "doubling"])
+@pytest.mark.parametrize("plan", ["ranges", "cover", "doubling"])
 @pytest.mark.parametrize("extra", [False, True])
 def test_gsa(docs_of, plan, extra):
     docs = sequences(docs_of(TEXTS))
@@ -135,10 +135,10 @@ def test_a_text_matches_itself_whole(docs_of):
     assert matching.heads(matching.matching_statistics(docs_of(["mississippi"]), docs_of(["mississippi"]))).count() >= 1
 
 
-@pytest.mark.parametrize("bound", [None, 2])
-def test_patterns(spark, docs_of, monkeypatch, bound):
-    if bound is not None:
-        monkeypatch.setattr(matching, "PATTERN_SYMBOLS", bound)
+@pytest.mark.parametrize("widths", [None, 1])
+def test_patterns(spark, docs_of, monkeypatch, widths):
+    if widths is not None:
+        monkeypatch.setattr(anchors, "WIDTHS", widths)
     patterns = spark.createDataFrame([("ana",), ("a",), ("",), ("zz",)], "pattern string")
     docs = docs_of(["banana", "", "a"])
     assert rows(matching.locate(docs, patterns), "pattern", "doc", "idx") == [("a", 0, 1), ("a", 0, 3), ("a", 0, 5), ("a", 2, 0), ("ana", 0, 1), ("ana", 0, 3)]
