@@ -97,7 +97,8 @@ def identify(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", m
 
     Null texts and texts without a letter are "und", score 0, and not accepted; so is
     everything if there is no model. Equal sizes go to the language first by name,
-    with score 0. Columns that are already there by these names are replaced.
+    with score 0. Columns that are already there by these names are replaced, all others
+    stay. Rows are judged each, whatever their ids, and texts of any length whole.
     """
     fixed = tuple(sorted(model.items()))
     if any(len(d) > DICTIONARY_BYTES + SAMPLE_TEXTS for _, d in fixed):
@@ -108,8 +109,9 @@ def identify(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", m
     def predict(text):
         return classify(text, sent.value, min_score)
 
-    given = docs.drop("lang_pred", "score", "accepted", "_l")
-    return given.withColumn("_l", predict(F.col(text_col))).withColumns({k: F.col("_l")[k] for k in ("lang_pred", "score", "accepted")}).drop("_l")
+    given = docs.drop("lang_pred", "score", "accepted")
+    held = "_l" + "_" * max(len(c) for c in docs.columns)  # longer than any name that is there
+    return given.withColumn(held, predict(F.col(text_col))).withColumns({k: F.col(held)[k] for k in ("lang_pred", "score", "accepted")}).drop(held)
 
 
 def fold(n: int, id_col: str = "doc_id"):
@@ -118,7 +120,7 @@ def fold(n: int, id_col: str = "doc_id"):
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's language, learned from the documents that are not held out."""
+    """Every document's language, learned from the documents that are not held out. Nulls, ties, repeats and empty tables as ``train`` and ``identify`` state."""
     docs = read_table(spark, sf_dir, "documents")
     model = train(docs.filter(fold(5) != 0))
     return identify(docs.select("doc_id", (fold(5) == 0).alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score", "accepted")

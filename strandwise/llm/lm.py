@@ -729,6 +729,7 @@ def score(docs: DataFrame, model: Model, keep: tuple = ("doc_id",), text_col: st
     Null texts count as empty and have their end alone. Nothing is joined by id: ids
     may repeat or be null, and kept columns may have any names but those of the
     results. Without training text every token is unknown. An empty table gives no rows.
+    Texts of any length are scored whole, their tokens in the bins of their contexts.
     """
     rows, names = _carried(docs, keep, F.lit(False), text_col)
     return _scored(_messages(rows, model.words, names).unionByName(model.tries), model.words, DISCOUNT, rows, names, keep)

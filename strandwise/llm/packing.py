@@ -109,6 +109,8 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None, e
 
     Null text is empty and still has its end id; a null id stays null; rows that share
     an id are packed each. An empty table gives no rows. Other columns are not read.
+    A document longer than a window is cut into full windows and a rest. Pieces of one
+    length are taken by id, start and content.
     """
     pieces = save(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_cut(vocabulary or tokens.default_vocabulary(), end_id, window), PIECES), "pieces")
     groups = max(1, -(-pieces.count() // GROUP_PIECES))
@@ -121,5 +123,5 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None, e
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents packed into windows of 4096 tokens."""
+    """All documents packed into windows of 4096 tokens; nulls, ties, repeats and empty tables as ``pack`` states."""
     return pack(read_table(spark, sf_dir, "documents"))

@@ -245,7 +245,12 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", id_col: str = "d
 
 
 def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with every span in the text replaced by its kind in brackets; touching spans of several kinds keep the first's name."""
+    """``docs`` with every span in the text replaced by its kind in brackets; touching spans of several kinds keep the first's name.
+
+    Null texts stay null, and empty ones empty. Repeated rows and rows that share an id
+    are masked each. All other columns stay, whatever their names. Texts of any length
+    are masked whole; no row gives none.
+    """
     found = discover(docs, scan(docs, text_col, id_col), text_col=text_col, **options)
     names = docs.columns
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), *_key(id_col, text_col), *[c.alias(k) for k, c in base_spans(F.col(text_col)).items()])

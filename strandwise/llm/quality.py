@@ -117,6 +117,7 @@ def score_quality(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, t
     Null text has no words and fails the plain rules. Ties with the threshold are
     kept. Ids may repeat or be null: nothing is joined by them but the trusted
     set. Input columns named like a result, or like _OWN, are replaced. An empty table gives no rows.
+    Texts of any length count whole: the ratio is a mean over all their n-grams.
     """
     ratios = bucket_log_ratios(docs, trusted, buckets, text_col, id_col)
     given = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept", *_OWN)

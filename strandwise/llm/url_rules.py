@@ -79,7 +79,8 @@ def mined_rules(pages: DataFrame, labels: DataFrame, bad: Column | None = None,
 
     A rule's tokens are found together in at least ``min_pages`` bad pages, and at
     least ``min_confidence`` of the pages that have them are bad. Pages without a label
-    teach nothing; no labelled page, or none that is bad: no rule.
+    teach nothing; no labelled page, or none that is bad: no rule. Repeated pages count
+    each; of labels that share an id any bad one makes the page bad.
     """
     from pyspark.ml.fpm import FPGrowth
 

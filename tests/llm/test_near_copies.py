@@ -71,3 +71,18 @@ def test_stage_drops_copies_far_apart_in_simhash(spark, rows):
 def test_odd_rows(spark, corpus, empty):
     assert n.near_copies(empty).count() == 0
     assert n.near_copies(corpus[1]).count() == len(corpus[0])
+
+
+def test_columns_by_the_names_of_own_ones(spark, corpus):
+    """Columns of documents may have any names that operators and stages use themselves."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    own = ("_doc", "_hash", "_l", "_row", "_own", "_id", "_text", "_d", "_h", "_n", "id", "hash", "key", "bucket", "bands", "lang_pred", "accepted", "_trusted", "_trains", "spans", "root", "rank", "size", "start", "n")
+    docs = corpus[1].filter("doc_id IS NULL OR doc_id NOT IN (7, 13)")
+    clashing = docs.withColumns({c: F.lit(k) for k, c in enumerate(own)})
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        plain, same = stage(spark, docs, ""), stage(spark, clashing, "")
+        assert same.columns == clashing.columns, name
+        assert sorted(map(str, same.select(plain.columns).collect())) == sorted(map(str, plain.collect())), name
+        assert same.select(*own).distinct().count() == 1, name
