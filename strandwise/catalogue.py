@@ -11,7 +11,7 @@ from .model import limit_symbols, sequences
 from .functions import columns
 from .operators import backward
 from .operators import bwt as bw
-from .operators import integers, lcp, matching, ranges, symbols, validate
+from .operators import integers, lcp, matching, ranges, routed, symbols, validate
 from .operators import suffix_array as sa
 from .plans.ranking import global_rank
 
@@ -238,17 +238,17 @@ def position_buckets(spark, sf_dir):
 
 
 def matching_statistics(spark, sf_dir):
-    return matching.matching_statistics(reference(spark, sf_dir), part_names(spark, sf_dir))
+    return matching.matching_statistics(benchmark(spark, sf_dir), part_names(spark, sf_dir))
 
 
 def matching_statistics_union(spark, sf_dir):
-    """The plan for references that no task can hold."""
-    return matching._by_union(reference(spark, sf_dir), part_names(spark, sf_dir))
+    """The same with short heads and small ranges, so that suffixes cross ranges and double their intervals as those of a very large reference do."""
+    return routed.matching_statistics(routed.build(benchmark(spark, sf_dir), width=3, size=256), part_names(spark, sf_dir))
 
 
 def matching_statistics_documents(spark, sf_dir):
     """Every place of every document against all benchmark texts; only the parse is kept."""
-    return matching.parse_stats(matching.matching_statistics(reference(spark, sf_dir), documents(spark, sf_dir), augment=True, heads_only=True))
+    return matching.parse_stats(matching.matching_statistics(benchmark(spark, sf_dir), documents(spark, sf_dir), augment=True, heads_only=True))
 
 
 def _inverse(spark, sf_dir):

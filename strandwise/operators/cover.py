@@ -60,6 +60,8 @@ class Cover:
 #: Perfect difference sets, in which each difference occurs once.
 TEXT_COVER = Cover(31, (0, 1, 3, 8, 12, 18))
 NAME_COVER = Cover(7, (0, 1, 3))
+#: Symbols behind its own that a piece of a document has.
+AHEAD = TEXT_COVER.period + 1
 
 
 def _binary(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -98,16 +100,17 @@ def _text_keys(alphabet: Alphabet, width: int, terminators: bool, chosen=None):
     """Of every suffix: document, place and key, a lot at a time. ``chosen`` picks places.
 
     A key is the numbers of the first symbols, and then the document's number if the
-    suffix ends with them, else the largest number: a suffix that ends is smaller.
+    suffix ends with them, else the largest number: a suffix that ends is smaller. Texts
+    may be pieces: from place ``start`` on, ``own`` symbols and some of those behind them.
     """
     size = width * alphabet.kind.itemsize
 
-    def of(docs: np.ndarray, numbers: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def of(docs: np.ndarray, begins: np.ndarray, counts: np.ndarray, numbers: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         lengths = np.array([len(x) for x in numbers])
         gap = np.zeros(width, alphabet.kind)
         padded = np.concatenate([y for x in numbers for y in (x, gap)]).astype(alphabet.kind)  # in the byte order of the keys
         firsts = np.concatenate(([0], np.cumsum(lengths + width)))[:-1]
-        counts = lengths + terminators
+        counts = counts + terminators
         ends = np.cumsum(counts)
         windows = np.lib.stride_tricks.sliding_window_view(padded, width)
         for at in range(0, int(ends[-1]), LOT):
@@ -115,26 +118,28 @@ def _text_keys(alphabet: Alphabet, width: int, terminators: bool, chosen=None):
             own = np.searchsorted(ends, k, side="right")
             idx = k - (ends - counts)[own]
             if chosen is not None:
-                kept = chosen(docs[own], idx)
+                kept = chosen(docs[own], begins[own] + idx)
                 own, idx = own[kept], idx[kept]
             key = np.empty((len(own), size + 8), np.uint8)
             key[:, :size] = np.ascontiguousarray(windows[firsts[own] + idx]).view(np.uint8).reshape(len(own), size)
             tie = np.where(idx + width < lengths[own], _LAST, docs[own])
             key[:, size:] = (tie.astype(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
-            yield docs[own], idx, key
+            yield docs[own], begins[own] + idx, key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        docs, numbers, size = [], [], 0
+        held: list[tuple[int, int, int]] = []
+        numbers, size = [], 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                docs.append(doc)
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc", "start", "own")]
+            for doc, start, own, text in zip(*columns, batch.column(batch.schema.get_field_index("text"))):
                 numbers.append(alphabet.numbers(kernels.code_points(text.as_py())))
+                held.append((doc, start, own))
                 size += len(numbers[-1]) + 1
                 if size >= LOT:
-                    yield from of(np.array(docs, np.int64), numbers)
-                    docs, numbers, size = [], [], 0
-        if docs:
-            yield from of(np.array(docs, np.int64), numbers)
+                    yield from of(*np.array(held, np.int64).T, numbers)
+                    held, numbers, size = [], [], 0
+        if held:
+            yield from of(*np.array(held, np.int64).T, numbers)
 
     return run
 
@@ -205,9 +210,10 @@ def _sort_range(size: int):
 
 def _first_ranks(docs: DataFrame, width: int, terminators: bool) -> DataFrame:
     """(doc, idx, rank, tied): all suffixes ranked by their first symbols. Bounds of the ranges come from a sample of keys, some for each range."""
-    rows = spread(docs.select("doc", "text"))
+    own = F.col("own") if "own" in docs.columns else F.length("text")
+    rows = spread(docs.select("doc", "text", (F.col("start") if "start" in docs.columns else F.lit(0)).cast("long").alias("start"), own.cast("long").alias("own")))
     alphabet = Alphabet.of(rows)
-    n = rows.agg(F.sum(F.length("text").cast("long") + F.lit(int(terminators)))).first()[0] or 0
+    n = rows.agg(F.sum(F.col("own") + F.lit(int(terminators)))).first()[0] or 0
     parts = max(1, -(-n // RANGE_ROWS), min(n // 20_000, docs.sparkSession.sparkContext.defaultParallelism))
     every = max(1, n // (parts * SAMPLED))
     chosen = lambda d, i: (d * 7_368_787 + i * 2_654_435_761 >> 7) % every == 0
@@ -464,8 +470,11 @@ def _resolve(ranked: DataFrame, cover: Cover, stride: int, base: int, bound: int
 def suffix_ranks(docs: DataFrame, terminators: bool = False, base: int | None = None, bound: int | None = None) -> DataFrame:
     """(doc, idx, rank): the place of every suffix among all, equal ones by document.
 
-    ``base`` and ``bound`` replace BASE_ELEMENTS and TIED_ROWS. The tables on the way
-    are deleted when the result is written.
+    A document may come in pieces, ``docs`` being (doc, start, own, text): the place of a
+    piece's first symbol, how many symbols are its own, and these with at least
+    AHEAD of the symbols behind them, or all there are. ``base`` and ``bound`` replace
+    BASE_ELEMENTS and TIED_ROWS. The tables on the way are deleted when the result is
+    written.
     """
 
     def make() -> DataFrame:

@@ -10,84 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import kernels
-from ..plans.storage import spread
-from . import anchors, backward
+from . import anchors, backward, routed
 from . import symbols as sym
 from .anchors import locate
-from .suffix_array import _BATCH
-
-#: Symbols of a reference up to which tasks hold its index, which is small enough to be made at once on the driver.
-REFERENCE_SYMBOLS = 1_000_000
-MS = "doc long, idx long, pos long, len long, smaller boolean, next string"
-
-
-class ReferenceIndex:
-    """A reference's symbols, suffix array and symbols packed two to a word for comparison."""
-
-    def __init__(self, text: str):
-        self.symbols = kernels.code_points(text)
-        self.order = kernels.suffix_array(self.symbols)
-
-    def match(self, text: np.ndarray, stop: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(pos, len, smaller) of the longest match in the reference of every suffix of ``text``.
-
-        ``stop``: where each place's document ends, if ``text`` holds several. All
-        suffixes search the order at once, from the interval of their first symbol on.
-        Each keeps what it is known to share with both ends of its interval, so that no
-        symbol is compared again.
-        """
-        m, n = len(text), len(self.order)
-        stop = np.full(m, m) if stop is None else stop
-        places = np.arange(m)
-        first = self.symbols[self.order]
-        # order[lo] <= suffix < order[hi]
-        lo, hi = np.searchsorted(first, text, side="left") - 1, np.searchsorted(first, text, side="right")
-        at_lo, at_hi = np.zeros(m, np.int64), np.zeros(m, np.int64)
-        open_ = np.flatnonzero(hi - lo > 1)
-        while len(open_):
-            mid = (lo[open_] + hi[open_]) >> 1
-            a, b, end = places[open_], self.order[mid], stop[open_]
-            common = self._extend(text, a, b, end, np.minimum(at_lo[open_], at_hi[open_]))
-            a, b = a + common, b + common
-            # a reference suffix that ends first, or together, does not sort after
-            below = (b >= n) | ((a < end) & (self.symbols[np.minimum(b, n - 1)] < text[np.minimum(a, m - 1)]))
-            up, down = open_[below], open_[~below]
-            lo[up], at_lo[up] = mid[below], common[below]
-            hi[down], at_hi[down] = mid[~below], common[~below]
-            open_ = open_[hi[open_] - lo[open_] > 1]
-        after, before = np.where(hi < n, at_hi, -1), np.where(lo >= 0, at_lo, -1)
-        smaller = after >= before
-        chosen = np.where(smaller, hi, lo)
-        return self.order[np.clip(chosen, 0, max(n - 1, 0))], np.maximum(after, before), smaller
-
-    def _extend(self, text: np.ndarray, a: np.ndarray, b: np.ndarray, stop: np.ndarray, known: np.ndarray) -> np.ndarray:
-        """Length of the common prefix of text suffixes at a and reference suffixes at b, of which ``known`` is certain."""
-        length = known.copy()
-        limit = np.minimum(stop - a, len(self.symbols) - b)
-        going = np.flatnonzero(length < limit)
-        while len(going):
-            same = text[a[going] + length[going]] == self.symbols[b[going] + length[going]]
-            going = going[same]
-            length[going] += 1
-            going = going[length[going] < limit[going]]
-        return length
-
-
-def _lots(batches: Iterator[pa.RecordBatch], symbols: int = 200_000) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """Documents in lots: their numbers and symbols; empty ones are left out."""
-    docs, held, size = [], [], 0
-    for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if text:
-                docs.append(doc)
-                held.append(kernels.code_points(text))
-                size += len(held[-1])
-                if size >= symbols:
-                    yield np.array(docs), held
-                    docs, held, size = [], [], 0
-    if held:
-        yield np.array(docs), held
 
 
 def matching_statistics(reference: DataFrame, docs: DataFrame, augment: bool = False, heads_only: bool = False) -> DataFrame:
@@ -95,61 +20,24 @@ def matching_statistics(reference: DataFrame, docs: DataFrame, augment: bool = F
 
     pos and len: the longest match in the reference; smaller: whether the suffix sorts
     before the one matched; next: the symbol after the match, null at the end. Of two
-    equally long matches the one that sorts after is taken. With ``augment`` the
-    reference is first given the symbols that it lacks. The reference is one text
-    within a checked bound; documents are searched where they are read. With
-    ``heads_only`` the result is that of ``heads``, without its exchange.
+    equally long matches the one that sorts after is taken. The reference is any number
+    of texts (doc, text), one behind another in the order of doc. With ``augment`` it is
+    first given the symbols that it lacks. With ``heads_only`` the result is that of
+    ``heads``.
     """
-    reference = sym.augment(reference, docs) if augment else reference
-    size = reference.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    if not size:
-        raise ValueError("the reference is empty")
-    if size > REFERENCE_SYMBOLS:
-        return heads(_by_union(reference, docs)) if heads_only else _by_union(reference, docs)
-    text = "".join(r["text"] for r in reference.orderBy("doc").collect())
-    sent = docs.sparkSession.sparkContext.broadcast(ReferenceIndex(text))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for numbers, held in _lots(batches):
-            lengths = np.array([len(x) for x in held])
-            points, ends = np.concatenate(held), np.cumsum(lengths)
-            stop, begin = np.repeat(ends, lengths), np.repeat(ends - lengths, lengths)
-            pos, length, smaller = sent.value.match(points, stop)
-            alphabet, codes = np.unique(points, return_inverse=True)
-            after = np.arange(len(points)) + length
-            none = after >= stop
-            nxt = pa.array([chr(x) for x in alphabet]).take(pa.array(codes[np.where(none, 0, after)], mask=none))
-            found = pa.RecordBatch.from_arrays([pa.array(np.repeat(numbers, lengths)), pa.array(np.arange(len(points)) - begin), pa.array(pos), pa.array(length), pa.array(smaller), nxt], names=["doc", "idx", "pos", "len", "smaller", "next"])
-            if heads_only:
-                goes_on = np.concatenate(([False], pos[1:] == pos[:-1] + 1)) & (np.arange(len(points)) != begin)
-                found = found.filter(pa.array(~goes_on))
-            for at in range(0, found.num_rows, _BATCH):
-                yield found.slice(at, _BATCH)
-
-    return spread(docs.select("doc", "text")).mapInArrow(run, MS)
-
-
-def _by_union(reference: DataFrame, docs: DataFrame) -> DataFrame:
-    """The same for a reference of any size: both are sorted as one collection, and each place looks to its nearest reference suffixes on both sides."""
-    from ..plans.ranking import nearest_marked
-    from ..plans.storage import materialise
-    from .suffix_array import gsa_lcp
-
-    side = F.lit(-1).cast("long")
-    one = reference.select(side.alias("doc"), "text")
-    array = gsa_lcp(one.unionByName(docs.select("doc", "text"))).withColumn("ref", F.col("doc") == -1)
-    back = nearest_marked(materialise(array, "union"), "rnk", "ref", "idx", "lcp", True).withColumnsRenamed({"near": "p_idx", "least": "p_len"})
-    both = nearest_marked(back, "rnk", "ref", "idx", "lcp", False).filter("NOT ref")
-    n, p = F.coalesce("least", F.lit(-1)), F.coalesce("p_len", F.lit(-1))
-    out = both.select("doc", "idx", F.when(n >= p, F.col("near")).otherwise(F.col("p_idx")).alias("pos"), F.greatest(n, p).alias("len"), (n >= p).alias("smaller"))
-    out = sym.snippets(out, docs, "doc", F.col("idx") + F.col("len"), 1, "next")
-    return out.select("doc", "idx", "pos", "len", "smaller", F.when(F.col("next") != "", F.col("next")).alias("next"))
+    if augment:
+        last = reference.agg(F.max("doc")).first()[0]
+        runs = sym.augmentation(reference, docs).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("symbol", "run"))), lambda x: x["run"]), "").alias("text"))
+        reference = reference.select("doc", "text").unionByName(runs.select(F.lit((last or 0) + 1).cast("long").alias("doc"), "text"))
+    found = routed.matching_statistics(routed.build(reference), docs)
+    return heads(found) if heads_only else found
 
 
 def heads(ms: DataFrame) -> DataFrame:
-    """Places where a match does not go on from the one before: pos is not the last pos plus one."""
-    before = F.lag("pos").over(Window.partitionBy("doc").orderBy("idx"))
-    return ms.withColumn("_before", before).filter(F.col("_before").isNull() | (F.col("pos") != F.col("_before") + 1)).drop("_before")
+    """Places where a match does not go on from the one before: pos is not the last pos plus one. Each place meets the one before it by a join."""
+    before = ms.select("doc", (F.col("idx") + 1).alias("idx"), (F.col("pos") + 1).alias("_goes_on"))
+    joined = ms.join(before, ["doc", "idx"], "left")
+    return joined.filter(F.col("_goes_on").isNull() | (F.col("pos") != F.col("_goes_on"))).select(*ms.columns)
 
 
 def parse_stats(found: DataFrame) -> DataFrame:

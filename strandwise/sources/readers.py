@@ -55,7 +55,7 @@ def fasta(spark: SparkSession, path: str, blank_ends_record: bool = False) -> Da
     numbered = running_total(lines.withColumn("starts", starts), ["k"], "starts", "before").withColumn("rec", F.col("before") + F.col("starts"))
     body = numbered.filter(~head & ~blank).groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("k", "line"))).alias("l"))
     texts = body.select("rec", F.array_join(F.transform("l", lambda x: x["line"]), "").alias("text"))
-    headers = numbered.filter(head).select("rec", F.substring("line", 2, 1_000_000).alias("header"))
+    headers = numbered.filter(head).select("rec", F.expr("substring(line, 2)").alias("header"))
     if not blank_ends_record:
         return headers.join(texts, "rec", "full").select(F.col("rec").alias("doc"), "header", F.coalesce("text", F.lit("")).alias("text"))
     # blank lines leave gaps in the numbers: documents are numbered by those that have a header or text

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandwise.model import limit_symbols, require_rows, sequences
-from strandwise.operators import anchors, bwt, lcp, matching, ranges, symbols, validate
+from strandwise.operators import anchors, bwt, lcp, matching, ranges, routed, symbols, validate
 from strandwise.operators import suffix_array as sa
 from strandwise.plans.ranking import global_rank, running_total
 
@@ -112,10 +112,11 @@ def brute_match(ref, s):
     return len(ref) - len(chosen), max(n, p), n >= p
 
 
-@pytest.mark.parametrize("bound", [None, 1])
-def test_matching_statistics(docs_of, monkeypatch, bound):
-    if bound:
-        monkeypatch.setattr(matching, "REFERENCE_SYMBOLS", bound)
+@pytest.mark.parametrize("small", [False, True])
+def test_matching_statistics(docs_of, monkeypatch, small):
+    if small:
+        for name, value in (("WIDTH", 1), ("RANGE", 2), ("PIECE", 3), ("LOAD", 2)):
+            monkeypatch.setattr(routed, name, value)
     ref, texts = "abracadabra", ["cadabrac", "", "zzz", "abracadabra", "a"]
     expected = []
     for d, t in enumerate(texts):
