@@ -113,3 +113,19 @@ def repeat_documents(docs: DataFrame, **options) -> DataFrame:
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed with weights 1, 2, 3, repeating over the sources."""
     return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source's size and target, to thousandths, as the mix of all documents has them."""
+    mixed = mix(read_table(spark, sf_dir, "documents"))
+    return mixed.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("size"), F.max("source_size").alias("source_size"), F.round(F.max("target"), 3).alias("target"))
+
+
+TARGETS_SQL = r"""
+WITH d AS (SELECT source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, count(*) AS n_docs, CAST(sum(size) AS BIGINT) AS size FROM d GROUP BY source),
+w AS (SELECT *, 3.0::DOUBLE * size AS cap, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight, CAST(sum(size) OVER () AS DOUBLE) AS total FROM s),
+o AS (SELECT *, cap / weight AS ratio, coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_before, sum(weight) OVER (ORDER BY cap / weight DESC, source DESC NULLS FIRST ROWS UNBOUNDED PRECEDING) AS weight_from FROM w),
+l AS (SELECT arg_min((total - full_before) / weight_from, ratio) FILTER ((total - full_before) / weight_from <= ratio) AS level FROM o)
+SELECT source, n_docs, size, size AS source_size, round(CASE WHEN size > 0 THEN least(cap, weight * level) ELSE 0 END, 3) AS target FROM o, l
+"""

@@ -160,3 +160,19 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's verdict, with rules mined from all labelled pages."""
     pages = read_table(spark, sf_dir, "pages")
     return filter_urls(pages, mined_rules(pages, read_table(spark, sf_dir, "labels")))
+
+
+def url_base_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path and base rule."""
+    host, path = host_path(F.col("url"))
+    return read_table(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path")).withColumn("rule", base_rule(F.col("host"), F.col("path")))
+
+
+BASE_RULES_SQL = r"""
+WITH a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS given FROM a),
+p AS (SELECT page_id, translate(given, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(given) + 1), '^[^?#]*') AS path FROM b),
+r AS (SELECT unnest(['com/', 'example.com/en/', 'www.example.com/en/', 'net/es/', 'net/fr/']) AS rule),
+f AS (SELECT rule, split_part(rule, '/', 1) AS h, substr(rule, strpos(rule, '/')) AS t FROM r)
+SELECT page_id, host, path, (SELECT rule FROM f WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, t) ORDER BY length(rule) DESC LIMIT 1) AS rule FROM p
+"""
