@@ -152,13 +152,17 @@ def order_by_matches(ms: DataFrame, inverse: DataFrame) -> DataFrame:
 def as_of(asked: DataFrame, known: DataFrame, carry: list[str]) -> DataFrame:
     """(doc, q, *carry): for each (doc, q) the last row of ``known`` (doc, idx, ...) with idx <= q; nulls if there is none.
 
-    One sort by document and place of both sides together.
+    Both sides are sorted together by ranges of document and place, and a range hands on
+    its last known row: no task needs a whole document.
     """
-    a = asked.select("doc", F.col("q").alias("at"), F.lit(1).alias("side"), *[F.lit(None).alias(c) for c in carry])
-    b = known.select("doc", F.col("idx").alias("at"), F.lit(0).alias("side"), F.struct(*carry).alias("_held"))
-    both = a.select("doc", "at", "side", F.lit(None).cast(b.schema["_held"].dataType).alias("_held")).unionByName(b)
-    last = F.last("_held", ignorenulls=True).over(Window.partitionBy("doc").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("_last", last).filter("side = 1").select("doc", F.col("at").alias("q"), *[F.col("_last")[c].alias(c) for c in carry])
+    from ..plans.ranking import last_marked
+
+    kinds = {f.name: f.dataType for f in known.schema}
+    a = asked.select("doc", F.col("q").alias("at"), F.lit(False).alias("known"), *[F.lit(None).cast(kinds[c]).alias(c) for c in carry])
+    b = known.select("doc", F.col("idx").alias("at"), F.lit(True).alias("known"), *[F.col(c) for c in carry])
+    # a known row stands before what asks at its place
+    both = a.unionByName(b).withColumn("side", F.when(F.col("known"), 0).otherwise(1))
+    return last_marked(both, "doc", ["at", "side"], "known", carry).filter("NOT known").select("doc", F.col("at").alias("q"), *carry)
 
 
 def next_heads(found: DataFrame) -> DataFrame:

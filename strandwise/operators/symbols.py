@@ -125,12 +125,25 @@ def lms_per_symbol(docs: DataFrame) -> DataFrame:
     return s.rollup("symbol").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _lms_cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, idx, lms_substring), cut where the document is read."""
+    for batch in batches:
+        for doc, text, runs in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            at, starts = 0, []
+            for k, run in enumerate(runs):
+                if 0 < k < len(runs) - 1 and runs[k - 1][0] > run[0] < runs[k + 1][0]:
+                    starts.append(at)
+                at += len(run)
+            for a in range(0, len(starts), 50_000):
+                own, ends = starts[a : a + 50_000], [*starts[a + 1 : a + 50_001], len(text)]
+                cut = [text[b : e + 1] for b, e in zip(own, ends)]
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(own), pa.int64()), pa.array(own, pa.int64()), pa.array(cut, pa.string())], names=["doc", "idx", "lms_substring"])
+
+
 def lms_substrings(docs: DataFrame) -> DataFrame:
-    """(doc, idx, lms_substring): from each leftmost S suffix's start to the next one's first symbol, or to the end."""
-    places = lms_suffixes(docs)
-    after = F.lead("idx").over(Window.partitionBy("doc").orderBy("idx"))
-    cut = F.substring("text", F.col("idx").cast("int") + 1, F.coalesce(F.col("stop") - F.col("idx") + 1, F.length("text").cast("long")).cast("int"))
-    return places.withColumn("stop", after).join(docs, "doc").select("doc", "idx", cut.alias("lms_substring"))
+    """(doc, idx, lms_substring): from each leftmost S suffix's start to the next one's first symbol, or to the end. Runs are found and cut in the document's row."""
+    found = F.expr(r"regexp_extract_all(text, '(?s)(.)\\1*+', 0)")
+    return docs.select("doc", "text", found.alias("r")).mapInArrow(_lms_cut, "doc long, idx long, lms_substring string")
 
 
 def lms_names(docs: DataFrame) -> DataFrame:

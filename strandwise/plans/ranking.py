@@ -185,6 +185,63 @@ def running_total(df: DataFrame, keys: list[str], value: str, into: str) -> Data
     return placed.join(_offsets(placed, F.sum(value)), PART).withColumn(into, F.col("_offset") + F.col(POSITION)).select(*df.columns, into)
 
 
+def _carry_on(group: str, mark: str, held: list[str]):
+    """Replaces ``held`` of every row by those of the last marked row of its group so far; adds _part, _position, and whether the group may have had one before the range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, at, first, last = TaskContext.get().partitionId(), 0, None, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            table = pa.Table.from_batches([batch])
+            if first is None:
+                first = table[group][0].as_py()
+            if last is not None:
+                table = pa.concat_tables([last, table])
+            groups, marks = table[group].to_numpy(), table[mark].to_numpy(zero_copy_only=False).astype(bool)
+            place = np.maximum.accumulate(np.where(marks, np.arange(len(marks)), -1))
+            known = (place >= 0) & (groups[np.maximum(place, 0)] == groups)
+            taken = pa.array(np.maximum(place, 0), mask=~known)
+            if place[-1] >= 0:
+                keep = table.slice(int(place[-1]), 1)
+            skip = len(marks) - n
+            own = table.slice(skip)
+            columns = [table[c].take(taken).slice(skip).combine_chunks() if c in held else own[c].combine_chunks() for c in table.schema.names]
+            columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
+            before = (groups == first) & ~known
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(n, part, np.int32)), pa.array(at + np.arange(n)), pa.array(before[skip:])], names=[*table.schema.names, PART, POSITION, "_before"])
+            at += n
+            if place[-1] >= 0:
+                last = keep
+
+    return run
+
+
+def last_marked(df: DataFrame, group: str, order: list[str], mark: str, held: list[str]) -> DataFrame:
+    """``df`` with ``held`` of the last marked row of the same group, up to each row itself, in the order of (group, *order); nulls if there is none.
+
+    Rows are sorted by ranges, so a group of any size may lie in any number of tasks. A
+    range's last marked row, one a range, is handed on through the driver. Groups are longs.
+    """
+    placed = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema] + [T.StructField(PART, T.IntegerType()), T.StructField(POSITION, T.LongType()), T.StructField("_before", T.BooleanType())])
+    placed = materialise(placed.mapInArrow(_carry_on(group, mark, held), schema), "carried")
+    parts = placed.select(PART).distinct().orderBy(PART).collect()
+    ends = {r[PART]: r["e"] for r in placed.filter(mark).groupBy(PART).agg(F.max_by(F.struct(group, *held), POSITION).alias("e")).collect()}
+    rows, known = [], None
+    for p in parts:
+        rows.append((p[PART], *(known if known is not None else [None] * (1 + len(held)))))
+        known = ends.get(p[PART], known)
+    kinds = {f.name: f for f in df.schema}
+    given = df.sparkSession.createDataFrame(rows, T.StructType([T.StructField(PART, T.IntegerType()), T.StructField("_group", T.LongType())] + [T.StructField(f"_{c}", kinds[c].dataType) for c in held]))
+    out = placed.join(F.broadcast(given), PART)
+    use = F.col("_before") & F.coalesce(F.col("_group") == F.col(group), F.lit(False))
+    return out.select(*[F.when(use, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in held else F.col(c) for c in df.columns])
+
+
 _FAR = np.iinfo(np.int64).max
 
 

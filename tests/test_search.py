@@ -76,3 +76,25 @@ def test_refine(docs_of, prefix, depth):
 def test_index_of_nothing(spark, docs_of):
     index = backward.build(docs_of([""]))
     assert rows(backward.count(index, pattern_table(spark, ["a"])), "pattern", "n") == [("a", 0)]
+
+
+def test_last_known_over_ranges(spark, docs_of):
+    """As-of lookups, with documents over many ranges and ranges without known rows."""
+    from strandwise.operators import matching
+
+    r = random.Random(4)
+    known = sorted({(d, r.randrange(400)) for d in (0, 0, 0, 1, 5) for _ in range(12)})
+    asked = [(d, q) for d in (0, 1, 2, 5) for q in range(0, 420, 3)]
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        k = spark.createDataFrame([(d, i, f"{d}-{i}", i * 10 if i % 3 else None) for d, i in known], "doc long, idx long, name string, n long")
+        found = rows(matching.as_of(spark.createDataFrame(asked, "doc long, q long"), k, ["name", "n"]), "doc", "q", "name", "n")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    expected = []
+    for d, q in asked:
+        i = max((i for e, i in known if e == d and i <= q), default=None)
+        expected.append((d, q, None, None) if i is None else (d, q, f"{d}-{i}", i * 10 if i % 3 else None))
+    assert found == sorted(expected, key=lambda x: x[:2])
