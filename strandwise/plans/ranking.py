@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -240,63 +239,3 @@ def last_marked(df: DataFrame, group: str, order: list[str], mark: str, held: li
     out = placed.join(F.broadcast(given), PART)
     use = F.col("_before") & F.coalesce(F.col("_group") == F.col(group), F.lit(False))
     return out.select(*[F.when(use, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in held else F.col(c) for c in df.columns])
-
-
-_FAR = np.iinfo(np.int64).max
-
-
-def nearest_marked(df: DataFrame, key: str, mark: str, carry: str, value: str, backward: bool) -> DataFrame:
-    """Adds ``near``, what the nearest marked row before each row (after it, unless ``backward``) has in ``carry``, and ``least``, the
-    least ``value`` on the way: of all rows from the later end back to, not including, the earlier end. Null if there is no such row.
-
-    Rows are sorted by ranges of ``key``; a range hands on its last marked row and the
-    least value since, and those, a row a range, are run through in one place.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, near, least, known = TaskContext.get().partitionId(), -1, _FAR, False
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            column = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
-            marked, values, held = column(mark).astype(bool), column(value).astype(np.int64), column(carry).astype(np.int64)
-            # row k sees the state after row k if its own value counts (backward), else the state before it
-            ahead = np.where(marked, _FAR if backward else values, values)
-            seg = np.cumsum(marked)
-            span = np.int64(1) << np.int64(40)
-            low = np.minimum.accumulate(np.minimum(ahead, span - 1) - seg * span) + seg * span
-            low = np.where(low >= span - 1, _FAR, low)
-            low[seg == 0] = np.minimum(low[seg == 0], least)
-            at = np.where(marked, np.arange(n), -1)
-            at = np.maximum.accumulate(at)
-            who, sure = np.where(at >= 0, held[np.maximum(at, 0)], near), (at >= 0) | known
-            state = (int(who[-1]), int(low[-1]), bool(sure[-1]))
-            if not backward:
-                who, low, sure = np.concatenate(([near], who[:-1])), np.concatenate(([least], low[:-1])), np.concatenate(([known], sure[:-1]))
-            near, least, known = state
-            last = np.zeros(n, bool)
-            last[-1] = True
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(who.astype(np.int64)), pa.array(low.astype(np.int64)), pa.array(sure), pa.array(np.full(n, state[0])), pa.array(np.full(n, state[1])), pa.array(np.full(n, state[2])), pa.array(last)], names=[*batch.schema.names, PART, "_near", "_least", "_known", "_end_near", "_end_least", "_end_known", "_batch_end"])
-
-    order = F.col(key) if backward else -F.col(key)
-    schema = T.StructType(list(df.schema.fields))
-    for name, kind in ((PART, T.IntegerType()), ("_near", T.LongType()), ("_least", T.LongType()), ("_known", T.BooleanType()), ("_end_near", T.LongType()), ("_end_least", T.LongType()), ("_end_known", T.BooleanType()), ("_batch_end", T.BooleanType())):
-        schema.add(name, kind)
-    placed = materialise(df.repartitionByRange(order).sortWithinPartitions(order).mapInArrow(run, schema), "nearest")
-    ends = placed.filter("_batch_end").groupBy(PART).agg(F.max_by(F.struct("_end_near", "_end_least", "_end_known"), key if backward else -F.col(key)).alias("e")).select(PART, "e.*")
-
-    def hand_on(rows: pd.DataFrame) -> pd.DataFrame:
-        near, least, known, out = -1, _FAR, False, []
-        for r in rows.drop(columns="_all").sort_values(PART).itertuples(index=False):
-            out.append((r[0], near, least, known))
-            near, least, known = (r[1], r[2], True) if r[3] else (near, min(least, r[2]), known)
-        return pd.DataFrame(out, columns=[PART, "_in_near", "_in_least", "_in_known"])
-
-    given = ends.withColumn("_all", F.lit(1)).select("_all", *ends.columns).groupBy("_all").applyInPandas(hand_on, f"{PART} int, _in_near long, _in_least long, _in_known boolean")  # a row a range
-    out = placed.join(F.broadcast(given), PART)
-    near = F.when(F.col("_known"), F.col("_near")).when(F.col("_in_known"), F.col("_in_near"))
-    least = F.when(F.col("_known"), F.col("_least")).when(F.col("_in_known"), F.least("_least", "_in_least"))
-    return out.withColumn("near", near).withColumn("least", least).select(*df.columns, "near", "least")

@@ -12,7 +12,8 @@ def symbol_counts(texts: DataFrame) -> DataFrame:
 
 
 def match_stream(reference: DataFrame, texts: DataFrame, sink) -> object:
-    """Starts matching a stream of (doc, text) against a fixed reference; ``sink`` gets each batch's matches and its number."""
-    from ..operators.matching import matching_statistics
+    """Starts matching a stream of (doc, text) against a fixed reference, whose suffix array is made once; ``sink`` gets each batch's matches and its number."""
+    from ..operators import routed
 
-    return texts.writeStream.foreachBatch(lambda batch, epoch: sink(matching_statistics(reference, batch), epoch)).start()
+    index = routed.build(reference)
+    return texts.writeStream.foreachBatch(lambda batch, epoch: sink(routed.matching_statistics(index, batch), epoch)).start()
