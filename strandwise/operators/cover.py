@@ -30,8 +30,8 @@ from ..plans.storage import materialise, scratch, spread
 BASE_ELEMENTS, TIED_ROWS = 1 << 20, 1 << 20
 #: Places of a sequence that are read together, and rows that a task works on at once.
 BLOCK, LOT = 1 << 13, 1 << 17
-#: Suffixes of a range of keys, and keys sampled for each.
-RANGE_ROWS, SAMPLED = 1 << 20, 64
+#: Suffixes of a range of keys, keys sampled for each, and keys sampled in all at most (fewer a range make ranges less even, no more).
+RANGE_ROWS, SAMPLED, SAMPLE_KEYS = 1 << 20, 64, 4_000_000
 _LAST = np.iinfo(np.int64).max
 
 
@@ -215,7 +215,7 @@ def _first_ranks(docs: DataFrame, width: int, terminators: bool) -> DataFrame:
     alphabet = Alphabet.of(rows)
     n = rows.agg(F.sum(F.col("own") + F.lit(int(terminators)))).first()[0] or 0
     parts = max(1, -(-n // RANGE_ROWS), min(n // 20_000, docs.sparkSession.sparkContext.defaultParallelism))
-    every = max(1, n // (parts * SAMPLED))
+    every = max(1, n // min(parts * SAMPLED, SAMPLE_KEYS))
     chosen = lambda d, i: (d * 7_368_787 + i * 2_654_435_761 >> 7) % every == 0
     found = rows.mapInArrow(_sampled(_text_keys(alphabet, width, terminators, chosen), every), "key binary").toArrow()["key"].to_pylist() if parts > 1 else []
     size = width * alphabet.kind.itemsize + 8
