@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import read_table, save
+from ._common import read_table, release
 
 #: Whole labelled texts a language, first in hash order, and the bytes of dictionary made of them: the bounds of the training sample.
 SAMPLE_TEXTS, DICTIONARY_BYTES = 300, 128 << 10
@@ -25,6 +25,8 @@ BLOCK_BYTES = 32 << 10
 #: Score (relative margin) under which a document is rejected.
 MIN_SCORE = 0.002
 UNDETERMINED = "und"
+#: Texts after which a worker gives memory back that it no longer uses.
+RELEASED = 1000
 
 
 @lru_cache(1)
@@ -92,6 +94,18 @@ def classify(text: str | None, model: tuple[tuple[str, bytes], ...], min_score:
     return sizes[0][1], score, score >= min_score
 
 
+@lru_cache(1)
+def _seen() -> list[int]:
+    return [0]
+
+
+def _count_and_release() -> None:
+    seen = _seen()
+    seen[0] += 1
+    if seen[0] % RELEASED == 0:
+        release()
+
+
 def identify(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
     """``docs`` with lang_pred, score and accepted (score of at least ``min_score``).
 
@@ -107,6 +121,7 @@ def identify(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", m
 
     @F.udf("struct<lang_pred:string, score:double, accepted:boolean>", useArrow=True)
     def predict(text):
+        _count_and_release()
         return classify(text, sent.value, min_score)
 
     given = docs.drop("lang_pred", "score", "accepted")
