@@ -17,10 +17,10 @@ def log2_floor(n: Column) -> Column:
     return (F.length(F.bin(n)) - 1).cast("long")
 
 
-def common_prefix(a: Column, b: Column) -> Column:
-    """Length of the longest common prefix of two strings, by halving: as many comparisons as the length has bits."""
+def common_prefix(a: Column, b: Column, bits: int = 31) -> Column:
+    """Length of the longest common prefix of two strings, by halving: as many comparisons as the length has ``bits`` at most."""
     shorter = F.least(F.length(a), F.length(b))
-    powers = F.transform(F.sequence(F.lit(30), F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2), k).cast("int"))
+    powers = F.transform(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2), k).cast("int"))
     same = lambda n, p: (n + p <= shorter) & (F.substring(a, n + 1, p) == F.substring(b, n + 1, p))
     return F.aggregate(powers, F.lit(0), lambda n, p: F.when(same(n, p), n + p).otherwise(n)).cast("long")
 

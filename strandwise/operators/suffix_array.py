@@ -21,8 +21,8 @@ from pyspark.sql.window import Window
 from ..functions import collection_sort, kernels
 from ..plans.ranking import global_rank, running_total
 from ..plans.storage import materialise, spread
-from . import symbols as sym
 from .cover import suffix_ranks
+from .irreducible import prefixes
 
 #: Bytes of a collection up to which every task gets all of it, and of the longest document.
 COLLECTION_BYTES, DOCUMENT_BYTES = 4 << 20, 256 << 10
@@ -120,14 +120,13 @@ def _order_ties(ranked: DataFrame) -> DataFrame:
     return ranked.select((F.col("rank") + place).cast("long").alias("rnk"), "idx", "doc")
 
 
-def _by_doubling(docs: DataFrame, terminators: bool) -> tuple[DataFrame, list[tuple[int, DataFrame]]]:
+def _by_doubling(docs: DataFrame, terminators: bool) -> DataFrame:
     rows = spread(docs.select("doc", "text")).mapInArrow(_prefixes(FIRST_SYMBOLS, terminators), "doc long, idx long, key binary, whole boolean")
     first = global_rank(rows, ["key"], rank="rank")
     # suffixes that have ended and share a key are equal
     many = (F.count(F.lit(1)).over(Window.partitionBy("rank")) > 1) & F.col("whole")
     ranked = materialise(first.select("doc", "idx", "rank", many.alias("tied")), "first-ranks")
-    history = _double(ranked, FIRST_SYMBOLS)
-    return _order_ties(history[-1][1]), history
+    return _order_ties(_double(ranked, FIRST_SYMBOLS)[-1][1])
 
 
 def gsa(docs: DataFrame, include_terminator: bool = False, plan: str = "auto") -> DataFrame:
@@ -142,34 +141,21 @@ def gsa(docs: DataFrame, include_terminator: bool = False, plan: str = "auto") -
     if c is not None:
         return _by_ranges(docs, c, include_terminator).select("rnk", "idx", "doc")
     if plan == "doubling":
-        return _by_doubling(docs, include_terminator)[0]
+        return _by_doubling(docs, include_terminator)
     return suffix_ranks(docs, include_terminator).select(F.col("rank").alias("rnk"), "idx", "doc")
 
 
 def gsa_lcp(docs: DataFrame, plan: str = "auto") -> DataFrame:
-    """(rnk, idx, doc, lcp): the suffix array with each suffix's common prefix with the one before it; the first has 0."""
-    c = _collected(docs) if plan != "doubling" else None
+    """(rnk, idx, doc, lcp): the suffix array with each suffix's common prefix with the one before it; the first has 0.
+
+    Plans are those of ``gsa``. On tables only irreducible places compare texts.
+    """
+    c = _collected(docs) if plan in ("auto", "ranges") else None
+    if c is None and plan == "ranges":
+        raise ValueError("the collection is larger than tasks may hold")
     if c is not None:
         return _by_ranges(docs, c, False).select("rnk", "idx", "doc", "lcp")
-    order, history = _by_doubling(docs, False)
-    order = materialise(order, "gsa")
-    before = order.select((F.col("rnk") + 1).alias("rnk"), F.col("doc").alias("d2"), F.col("idx").alias("i2"))
-    sizes = docs.select(F.col("doc").alias("_doc"), F.length("text").alias("n"))
-    pairs = order.join(before, "rnk", "left").withColumn("lcp", F.lit(0).cast("long"))
-    pairs = pairs.join(sizes, F.col("doc") == F.col("_doc")).drop("_doc").join(sizes.withColumnRenamed("n", "n2"), F.col("d2") == F.col("_doc"), "left").drop("_doc")
-    for h, ranks in reversed(history):
-        a = ranks.select(F.col("doc").alias("da"), F.col("idx").alias("ia"), F.col("rank").alias("ra"))
-        b = ranks.select(F.col("doc").alias("db"), F.col("idx").alias("ib"), F.col("rank").alias("rb"))
-        there = pairs.join(a, (F.col("doc") == F.col("da")) & (F.col("idx") + F.col("lcp") == F.col("ia")), "left").join(b, (F.col("d2") == F.col("db")) & (F.col("i2") + F.col("lcp") == F.col("ib")), "left")
-        # a shared rank means a shared prefix of this width where neither suffix ends inside it
-        fits = (F.col("idx") + F.col("lcp") + h <= F.col("n")) & (F.col("i2") + F.col("lcp") + h <= F.col("n2"))
-        pairs = materialise(there.withColumn("lcp", F.col("lcp") + F.when((F.col("ra") == F.col("rb")) & fits, F.lit(h)).otherwise(F.lit(0))).select("rnk", "idx", "doc", "d2", "i2", "lcp", "n", "n2"), "lcp")
-    # what is left of the common prefix is shorter than the first width
-    ends = sym.snippets(pairs, docs, "doc", F.col("idx") + F.col("lcp"), FIRST_SYMBOLS, "a")
-    ends = sym.snippets(ends, docs, "d2", F.col("i2") + F.col("lcp"), FIRST_SYMBOLS, "b")
-    a, b = F.col("a"), F.col("b")
-    same = F.aggregate(F.sequence(F.lit(1), F.lit(FIRST_SYMBOLS)), F.lit(0), lambda n, k: F.when((n == k - 1) & (F.length(a) >= k) & (F.length(b) >= k) & (F.substring(a, k, F.lit(1)) == F.substring(b, k, F.lit(1))), k).otherwise(n))
-    return ends.select("rnk", "idx", "doc", (F.col("lcp") + same).alias("lcp"))
+    return prefixes(docs, materialise(gsa(docs, plan="doubling" if plan == "doubling" else "cover"), "gsa"))
 
 
 def isa(array: DataFrame) -> DataFrame:

@@ -34,8 +34,8 @@ def test_gsa(docs_of, plan, extra):
     assert rows(sa.gsa(docs, extra, plan), "rnk", "idx", "doc") == brute([t or "" for t in TEXTS], extra)
 
 
-@pytest.mark.parametrize("plan", ["ranges", "doubling"])
-def test_lcp_both_plans(docs_of, plan):
+@pytest.mark.parametrize("plan", ["ranges", "cover", "doubling"])
+def test_lcp_all_plans(docs_of, plan):
     texts = [t or "" for t in TEXTS]
     suffixes = sorted((t[i:], d, i) for d, t in enumerate(texts) for i in range(len(t)))
     expected = [(r, d, i, common(s, suffixes[r - 1][0]) if r else 0) for r, (s, d, i) in enumerate(suffixes)]
