@@ -11,9 +11,10 @@ from .model import limit_symbols, sequences
 from .functions import columns
 from .operators import backward
 from .operators import bwt as bw
-from .operators import integers, lcp, matching, ranges, routed, symbols, validate
+from .operators import integers, intervals, irreducible, lcp, matching, ranges, routed, symbols, validate
 from .operators import suffix_array as sa
 from .plans.ranking import global_rank
+from .plans.storage import materialise
 
 RATE, PREFIX, SHARED = 8, 20_000, 40
 #: Substrings that pattern queries look for.
@@ -155,6 +156,31 @@ def lcp_doubling(spark, sf_dir):
     return sa.gsa_lcp(nation_names(spark, sf_dir), plan="doubling").select("rnk", "lcp")
 
 
+def lcp_cover(spark, sf_dir):
+    """On tables, from irreducible places."""
+    return sa.gsa_lcp(conversations(spark, sf_dir), plan="cover").select("rnk", "lcp")
+
+
+def irreducible_prefixes(spark, sf_dir):
+    docs = benchmark(spark, sf_dir)
+    return irreducible.irreducible_prefixes(docs, sa.gsa(docs))
+
+
+def interval_tree(spark, sf_dir):
+    return intervals.tree(lcp.lcp_array(part_names(spark, sf_dir)))
+
+
+def interval_suffix_links(spark, sf_dir):
+    docs = part_names(spark, sf_dir)
+    return intervals.suffix_links(sa.gsa(docs), lcp.lcp_array(docs))
+
+
+def maximal_repeats(spark, sf_dir):
+    docs = part_names(spark, sf_dir)
+    array = materialise(sa.gsa_lcp(docs, plan="cover"), "part-names")
+    return intervals.maximal_repeats(docs, array, array)
+
+
 def plcp_array(spark, sf_dir):
     return lcp.plcp_array(benchmark(spark, sf_dir))
 
@@ -488,7 +514,7 @@ def gsa_records_roundtrip(spark, sf_dir):
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     gsa_benchmark, gsa_part_names, gsa_nation_names, gsa_conversations, gsa_documents, gsa_documents_check, gsa_cover, gsa_cover_copies, gsa_doubling, gsa_with_terminators, gsa_prefix_limit,
-    isa_benchmark, single_text_sa, int_sa, unique_suffix_count, suffix_text, gather_ranks, symbol_rows, phi_array, lcp_array, lcp_doubling, plcp_array, unique_prefix_len, longest_repeat,
+    isa_benchmark, single_text_sa, int_sa, unique_suffix_count, suffix_text, gather_ranks, symbol_rows, phi_array, lcp_array, lcp_doubling, lcp_cover, irreducible_prefixes, plcp_array, interval_tree, interval_suffix_links, maximal_repeats, unique_prefix_len, longest_repeat,
     bwt_rows, bwt_transform, bwt_aux_r8, lf_mapping, unbwt_roundtrip, unbwt_aux_roundtrip,
     symbol_histogram, bigram_histogram, bucket_bounds, max_symbol_runs, suffix_types, lms_suffixes, lms_per_symbol, lms_names, collection_lengths, reference_augmentation, position_buckets,
     matching_statistics, matching_statistics_union, matching_statistics_documents, ms_heads, parse_stats, heads_per_position, head_rank, head_sort, head_suffix_array, next_head_asof, match_order_key, match_order, heads_order_check, interval_widen, interval_contract,
@@ -520,6 +546,22 @@ def _lcp(docs: str) -> str:
     return f"SELECT rnk, doc, idx, CAST({common} AS BIGINT) AS lcp FROM ({neighbours})"
 
 
+def _lcp_listed(docs: str) -> str:
+    """The same with lists instead of a subquery a row: quicker on many suffixes."""
+    common = "len(list_filter(range(1, 1 + least(length(a), length(b))), lambda k: left(a, CAST(k AS INT)) = left(b, CAST(k AS INT))))"
+    neighbours = f"SELECT CAST(row_number() OVER w - 1 AS BIGINT) AS rnk, suf AS a, coalesce(lag(suf) OVER w, '') AS b FROM ({_suf(docs)}) WINDOW w AS (ORDER BY suf, doc)"
+    return f"SELECT rnk, CAST({common} AS BIGINT) AS lcp FROM ({neighbours})"
+
+
+def _repeats(docs: str) -> str:
+    """All substrings that occur twice or more, with their ranks and the numbers of symbols before and behind them; ends of documents are like no symbol."""
+    before = "CASE WHEN idx = 0 THEN 'begin ' || doc ELSE substr(text, CAST(idx AS INT), 1) END"
+    behind = "CASE WHEN idx + k = length(text) THEN 'end ' || doc ELSE substr(text, CAST(idx + k + 1 AS INT), 1) END"
+    places = f"SELECT rnk, doc, idx, text, unnest(range(1, 1 + length(text) - idx)) AS k FROM ({_gsa(docs)}) JOIN ({docs}) USING (doc)"
+    cut = f"SELECT rnk, substr(text, CAST(idx + 1 AS INT), CAST(k AS INT)) AS w, {before} AS before, {behind} AS behind FROM ({places})"
+    return f"SELECT w, min(rnk) AS first, max(rnk) AS last, CAST(length(w) AS BIGINT) AS depth, count(DISTINCT before) AS before, count(DISTINCT behind) AS behind FROM ({cut}) GROUP BY w HAVING count(*) > 1"
+
+
 def _chars(docs: str) -> str:
     return f"SELECT doc, i AS idx, substr(text, CAST(i + 1 AS INT), 1) AS ch FROM ({docs}), unnest(range(length(text))) u(i)"
 
@@ -569,6 +611,8 @@ _INT_SUF = f"SELECT seq, i AS pos, list_slice(a, i + 1, len(a)) AS s FROM ({_EVE
 _LOCATE = "SELECT pattern, doc, i AS idx FROM (VALUES {patterns}) p(pattern), ({docs}), unnest(range(length(text))) u(i) WHERE substr(text, CAST(i + 1 AS INT), length(pattern)) = pattern"
 _WORDS = "(SELECT DISTINCT unnest(string_split(text, ' ')) AS pattern FROM benchmark)"
 _FOUND = "SELECT p.pattern, doc, i AS idx FROM (SELECT doc, i, substr(text, CAST(i + 1 AS INT), n) AS cut FROM (SELECT DISTINCT CAST(length(pattern) AS INT) AS n FROM {words}) l, ({docs}) d, unnest(range(length(text) - n + 1)) u(i)) JOIN (SELECT * FROM {words} WHERE pattern <> '') p ON p.pattern = cut"
+_NODES = f"WITH n AS (SELECT * FROM ({_repeats(_P)}) WHERE behind > 1), r AS (SELECT CAST(sum(length(text)) - 1 AS BIGINT) AS z FROM ({_P}))"
+_UP = "SELECT c.w, max_by(p, p.depth) AS up FROM (SELECT w, unnest(range(1, depth)) AS k FROM n) c JOIN n p ON p.w = left(c.w, CAST(c.k AS INT)) GROUP BY c.w"
 _LCP_N = f"SELECT rnk AS i, lcp AS value FROM ({_lcp(_N)})"
 
 ORACLES: dict[str, str] = {
@@ -584,6 +628,13 @@ ORACLES: dict[str, str] = {
     "symbol_rows": f"SELECT doc, idx, ch AS symbol FROM ({_chars(_B)})",
     "phi_array": f"SELECT doc, idx, lag(doc) OVER (ORDER BY rnk) AS prev_doc, lag(idx) OVER (ORDER BY rnk) AS prev_idx FROM ({_gsa(_B)})",
     "lcp_array": f"SELECT rnk, lcp FROM ({_lcp(_P)})", "lcp_doubling": f"SELECT rnk, lcp FROM ({_lcp(_N)})", "plcp_array": f"SELECT doc, idx, lcp AS plcp FROM ({_lcp(_B)})",
+    "lcp_cover": _lcp_listed(_C),
+    "irreducible_prefixes": f"""SELECT doc, idx, lcp AS plcp FROM (SELECT *, lag(before) OVER (ORDER BY rnk) AS last FROM (SELECT l.*, CASE WHEN idx > 0 THEN substr(text, CAST(idx AS INT), 1) END AS before FROM ({_lcp(_B)}) l JOIN ({_B}) USING (doc)))
+        WHERE before IS NULL OR last IS NULL OR before <> last""",
+    "interval_tree": f"""{_NODES} SELECT first, last, depth, coalesce(up.first, 0) AS parent_first, coalesce(up.last, z) AS parent_last, coalesce(up.depth, 0) AS parent_depth FROM n LEFT JOIN ({_UP}) u USING (w), r
+        UNION ALL SELECT 0, z, 0, NULL, NULL, NULL FROM r""",
+    "interval_suffix_links": f"{_NODES} SELECT n.first, n.last, n.depth, coalesce(l.first, 0) AS link_first, coalesce(l.last, z) AS link_last FROM n LEFT JOIN n l ON l.w = substr(n.w, 2), r",
+    "maximal_repeats": f"SELECT first, last, depth AS len, g.doc, g.idx FROM ({_repeats(_P)}) JOIN ({_gsa(_P)}) g ON g.rnk = first WHERE before > 1 AND behind > 1",
     "unique_prefix_len": f"SELECT doc, idx, greatest(lcp, coalesce(lead(lcp) OVER (ORDER BY rnk), 0)) AS len FROM ({_lcp(_B)})",
     "longest_repeat": f"SELECT lcp AS len, substr(text, CAST(idx + 1 AS INT), CAST(lcp AS INT)) AS substring FROM ({_lcp(_B)}) JOIN ({_B}) USING (doc) WHERE lcp > 0 ORDER BY lcp DESC, rnk LIMIT 1",
     "bwt_rows": f"SELECT doc, rnk, symbol FROM ({_bwt_rows(_B)})", "bwt_transform": _transform(_B),

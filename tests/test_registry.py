@@ -19,7 +19,7 @@ def test_entry(spark):
     assert registry.entry(spark).limit(5).count() == 5
 
 
-@pytest.mark.parametrize("name", ["gsa_nation_names", "gsa_with_terminators", "plcp_array", "bwt_transform", "lms_names", "matching_statistics", "next_head_asof", "psv_nsv", "int_sa", "gsa_order_check"])
+@pytest.mark.parametrize("name", ["gsa_nation_names", "gsa_with_terminators", "plcp_array", "irreducible_prefixes", "interval_tree", "interval_suffix_links", "maximal_repeats", "bwt_transform", "lms_names", "matching_statistics", "next_head_asof", "psv_nsv", "int_sa", "gsa_order_check"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
