@@ -512,6 +512,27 @@ def gsa_records_roundtrip(spark, sf_dir):
     return writers.read_gsa_records(spark, path)
 
 
+def fasta_format_roundtrip(spark, sf_dir):
+    """Benchmark texts through the format fasta, written by several tasks and read by byte ranges."""
+    from .sources import formats
+
+    path, docs = _new_folder(spark, "fasta-format"), _without_marks(benchmark(spark, sf_dir))
+    formats.register(spark)
+    rows = docs.repartitionByRange(8, "doc").sortWithinPartitions("doc").select(F.col("doc").cast("string").alias("header"), "text")
+    rows.write.format("fasta").mode("append").save(path)
+    return formats.read_fasta(spark, path, 4096).select("doc", F.col("header").cast("long").alias("header"), "text")
+
+
+def gsa_format_roundtrip(spark, sf_dir):
+    """The array of part names through the format gsa."""
+    from .sources import formats
+
+    path = _new_folder(spark, "gsa-format")
+    formats.register(spark)
+    formats.ordered(gsa_part_names(spark, sf_dir)).write.format("gsa").mode("append").save(path)
+    return spark.read.format("gsa").load(path)
+
+
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     gsa_benchmark, gsa_part_names, gsa_nation_names, gsa_conversations, gsa_documents, gsa_documents_check, gsa_cover, gsa_cover_copies, gsa_doubling, gsa_with_terminators, gsa_prefix_limit,
     isa_benchmark, single_text_sa, int_sa, unique_suffix_count, suffix_text, gather_ranks, symbol_rows, phi_array, lcp_array, lcp_doubling, lcp_cover, irreducible_prefixes, plcp_array, interval_tree, interval_suffix_links, maximal_repeats, unique_prefix_len, longest_repeat,
@@ -519,7 +540,7 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     symbol_histogram, bigram_histogram, bucket_bounds, max_symbol_runs, suffix_types, lms_suffixes, lms_per_symbol, lms_names, collection_lengths, reference_augmentation, position_buckets,
     matching_statistics, matching_statistics_union, matching_statistics_documents, ms_heads, parse_stats, heads_per_position, head_rank, head_sort, head_suffix_array, next_head_asof, match_order_key, match_order, heads_order_check, interval_widen, interval_contract,
     pattern_count, pattern_locate, backward_count, backward_locate, interval_refine, contamination, exact_duplicate_docs, psv_nsv, rmq_blocks, range_minimum,
-    int_lcp, int_unbwt_roundtrip, int_bwt_primary, int_histogram, printable_texts, neighbour_prefixes, marker_counts, gsa_order_check, heads_check, fasta_roundtrip, fasta_folder_roundtrip, fasta_reference_roundtrip, raw_reference_roundtrip, raw_collection_roundtrip, gsa_records_roundtrip,
+    int_lcp, int_unbwt_roundtrip, int_bwt_primary, int_histogram, printable_texts, neighbour_prefixes, marker_counts, gsa_order_check, heads_check, fasta_roundtrip, fasta_folder_roundtrip, fasta_reference_roundtrip, raw_reference_roundtrip, raw_collection_roundtrip, gsa_records_roundtrip, fasta_format_roundtrip, gsa_format_roundtrip,
 )
 
 
@@ -703,6 +724,8 @@ ORACLES: dict[str, str] = {
     "raw_reference_roundtrip": f"SELECT CAST(0 AS BIGINT) AS doc, string_agg(text, '' ORDER BY doc) AS text FROM ({_FASTA})",
     "raw_collection_roundtrip": f"SELECT row_number() OVER (ORDER BY doc) AS doc, text FROM ({_C})",
     "gsa_records_roundtrip": _gsa(_N),
+    "fasta_format_roundtrip": f"SELECT doc, doc AS header, text FROM ({_FASTA})",
+    "gsa_format_roundtrip": _gsa(_P),
 }
 
 
