@@ -39,7 +39,7 @@ from ._common import read_table, release, save
 from .langid import fold
 
 #: Discount of every count; bytes of text a bin; tokens that a task sends together; tokens of one context beyond which it is dealt to several bins.
-DISCOUNT, BIN_TEXT, LOT_TOKENS, HOT_TOKENS = 0.75, 6 << 20, 4_000_000, 1_000_000
+DISCOUNT, BIN_TEXT, LOT_TOKENS, HOT_TOKENS = 0.75, 6 << 20, 2_000_000, 1_000_000
 #: Bytes of the coded vocabulary up to which all tasks hold it; beyond, words meet their counts in a join.
 VOCABULARY_BYTES = 64 << 20
 #: White space cannot be a word, so these two stand apart from all words.
@@ -402,6 +402,7 @@ class Lot:
 
     def close(self) -> None:
         self.hashes = _hashes(self.place)
+        del self.place
         self.lengths = np.array([len(x) for x in self.tokens], np.int64)
         self.t = np.concatenate(self.tokens)
         self.tokens = []
@@ -412,10 +413,11 @@ class Lot:
         # the first word has no word but the beginning before it: its context is a pair of beginnings
         self.u = np.concatenate(([self.begin], self.v[:-1])).astype(np.int32)
         self.u[self.starts] = self.begin
+        self.number = self.t
 
     def name(self, ids: np.ndarray, n_words: int) -> None:
-        """Turns the lot's numbers of words into ids of the vocabulary."""
-        ids = np.where(ids < 0, n_words + 1, ids)
+        """Turns the lot's numbers of words into ids of the vocabulary, of 32 bits as in pairs; ``number`` keeps the words' numbers."""
+        ids = np.where(ids < 0, n_words + 1, ids).astype(np.uint32)
         ids[self.begin] = n_words
         self.t, self.v, self.u = (ids[x] for x in (self.t, self.v, self.u))
 
@@ -426,7 +428,7 @@ def _mixed(ids: np.ndarray, n: np.ndarray | int) -> np.ndarray:
 
 def _bins(lot: Lot, vocab_bins: int, hot: tuple, n_words: int) -> np.ndarray:
     """Of each token, by its context; a frequent one's tokens by the word before it, a beginning's by the token."""
-    out = _mixed(lot.v, vocab_bins)
+    out = _mixed(lot.v, vocab_bins).astype(np.int32)
     ids, first, parts = hot
     if len(ids):
         at = np.minimum(np.searchsorted(ids, lot.v), len(ids) - 1)
@@ -453,7 +455,7 @@ def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Lot, list, list]]
 
 
 def _message(lot: Lot, at: np.ndarray, counts: np.ndarray, trains: np.ndarray) -> bytes:
-    """Tokens ``at`` (sorted by context, then document) of one bin: contexts in runs, words before, words, counts of the distinct words, documents, times, and which documents train."""
+    """Tokens ``at`` (sorted by context, then document) of one bin: contexts in runs, words before, words, counts of the distinct words, documents, times, and which documents train. ``counts``: of the lot's words."""
     v, u, t, doc = lot.v[at], lot.u[at], lot.t[at], lot.doc[at]
     first = np.flatnonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (u[1:] != u[:-1]) | (t[1:] != t[:-1]) | (doc[1:] != doc[:-1]))))
     times = np.diff(np.append(first, len(at)))
@@ -463,7 +465,7 @@ def _message(lot: Lot, at: np.ndarray, counts: np.ndarray, trains: np.ndarray) -
     step = np.diff(own, prepend=0)
     step[runs] = own[runs]  # documents rise within a context
     once = np.unique(t, return_index=True)[1]
-    return _packed(np.diff(v[runs], prepend=0), np.diff(np.append(runs, len(v))), u, t, counts[at[first[once]]], step, times, docs, trains[docs])
+    return _packed(np.diff(v[runs], prepend=0), np.diff(np.append(runs, len(v))), u, t, counts[lot.number[at[first[once]]]], step, times, docs, trains[docs])
 
 
 def _tokens_of(data: bytes) -> tuple[np.ndarray, ...]:
@@ -494,12 +496,16 @@ def _send(vocab: Vocabulary, words: list | None, carried: list[str]):
             number = (TaskContext.get().partitionId() << 24) + k
             table = pa.Table.from_batches(rows)
             ids, counts = held.find(lot.hashes) if held is not None else _given_words(table, lot.hashes)
-            per_token = counts[lot.t]
             lot.name(ids, n_words)
-            single = np.log10((per_token + 1.0) / (n_tokens + n_words + 1.0))
+            single = np.log10((counts + 1.0) / (n_tokens + n_words + 1.0))
             # what follows an unknown word is not seen after it
             alone = lot.v == n_words + 1
-            sums = [np.add.reduceat(x, lot.starts) for x in ((per_token > 0).astype(np.int64), single, np.where(alone, single, 0.0))]
+            sums = [np.add.reduceat((counts > 0).astype(np.int64)[lot.number], lot.starts)]
+            own = single[lot.number]
+            sums.append(np.add.reduceat(own, lot.starts))
+            own[~alone] = 0.0
+            sums.append(np.add.reduceat(own, lot.starts))
+            del own
             about = table.select(carried).combine_chunks()
             for name, x in zip(("n_tokens", "n_known", "base_score", "alone"), (lot.lengths, *sums)):
                 about = about.append_column(name, pa.array(x))
@@ -509,13 +515,15 @@ def _send(vocab: Vocabulary, words: list | None, carried: list[str]):
             yield row(number % all_bins, DOCS, number, sink.getvalue().to_pybytes())
             trains = table.column("_trains").to_numpy().astype(np.uint8)
             of, sent = _bins(lot, bins, hot, n_words), np.flatnonzero(~alone)
-            order = sent[np.argsort(of[sent] << 40 | lot.v[sent], kind="stable")]
+            order = of[sent].astype(np.int64) << 40
+            order |= lot.v[sent]
+            order = sent[np.argsort(order, kind="stable")]
             ends, start = np.flatnonzero(np.diff(of[order], append=-1)) + 1, 0
             for end in ends.tolist():
                 at = order[start:end]
-                yield row(int(of[at[0]]), TOKENS, number, _message(lot, at, per_token, trains))
+                yield row(int(of[at[0]]), TOKENS, number, _message(lot, at, counts, trains))
                 start = end
-            del lot, rows, table, of, sent, order, per_token, single, ids, counts
+            del lot, rows, table, of, sent, order, single, alone, ids, counts
             release()
         release()
 
