@@ -1,10 +1,12 @@
-"""Near copies by the Jaccard similarity of word shingles: candidates by MinHash bands, each verified exactly.
-
-Documents whose sets of shingles are equal are one row. Every set is put in one bucket
-a band; two sets of similarity s meet in at least one with probability
-1 - (1 - s^ROWS)^BANDS, which is 0.99995 at 0.8. Only sets that share a bucket are read
-again, and within a bucket all pairs that are not joined yet are compared by their
-whole sets.
+"""Near copies by the Jaccard similarity of word shingles: candidates by SimHash and by MinHash bands, each verified exactly.
+
+Documents whose sets of shingles are equal are one row. Every set has a SimHash
+fingerprint; fingerprints are linked through the anchors of ``simhash``, and sets that
+hang together share a bucket. Sets of similarity 0.8 are often further apart than
+fingerprints may be, so every set is also put in one bucket a band of MinHash; two sets
+of similarity s meet in at least one of these with probability 1 - (1 - s^ROWS)^BANDS,
+which is 0.99995 at 0.8. Only sets that share a bucket are read again, and within a
+bucket all pairs that are not joined yet are compared by their whole sets.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ from pyspark.sql import functions as F
 
 from ._common import release, save, sized
 from .graph import connected_components
-from .simhash import first_of, text_hash, with_components
+from .simhash import first_of, simhash, text_hash, with_components
+from .simhash import near_links as fingerprint_links
 
 SIMILARITY, SHINGLE, SEED = 0.8, 5, 42
 BANDS, ROWS = 25, 5
@@ -67,14 +70,16 @@ def buckets(found: np.ndarray) -> np.ndarray:
 def _sketch(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, bands = [], [], []
+            keys, sizes, bands, fps = [], [], [], []
             for x in batch.column(2):
                 found = shingles(x.as_py(), shingle)
                 keys.append(_key(found))
                 sizes.append(len(found))
                 bands.append(buckets(found))
+                fps.append(simhash(found))
+            fps = pa.array(np.array(fps, dtype=np.uint64).view(np.int64))
             keys = pa.array(np.array(keys, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keys, pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "key", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keys, pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), fps], names=["doc_id", "text_hash", "key", "size", "bands", "fp"])
         release()
 
     return run
@@ -151,6 +156,15 @@ def near_links(docs: DataFrame, distinct: DataFrame, similarity: float, shingle:
     return dealt.join(sets, "key").select("bucket", "key", "shingles").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_verify(similarity), "u long, v long")
 
 
+def with_groups(distinct: DataFrame) -> DataFrame:
+    """``distinct`` (key, fp, bands, ...) with one more bucket, that of the fingerprints which hang together; none for no shingle."""
+    links = fingerprint_links(distinct.filter("size > 0").select("fp").distinct())
+    roots = save(connected_components(links), "fingerprint-roots")
+    named = distinct.join(sized(roots.withColumnsRenamed({"node": "fp", "root": "group"})), "fp", "left")
+    own = F.when(F.col("size") > 0, F.array(F.xxhash64(F.lit(-1), F.coalesce("group", "fp")))).otherwise(F.array().cast("array<long>"))
+    return named.withColumn("bands", F.concat(own, "bands")).select(*distinct.columns)
+
+
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, hot: int = HOT_BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, component_id, is_first) of every document; component_id is the smallest id reachable over pairs of at least that similarity.
 
@@ -160,7 +174,8 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     rows. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    found = save(rows.mapInArrow(_sketch(shingle), "doc_id long, text_hash long, key long, size long, bands array<long>"), "sketches")
-    distinct = save(first_of(found, "key", F.first("size").alias("size"), F.first("bands").alias("bands")), "distinct-sets")
+    found = save(rows.mapInArrow(_sketch(shingle), "doc_id long, text_hash long, key long, size long, bands array<long>, fp long"), "sketches")
+    distinct = save(first_of(found, "key", F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("fp").alias("fp")), "distinct-sets")
+    distinct = save(with_groups(distinct), "grouped-sets")
     roots = save(connected_components(near_links(docs, distinct, similarity, shingle, hot, id_col, text_col)), "roots")
     return with_components(found.select("doc_id", "text_hash", "key"), distinct.select("key", "first", "n"), roots, "key").drop("key")

@@ -34,6 +34,14 @@ _EDGES = 1_000_000
 # ---- fingerprints
 
 
+def simhash(hashes: np.ndarray) -> int:
+    """Of 64-bit hashes: a bit is 1 if it is set in over half of them."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        counts += np.unpackbits(hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """64-bit SimHash of a text's word shingles; no word: 0; fewer words than a shingle: the whole sequence."""
     import xxhash

@@ -86,3 +86,22 @@ def test_columns_by_the_names_of_own_ones(spark, corpus):
         assert same.columns == clashing.columns, name
         assert sorted(map(str, same.select(plain.columns).collect())) == sorted(map(str, plain.collect())), name
         assert same.select(*own).distinct().count() == 1, name
+
+
+def test_stage_takes_simhash(spark, rows, monkeypatch):
+    """Near copies within the bits of SimHash are found by it alone, without any band of MinHash."""
+    import numpy as np
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = [simhash.simhash(n.shingles(t)) for _, t in rows]
+    within = lambda a, b: similar(rows[a][1], rows[b][1]) and (prints[a] ^ prints[b]).bit_count() <= 3
+    pairs = [(rows[a][0], rows[b][0]) for a in range(len(rows)) for b in range(a) if within(a, b) and sets(rows[a][1]) != sets(rows[b][1])]
+    assert pairs
+    monkeypatch.setattr(n, "buckets", lambda found: np.zeros(0, np.int64))
+    of = dict(map(tuple, n.near_copies(docs).select("doc_id", "component_id").collect()))
+    assert all(of[a] == of[b] for a, b in pairs)
+
+
+def test_simhash_of_hashes():
+    text = "a b c d e f g"
+    assert simhash.simhash(n.shingles(text, 3)) == simhash.fingerprint(text, 3)
