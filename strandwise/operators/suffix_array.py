@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 from ..functions import collection_sort, kernels
 from ..plans.ranking import global_rank, running_total
 from ..plans.storage import materialise, spread
-from .cover import suffix_ranks
+from .cover import suffix_prefixes, suffix_ranks
 from .irreducible import prefixes
 
 #: Bytes of a collection up to which every task gets all of it, and of the longest document.
@@ -148,14 +148,16 @@ def gsa(docs: DataFrame, include_terminator: bool = False, plan: str = "auto") -
 def gsa_lcp(docs: DataFrame, plan: str = "auto") -> DataFrame:
     """(rnk, idx, doc, lcp): the suffix array with each suffix's common prefix with the one before it; the first has 0.
 
-    Plans are those of ``gsa``. On tables only irreducible places compare texts.
+    Plans are those of ``gsa``. On tables prefixes within the first symbols come from the sort, and beyond only irreducible places compare texts.
     """
     c = _collected(docs) if plan in ("auto", "ranges") else None
     if c is None and plan == "ranges":
         raise ValueError("the collection is larger than tasks may hold")
     if c is not None:
         return _by_ranges(docs, c, False).select("rnk", "idx", "doc", "lcp")
-    return prefixes(docs, materialise(gsa(docs, plan="doubling" if plan == "doubling" else "cover"), "gsa"))
+    if plan == "doubling":
+        return prefixes(docs, materialise(gsa(docs, plan="doubling"), "gsa"))
+    return suffix_prefixes(docs)
 
 
 def isa(array: DataFrame) -> DataFrame:

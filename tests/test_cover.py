@@ -88,3 +88,30 @@ def test_linear_check(spark, docs_of):
     assert validate.check_linear(docs, good.withColumn("rnk", F.col("rnk") + F.when(F.col("rnk") >= 9, 1).otherwise(0))).first()["missing"] > 0
     found, old = (f(docs, good).first() for f in (validate.check_linear, validate.check_order))
     assert tuple(found) == tuple(old)
+
+
+def test_prefixes_within_the_first_sort(docs_of, monkeypatch):
+    """Prefixes that the sort has seen ask for no texts; longer ones are those of plain loops, whatever the ranges."""
+    import random
+
+    from strandwise.operators import cover, irreducible
+
+    def plain(texts):
+        order = sorted((t[i:], d, i) for d, t in enumerate(texts) for i in range(len(t)))
+        out = []
+        for r, (s, d, i) in enumerate(order):
+            n, before = 0, order[r - 1][0] if r else ""
+            while n < min(len(s), len(before)) and s[n] == before[n]:
+                n += 1
+            out.append((r, i, d, n))
+        return out
+
+    r = random.Random(5)
+    unit = "".join(r.choice("abc") for _ in range(50))
+    long = ["", unit, unit + unit, "x" + unit, unit[10:] + "é😀" + unit, "a" * 80, unit[:31], unit[:31], "z" + unit[:32]]
+    for rows in (1 << 18, 40):
+        monkeypatch.setattr(cover, "RANGE_ROWS", rows)
+        assert sorted(map(tuple, cover.suffix_prefixes(docs_of(long), base=50, bound=30).collect())) == plain(long)
+    short = ["banana", "", "nan", "ananas é", "nan"] * 3
+    monkeypatch.setattr(irreducible, "compare", None)
+    assert sorted(map(tuple, cover.suffix_prefixes(docs_of(short)).collect())) == plain(short)
