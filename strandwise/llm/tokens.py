@@ -7,7 +7,9 @@ that are known here; a file with any other rules is asked for whole texts instea
 
 from __future__ import annotations
 
+import codecs
 import json
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -30,6 +32,11 @@ _SPECIAL = b"<|"
 #: The rules, as tokenizer files write them, under which words can be encoded one by one (fixed values).
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+#: Letters that these rules leave as they are: small ones, composed, and old enough; and words of nothing else, which are one piece each.
+_KEPT = "".join(c for c in map(chr, range(0x61, ord(_OLD_LETTERS))) if c.isalpha() and c.lower() == c and unicodedata.is_normalized("NFC", c))
+_one_piece = re.compile(f"[{_KEPT}]+").fullmatch
+#: The characters that stand for bytes in these files; they differ from Latin-1 in bytes that print nothing.
+_BYTES = "".join(chr(290 + b - 0x80 if 0x80 <= b <= 0xA0 else 323 if b == 0xAD else b) for b in range(256))
 _state: dict = {}
 
 
@@ -65,7 +72,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         with open(vocabulary, encoding="utf-8") as f:
-            self.by_word = splits_at_spaces(json.load(f))
+            rules = json.load(f)
+        self.by_word = splits_at_spaces(rules)
+        # the same pieces and merges without the rules that change nothing in words of one piece
+        self.merges = Tokenizer.from_str(json.dumps(rules | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []})) if self.by_word else None
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.cache: dict[bytes, bytes] = {}
@@ -116,18 +126,26 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, words: list[bytes]) -> list[int]:
+        """The ids of words of one piece each, one after another; their bytes go to the merges as the characters that stand for them."""
+        text = codecs.charmap_decode(b" ".join(words), "strict", _BYTES)[0]
+        return self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def _learn(self, words: set[bytes]) -> None:
         """Adds words to the cache. A word that ends in marks is a stem and its marks, which many words share."""
-        cache, letters, other, split, same = self.cache, set(), set(), [], []
+        cache, plain, letters, other, split, same = self.cache, set(), set(), set(), [], []
         for word in words:
             w = word
+            if w.isalpha() and w.islower():
+                plain.add(w)
+                continue
             if w.isascii() and _SPECIAL not in w and (low := w.lower()) != w:
                 same.append((word, low))
                 if low in cache or low in words:
                     continue
                 w = low
             if w.isalpha():
-                letters.add(w)
+                plain.add(w)
                 continue
             stem = w.rstrip(_MARKS)
             n = len(stem)
@@ -139,20 +157,27 @@ class Encoder:
                 if stem in cache:
                     continue
                 w = stem
-            (letters if w.isalpha() or (not w.isascii() and w.decode("utf-8").isalpha()) else other).add(w)
+            if w.isalpha():
+                plain.add(w)
+            elif w.isascii():
+                other.add(w)
+            else:
+                letter = w.decode("utf-8")
+                (plain if _one_piece(letter) else letters if letter.isalpha() else other).add(w)
         # words of letters alone are encoded together: each ends with the only token that ends a word
-        other, together = list(other), list(letters)
-        for at in range(0, len(together), 256):
-            part = together[at : at + 256]
-            ids = np.array(self._ids([b" ".join(part).decode("utf-8")])[0], dtype="<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(part):
-                other += part
-                continue
-            data, start = ids.tobytes(), 0
-            for w, end in zip(part, (4 * ends).tolist()):
-                cache[w] = data[start:end]
-                start = end
+        other = list(other)
+        for together, encode in ((list(plain), self._pieces), (list(letters), lambda part: self._ids([b" ".join(part).decode("utf-8")])[0])):
+            for at in range(0, len(together), 256):
+                part = together[at : at + 256]
+                ids = np.array(encode(part), dtype="<u4")
+                ends = np.flatnonzero(self.ends[ids]) + 1
+                if len(ends) != len(part):
+                    other += part
+                    continue
+                data, start = ids.tobytes(), 0
+                for w, end in zip(part, (4 * ends).tolist()):
+                    cache[w] = data[start:end]
+                    start = end
         for at in range(0, len(other), 256):
             part = other[at : at + 256]
             for w, ids in zip(part, self._ids([w.decode("utf-8") for w in part])):

@@ -61,6 +61,16 @@ def test_a_full_cache_is_emptied(monkeypatch, plain):
         assert e.encode(text, 2).tolist() == plain(text)
 
 
+def test_words_of_one_piece_go_to_the_merges_alone(monkeypatch, plain):
+    e, asked = tokens.Encoder(tokens.default_vocabulary()), []
+    full = e._ids
+    monkeypatch.setattr(e, "_ids", lambda texts: asked.extend(texts) or full(texts))
+    one = "the Theration été. ûber àèß, ñandú \u0161\u0111 \u0434\u043e\u043c \u00aa \u00b5m \u00f0\u00ad"
+    for text in (one, "H\u0331 \u0130x \u03a3 \u0149 \u0374 a\u0301", "x" * 5000, "".join(tokens._KEPT), " ".join(tokens._KEPT)):
+        assert e.encode(text, 2).tolist() == plain(text)
+    assert len(tokens._KEPT) > 500 and not {"the", "theration", "été", "\u0434\u043e\u043c"} & set(" ".join(asked).split())
+
+
 def test_files(spark, corpus, empty, plain, tmp_path):
     rows, df = corpus
     path = f"file://{tmp_path}/t"
