@@ -73,6 +73,22 @@ def test_components_of_chains_and_stars(spark):
     assert graph.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_a_round_of_components_plans_each_star_once(spark, monkeypatch):
+    from strandwise.llm import _common
+
+    plans, save = [], _common.save
+
+    def noted(df, name, **options):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return save(df, name, **options)
+
+    monkeypatch.setattr(_common, "save", noted)
+    monkeypatch.setattr(graph, "save", noted)
+    links = spark.createDataFrame([(i, i + 1) for i in range(20)], "u long, v long")
+    assert {r["root"] for r in graph.connected_components(links).collect()} == {0}
+    assert max(p.count("Join ") for p in plans) <= 3 and max(p.count("Aggregate") for p in plans) <= 1
+
+
 def test_documents(spark, corpus, empty):
     rows, df = corpus
     found = simhash.near_duplicates(df).collect()
