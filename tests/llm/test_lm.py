@@ -128,3 +128,16 @@ def test_successors_are_searched_within_their_context():
     two = [(3 - d) / 4 + d * 2 / 4 * 0.1] * 2 + [(2 - d) / 2 + d / 2 * 0.1, 0.1, 0.1]
     wanted = [(2 - d) / 2 + d / 2 * two[0], two[1], two[2], 0.1, 0.1]
     assert np.allclose(trie.probability(v, u, t, single), wanted, rtol=1e-6)
+
+
+def test_many_keys_are_found_without_selecting_each_bucket(monkeypatch):
+    r = np.random.default_rng(4)
+    keys = np.unique(r.integers(0, 500, 3_000) << 32 | r.integers(0, 100, 3_000)).astype(np.uint64)
+    bucket, low = (keys >> np.uint64(32)).astype(np.int64), keys & np.uint64(0xFFFFFFFF)
+    asked, other = r.integers(0, 500, 4_000), r.integers(0, 128, 4_000)
+    place = {int(k): i for i, k in enumerate(keys)}
+    wanted = [place.get(int(a) << 32 | int(b), -1) for a, b in zip(asked, other)]
+    level = lm.EliasFano(**lm.EliasFano.build(bucket, low, 500, 7), width=7)
+    assert np.concatenate([level.find(asked[i : i + 9], other[i : i + 9]) for i in range(0, 4_000, 9)]).tolist() == wanted
+    monkeypatch.setattr(lm.EliasFano, "_zero", None)
+    assert level.find(asked, other).tolist() == wanted
