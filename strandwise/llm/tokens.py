@@ -214,6 +214,7 @@ def encoder(vocabulary: str) -> Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _state[vocabulary] = Encoder(vocabulary)
+        release()  # reading a vocabulary takes several times what is kept
     return _state[vocabulary]
 
 

@@ -81,3 +81,11 @@ def test_every_language_has_a_dictionary(spark):
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert set(model) == set(words)
     assert all(langid.classify(" ".join(w), tuple(sorted(model.items())))[0] == lang for lang, w in words.items())
+
+
+def test_a_filter_on_the_result_judges_each_text_once(model, spark):
+    text = prose(random.Random(3), "en", 60)
+    rows = spark.createDataFrame([(1, text, None)], "doc_id long, text string, lang string")
+    kept = langid.identify(rows, model).filter("accepted").select("lang_pred", "text")
+    assert kept._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert kept.collect() == [("en", text)]
