@@ -23,6 +23,8 @@ from ._common import new_path, read_table, save, sized
 
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 64 << 10, 2_000
 _FLUSH_IDS = 400_000
+#: Words whose ids a worker keeps; here nothing else takes its memory, some 100 MB.
+_CACHE_WORDS = 600_000
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens int, ids array<int>"
 
 
@@ -41,7 +43,7 @@ def _encode(vocabulary: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder, held, size, start = TaskContext.get().partitionId(), tokens.encoder(vocabulary), [], 0, 0
+        part, encoder, held, size, start = TaskContext.get().partitionId(), tokens.encoder(vocabulary, _CACHE_WORDS), [], 0, 0
         for doc, ids in encoder.encode_rows(batches, end_id):
             held.append((doc, ids))
             size += len(ids)

@@ -19,7 +19,7 @@ import pyarrow as pa
 
 from ._common import release
 
-#: Words are cut as bytes: only white space of one byte splits, other spaces are left to the tokenizer.
+#: Words are cut as bytes: only white space of one byte splits, other spaces are left to the tokenizer. So many are kept, in two generations.
 _CACHE_WORDS = 300_000
 #: Characters of text that are encoded together.
 _LOT = 1_000_000
@@ -65,7 +65,11 @@ def splits_at_spaces(rules: dict) -> bool:
 
 
 class Encoder:
-    """Encodes texts as the tokenizers library does; ids of words seen before come from a bounded cache."""
+    """Encodes texts as the tokenizers library does; ids of words seen before come from a bounded cache.
+
+    The cache has two generations. A full one becomes the older, whose words come back
+    when they are met again; so words that are met in every generation are learned once.
+    """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
@@ -79,6 +83,8 @@ class Encoder:
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.words: int | None = None
 
     def encode(self, text: str | None, end: int) -> np.ndarray:
         """The text's ids, then ``end``; null counts as empty."""
@@ -96,13 +102,14 @@ class Encoder:
                 # the vocabulary is lower-case, but a special token and what composes with a mark keep their case
                 words += (data.lower() if data.isascii() and _SPECIAL not in data else data).split()
             ends.append(len(words))
-        if len(self.cache) > _CACHE_WORDS:
-            self.cache.clear()
+        if len(self.cache) > (self.words or _CACHE_WORDS) // 2:
+            self.older, self.cache = self.cache, {}
+        if new := set(words).difference(self.cache):
+            lost = new.difference(self.older)
+            met = new - lost
+            self.cache.update(zip(met, map(self.older.get, met)))
+            self._learn(lost)
         found = list(map(self.cache.get, words))
-        if gaps := _gaps(found):
-            self._learn({words[i] for i in gaps})
-            for i in gaps:
-                found[i] = self.cache[words[i]]
         out, start, last = [], 0, int(end).to_bytes(4, "little")
         for stop in ends:
             out.append(np.frombuffer(b"".join(found[start:stop]) + last, dtype="<u4"))
@@ -133,7 +140,7 @@ class Encoder:
 
     def _learn(self, words: set[bytes]) -> None:
         """Adds words to the cache. A word that ends in marks is a stem and its marks, which many words share."""
-        cache, plain, letters, other, split, same = self.cache, set(), set(), set(), [], []
+        cache, older, plain, letters, other, split, same = self.cache, self.older, set(), set(), set(), [], []
         for word in words:
             w = word
             if w.isalpha() and w.islower():
@@ -143,6 +150,9 @@ class Encoder:
                 same.append((word, low))
                 if low in cache or low in words:
                     continue
+                if low in older:
+                    cache[low] = older[low]
+                    continue
                 w = low
             if w.isalpha():
                 plain.add(w)
@@ -156,6 +166,9 @@ class Encoder:
                     other.add(tail)
                 if stem in cache:
                     continue
+                if stem in older:
+                    cache[stem] = older[stem]
+                    continue
                 w = stem
             if w.isalpha():
                 plain.add(w)
@@ -188,16 +201,6 @@ class Encoder:
             cache[w] = cache[low]
 
 
-def _gaps(found: list) -> list[int]:
-    """Places of None."""
-    out, at, find = [], -1, found.index
-    try:
-        while True:
-            out.append(at := find(None, at + 1))
-    except ValueError:  # no more
-        return out
-
-
 def _ends_in_letter(stem: bytes) -> bool:
     """Whether a stem's normalised form is certain to end in a letter, so that marks behind it are a piece of their own."""
     last = stem[-1]
@@ -207,14 +210,15 @@ def _ends_in_letter(stem: bytes) -> bool:
     return letter < _OLD_LETTERS and letter != _DOTTED and letter.isalpha()
 
 
-def encoder(vocabulary: str) -> Encoder:
-    """One encoder a worker process."""
+def encoder(vocabulary: str, words: int | None = None) -> Encoder:
+    """One encoder a worker process; ``words`` replaces _CACHE_WORDS."""
     if vocabulary not in _state:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _state[vocabulary] = Encoder(vocabulary)
         release()  # reading a vocabulary takes several times what is kept
+    _state[vocabulary].words = words
     return _state[vocabulary]
 
 

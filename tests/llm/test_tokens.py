@@ -61,6 +61,18 @@ def test_a_full_cache_is_emptied(monkeypatch, plain):
         assert e.encode(text, 2).tolist() == plain(text)
 
 
+def test_words_met_in_every_generation_are_learned_once(monkeypatch, plain):
+    monkeypatch.setattr(tokens, "_CACHE_WORDS", 8)
+    e, learned = tokens.Encoder(tokens.default_vocabulary()), []
+    learn = e._learn
+    monkeypatch.setattr(e, "_learn", lambda words: learned.extend(words) or learn(words))
+    for k in range(12):
+        text = f"often Often often, Stem. {'abcdefghijkl'[k]}x {'abcdefghijkl'[k]}y. {'abcdefghijkl'[k]}Stem stem"
+        assert e.encode(text, 2).tolist() == plain(text)
+    assert len(e.cache) + len(e.older) < 40
+    assert learned.count(b"often") == learned.count(b"stem") == learned.count(b"often,") == 1
+
+
 def test_words_of_one_piece_go_to_the_merges_alone(monkeypatch, plain):
     e, asked = tokens.Encoder(tokens.default_vocabulary()), []
     full = e._ids
