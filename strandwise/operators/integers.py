@@ -2,14 +2,16 @@
 
 Sequences within a bound, which is checked first, are sorted inside a task each. If one
 is longer, all go through tables: suffix arrays by doubling, prefixes by the ranks of
-all widths, and the inverse transform by doubling the steps of its walk.
+all widths, and the inverse transform by a walk from stop to stop, of stops only, and so on.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
@@ -19,6 +21,8 @@ from .suffix_array import _integer_history, integer_suffix_array
 
 #: Symbols of a sequence up to which one task sorts it.
 SEQUENCE_SYMBOLS = 2_000_000
+#: One in so many nodes of a walk is a stop for the steps of all others.
+STOPS = 4
 
 
 def _fits(values: DataFrame) -> bool:
@@ -99,22 +103,59 @@ def _bwt_by_tables(values: DataFrame) -> DataFrame:
     before = values.select("seq", (F.col("pos") + 1).alias("pos"), "value")
     rows = order.join(before, ["seq", "pos"]).join(whole, "seq").select("seq", F.when(F.col("rnk") + 1 < F.col("primary"), F.col("rnk") + 1).otherwise(F.col("rnk")).alias("row"), "value", "primary")
     last = values.join(_sizes(values), "seq").filter(F.col("pos") == F.col("n") - 1).join(whole, "seq").select("seq", F.lit(0).cast("long").alias("row"), "value", "primary")
-    return rows.unionByName(last)
+    return materialise(rows.unionByName(last), "int-transform")
 
 
 def _inverse_by_tables(transforms: DataFrame) -> DataFrame:
     """A node is a suffix by its place in order, from 1; its step leads to the suffix one symbol later, and the last one's to node 0."""
-    placed = materialise(global_rank(transforms, ["seq", "value", "row"], row="place"), "int-steps")
-    sizes = running_total(_sizes(transforms), ["seq"], "n", "before")
+    sizes = materialise(running_total(_sizes(transforms), ["seq"], "n", "before"), "int-sizes")
+    placed = global_rank(transforms, ["seq", "value", "row"], row="place")
     row = F.when(F.col("row") < F.col("primary"), F.col("row")).otherwise(F.col("row") + 1)
-    steps = placed.join(sizes, "seq").select("seq", (F.col("place") - F.col("before") + 1).alias("node"), "value", "n", row.alias("next"), F.lit(1).cast("long").alias("far"))
-    steps, width = materialise(steps, "int-walk"), 1
-    longest = sizes.agg(F.max("n")).first()[0] or 0
-    while width < longest:
-        ahead = steps.select("seq", F.col("node").alias("next"), F.col("next").alias("then"), F.col("far").alias("more"))
-        steps = steps.join(ahead, ["seq", "next"], "left").select("seq", "node", "value", "n", F.coalesce("then", "next").alias("next"), (F.col("far") + F.coalesce("more", F.lit(0).cast("long"))).alias("far"))
-        steps, width = materialise(steps, "int-walk"), 2 * width
-    return steps.select("seq", (F.col("n") - F.col("far")).alias("pos"), "value")
+    steps = placed.join(sizes, "seq").select("seq", (F.col("place") - F.col("before") + 1).alias("node"), "value", "n", row.alias("next"))
+    steps = materialise(steps, "int-steps")
+    far = _walked(steps.select("seq", "node", "next", F.lit(1).cast("long").alias("far")))
+    return steps.select("seq", "node", "value", "n").join(far, ["seq", "node"]).select("seq", (F.col("n") - F.col("far")).alias("pos"), "value")
+
+
+def _walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """The distances of one walk's nodes, by doubling."""
+    rows = rows.sort_values("node")
+    node, end = rows["node"].to_numpy(), len(rows)
+    after = rows["next"].to_numpy()
+    to = np.append(np.where(after == 0, end, np.searchsorted(node, after)), end)
+    far = np.append(rows["far"].to_numpy(), 0)
+    while (to < end).any():
+        far, to = far + far[to], to[to]
+    return pd.DataFrame({"seq": key[0], "node": node, "far": far[:-1]})
+
+
+def _walked(steps: DataFrame, level: int = 0) -> DataFrame:
+    """(seq, node, far): how far each node is from node 0, from (seq, node, next, far) of single steps.
+
+    One node in STOPS, by its hash, is a stop. Steps are doubled until they lead to one,
+    which takes few rounds, and what has arrived is not moved again. The stops make up a
+    shorter walk of the same kind, so rows moved are in proportion to the nodes.
+    """
+    if _fits(steps):
+        return steps.groupBy("seq").applyInPandas(_walk, "seq long, node long, far long")
+
+    def stops(node: str) -> Column:
+        return F.pmod(F.xxhash64("seq", node, F.lit(level)), F.lit(STOPS)) == 0
+
+    moving = (F.col("next") > 0) & ~stops("next")
+    there, open_ = [steps.filter(~moving)], steps.filter(moving)
+    while open_.limit(1).count():
+        known = reduce(DataFrame.unionByName, [*there, open_]).filter(~stops("node"))
+        ahead = known.select("seq", F.col("node").alias("next"), F.col("next").alias("then"), F.col("far").alias("more"))
+        moved = open_.join(ahead, ["seq", "next"]).select("seq", "node", F.col("then").alias("next"), (F.col("far") + F.col("more")).alias("far"))
+        moved = materialise(moved, "int-walk")
+        there.append(moved.filter(~moving))
+        open_ = moved.filter(moving)
+    arrived = reduce(DataFrame.unionByName, there)
+    held = materialise(_walked(materialise(arrived.filter(stops("node")), "int-stops"), level + 1), "int-stops")
+    rest = held.select("seq", F.col("node").alias("next"), F.col("far").alias("more"))
+    others = arrived.filter(~stops("node")).join(rest, ["seq", "next"], "left")
+    return others.select("seq", "node", (F.col("far") + F.coalesce("more", F.lit(0).cast("long"))).alias("far")).unionByName(held)
 
 
 def histogram(values: DataFrame) -> DataFrame:

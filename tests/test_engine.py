@@ -245,3 +245,20 @@ def test_long_integer_sequences_go_through_tables(spark, monkeypatch):
     monkeypatch.setattr(integers, "SEQUENCE_SYMBOLS", 2)
     assert [rows(integers.lcp(df), "seq", "rnk", "pos", "lcp"), rows(integers.bwt(df), "seq", "row", "value", "primary")] == wanted
     assert rows(integers.inverse_bwt(integers.bwt(df)), "seq", "pos", "value") == sorted((s, p, v) for s, x in seqs.items() for p, v in enumerate(x))
+
+
+def test_rounds_of_a_long_walk_do_not_grow_with_it(spark, monkeypatch):
+    from strandwise.operators import integers
+
+    written = []
+    keep = integers.materialise
+    monkeypatch.setattr(integers, "materialise", lambda df, name: written.append((name, (out := keep(df, name)).count())) or out)
+    monkeypatch.setattr(integers, "SEQUENCE_SYMBOLS", 300)
+    r = random.Random(3)
+    seqs = {1: [r.randint(0, 400) for _ in range(1000)], 2: [5, 1], 6: [r.randint(0, 9) for _ in range(700)]}
+    df = spark.createDataFrame([(s, p, v) for s, x in seqs.items() for p, v in enumerate(x)], "seq long, pos long, value long")
+    transform = integers.bwt(df)
+    written.clear()
+    assert rows(integers.inverse_bwt(transform), "seq", "pos", "value") == sorted((s, p, v) for s, x in seqs.items() for p, v in enumerate(x))
+    # by doubling all of them there were ten rounds of all nodes
+    assert sum(n for name, n in written if name == "int-walk") < 4 * 1702
