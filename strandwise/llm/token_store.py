@@ -23,7 +23,7 @@ from ._common import new_path, read_table, save, sized
 
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 64 << 10, 2_000
 _FLUSH_IDS = 400_000
-#: Words whose ids a worker keeps; here nothing else takes its memory, some 100 MB.
+#: Words whose ids a worker keeps, twice as many as where other stages share its memory.
 _CACHE_WORDS = 600_000
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens int, ids array<int>"
 
