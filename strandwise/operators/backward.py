@@ -19,8 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.packing import unpack
 from ..plans.ranking import running_total
-from ..plans.storage import materialise
+from ..plans.storage import materialise, materialise_compact
+from . import placed
 from . import symbols as sym
 from .suffix_array import gsa
 
@@ -32,7 +34,7 @@ LISTED = 1 << 14
 
 @dataclass
 class BackwardIndex:
-    """``rows``: (rnk, doc, idx); ``blocks``: (block, codes, base); ``alphabet``: symbols in order, numbered from 1; ``starts``: the first rank of each symbol's suffixes, and the end."""
+    """``rows``: (rnk, doc, idx); ``blocks``: (block, codes, base), codes as numbers of as few bytes as the alphabet takes; ``alphabet``: symbols in order, numbered from 1; ``starts``: the first rank of each symbol's suffixes, and the end."""
 
     rows: DataFrame
     blocks: DataFrame
@@ -50,21 +52,53 @@ def build(docs: DataFrame, block: int | None = None, plan: str = "auto") -> Back
     documents = docs.count()
     starts = (documents + np.concatenate(([0], np.cumsum([n for _, n in counts])))).astype(np.int64).tolist()
     size = block or max(BLOCK, 16 * len(alphabet))
-    rows = materialise(gsa(docs, include_terminator=True, plan=plan).select("rnk", "doc", "idx"), "fm-rows")
-    codes = docs.sparkSession.createDataFrame([(s, k + 1) for k, s in enumerate(alphabet)], "symbol string, code int")
-    before = sym.symbols(docs).join(F.broadcast(codes), "symbol").select("doc", (F.col("idx") + 1).alias("idx"), "code")
-    placed = rows.join(before, ["doc", "idx"], "left").select(F.expr(f"rnk div {size}").alias("block"), (F.col("rnk") % size).cast("int").alias("at"), F.coalesce("code", F.lit(0)).alias("code"))
-    placed = materialise(placed, "fm-transform")
-    listed = placed.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "code"))).alias("c"))
-    total = starts[-1]
-    every = docs.sparkSession.range(0, total // size + 1).select(F.col("id").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(len(alphabet)))).alias("code"))
-    dense = every.join(placed.groupBy("block", "code").agg(F.count(F.lit(1)).alias("n")), ["block", "code"], "left").na.fill(0, ["n"])
+    rows = materialise_compact(gsa(docs, include_terminator=True, plan=plan).select("rnk", "doc", "idx"), "fm-rows")
+    group = max(1, placed.TASK_ROWS // size)
+    met, _ = placed.by_rank(docs, rows, starts[-1], _asked(np.array([ord(s) for s in alphabet], np.int64)), group * size)
+    listed = materialise(met.mapInArrow(_listed(size, group, len(alphabet), _kind(len(alphabet))), "block long, codes binary, counts array<long>"), "fm-transform", compression="zstd")
+    if starts[-1] % size == 0:  # the end of all ranks is asked for as well
+        empty = docs.sparkSession.range(1).select(F.lit(starts[-1] // size).cast("long").alias("block"), F.lit(b"").alias("codes"), F.array_repeat(F.lit(0).cast("long"), len(alphabet) + 1).alias("counts"))
+        listed = listed.unionByName(empty)
+    dense = listed.select("block", F.posexplode("counts").alias("code", "n"))
     # what comes before in the order of (symbol, block) is where the symbol's next occurrence goes
     base = running_total(dense, ["code", "block"], "n", "base").groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("code", "base"))), lambda x: x["base"]).alias("base"))
-    blocks = base.join(listed, "block", "left").select("block", F.coalesce(F.transform("c", lambda x: x["code"]), F.array().cast("array<int>")).alias("codes"), "base")
+    blocks = base.join(listed.select("block", "codes"), "block")
     return BackwardIndex(rows, materialise(blocks, "fm-blocks"), alphabet, starts, size, documents)
 
 
+def _kind(symbols: int) -> np.dtype:
+    """Of a block's codes: as few bytes as the alphabet takes."""
+    return np.dtype("u1" if symbols < 1 << 8 else "<u2" if symbols < 1 << 16 else "<u4")
+
+
+def _asked(points: np.ndarray):
+    """Of every suffix its rank and the number of the symbol before it, 0 at a document's begin."""
+
+    def run(met: placed.Met) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        own = np.flatnonzero(met.own)
+        before = met.symbols[met.at[own] - 1]
+        codes = np.where(met.idx[own] > 0, np.searchsorted(points, before) + 1, 0)
+        return met.rnk[own], met.rnk[own], codes, np.empty((len(own), 0), np.uint8)
+
+    return run
+
+
+def _listed(size: int, group: int, symbols: int, kind: np.dtype):
+    """(block, codes, counts) of a range of whole blocks, one after another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, rnk, code, _ = unpack(batches, 0)
+        own = rnk // (group * size) == part  # the last rank of the range before is not
+        rnk, code = rnk[own], code[own]
+        code = code[np.argsort(rnk)].astype(kind)
+        for k in range(0, len(code), size):
+            held = code[k : k + size]
+            counts = np.bincount(held, minlength=symbols + 1)
+            yield pa.RecordBatch.from_arrays([pa.array([part * group + k // size], pa.int64()), pa.array([held.tobytes()], pa.binary()), pa.array([counts], pa.list_(pa.int64()))], names=["block", "codes", "counts"])
+
+    return run
+
+
 def _coded(alphabet: list[str]):
     """(pattern, codes): a pattern's symbols as numbers, from the last to the first; 0 for one that no text has."""
 
@@ -77,11 +111,11 @@ def _coded(alphabet: list[str]):
     return run
 
 
-def _step(size: int):
+def _step(size: int, kind: np.dtype):
     def run(key: tuple, asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(block):
             return pd.DataFrame({"pattern": [], "low": [], "rank": []}).astype({"pattern": "object", "low": "bool", "rank": "int64"})
-        codes, base = np.asarray(block["codes"].iloc[0]), np.asarray(block["base"].iloc[0])
+        codes, base = np.frombuffer(block["codes"].iloc[0], kind), np.asarray(block["base"].iloc[0])
         code, at = asked["code"].to_numpy(), (asked["rank"] % size).to_numpy()
         rank = base[code]
         for c in np.unique(code):
@@ -109,7 +143,7 @@ def intervals(index: BackwardIndex, patterns: DataFrame) -> DataFrame:
         asked = state.filter(on).select("pattern", F.col("codes")[k].alias("code"), sides).select("pattern", "code", "side.*").withColumn("block", F.expr(f"rank div {index.block}"))
         asked = materialise(asked, "backward-asked")
         blocks = index.blocks.join(asked.select("block").distinct(), "block", "left_semi")
-        moved = asked.groupBy("block").cogroup(blocks.groupBy("block")).applyInPandas(_step(index.block), "pattern string, low boolean, rank long")
+        moved = asked.groupBy("block").cogroup(blocks.groupBy("block")).applyInPandas(_step(index.block, _kind(len(index.alphabet))), "pattern string, low boolean, rank long")
         pairs = moved.groupBy("pattern").agg(F.max(F.when(F.col("low"), F.col("rank"))).alias("_first"), F.max(F.when(~F.col("low"), F.col("rank"))).alias("_after"))
         joined = state.join(pairs, "pattern", "left")
         first, after = (F.when(none, zero).otherwise(F.coalesce(f"_{c}", c)).alias(c) for c in ("first", "after"))
